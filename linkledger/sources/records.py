@@ -19,7 +19,7 @@ RECORD_GLOB = "point_*.jsonld"
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
     """``records(record_id, path, text, doc)`` of every record file below ``path``."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", RECORD_GLOB).text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=RECORD_GLOB)
     paths = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return parse_records(paths.select(F.regexp_replace(local_name("path"), r"\.jsonld$", "").alias("record_id"), "path", "text"))
 
@@ -29,6 +29,12 @@ def parse_records(texts: DataFrame) -> DataFrame:
     return texts.withColumn("doc", F.try_parse_json("text"))
 
 
+def record_rejects(records: DataFrame) -> DataFrame:
+    """Documents that cannot be used, with a reason; they give no triples and no flat row of their own."""
+    reason = F.when(F.col("doc").isNull(), "not valid JSON").when(~is_record("doc"), "no record layout")
+    return records.select("record_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def is_record(doc: Column | str) -> Column:
     """Does the document have the nested or the older flat layout."""
     keys = ("$['foaf:primaryTopic']", "$['ldv:tier2Measurement']")
@@ -290,9 +296,15 @@ def document_triples(record_id: str, text: str) -> list[tuple]:
     """The statements of one JSON-LD document, equal ones once, in first-seen order.
 
     Nodes without an id are named by record and key path, list cells carry their list head and position.
-    Number types follow the JSON text: ``416.0`` is a double, ``6381`` an integer.
+    Number types follow the JSON text: ``416.0`` is a double, ``6381`` an integer. Text that is no JSON object
+    gives nothing; :func:`record_rejects` lists it.
     """
-    doc = json.loads(text)
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return []
+    if not isinstance(doc, dict):
+        return []
     context = {**PREFIXES, **{k: v for k, v in (doc.get("@context") or {}).items() if isinstance(v, str)}}
     base = context.pop("@base", BASE_IRI)
     rows: dict[tuple, None] = {}
