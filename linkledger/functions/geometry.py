@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAPPING = "IFC_X=Acoustic_X; IFC_Y=Acoustic_Z; IFC_Z=Acoustic_Y"
@@ -37,56 +37,48 @@ def apply_frame(matrix: Column | str | Sequence[Sequence[float]], x, y, z) -> Co
     return F.struct(line(0).alias("x"), line(1).alias("y"), line(2).alias("z"))
 
 
-def mapping_matrix(mapping: Column | str, z_axis_note: Column | str) -> Column:
-    """16 cells of the axis permutation declared as ``IFC_X=Acoustic_X; ...``; null unless all three axes are named.
+def mapped_axis(mapping: Column | str, target: str) -> Column:
+    """Scan axis a declared mapping ``IFC_X=Acoustic_X; ...`` gives for a model axis; empty if it names none."""
+    return F.regexp_extract(_col(mapping), rf"(?s)^.*IFC_{target}=Acoustic_([XYZ])", 1)
 
-    Only where model Y comes from scan Z does the note decide the sign: it must say the axis points into the wall.
-    """
-    text = _col(mapping)
-    pairs = F.map_from_entries(F.array_distinct(F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(r"IFC_([XYZ])=Acoustic_([XYZ])"), F.lit(1)).alias("k"),
-        F.regexp_extract_all(text, F.lit(r"IFC_([XYZ])=Acoustic_([XYZ])"), F.lit(2)).alias("v"))))
-    into = F.coalesce(F.lower(_col(z_axis_note)).contains("into the wall"), F.lit(False))
 
+def axis_matrix(sources: dict[str, Column], into: Column) -> Column:
+    """16 cells of the axis assignment. Only where model Y comes from scan Z the sign depends on ``into`` (the wall)."""
     def cell(target: str, source: str) -> Column:
-        value = F.lit(1.0)
-        if target == "Y" and source == "Z":
-            value = F.when(into, 1.0).otherwise(-1.0)
-        return F.when(F.element_at(pairs, target) == source, value).otherwise(0.0)
+        value = F.when(into, 1.0).otherwise(-1.0) if (target, source) == ("Y", "Z") else F.lit(1.0)
+        return F.when(sources[target] == source, value).otherwise(0.0)
 
     cells = [cell(t, s) if s else F.lit(0.0) for t in "XYZ" for s in ("X", "Y", "Z", "")]
-    complete = F.sort_array(F.map_keys(pairs)) == F.array(*[F.lit(a) for a in "XYZ"])
-    return F.when(complete, F.array(*cells, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return F.array(*cells, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
-def resolve_frame(mapping, z_axis_note, explicit_matrix) -> Column:
-    """Struct (kind, status, mapping, matrix, normal_sign, low_face): declared mapping, else explicit matrix, else the default.
+def with_frame(df: DataFrame, mapping: Column, z_axis_note: Column, explicit_matrix: Column, name: str = "frame") -> DataFrame:
+    """Add struct (kind, status, mapping, matrix, normal_sign, low_face): declared mapping, else explicit matrix, else the default.
 
-    A declared mapping that cannot be read is kind ``UNREADABLE`` with a null matrix: it is not replaced silently.
+    A declared mapping that does not name all three axes is kind ``UNREADABLE`` with a null matrix: it is not
+    replaced silently.
     """
-    declared = F.nullif(_col(mapping), F.lit(""))
-    matrix = _col(explicit_matrix)
-    kind = (F.when(declared.isNotNull() & mapping_matrix(declared, z_axis_note).isNull(), "UNREADABLE")
-            .when(declared.isNotNull(), "PSET").when(matrix.isNotNull(), "EXPLICIT").otherwise("DEFAULT"))
-    default = mapping_matrix(F.lit(DEFAULT_MAPPING), F.lit("into the wall"))
-    cells = (F.when(declared.isNotNull(), mapping_matrix(declared, z_axis_note))
-             .when(matrix.isNotNull(), matrix).otherwise(default))
-    status = F.create_map(*[F.lit(v) for pair in FRAME_STATUS.items() for v in pair])
-    # The face normal follows the largest cell of the model Y row.
-    row = [cells[4], cells[5], cells[6]]
+    into = F.coalesce(F.lower(z_axis_note).contains("into the wall"), F.lit(False))
+    staged = df.withColumns({"__declared": F.nullif(mapping, F.lit("")), "__given": explicit_matrix, "__into": into})
+    staged = staged.withColumns({f"__{t}": mapped_axis("__declared", t) for t in "XYZ"})
+    declared = F.col("__declared").isNotNull()
+    complete = (F.col("__X") != "") & (F.col("__Y") != "") & (F.col("__Z") != "")
+    kind = (F.when(declared & ~complete, "UNREADABLE").when(declared, "PSET").when(F.col("__given").isNotNull(), "EXPLICIT").otherwise("DEFAULT"))
+    default = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    cells = (F.when(declared & complete, axis_matrix({t: F.col(f"__{t}") for t in "XYZ"}, F.col("__into")))
+             .when(~declared, F.coalesce("__given", F.array(*[F.lit(v) for v in default]))))
+    staged = staged.withColumns({"__kind": kind, "__cells": cells})
+    # The face normal follows the largest cell of the model Y row, the first of equals.
+    row = [F.col("__cells")[i] for i in (4, 5, 6)]
     size = [F.abs(c) for c in row]
-    lead = (F.when((size[0] >= size[1]) & (size[0] >= size[2]), row[0])
-            .when(size[1] >= size[2], row[1]).otherwise(row[2]))
-    flat = size[0] + size[1] + size[2] == 0
-    sign = F.when(flat, 1).otherwise(lead.cast("int"))
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "UNREADABLE", F.lit("mapping cannot be read")).otherwise(F.element_at(status, kind)).alias("status"),
-        F.coalesce(declared, F.when(matrix.isNotNull(), F.to_json(matrix)), F.lit(DEFAULT_MAPPING)).alias("mapping"),
-        cells.alias("matrix"),
-        F.when(cells.isNotNull(), sign).alias("normal_sign"),
-        F.when(cells.isNotNull(), flat | (lead >= 0)).alias("low_face"),
-    )
+    lead = (F.when((size[0] >= size[1]) & (size[0] >= size[2]), row[0]).when(size[1] >= size[2], row[1]).otherwise(row[2]))
+    staged = staged.withColumn("__lead", F.when(size[0] + size[1] + size[2] == 0, 1.0).otherwise(lead))
+    status = F.create_map(*[F.lit(v) for pair in FRAME_STATUS.items() for v in pair])
+    frame = F.struct(
+        F.col("__kind").alias("kind"), F.coalesce(F.element_at(status, F.col("__kind")), F.lit("mapping cannot be read")).alias("status"),
+        F.coalesce("__declared", F.to_json("__given"), F.lit(DEFAULT_MAPPING)).alias("mapping"), F.col("__cells").alias("matrix"),
+        F.col("__lead").cast("int").alias("normal_sign"), (F.col("__lead") >= 0).alias("low_face"))
+    return staged.withColumn(name, frame).select(*df.columns, name)
 
 
 def inside_extent(x, z, lo_x, hi_x, lo_z, hi_z, tol: float = 1e-9) -> Column:

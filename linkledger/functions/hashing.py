@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METHOD = ("sha256 of id, class, material label, bbox min and bbox max, joined by a vertical bar; "
           "world coordinates in metres, 3 decimals, ties rounded half up on the decimal text")
@@ -14,7 +15,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fixed_binary(values: pd.Series) -> pd.Series:
     return values.map(lambda v: f"{round(float(v), 3) + 0.0:.3f}", na_action="ignore")
 

@@ -80,8 +80,8 @@ def parse_point(wkt: Column | str) -> Column:
 
 def format_point(frame: Column | str, x: Column | str, y: Column | str, z: Column | str) -> Column:
     """Point literal with the frame IRI in front."""
-    numbers = F.concat_ws(" ", *[_col(c).cast("double").cast("string") for c in (x, y, z)])
-    return F.concat(F.lit("<"), _col(frame), F.lit("> POINT Z ("), numbers, F.lit(")"))
+    a, b, c = (_col(v).cast("double").cast("string") for v in (x, y, z))
+    return F.concat(F.lit("<"), _col(frame), F.lit("> POINT Z ("), a, F.lit(" "), b, F.lit(" "), c, F.lit(")"))
 
 
 def to_metres(value: Column | str, unit: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +50,21 @@ def axis_consistency(spectra: DataFrame, order: str = "path") -> DataFrame:
     return with_axis.withColumn("__ref", first).withColumn("axis_ok", same & regular).drop("__axis", "__ref")
 
 
-def dedupe_points(points: DataFrame, key: str = "point", order: tuple[str, ...] = ("path",)) -> tuple[DataFrame, DataFrame]:
-    """(kept, listed): the first row per key by ``order`` and the others with the winner's order value.
+def dedupe_points(points: DataFrame, keys: Sequence[str] = ("point",), order: Sequence[str] = ("path",)) -> tuple[DataFrame, DataFrame]:
+    """(kept, listed): the first row per key by ``order`` and the others with the winner's order values.
 
-    The winner is a partial aggregate; the join back has one row per key on its side, so a key with very many
-    copies can be split by skew handling.
+    ``order`` must tell rows of a key apart. The winner is a partial aggregate; the join back has one row per key
+    on its side, so a key with very many copies can be split by skew handling.
     """
-    winners = first_per_key(points, [key], order, order, "kept_").drop("kept_rows")
-    joined = points.join(winners, key)
+    winners = first_per_key(points, keys, order, order, "kept_").drop("kept_rows")
+    joined = points.join(winners, list(keys))
     is_winner = F.lit(True)
     for c in order:
         is_winner = is_winner & F.col(c).eqNullSafe(F.col(f"kept_{c}"))
     kept = joined.where(is_winner).select(points.columns)
+    name = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
     listed = joined.where(~is_winner).withColumn(
-        "reason", F.concat(F.lit("point index "), F.col(key).cast("string"), F.lit(" already read from "), F.col(f"kept_{order[0]}").cast("string")))
+        "reason", F.concat(F.lit("point index "), name, F.lit(" already read from "), F.col(f"kept_{order[0]}").cast("string")))
     return kept, listed
 
 
@@ -80,5 +83,5 @@ def spectra_cache(arrays: DataFrame) -> DataFrame:
     """Dense cache rows ``(channel, point, freq0, step, count, db)``: dB rounded half even to 2 decimals."""
     axis = axis_of("freq")
     entries = F.array(*[F.struct(F.lit(c).alias("channel"), F.transform(c, lambda x: F.bround(x, 2)).alias("db")) for c in CHANNELS])
-    return (arrays.select("point", axis.alias("a"), F.explode(entries).alias("e"))
+    return (arrays.select("point", axis.alias("a"), entries.alias("es")).select("point", "a", F.explode("es").alias("e"))
             .select("e.channel", "point", F.col("a.f_min").alias("freq0"), "a.step", F.col("a.bins").alias("count"), "e.db"))

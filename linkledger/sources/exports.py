@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkledger.functions.staging import computed_once
 from linkledger.functions.text import HEADER_PATTERN, NUMBER_PATTERN, SPECIAL_NUMBER_PATTERN, parse_header
 from linkledger.model import COMPONENTS
 
@@ -46,47 +47,37 @@ def parse_exports(files: DataFrame) -> DataFrame:
     ``files`` needs ``path`` and ``content`` (binary). Everything a file holds is read, on the task that
     holds the file.
     """
-    lines = files.withColumn("__lines", F.split(F.decode("content", F.lit("ISO-8859-1")), _LINE_BREAK))
-    head = lines.select(
-        *[c for c in files.columns if c != "content"],
-        F.sha2("content", 256).alias("sha256"),
-        F.octet_length("content").cast("bigint").alias("size"),
-        parse_header(F.array_join(F.slice("__lines", 1, HEADER_LINES), "\n")).alias("__header"),
-        F.array_position(F.transform("__lines", _is_data_start), True).cast("int").alias("__start"),
-        "__lines",
-    )
-    rows = head.withColumn(
-        "__rows",
-        F.when(F.col("__start") > 0, F.transform(
-            F.filter(F.slice("__lines", F.col("__start"), F.greatest(F.size("__lines"), F.lit(1))),
-                     lambda line: F.trim(line) != ""), _cells)),
-    ).drop("__lines")
+    kept = [c for c in files.columns if c != "content"]
+    lines = files.withColumn("__lines", F.split(F.decode("content", "ISO-8859-1"), _LINE_BREAK))
+    head = computed_once(lines, {
+        "sha256": F.sha2("content", 256),
+        "size": F.octet_length("content").cast("bigint"),
+        "__header": parse_header(F.array_join(F.slice("__lines", 1, HEADER_LINES), "\n")),
+        "__start": F.array_position(F.transform("__lines", _is_data_start), True).cast("int"),
+    })
+    body = F.filter(F.slice("__lines", F.col("__start"), F.greatest(F.size("__lines"), F.lit(1))), lambda line: F.trim(line) != "")
+    rows = computed_once(head, {"__rows": F.when(F.col("__start") > 0, F.transform(body, _cells))})
 
     def numeric(cell: Column) -> Column:
         return cell.rlike(NUMBER_PATTERN) | cell.rlike(SPECIAL_NUMBER_PATTERN)
 
-    checked = rows.withColumns({
-        "__numeric": F.forall("__rows", lambda r: F.forall(r, numeric)),
-        "__width_min": F.array_min(F.transform("__rows", lambda r: F.size(r))),
-        "__width_max": F.array_max(F.transform("__rows", lambda r: F.size(r))),
-        "__special": F.exists("__rows", lambda r: F.exists(r, lambda c: c.rlike(SPECIAL_NUMBER_PATTERN))),
-    })
-    reasoned = checked.withColumn(
-        "reason",
+    def endless(cell: Column) -> Column:
+        return cell.rlike(SPECIAL_NUMBER_PATTERN) | (F.abs(cell.try_cast("double")) == F.lit(float("inf")))
+
+    widths = F.transform("__rows", lambda r: F.size(r))
+    reason = (
         F.when(F.col("__header").isNull(), NO_HEADER)
         .when(F.col("__start") == 0, NO_ROWS)
-        .when(~F.col("__numeric"), NOT_NUMERIC)
-        .when(F.col("__width_min") != F.col("__width_max"), RAGGED)
-        .when(F.col("__width_max") != COLUMNS, NOT_SEVEN)
-        .when(F.col("__special") | F.exists(
-            "__rows", lambda r: F.exists(r, lambda c: F.abs(c.try_cast("double")) == F.lit(float("inf")))), NOT_FINITE),
+        .when(F.exists("__rows", lambda r: F.exists(r, lambda c: ~numeric(c))), NOT_NUMERIC)
+        .when(F.array_min(widths) != F.array_max(widths), RAGGED)
+        .when(F.array_max(widths) != COLUMNS, NOT_SEVEN)
+        .when(F.exists("__rows", lambda r: F.exists(r, endless)), NOT_FINITE)
     )
-    usable = F.col("reason").isNull()
+    reasoned = computed_once(rows.select(*kept, "sha256", "size", "__header", "__start", "__rows"), {"reason": reason})
 
     def column(i: int) -> Column:
-        return F.when(usable, F.transform("__rows", lambda r: F.trim(r[i]).try_cast("double")))
+        return F.when(F.col("reason").isNull(), F.transform("__rows", lambda r: F.trim(r[i]).try_cast("double")))
 
-    kept = [c for c in files.columns if c != "content"]
     return reasoned.select(
         *kept, "sha256", "size", "__header.*",
         (F.col("__start") - 1).alias("first_data_line"),
@@ -116,7 +107,7 @@ def scan_exports(spark: SparkSession, path: str, glob: str = "*.txt") -> tuple[D
 
 def scan_headers(files: DataFrame) -> DataFrame:
     """Header fields found in the first 2 048 bytes of each file, null where there is no header."""
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
     return files.select("path", parse_header(head).alias("h")).select("path", "h.*", F.col("h").isNotNull().alias("readable"))
 
 

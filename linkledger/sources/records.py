@@ -79,6 +79,22 @@ def _element(t: Column, *more: Column) -> Column:
         _checksum(t["fingerprint"]).alias("spdx:checksum"), *more)
 
 
+def _table_layout(flat: DataFrame) -> list[Column]:
+    """Dialect and ordered column list, where the flat rows carry a ``layout`` struct."""
+    if "layout" not in flat.columns:
+        return []
+    layout = F.col("layout")
+    dialect = F.struct(F.lit("csvw:Dialect").alias("@type"), F.lit("\t").alias("csvw:delimiter"), F.lit("ISO-8859-1").alias("csvw:encoding"),
+                       layout["skip_rows"].alias("csvw:skipRows"), layout["header_rows"].alias("csvw:headerRowCount"))
+    columns = F.transform(layout["columns"], lambda c, n: F.struct(
+        F.lit("csvw:Column").alias("@type"), (n + 1).alias("csvw:number"), c["name"].alias("csvw:name"),
+        F.when(c["title"].isNotNull(), F.struct(c["title"].alias("@value"), F.lit("de").alias("@language"))).alias("csvw:titles"),
+        _ref(c["unit"]).alias("qudt:hasUnit"), c["unit_text"].alias("schema:unitText"),
+        _status("unitStatus", c["unit_status"]).alias("dqv:hasQualityMeasurement")))
+    schema = F.struct(F.lit("csvw:Schema").alias("@type"), F.struct(columns.alias("@list")).alias("csvw:column"))
+    return [dialect.alias("csvw:dialect"), schema.alias("csvw:tableSchema")]
+
+
 def nest_record(flat: DataFrame) -> DataFrame:
     """Flat rows (``record_id`` and the five part structs) to ``(record_id, text)`` with one JSON document each.
 
@@ -90,7 +106,7 @@ def nest_record(flat: DataFrame) -> DataFrame:
         F.concat(F.lit("ex:file/"), rid).alias("@id"), F.array(F.lit("dcat:Distribution"), F.lit("prov:Entity")).alias("@type"),
         i["title"].alias("dcterms:title"), _ref(i["media_type"]).alias("dcat:mediaType"),
         _typed(i["bytes"], "xsd:nonNegativeInteger").alias("dcat:byteSize"), _checksum(i["sha256"]).alias("spdx:checksum"),
-        _ref(i["url"]).alias("dcat:downloadURL"), _ref(F.concat(F.lit("ldvc:"), i["status"])).alias("dcterms:type"))
+        _ref(i["url"]).alias("dcat:downloadURL"), _ref(F.concat(F.lit("ldvc:"), i["status"])).alias("dcterms:type"), *_table_layout(flat))
     geometry = F.struct(
         F.lit("geo:Geometry").alias("@type"),
         _typed(format_point(m["frame"], m["x"], m["y"], m["z"]), "geo:wktLiteral").alias("geo:asWKT"),
@@ -98,7 +114,7 @@ def nest_record(flat: DataFrame) -> DataFrame:
     layers = F.transform(b["layers"], lambda x, k: F.struct(
         F.concat(F.lit("ex:layer/"), rid, F.lit("/"), k.cast("string")).alias("@id"), F.lit("ifc:IfcMaterialLayer").alias("@type"),
         x["name"].alias("rdfs:label"), _quantity(x["thickness_m"], "MTR").alias("schema:depth")))
-    parts = F.when(F.size(b["targets"]) > 1, F.transform(F.slice(b["targets"], F.lit(2), F.size(b["targets"])), _element))
+    parts = F.when(F.size(b["targets"]) > 1, F.transform(F.slice(b["targets"], F.lit(2), F.size(b["targets"])), lambda t: _element(t)))
     specimen = _element(F.element_at(b["targets"], 1), parts.alias("bot:hasSubElement"),
                         F.when(b["layers"].isNotNull(), F.struct(layers.alias("@list"))).alias("dcterms:hasPart"))
     sample = F.struct(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkledger.operators.lifecycle import TRIGGERS, reassessment_triggers
+from linkledger.operators.ordered import ordered, time_chunk
 
 COMPACT_EVERY = 32
 
@@ -75,16 +76,27 @@ def stream_trigger_counts(triggers: DataFrame, window: str, slide: str | None =
     return trigger_counts(_event_time(triggers, ts).withWatermark(ts, delay), window, slide, ts, by)
 
 
-def edit_sessions(triggers: DataFrame, gap: str, key: str = "entity", ts: str = "ts") -> DataFrame:
-    """Bursts of changes per entity: runs with less than ``gap`` between neighbours.
+def edit_sessions(triggers: DataFrame, gap_seconds: int, key: str = "entity", ts: str = "ts", order: Sequence[str] = (),
+                  chunk: Column | None = None) -> DataFrame:
+    """Bursts of changes per entity: a change at most ``gap_seconds`` after the previous one belongs to its burst.
 
-    Session merging keeps one row per session and key after partial merging, not the changes themselves.
+    Bursts are numbered with chunked running values, so an entity with very many changes is split over tasks.
+    ``end`` is the last change plus the gap.
     """
-    return (triggers.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, "w.start", "w.end", "n"))
-
-
-def stream_edit_sessions(triggers: DataFrame, gap: str, delay: str = "10 minutes", key: str = "entity", ts: str = "ts") -> DataFrame:
-    return edit_sessions(_event_time(triggers, ts).withWatermark(ts, delay), gap, key, ts)
+    chunk = time_chunk(ts) if chunk is None else chunk
+    lagged = ordered(triggers.select(key, ts, *[o for o in order if o != ts]), [key], [ts, *order], chunk, lag={"__before": ts})
+    wait = F.unix_micros(ts) - F.unix_micros("__before")
+    starts = lagged.withColumn("__start", F.when(F.col("__before").isNull() | (wait >= gap_seconds * 1_000_000), 1).otherwise(0))
+    numbered = ordered(starts.drop("__before"), [key], [ts, *order], chunk, running_sum={"__burst": "__start"})
+    return (numbered.groupBy(key, "__burst").agg(F.min(ts).alias("start"), F.max(ts).alias("__last"), F.count(F.lit(1)).alias("n"))
+            .select(key, "start", (F.col("__last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("end"), "n"))
+
+
+def stream_edit_sessions(triggers: DataFrame, gap_seconds: int, delay: str = "10 minutes", key: str = "entity", ts: str = "ts") -> DataFrame:
+    """The same as a stream; a burst appears once the watermark has passed its end."""
+    timed = _event_time(triggers, ts).withWatermark(ts, delay)
+    bursts = timed.groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return bursts.select(key, "w.start", "w.end", "n")
 
 
 def stream_first_wins(points: DataFrame, delay: str, key: Sequence[str] = ("point",), ts: str = "ts") -> DataFrame:
