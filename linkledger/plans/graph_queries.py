@@ -10,7 +10,7 @@ from linkledger.operators import gaps as GP
 from linkledger.operators import graph as G
 from linkledger.plans import standins as S
 from linkledger.plans.catalog import query
-from linkledger.sources.tables import VOCAB
+from linkledger.sources.tables import VOCAB, node_iri
 
 EDGES_SQL = """
 SELECT 'Customer' AS source_class, 'c_nationkey' AS property, 'Nation' AS target_class, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey=n_nationkey
@@ -76,12 +76,12 @@ def list_members(spark, sf_dir):
     return members.join(names, ["record_id", "s"]).select("record_id", "name", F.col("list_pos").cast("bigint").alias("place"))
 
 
-@query("not_exists", "SELECT 'https://example.org/tables/id/customer/' || c_custkey AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)")
+@query("not_exists", "SELECT 'https://example.org/tables/id/orders/' || o_orderkey AS s FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=o_orderkey)")
 def not_exists(spark, sf_dir):
     t = S.table_graph(spark, sf_dir)
-    customers = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == VOCAB + "Customer")).select("s")
-    buyers = t.where(F.col("p") == VOCAB + "o_custkey").select(F.col("o").alias("s"))
-    return customers.join(buyers, "s", "left_anti")
+    orders = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == VOCAB + "Orders")).select("s")
+    filled = S.table(spark, sf_dir, "lineitem").select(node_iri("orders", "l_orderkey").alias("s"))
+    return orders.join(filled, "s", "left_anti")
 
 
 @query("record_summary", "WITH " + S.RECORD_SQL + """

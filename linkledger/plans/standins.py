@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkledger.model import RDF_TYPE, iri
 from linkledger.session import configure, scratch_path
 from linkledger.sources.exports import header_line, render_export
 from linkledger.sources.records import nest_record, records_to_triples
@@ -207,12 +208,20 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of the record documents, written once. For code 19 the second layer has lost its type."""
+    """Triples of the record documents, written once.
+
+    Damage that documents cannot show: the second layer (19) and the sample (36) lose their type, the media type
+    turns into a literal (35).
+    """
     def build() -> DataFrame:
         t = records_to_triples(record_texts(spark, sf_dir))
         code = F.substring_index("record_id", "-", -1).cast("bigint") % DEFECTS
-        lost = (code == 19) & F.col("p").endswith("#type") & F.col("s").endswith("/1") & F.col("o").endswith("#IfcMaterialLayer")
-        return t.where(~lost)
+        typed = F.col("p") == RDF_TYPE
+        lost = typed & (((code == 19) & F.col("s").endswith("/1") & (F.col("o") == iri("ifc:IfcMaterialLayer")))
+                        | ((code == 36) & (F.col("o") == iri("sosa:Sample"))))
+        text = (code == 35) & (F.col("p") == iri("dcat:mediaType"))
+        return t.where(~lost).withColumns({"o_kind": F.when(text, "literal").otherwise(F.col("o_kind")),
+                                           "o_type": F.when(text, iri("xsd:string")).otherwise(F.col("o_type"))})
 
     return written(spark, sf_dir, "record_triples", build)
 

@@ -145,13 +145,17 @@ def nest_record(flat: DataFrame) -> DataFrame:
         F.when(g["location"].isNotNull(), F.struct(F.concat(F.lit("ex:location/"), F.regexp_replace(g["location"], r"\W+", "")).alias("@id"),
                F.lit("prov:Location").alias("@type"), g["location"].alias("rdfs:label"))).alias("prov:atLocation"),
         environment.alias("prov:used"))
-    document = F.struct(
-        F.concat(F.lit("ex:ifcfile/"), b["model_file"]).alias("@id"), F.array(F.lit("dcat:Distribution"), F.lit("prov:Entity")).alias("@type"),
-        b["model_file"].alias("dcterms:title"), _typed(b["model_modified"], "xsd:dateTime").alias("dcterms:modified"),
-        _checksum(b["model_sha256"]).alias("spdx:checksum"), _ref(F.concat(F.lit("data/"), b["model_file"])).alias("dcat:downloadURL"))
+    def document(first: Column) -> Column:
+        # Described once, at the first link; the others only point to it.
+        once = lambda c: F.when(first, c)
+        return F.struct(
+            F.concat(F.lit("ex:ifcfile/"), b["model_file"]).alias("@id"), once(F.array(F.lit("dcat:Distribution"), F.lit("prov:Entity"))).alias("@type"),
+            once(b["model_file"]).alias("dcterms:title"), once(_typed(b["model_modified"], "xsd:dateTime")).alias("dcterms:modified"),
+            once(_checksum(b["model_sha256"])).alias("spdx:checksum"), once(_ref(F.concat(F.lit("data/"), b["model_file"]))).alias("dcat:downloadURL"))
+
     link_ids = F.filter(b["linked_gids"], lambda x: x.isNotNull())
-    to_links = F.transform(link_ids, lambda gid: F.struct(
-        F.lit("ls:LinkElement").alias("@type"), document.alias("ls:hasDocument"),
+    to_links = F.transform(link_ids, lambda gid, n: F.struct(
+        F.lit("ls:LinkElement").alias("@type"), document(n == 0).alias("ls:hasDocument"),
         F.struct(F.lit("ls:StringBasedIdentifier").alias("@type"), F.lit("Guid").alias("ls:identifierField"),
                  gid.alias("ls:identifier")).alias("ls:hasIdentifier")))
     h = b["hypothesis"]
