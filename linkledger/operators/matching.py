@@ -16,6 +16,8 @@ from linkledger.operators.ordered import number_chunk, ordered
 
 THICKNESS_TOLERANCE = 0.020
 MIN_OVERLAP = 0.5
+# A decimal tolerance is met by its own binary neighbours too.
+SLACK = 1e-12
 
 # ---- Fixed values: keywords that name a construction family.
 FAMILY_KEYWORDS = {
@@ -69,8 +71,9 @@ def band_candidates(walls: DataFrame, registry: DataFrame, tol: float = THICKNES
         F.count(F.lit(1)).alias("n"), F.min("record_uri").alias("uri"))
     spots = walls.where(F.col("thickness_m").isNotNull()).select("family", F.col("thickness_m").alias("at")).distinct()
     # Marks at equal value sort: lower bound, record, wall itself, upper bound.
-    marks = F.array(F.struct((F.col("at") - tol).alias("t"), F.lit(0).alias("kind")), F.struct(F.col("at").alias("t"), F.lit(2).alias("kind")),
-                    F.struct((F.col("at") + tol).alias("t"), F.lit(3).alias("kind")))
+    reach = tol + SLACK
+    marks = F.array(F.struct((F.col("at") - reach).alias("t"), F.lit(0).alias("kind")), F.struct(F.col("at").alias("t"), F.lit(2).alias("kind")),
+                    F.struct((F.col("at") + reach).alias("t"), F.lit(3).alias("kind")))
     queries = spots.select("family", "at", F.explode(marks).alias("m")).select(
         "family", "m.t", "m.kind", "at", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("uri"))
     points = distinct.select("family", "t", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("at"), "n", "uri")
@@ -112,8 +115,7 @@ def match_status(links: DataFrame, walls: DataFrame, registry: DataFrame, tol: f
     delta = F.when(resolved & same, F.abs(F.col("wall_thickness_m") - F.col("record_thickness_m")))
     overlap = F.when(resolved, F.when(same, token_overlap("w_m", "r_m")).otherwise(0.0))
     scored = joined.withColumns({"resolved": resolved, "thickness_delta_m": delta, "overlap": overlap})
-    # A decimal tolerance is met by its own binary neighbours too.
-    thick_ok = F.coalesce(F.col("thickness_delta_m") <= tol + 1e-12, F.lit(False))
+    thick_ok = F.coalesce(F.col("thickness_delta_m") <= tol + SLACK, F.lit(False))
     enough = F.coalesce(F.col("overlap") >= min_overlap, F.lit(False))
     status = F.when(~resolved, "BROKEN").when(~same, "INVALID").when(thick_ok & enough, "ACCEPTABLE").otherwise("AMBIGUOUS")
     failed = F.concat_ws("; ", F.when(~thick_ok, F.format_string(f"total-thickness difference is %.3f m (> {tol:.3f} m tolerance)", "thickness_delta_m")),

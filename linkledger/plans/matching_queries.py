@@ -40,11 +40,10 @@ def find_candidates(spark, sf_dir):
 
 
 @query("thickness_band_join", "WITH " + S.WALL_SQL + """, X AS (SELECT gid, W.family, W.thickness_m, record_uri, C.thickness_m AS t, abs(W.thickness_m-C.thickness_m) AS d FROM W LEFT JOIN C ON W.family=C.family),
-N AS (SELECT gid, record_uri AS nearest, d, row_number() OVER (PARTITION BY gid ORDER BY round(d,9), t, record_uri) AS rn FROM X WHERE record_uri IS NOT NULL)
-SELECT X.gid, X.family, X.thickness_m, count(*) FILTER (round(X.d,9)<=0.025)::BIGINT AS in_band, min(N.nearest) AS nearest, round(min(N.d),6) AS nearest_delta FROM X LEFT JOIN N ON N.gid=X.gid AND N.rn=1 GROUP BY 1,2,3""")
+N AS (SELECT gid, record_uri AS nearest, d, row_number() OVER (PARTITION BY gid ORDER BY d, t, record_uri) AS rn FROM X WHERE record_uri IS NOT NULL)
+SELECT X.gid, X.family, X.thickness_m, count(*) FILTER (X.d<=0.02+1e-12)::BIGINT AS in_band, min(N.nearest) AS nearest, round(min(N.d),6) AS nearest_delta FROM X LEFT JOIN N ON N.gid=X.gid AND N.rn=1 GROUP BY 1,2,3""")
 def thickness_band_join(spark, sf_dir):
-    # Sizes are hundredths; a band of 0.025 keeps its borders off them.
-    out = M.band_candidates(S.walls(spark, sf_dir), S.registry(spark, sf_dir), tol=0.025)
+    out = M.band_candidates(S.walls(spark, sf_dir), S.registry(spark, sf_dir))
     return out.select("gid", "family", "thickness_m", "in_band", "nearest", F.round("nearest_delta", 6).alias("nearest_delta"))
 
 
