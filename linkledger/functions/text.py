@@ -25,7 +25,7 @@ def local_name(iri: Column | str) -> Column:
     c = _col(iri)
     return (
         F.when(c.contains("#"), F.substring_index(c, "#", -1))
-        .otherwise(F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1))
+        .otherwise(F.substring_index(F.rtrim(c, F.lit("/")), "/", -1))
     )
 
 

@@ -104,7 +104,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], carr
 
     A partial aggregate (no sort, no window), so a key with very many rows costs one row per map task.
     """
-    picked = F.min_by(F.struct(*carry), F.struct(*order))
+    same = list(carry) == list(order)
+    picked = F.min(F.struct(*order)) if same else F.min_by(F.struct(*carry), F.struct(*order))
     return (
         df.groupBy(*keys).agg(picked.alias("__first"), F.count(F.lit(1)).alias(f"{prefix}rows"))
         .select(*keys, *[F.col(f"__first.{c}").alias(prefix + c) for c in carry], f"{prefix}rows")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from linkledger.functions.text import local_name
 from linkledger.model import RDF_TYPE, SEVERITY_RANK, iri
 from linkledger.operators.graph import with_list_members
+from linkledger.session import cut_lineage
 
 
 class Rule(NamedTuple):
@@ -172,20 +173,18 @@ def _rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
 
 
 def rule_targets(triples: DataFrame, targets: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Distinct (shape, record_id, focus) for targets by class, by object or by subject of a property.
-
-    One pass over the triples: each row is matched with the shapes its predicate and object select.
-    """
-    choices = []
-    for shape, kind, term in targets:
-        if kind == "class":
-            choices.append(F.when((F.col("p") == RDF_TYPE) & (F.col("o") == term), F.struct(F.lit(shape).alias("shape"), F.col("s").alias("focus"))))
-        else:
-            node = F.col("o") if kind == "object" else F.col("s")
-            choices.append(F.when(F.col("p") == term, F.struct(F.lit(shape).alias("shape"), node.alias("focus"))))
-    predicates = {term for _, kind, term in targets if kind != "class"} | ({RDF_TYPE} if any(k == "class" for _, k, _ in targets) else set())
-    found = triples.where(F.col("p").isin(list(predicates))).select("record_id", F.explode(F.array_compact(F.array(*choices))).alias("t"))
-    return found.select("t.shape", "record_id", "t.focus").distinct()
+    """Distinct (shape, record_id, focus) for targets by class, by object or by subject of a property."""
+    spark = triples.sparkSession
+    # A constant of the program (a dozen short rows), hence safe to broadcast.
+    table = lambda kinds: F.broadcast(spark.createDataFrame([t for t in targets if t[1] in kinds], "shape STRING, how STRING, term STRING"))
+    by_class, by_property = table(("class",)), table(("object", "subject"))
+    classes = sorted({term for _, how, term in targets if how == "class"})
+    properties = sorted({term for _, how, term in targets if how != "class"})
+    typed = (triples.where((F.col("p") == RDF_TYPE) & F.col("o").isin(classes)).select("record_id", F.col("s").alias("focus"), F.col("o").alias("term"))
+             .join(by_class, "term"))
+    linked = triples.where(F.col("p").isin(properties)).select("record_id", "s", "o", F.col("p").alias("term")).join(by_property, "term")
+    ends = linked.select("shape", "record_id", F.when(F.col("how") == "object", F.col("o")).otherwise(F.col("s")).alias("focus"))
+    return typed.select("shape", "record_id", "focus").unionByName(ends).distinct()
 
 
 def _result(df: DataFrame) -> DataFrame:
@@ -270,43 +269,57 @@ def nested_targets(triples: DataFrame, rules: Sequence[Rule], shapes: Sequence[s
     return values.join(F.broadcast(table), "path").select("shape", "record_id", "focus").distinct()
 
 
-def check_nested(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule], failing: DataFrame | None) -> DataFrame:
-    """One outer result for a value that fails the nested shape; ``failing(shape, record_id, focus)``."""
+def nested_failures(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule], own: DataFrame) -> DataFrame:
+    """Results of the ``node`` rules: one for each value that fails the nested shape.
+
+    ``own`` are the results of all other rules over targeted and nested shapes. The values are looked up once;
+    failures then travel outwards, one join per nesting level.
+    """
     mine = [r for r in rules if r.kind == "node"]
-    if not mine or failing is None:
+    if not mine:
         return _empty_results(triples)
-    bad = failing.select("record_id", F.col("focus").alias("o"), F.col("shape").alias("param")).distinct()
-    return _result(rule_values(triples, targets, mine).join(bad, ["record_id", "o", "param"], "left_semi"))
-
-
-def _check_all(triples, targets, rules, failing):
-    parts = [check_cardinality(triples, targets, rules), check_values(triples, targets, rules), check_class(triples, targets, rules),
-             check_any_of(triples, targets, rules), check_nested(triples, targets, rules, failing)]
-    return reduce(DataFrame.unionByName, parts)
+    uses = rule_values(triples, targets, mine)
+    failing = own.select("record_id", F.col("focus").alias("o"), F.col("shape").alias("param"))
+    settled = {r.shape for r in rules} - {r.shape for r in mine}
+    found = None
+    waiting = {r.shape for r in mine}
+    while waiting:
+        ready = sorted(s for s in waiting if {r.param for r in mine if r.shape == s} <= settled)
+        if not ready:
+            raise ValueError("nested shapes refer to each other")
+        level = uses.where(F.col("shape").isin(ready)).join(failing.distinct(), ["record_id", "o", "param"], "left_semi")
+        results = _result(level)
+        found = results if found is None else found.unionByName(results)
+        failing = failing.unionByName(results.select("record_id", F.col("focus").alias("o"), F.col("shape").alias("param")))
+        settled |= set(ready)
+        waiting -= set(ready)
+    return found
 
 
 def property_results(triples: DataFrame, rules: Sequence[Rule] | None = None,
                      targets: Sequence[tuple[str, str, str]] | None = None) -> DataFrame:
-    """Results of all property rules. Nested shapes are settled first, innermost level by level."""
+    """Results of all property rules.
+
+    Focus nodes of targeted and nested shapes go through each constraint kind together; only ``node`` rules need
+    the nesting order. Nested results show up as the outer property that failed.
+    """
     rules = list(profile_rules() if rules is None else rules)
     targets = list(profile_targets() if targets is None else targets)
     if any(r.path.endswith("/member") for r in rules):
         triples = with_list_members(triples)
-    nested = {r.param for r in rules if r.kind == "node"}
-    settled: set[str] = set()
-    failing = None
-    while nested - settled:
-        ready = sorted(s for s in nested - settled
-                       if {r.param for r in rules if r.shape == s and r.kind == "node"} <= settled)
-        if not ready:
-            raise ValueError("nested shapes refer to each other")
-        mine = [r for r in rules if r.shape in ready]
-        found = _check_all(triples, nested_targets(triples, rules, ready), mine, failing).select("shape", "record_id", "focus").distinct()
-        failing = found if failing is None else failing.unionByName(found)
-        settled |= set(ready)
     outer = {shape for shape, _, _ in targets}
-    results = _check_all(triples, rule_targets(triples, targets), [r for r in rules if r.shape in outer], failing)
-    return results.select(*RESULT_COLUMNS)
+    nested = {r.param for r in rules if r.kind == "node"}
+    if outer & nested:
+        raise ValueError(f"shapes are targeted or nested, not both: {sorted(outer & nested)}")
+    focus = rule_targets(triples, targets)
+    if nested:
+        focus = focus.unionByName(nested_targets(triples, rules, sorted(nested)))
+    own = reduce(DataFrame.unionByName, [check(triples, focus, rules) for check in (check_cardinality, check_values, check_class, check_any_of)])
+    if nested:
+        # Failures are few and every nesting level reads them.
+        own = cut_lineage(own, "rule_failures")
+    results = own.unionByName(nested_failures(triples, focus, rules, own))
+    return results.where(F.col("shape").isin(sorted(outer))).select(*RESULT_COLUMNS)
 
 
 # ------------------------------------------------------------------ cross-field rules

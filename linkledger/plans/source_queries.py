@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkledger.model import RDF_TYPE
+from linkledger.model import RDF_TYPE, iri
 from linkledger.operators.ordered import number_chunk
 from linkledger.operators.spectra import dedupe_points, level_arrays, spectra_cache
 from linkledger.plans import standins as S
@@ -146,10 +146,11 @@ SELECT p, n FROM (
 def to_triples(spark, sf_dir):
     # Statement counts of predicates that depend on the defects.
     t = S.record_triples(spark, sf_dir)
-    tail = F.regexp_extract("p", r"[#/]([^#/]+)$", 1)
-    name = (F.when(tail == "first", "csvw#first").when(tail == "column", "csvw#column").when(F.col("p").endswith("dqv#value"), "dqv#value")
-            .when(tail.isin("numericValue", "hasSubElement", "identifier"), tail))
-    return t.select(name.alias("p")).where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    names = {iri("rdf:first"): "csvw#first", iri("csvw:column"): "csvw#column", iri("dqv:value"): "dqv#value", iri("qudt:numericValue"): "numericValue",
+             iri("bot:hasSubElement"): "hasSubElement", iri("dcterms:identifier"): "identifier", iri("ls:identifier"): "identifier"}
+    lookup = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
+    counts = t.where(F.col("p").isin(list(names))).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(F.element_at(lookup, F.col("p")).alias("p")).agg(F.sum("n").alias("n"))
 
 
 @query("tables_to_triples", """

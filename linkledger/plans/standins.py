@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from linkledger.model import RDF_TYPE, iri
 from linkledger.session import configure, scratch_path
+from linkledger.sinks.writers import write_triples
 from linkledger.sources.exports import header_line, render_export
 from linkledger.sources.records import nest_record, records_to_triples
 from linkledger.sources.tables import tables_to_triples
@@ -33,12 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+            write: Callable[[DataFrame, str], None] = lambda df, path: df.write.parquet(path)) -> DataFrame:
     """A derived table written once per session to the shared folder and read from there."""
     slot = (spark.sparkContext.applicationId, sf_dir, name)
     if slot not in _written:
         path = scratch_path(spark, name)
-        build().write.parquet(path)
+        write(build(), path)
         _written[slot] = path
     return spark.read.parquet(_written[slot])
 
@@ -223,7 +225,7 @@ def record_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         return t.where(~lost).withColumns({"o_kind": F.when(text, "literal").otherwise(F.col("o_kind")),
                                            "o_type": F.when(text, iri("xsd:string")).otherwise(F.col("o_type"))})
 
-    return written(spark, sf_dir, "record_triples", build)
+    return written(spark, sf_dir, "record_triples", build, write_triples)
 
 
 RECORD_SQL = f"R AS (SELECT *, doc_id % {DEFECTS} AS k, 'rec-' || lpad(doc_id::VARCHAR, 7, '0') AS record_id FROM documents)"

@@ -18,6 +18,11 @@ def write_records(records: DataFrame, path: str, partition: str | None = None) -
     (writer.partitionBy(partition) if partition else writer).text(path)
 
 
+def write_triples(triples: DataFrame, path: str) -> None:
+    """Triples as parquet, sorted by predicate inside each file: readers that name their predicates skip the other pages."""
+    triples.sortWithinPartitions("p", "s").write.mode("overwrite").parquet(path)
+
+
 def scan_index(points: DataFrame, scan: str, order: list[str], chunk: Column, keep: list[str] | None = None) -> DataFrame:
     """Members of each scan with their place, one row per member; see :func:`scan_index_header` for the head rows."""
     members = ordered(points.select(scan, *dict.fromkeys([*order, *(keep or [])])), [scan], order, chunk, rank="position")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkledger.functions.staging import computed_once
 from linkledger.functions.text import format_point, local_name, parse_point, to_metres
 from linkledger.model import (BASE_IRI, PREFIXES, PROFILE_IRI, PROFILE_VERSION, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE,
                               TRIPLES, iri)
@@ -26,7 +27,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_records(texts: DataFrame) -> DataFrame:
     """Add the parsed ``doc`` (VARIANT, null for broken JSON) to a table with ``text``."""
-    return texts.withColumn("doc", F.try_parse_json("text"))
+    return computed_once(texts, {"doc": F.try_parse_json("text")})
 
 
 def record_rejects(records: DataFrame) -> DataFrame:
