@@ -67,20 +67,25 @@ def merge_parallel_edges(edges: DataFrame) -> DataFrame:
             .agg(F.array_join(F.sort_array(F.collect_set("property")), ", ").alias("labels")))
 
 
-def with_list_members(triples: DataFrame) -> DataFrame:
-    """Add rows ``(s, p + "/member", member)`` for every list value, so list walks are one equi-join.
+def list_members(triples: DataFrame, path: str) -> DataFrame:
+    """Triples ``(s, path + "/member", member)`` for every entry of the lists a property points to.
 
-    The list head and position come with the ``rdf:first`` rows, so no recursion over cells is needed.
+    The list head and position come with the ``rdf:first`` rows, so no recursion over cells is needed. The
+    predicate is a literal: a reader that filters on other predicates drops this branch.
     """
     cells = triples.where((F.col("p") == RDF_FIRST) & F.col("list_id").isNotNull()).select(
-        "record_id", F.col("list_id").alias("head"), F.col("o").alias("m_o"), F.col("o_kind").alias("m_kind"),
-        F.col("o_type").alias("m_type"), F.col("o_lang").alias("m_lang"), F.col("list_pos").alias("m_pos"))
-    heads = triples.where((F.col("o_kind") == "bnode") & ~F.col("p").isin(RDF_FIRST, iri("rdf:rest"))).select(
-        "record_id", "s", "p", F.col("o").alias("head"))
-    members = heads.join(cells, ["record_id", "head"]).select(
-        "record_id", "s", F.concat("p", F.lit("/member")).alias("p"), F.col("m_o").alias("o"), F.col("m_kind").alias("o_kind"),
-        F.col("m_type").alias("o_type"), F.col("m_lang").alias("o_lang"), F.col("head").alias("list_id"), F.col("m_pos").alias("list_pos"))
-    return triples.unionByName(members)
+        "record_id", F.col("list_id").alias("head"), "o", "o_kind", "o_type", "o_lang", "list_pos")
+    heads = triples.where((F.col("p") == path) & (F.col("o_kind") == "bnode")).select("record_id", "s", F.col("o").alias("head"))
+    return heads.join(cells, ["record_id", "head"]).select(
+        "record_id", "s", F.lit(f"{path}/member").alias("p"), "o", "o_kind", "o_type", "o_lang", F.col("head").alias("list_id"), "list_pos")
+
+
+def with_list_members(triples: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """The triples with the members of the named list properties added."""
+    out = triples
+    for path in paths:
+        out = out.unionByName(list_members(triples, path))
+    return out
 
 
 def path_values(triples: DataFrame, focus: DataFrame, path: Sequence[str], scope: Sequence[str] = ("record_id",)) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkledger.functions.text import local_name
 from linkledger.model import RDF_TYPE, SEVERITY_RANK, iri
-from linkledger.operators.graph import with_list_members
+from linkledger.operators.graph import list_members, with_list_members
 from linkledger.session import cut_lineage
 
 
@@ -305,8 +305,8 @@ def property_results(triples: DataFrame, rules: Sequence[Rule] | None = None,
     """
     rules = list(profile_rules() if rules is None else rules)
     targets = list(profile_targets() if targets is None else targets)
-    if any(r.path.endswith("/member") for r in rules):
-        triples = with_list_members(triples)
+    listed = sorted({r.path.removesuffix("/member") for r in rules if r.path.endswith("/member")})
+    triples = with_list_members(triples, listed)
     outer = {shape for shape, _, _ in targets}
     nested = {r.param for r in rules if r.kind == "node"}
     if outer & nested:
@@ -396,8 +396,7 @@ def rule_bound_needs_fingerprint(triples: DataFrame) -> DataFrame:
 
 def rule_list_members_typed(triples: DataFrame) -> DataFrame:
     """One result per list member that is neither a sub-element nor a layer."""
-    member_path = iri("dcterms:hasPart") + "/member"
-    members = with_list_members(triples).where(F.col("p") == member_path).select("record_id", F.col("s").alias("focus"), F.col("o").alias("member")).distinct()
+    members = list_members(triples, iri("dcterms:hasPart")).select("record_id", F.col("s").alias("focus"), F.col("o").alias("member")).distinct()
     parts = _objects(triples, "bot:hasSubElement", "member")
     layers = _typed(triples, "ifc:IfcMaterialLayer").withColumnRenamed("focus", "member")
     bad = members.join(parts, ["record_id", "focus", "member"], "left_anti").join(layers, ["record_id", "member"], "left_anti")

@@ -70,8 +70,8 @@ def path_values(spark, sf_dir):
 SELECT record_id, unnest(['frequency','real_x']) AS name, unnest([0,1])::BIGINT AS place FROM R""")
 def list_members(spark, sf_dir):
     # The ordered column list of each record, walked through its cells.
-    t = G.with_list_members(S.record_triples(spark, sf_dir))
-    members = t.where(F.col("p") == iri("csvw:column") + "/member").select("record_id", "list_pos", F.col("o").alias("s"))
+    t = S.record_triples(spark, sf_dir)
+    members = G.list_members(t, iri("csvw:column")).select("record_id", "list_pos", F.col("o").alias("s"))
     names = t.where(F.col("p") == iri("csvw:name")).select("record_id", "s", F.col("o").alias("name"))
     return members.join(names, ["record_id", "s"]).select("record_id", "name", F.col("list_pos").cast("bigint").alias("place"))
 
