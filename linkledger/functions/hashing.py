@@ -17,7 +17,7 @@ def _col(c: Column | str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _fixed_binary(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: f"{round(float(v), 3) + 0.0:.3f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{round(float(v), 3) + 0.0:.3f}" for v in values], dtype=object)
 
 
 def fixed3(value: Column | str, rounding: str = "text") -> Column:
