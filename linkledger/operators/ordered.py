@@ -1,8 +1,9 @@
 """Ordered per-key computations that stay parallel when one key holds a large share of the rows.
 
 A plain window over ``partitionBy(key)`` sorts a whole key in one task. Here the key is split into
-order-preserving chunks: the window runs inside ``(key, chunk)``; one summary row per chunk, built with
-map-side aggregation, carries counts, sums, extremes and the last row across chunk borders.
+order-preserving chunks and the window runs inside ``(key, chunk)``. One row per chunk, built with map-side
+aggregation, brings along the counts, sums, extremes and last values of the chunks before it; it joins the
+chunk's rows in the same shuffle and is dropped afterwards. The data itself is shuffled once.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_CHUNK = "__chunk"
+_CHUNK, _ROW = "__chunk", "__row"
 
 
 def time_chunk(ts: Column | str, seconds: int = 3600) -> Column:
@@ -46,57 +48,52 @@ def ordered(
     rows from 1; ``last_flag`` marks the last row of each key.
     """
     lag, running_sum, running_max = dict(lag or {}), dict(running_sum or {}), dict(running_max or {})
-    tagged = df.withColumn(_CHUNK, chunk)
-    inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    upto = inner.rowsBetween(Window.unboundedPreceding, -1 if before_only else Window.currentRow)
-
-    local = tagged.select(
-        "*",
-        F.row_number().over(inner).alias("__rn"),
-        *[F.lag(c).over(inner).alias(f"__lag_{a}") for a, c in lag.items()],
-        *[F.sum(c).over(upto).alias(f"__sum_{a}") for a, c in running_sum.items()],
-        *[F.max(c).over(upto).alias(f"__max_{a}") for a, c in running_max.items()],
-    )
+    inputs = {f"__lag_{a}": F.col(c) for a, c in lag.items()}
+    inputs |= {f"__sum_{a}": F.col(c).cast(_sum_type(df, c)) for a, c in running_sum.items()}
+    inputs |= {f"__max_{a}": F.col(c) for a, c in running_max.items()}
+    tagged = df.select("*", chunk.alias(_CHUNK), F.lit(1).alias(_ROW), *[c.alias(n) for n, c in inputs.items()])
 
-    position = F.struct(*order)
-    chunk_aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs = [F.count(F.lit(1)).alias("__n")]
     if lag:
-        carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(lag.values())])
-        chunk_aggs.append(F.max_by(carried, position).alias("__last"))
-    chunk_aggs += [F.sum(c).alias(f"__csum_{a}") for a, c in running_sum.items()]
-    chunk_aggs += [F.max(c).alias(f"__cmax_{a}") for a, c in running_max.items()]
-    per_chunk = tagged.groupBy(*keys, _CHUNK).agg(*chunk_aggs)
-
-    outer = Window.partitionBy(*keys).orderBy(_CHUNK)
-    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
-    borders = per_chunk.select(
-        *keys, _CHUNK,
+        aggs.append(F.max_by(F.struct(*[f"__lag_{a}" for a in lag]), F.struct(*order)).alias("__last"))
+    aggs += [F.sum(f"__sum_{a}").cast(_sum_type(df, c)).alias(f"__sum_{a}") for a, c in running_sum.items()]
+    aggs += [F.max(f"__max_{a}").alias(f"__max_{a}") for a in running_max]
+    per_chunk = tagged.groupBy(*keys, _CHUNK).agg(*aggs)
+
+    # What has come before each chunk, as one row that sorts in front of the chunk's own rows.
+    along = Window.partitionBy(*keys).orderBy(_CHUNK)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(
+        *keys, _CHUNK, F.lit(0).alias(_ROW),
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"),
-        F.col("__n").alias("__chunk_rows"),
-        F.lead(_CHUNK).over(outer).isNull().alias("__last_chunk"),
-        *([F.lag("__last").over(outer).alias("__carry")] if lag else []),
-        *[F.sum(f"__csum_{a}").over(earlier).alias(f"__psum_{a}") for a in running_sum],
-        *[F.max(f"__cmax_{a}").over(earlier).alias(f"__pmax_{a}") for a in running_max],
+        F.when(F.lead(_CHUNK).over(along).isNull(), F.col("__n")).alias("__rows_if_last"),
+        *([F.lag("__last").over(along).alias("__last")] if lag else []),
+        *[F.sum(f"__sum_{a}").over(earlier).cast(_sum_type(df, c)).alias(f"__sum_{a}") for a, c in running_sum.items()],
+        *[F.max(f"__max_{a}").over(earlier).alias(f"__max_{a}") for a in running_max],
     )
-
-    # Null-safe join: a null key is a key like any other here.
-    left, right = local.alias("l"), borders.alias("r")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, _CHUNK)]
-    joined = left.join(right, on, "left")
-    first = F.col("l.__rn") == 1
-    extra = []
-    for i, name in enumerate(lag):
-        extra.append(F.when(first, F.col(f"r.__carry.c{i}")).otherwise(F.col(f"l.__lag_{name}")).alias(name))
-    for name in running_sum:
-        here, before = F.col(f"l.__sum_{name}"), F.col(f"r.__psum_{name}")
-        extra.append(F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0))).alias(name))
-    for name in running_max:
-        extra.append(F.greatest(F.col(f"l.__max_{name}"), F.col(f"r.__pmax_{name}")).alias(name))
+    if lag:
+        carried = carried.select("*", *[F.col(f"__last.__lag_{a}").alias(f"__lag_{a}") for a in lag]).drop("__last")
+
+    within = Window.partitionBy(*keys, _CHUNK).orderBy(_ROW, *order)
+    upto = within.rowsBetween(Window.unboundedPreceding, -1 if before_only else Window.currentRow)
+    place = F.row_number().over(within) - 1
+    extra = [F.lag(f"__lag_{a}").over(within).alias(a) for a in lag]
+    extra += [F.sum(f"__sum_{a}").over(upto).alias(a) for a in running_sum]
+    extra += [F.max(f"__max_{a}").over(upto).alias(a) for a in running_max]
     if rank:
-        extra.append((F.col("r.__offset") + F.col("l.__rn")).alias(rank))
+        extra.append((F.max("__offset").over(within) + place).alias(rank))
     if last_flag:
-        extra.append((F.col("r.__last_chunk") & (F.col("l.__rn") == F.col("r.__chunk_rows"))).alias(last_flag))
-    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], *extra)
+        extra.append(F.coalesce(F.max("__rows_if_last").over(within) == place, F.lit(False)).alias(last_flag))
+    merged = tagged.unionByName(carried, allowMissingColumns=True)
+    return merged.select(*df.columns, *extra, _ROW).where(F.col(_ROW) == 1).drop(_ROW)
+
+
+def _sum_type(df: DataFrame, column: str) -> str:
+    """Type a running sum of a column is kept in."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    return f"decimal(38,{kind.scale})" if isinstance(kind, T.DecimalType) else "double"
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], prefix: str) -> DataFrame:

@@ -419,7 +419,12 @@ def rule_link_covers_elements(triples: DataFrame) -> DataFrame:
     texts = _objects(triples, "ls:identifier", "gid").withColumnRenamed("focus", "ident")
     named = (ends.join(idents, ["record_id", "end"]).join(texts, ["record_id", "ident"])
              .select("record_id", "focus", "gid").distinct())
-    bad = links.join(gids, "record_id").join(named, ["record_id", "focus", "gid"], "left_anti")
+    # Ids that all bindings of their record name are out before any binding meets an id.
+    bindings = links.groupBy("record_id").agg(F.count(F.lit(1)).alias("bindings"))
+    covered = named.join(links, ["record_id", "focus"], "left_semi").groupBy("record_id", "gid").agg(F.count(F.lit(1)).alias("naming"))
+    missed = (gids.join(covered, ["record_id", "gid"], "left").join(bindings, "record_id")
+              .where(F.coalesce("naming", F.lit(0)) < F.col("bindings")).select("record_id", "gid"))
+    bad = missed.join(links, "record_id").join(named, ["record_id", "focus", "gid"], "left_anti")
     return _rule(bad, "link_covers_elements", "An element of the specimen has a GlobalId that no link element of this binding names.")
 
 

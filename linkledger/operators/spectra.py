@@ -68,10 +68,14 @@ def dedupe_points(points: DataFrame, keys: Sequence[str] = ("point",), order: Se
     return kept, listed
 
 
-def level_at_frequency(levels: DataFrame, frequency: float, channel: str = "Z") -> DataFrame:
-    """Level of a channel at the bin nearest to a frequency; the first bin wins a tie."""
-    nearest = F.struct(F.abs(F.col("freq") - F.lit(frequency)), F.col("bin"))
-    return levels.groupBy("point").agg(F.min_by(channel, nearest).alias("level_db"), F.min_by("freq", nearest).alias("freq"))
+def level_at_frequency(spectra: DataFrame, frequency: float, channel: str = "Z") -> DataFrame:
+    """Level of a channel at the bin nearest to a frequency, the first of equally near ones. Looks at one bin per file."""
+    distance = F.transform("freq", lambda f: F.abs(f - F.lit(frequency)))
+    place = F.array_position(distance, F.array_min(distance)).cast("int")
+    names = ("freq", "re_x", "re_y", "re_z", "im_x", "im_y", "im_z")
+    at = spectra.select("point", place.alias("__at"), *names).select("point", *[F.element_at(n, F.col("__at")).alias(n) for n in names])
+    power = bin_powers([F.col(f"re_{a}") for a in "xyz"], [F.col(f"im_{a}") for a in "xyz"])[channel]
+    return at.select("point", level(power).alias("level_db"), "freq")
 
 
 def level_range(levels: DataFrame, column: str = "level_db") -> DataFrame:

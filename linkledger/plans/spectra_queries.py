@@ -48,7 +48,7 @@ def dedupe_points(spark, sf_dir):
 @query("level_at_frequency", "WITH " + S.LEVELS_SQL + " SELECT point, 24.0::DOUBLE AS freq, round(Z,4) AS level_db FROM LEVELS WHERE bin=4")
 def level_at_frequency(spark, sf_dir):
     # 24.5 Hz lies between two bins; the first one wins.
-    at = SP.level_at_frequency(SP.spectral_levels(S.spectra(spark, sf_dir)), 24.5, "Z")
+    at = SP.level_at_frequency(S.spectra(spark, sf_dir), 24.5, "Z")
     return at.select("point", "freq", F.round("level_db", 4).alias("level_db"))
 
 
