@@ -341,27 +341,27 @@ def _rule(df: DataFrame, name: str, message: str, severity: str = "Violation", p
                      F.lit(message).alias("message"), F.lit(name).alias("rule_id"))
 
 
-def metric_values(triples: DataFrame) -> DataFrame:
-    """(record_id, measurement, metric, value) with the metric as IRI tail; rows without a value are not in it."""
+def measurement_facts(triples: DataFrame) -> DataFrame:
+    """(record_id, measurement, metric, value, focus): metric as IRI tail, value and owning node null where missing."""
     metric = _objects(triples, "dqv:isMeasurementOf", "m").select("record_id", F.col("focus").alias("measurement"), local_name("m").alias("metric"))
     value = _objects(triples, "dqv:value").withColumnRenamed("focus", "measurement")
-    return metric.join(value, ["record_id", "measurement"])
+    owner = _objects(triples, "dqv:hasQualityMeasurement", "measurement")
+    on = ["record_id", "measurement"]
+    return metric.join(value, on, "left").join(owner, on, "left")
 
 
-def _measured(triples: DataFrame, test) -> DataFrame:
+def _measured(triples: DataFrame, facts: DataFrame | None, test) -> DataFrame:
     """Nodes with a quality measurement whose (metric, value) passes ``test``."""
-    hits = metric_values(triples).where(test).select("record_id", F.col("measurement").alias("m")).distinct()
-    owners = _objects(triples, "dqv:hasQualityMeasurement", "m")
-    return owners.join(hits, ["record_id", "m"], "left_semi").select("record_id", "focus").distinct()
+    facts = measurement_facts(triples) if facts is None else facts
+    return facts.where(test & F.col("focus").isNotNull()).select("record_id", "focus").distinct()
 
 
-def rule_completeness_declared(triples: DataFrame, strict: bool = False) -> DataFrame:
+def rule_completeness_declared(triples: DataFrame, facts: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Fires when both lists are missing; ``strict`` also when only one is, as the message says."""
-    owners = _objects(triples, "dqv:hasQualityMeasurement", "m")
-    metrics = triples.where(F.col("p") == iri("dqv:isMeasurementOf")).select("record_id", F.col("s").alias("m"), local_name("o").alias("metric"))
-    named = owners.join(metrics, ["record_id", "m"]).where(F.col("metric").isin("absentFields", "unresolvedFields"))
-    kinds = named.groupBy("record_id", "focus").agg(F.count_distinct("metric").alias("kinds"))
-    enough = kinds.where(F.col("kinds") >= (2 if strict else 1))
+    facts = measurement_facts(triples) if facts is None else facts
+    named = facts.where(F.col("metric").isin("absentFields", "unresolvedFields") & F.col("focus").isNotNull())
+    kinds = named.groupBy("record_id", "focus").agg(F.max(F.col("metric") == "absentFields").alias("a"), F.max(F.col("metric") == "unresolvedFields").alias("u"))
+    enough = kinds.where((F.col("a") & F.col("u")) if strict else (F.col("a") | F.col("u")))
     bad = _typed(triples, "dcat:CatalogRecord").join(enough, ["record_id", "focus"], "left_anti")
     return _rule(bad, "completeness_declared", "Completeness report needs both the absentFields and the unresolvedFields measurement.")
 
@@ -377,11 +377,12 @@ def rule_axis_arithmetic(triples: DataFrame) -> DataFrame:
     return _rule(bad, "axis_arithmetic", "binCount does not equal (max - min) / step + 1.")
 
 
-def rule_unresolved_status(triples: DataFrame) -> DataFrame:
+def rule_unresolved_status(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """A warning for an unresolved procedure, a violation when the record does not list it as unresolved."""
+    facts = measurement_facts(triples) if facts is None else facts
     open_status = (F.col("metric") == "status") & (F.col("value") == "unresolved")
-    unresolved = _typed(triples, "sosa:Procedure").join(_measured(triples, open_status), ["record_id", "focus"], "left_semi")
-    listed = metric_values(triples).where((F.col("metric") == "unresolvedFields") & (F.col("value") == "excitationType")).select("record_id").distinct()
+    unresolved = _typed(triples, "sosa:Procedure").join(_measured(triples, facts, open_status), ["record_id", "focus"], "left_semi")
+    listed = facts.where((F.col("metric") == "unresolvedFields") & (F.col("value") == "excitationType")).select("record_id").distinct()
     warning = _rule(unresolved, "unresolved_status", "Excitation type is unresolved (lab form and file disagree).", "Warning")
     return warning.unionByName(_rule(
         unresolved.join(listed, "record_id", "left_anti"), "unresolved_not_listed",
@@ -403,9 +404,9 @@ def rule_list_members_typed(triples: DataFrame) -> DataFrame:
     return _rule(bad, "list_members_typed", "Layer list contains an entry that is neither a sub-element of the wall nor an ifc:IfcMaterialLayer.")
 
 
-def rule_binding_status(triples: DataFrame) -> DataFrame:
+def rule_binding_status(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     known = (F.col("metric") == "bindingStatus") & F.col("value").isin("valid", "stale", "unknown")
-    bad = _typed(triples, "ls:DirectedLink").join(_measured(triples, known), ["record_id", "focus"], "left_anti")
+    bad = _typed(triples, "ls:DirectedLink").join(_measured(triples, facts, known), ["record_id", "focus"], "left_anti")
     return _rule(bad, "binding_status_known", "Binding needs a bindingStatus measurement: valid, stale or unknown.")
 
 
@@ -438,7 +439,7 @@ def rule_document_complete(triples: DataFrame) -> DataFrame:
     return _rule(bad, "document_complete", "A document that carries a download URL needs a checksum and a modification time.")
 
 
-def rule_association_conditions(triples: DataFrame) -> DataFrame:
+def rule_association_conditions(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """The three conditions on surface and point associations."""
     on = ["record_id", "focus"]
     fine = (_typed(triples, "ls:DirectedLink").join(
@@ -449,7 +450,7 @@ def rule_association_conditions(triples: DataFrame) -> DataFrame:
     open_registration = _objects(triples, "ldv:registration").where(F.col("value") == "not established")
     samples = triples.where(F.col("p") == iri("sosa:hasFeatureOfInterest")).select("record_id", F.col("o").alias("focus"))
     geometries = _objects(triples, "geo:hasGeometry", "g").join(samples, on, "left_semi").select("record_id", F.col("g").alias("focus"))
-    absent = _measured(triples, (F.col("metric") == "definitionStatus") & (F.col("value") == "absent"))
+    absent = _measured(triples, facts, (F.col("metric") == "definitionStatus") & (F.col("value") == "absent"))
     no_frame = geometries.join(absent, on, "left_semi").select("record_id").distinct()
     return (
         _rule(fine.join(with_transform, on, "left_anti"), "association_needs_transform",
@@ -468,25 +469,29 @@ def rule_derived_needs_source(triples: DataFrame) -> DataFrame:
     return _rule(bad, "derived_needs_source", "Data marked ldvc:derived must name its source (prov:wasDerivedFrom).")
 
 
-def rule_hypothesis_status(triples: DataFrame) -> DataFrame:
+def rule_hypothesis_status(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     value = F.col("value")
     known = (F.col("metric") == "status") & (value.startswith("declared") | value.startswith("ASSUMED") | (value == "confirmed by lab"))
-    bad = _typed(triples, "ldv:RegistrationHypothesis").join(_measured(triples, known), ["record_id", "focus"], "left_anti")
+    bad = _typed(triples, "ldv:RegistrationHypothesis").join(_measured(triples, facts, known), ["record_id", "focus"], "left_anti")
     return _rule(bad, "hypothesis_status_known",
                  "Hypothesis needs a status measurement: 'declared by model; not confirmed by lab', 'declared in project.json; "
                  "not confirmed by lab', 'ASSUMED default; nobody declared it' or 'confirmed by lab'.")
 
 
-CROSS_FIELD_RULES = (
-    rule_completeness_declared, rule_axis_arithmetic, rule_unresolved_status, rule_bound_needs_fingerprint, rule_list_members_typed,
-    rule_binding_status, rule_link_covers_elements, rule_document_complete, rule_association_conditions, rule_derived_needs_source,
-    rule_hypothesis_status,
-)
+# Rules that look at measurement facts, and rules that need statements only.
+FACT_RULES = (rule_completeness_declared, rule_unresolved_status, rule_binding_status, rule_association_conditions, rule_hypothesis_status)
+STATEMENT_RULES = (rule_axis_arithmetic, rule_bound_needs_fingerprint, rule_list_members_typed, rule_link_covers_elements,
+                   rule_document_complete, rule_derived_needs_source)
 
 
 def validate(triples: DataFrame) -> DataFrame:
-    """All results of the profile for every record. Cache ``triples`` first: every rule reads it."""
-    return reduce(DataFrame.unionByName, [rule(triples) for rule in CROSS_FIELD_RULES], property_results(triples))
+    """All results of the profile for every record.
+
+    ``triples`` should be a stored table, best sorted by predicate: every rule reads its own predicates from it.
+    """
+    facts = cut_lineage(measurement_facts(triples), "measurement_facts")
+    parts = [property_results(triples)] + [rule(triples, facts) for rule in FACT_RULES] + [rule(triples) for rule in STATEMENT_RULES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def severity_rank(column="severity"):

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs: dict[str, str] = {}
+
 # Runtime settings every operator assumes. Skew handling stays on even when the join output feeds
 # another operator that wants the same partitioning.
 RUNTIME_CONF = {
@@ -48,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_dirs[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,9 +6,10 @@ import json
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkledger.functions.staging import computed_once
 from linkledger.functions.text import format_point, local_name, parse_point, to_metres
@@ -387,15 +388,17 @@ def document_triples(record_id: str, text: str) -> list[tuple]:
     return list(rows)
 
 
-def records_to_triples(records: DataFrame) -> DataFrame:
+def records_to_triples(records: DataFrame, documents_per_batch: int = 256) -> DataFrame:
     """Triples of ``(record_id, text)`` rows. A record's statements come from one row, so nothing is shuffled."""
-    columns = TRIPLES.fieldNames()
+    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in TRIPLES.fields]
+    names = TRIPLES.fieldNames()
 
-    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for record_id, text in zip(batch["record_id"], batch["text"]):
-                frame = pd.DataFrame(document_triples(record_id, text), columns=columns)
-                frame["list_pos"] = frame["list_pos"].astype("Int32")
-                yield frame
+            for start in range(0, batch.num_rows, documents_per_batch):
+                part = batch.slice(start, documents_per_batch).to_pydict()
+                rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text)]
+                columns = zip(*rows) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return records.select("record_id", "text").mapInPandas(unfold, TRIPLES)
+    return records.select("record_id", "text").mapInArrow(unfold, TRIPLES)
