@@ -16,38 +16,43 @@ from linkledger.streaming import inventory as V
 from linkledger.streaming import triggers as T
 
 
-def version_stream(spark, sf_dir, files: int = 3):
-    """The versions as a file stream, in time order over a few files, one file per micro-batch."""
+SLICES = 3
+
+
+def feed(spark, sf_dir, start) -> None:
+    """Let the versions arrive in three slices of time; ``start(stream)`` runs the stream on what is new.
+
+    Slices are written by all tasks and each run takes its whole slice, so no slice passes through one task.
+    """
     def build():
         v = S.versions(spark, sf_dir)
         span = v.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
-        part = (F.unix_micros("ts") - span.select("lo").scalar()) * files / (span.select(F.col("hi") - F.col("lo") + 1).scalar())
+        part = (F.unix_micros("ts") - span.select("lo").scalar()) * SLICES / (span.select(F.col("hi") - F.col("lo") + 1).scalar())
         return v.withColumn("slice", F.floor(part).cast("int"))
 
-    # One file per slice; names sort in time order, and so do their modification times.
     base = S.written(spark, sf_dir, "versions", build)
     folder = scratch_path(spark, "version_stream")
-    for i in range(files):
-        base.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(folder)
-    schema = base.drop("slice").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for i in range(SLICES):
+        base.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(folder)
+        start(spark.readStream.schema(base.drop("slice").schema).parquet(folder)).awaitTermination()
 
 
-def drain(stream, mode: str = "append"):
-    """Run a stream to its end into a table in the shared folder and read that."""
-    spark = stream.sparkSession
+def drained(spark, sf_dir, operator):
+    """What ``operator(stream)`` has written after all slices, as a table in the shared folder."""
     out, checkpoint = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_checkpoint")
-    run = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+
+    def start(stream):
+        return (operator(stream).writeStream.format("parquet").outputMode("append").option("path", out)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    feed(spark, sf_dir, start)
+    return spark.read.parquet(out)
 
 
 @query("stream_triggers", "WITH " + CHANGE_SQL + " SELECT entity, version, attribute, old, new, category FROM TR")
 def stream_triggers(spark, sf_dir):
-    versions = version_stream(spark, sf_dir)
     base = scratch_path(spark, "triggers")
-    run = T.stream_triggers(versions, f"{base}/out", f"{base}/state", f"{base}/checkpoint", ATTRS)
-    run.awaitTermination()
+    feed(spark, sf_dir, lambda versions: T.stream_triggers(versions, f"{base}/out", f"{base}/state", f"{base}/checkpoint", ATTRS))
     return spark.read.parquet(f"{base}/out").select("entity", "version", "attribute", "old", "new", "category")
 
 
@@ -59,8 +64,7 @@ WITH X AS (SELECT event_type AS category, time_bucket(INTERVAL 1 HOUR, ts) AS s
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, category, count(*)::BIGINT AS n FROM X WHERE s + INTERVAL 1 HOUR <= {DELAY_SQL} GROUP BY 1, 2""")
 def stream_trigger_counts(spark, sf_dir):
     # Windows that end after the last watermark stay open, so they are not in the result.
-    v = version_stream(spark, sf_dir).withColumnRenamed("material", "category")
-    counts = drain(T.stream_trigger_counts(v, "1 hour"))
+    counts = drained(spark, sf_dir, lambda v: T.stream_trigger_counts(v.withColumnRenamed("material", "category"), "1 hour"))
     return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "category", "n")
 
 
@@ -85,14 +89,14 @@ def edit_sessions(spark, sf_dir):
 
 @query("stream_edit_sessions", "WITH " + BURST_SQL + f""" SELECT entity, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", n::BIGINT AS n FROM BU WHERE e <= {DELAY_SQL}""")
 def stream_edit_sessions(spark, sf_dir):
-    b = drain(T.stream_edit_sessions(version_stream(spark, sf_dir), 6 * 3600))
+    b = drained(spark, sf_dir, lambda v: T.stream_edit_sessions(v, 6 * 3600))
     return b.select("entity", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
 
 
 @query("stream_dedupe", "SELECT user_id AS entity, event_type AS material, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM events) t GROUP BY 1, 2")
 def stream_dedupe(spark, sf_dir):
     # A delay longer than the whole input: the first row of each pair stays.
-    kept = drain(T.stream_first_wins(version_stream(spark, sf_dir), "400 days", ["entity", "material"]))
+    kept = drained(spark, sf_dir, lambda v: T.stream_first_wins(v, "400 days", ["entity", "material"]))
     return kept.groupBy("entity", "material").agg(F.count(F.lit(1)).alias("n"))
 
 
