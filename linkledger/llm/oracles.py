@@ -31,6 +31,20 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGI
 FROM marked GROUP BY r, doc_id
 """
 
+OP6 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS win
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM docs WHERE len(w) >= 50)),
+least AS (SELECT win, min(doc_id) AS low FROM windows GROUP BY win),
+early AS (SELECT r, i FROM windows JOIN least USING (win) WHERE low < doc_id OR doc_id IS NULL AND low IS NOT NULL),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS p FROM early),
+words AS (SELECT r, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 OP7 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -45,5 +59,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 ORACLES = {
     "op4_benchmark_decontamination": OP4,
     "op5_line_dedup": OP5,
+    "op6_substring_dedup": OP6,
     "op7_exact_top_k": OP7,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm import decontamination, line_dedup, packing, quality, simhash, vector_search
+from linkledger.llm import decontamination, line_dedup, packing, quality, simhash, substring_dedup, vector_search
 from linkledger.llm.common import fold, read_table
 from linkledger.llm.oracles import ORACLES
 
@@ -49,6 +49,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
+
+
 @_query
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vector_search.integer_vectors(read_table(spark, sf_dir, "embeddings"))
