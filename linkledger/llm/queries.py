@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm import decontamination, line_dedup, packing, quality, simhash, substring_dedup, vector_search
+from linkledger.llm import brown, decontamination, line_dedup, packing, quality, simhash, substring_dedup, vector_search
 from linkledger.llm.common import fold, read_table
 from linkledger.llm.oracles import ORACLES
 
@@ -61,6 +61,12 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+@_query
+def op8_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = brown.score_texts(read_table(spark, sf_dir, "documents"), trains=fold("doc_id", 7) != 2)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
