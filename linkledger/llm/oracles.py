@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from linkledger.llm.license_templates import TEMPLATES
+
 WORDS_4 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP4 = f"""
@@ -56,9 +58,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+_RUNS = "CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+OP9 = f"""
+WITH library AS (SELECT t, license, {WORDS_4} AS w FROM (VALUES {_TEMPLATES}) AS v(t, license, text)),
+parts AS (SELECT t, license, CASE WHEN len(w) <= 8 THEN 16 WHEN len(w) <= 32 THEN 64 WHEN len(w) <= 128 THEN 256 ELSE 1024 END AS width, unnest(list_distinct({_RUNS})) AS run FROM library),
+sizes AS (SELECT t, count(*) AS n FROM parts GROUP BY t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_4} AS w FROM documents),
+runs AS (SELECT r, len(w) AS n, unnest(generate_series(0, greatest(len(w) - 5, 0))) AS p, unnest({_RUNS}) AS run FROM docs WHERE len(w) > 0),
+hits AS (SELECT r, t, license, width, p, run FROM runs JOIN parts USING (run)),
+windows AS (
+  SELECT r, t, license, width, run, unnest([p // (width // 2), p // (width // 2) - 1]) * (width // 2) AS s, p FROM hits),
+held AS (SELECT DISTINCT r, license FROM (
+  SELECT r, w.t, license, s, count(DISTINCT run) AS k FROM windows w WHERE s >= 0 AND p + 5 <= s + width GROUP BY ALL) h JOIN sizes USING (t) WHERE k >= 0.8 * n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(count(license) AS BIGINT) AS n_licenses, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses
+FROM docs LEFT JOIN held USING (r) GROUP BY r, doc_id, w
+"""
+
 ORACLES = {
     "op4_benchmark_decontamination": OP4,
     "op5_line_dedup": OP5,
     "op6_substring_dedup": OP6,
+    "op9_license_scan": OP9,
     "op7_exact_top_k": OP7,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm import brown, decontamination, line_dedup, packing, quality, simhash, substring_dedup, vector_search
+from linkledger.llm import brown, decontamination, license_scan, line_dedup, packing, quality, simhash, substring_dedup, vector_search, warc
 from linkledger.llm.common import fold, read_table
 from linkledger.llm.oracles import ORACLES
 
@@ -34,6 +34,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@_query
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.build_derivatives(warc.responses_from_pages(read_table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("source_id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length",
+        F.sha2("header", 256).alias("header_sha256"), F.sha2("block", 256).alias("block_sha256"))
+
+
 @_query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -67,6 +75,12 @@ def op8_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
