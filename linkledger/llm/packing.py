@@ -98,7 +98,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
 
 class SumOfSquares:
-    """Open sequences by fill. A piece goes where the sum of squared counts per residual gap becomes smallest."""
+    """Open sequences by fill. A piece goes where the sum of squared counts per residual gap becomes smallest.
+
+    A new sequence is opened only if the piece fits into no open one; ties go to the smallest gap.
+    """
 
     def __init__(self, size: int):
         self.size = size
@@ -117,7 +120,7 @@ class SumOfSquares:
             change[counts[1:fits + 1] == 0] = np.iinfo(np.int64).max
             best = int(change[::-1].argmin())
             fill = fits - best
-            if counts[fill] and change[fill - 1] <= 2 * counts[length] + 1:
+            if counts[fill]:
                 sequence = self.open[fill].pop()
                 counts[fill] -= 1
                 self._keep(sequence, fill + length)
