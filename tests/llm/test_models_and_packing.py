@@ -95,22 +95,29 @@ def test_model_probabilities_add_up_to_one(make_docs):
     known = {bytes(r["word"]): r["n"] for r in counts.collect()}
     v = len(model.counts)
     for before in range(model.transitions.shape[0]):
-        total = 0.0
+        total, base, classes = 0.0, 0.0, set()
         for word, n in known.items():
             at = model.numbers.get(word, None)
             c = model.classes[at if at is not None else v + brown.ending_class(word)]
-            total += model.word(model.transitions[before, c], n)
-        # The rest belongs to classes that no word has been seen in, and to unknown words.
-        assert 0.8 < total <= 1 + 1e-9
+            classes.add(int(c))
+            total += model.word(model.transitions[before, c], n, c)
+            base += model.base(n)
+        total += brown.CLASS_WEIGHT * sum(model.transitions[before, c] * model.unknown[c] for c in classes)
+        # Classes that no word has been seen in, and the base's one unknown word, hold the rest.
+        unseen = [c for c in range(model.transitions.shape[0]) if c not in classes]
+        total += brown.CLASS_WEIGHT * model.transitions[before, unseen].sum() + (1 - brown.CLASS_WEIGHT) * model.base(0)
+        assert total == pytest.approx(1)
 
 
 def test_exchange_improves_mutual_information(make_docs):
-    docs = make_docs([(i, " ".join(f"{'ab'[k % 2]}{(i * 7 + k * 3) % 9}" for k in range(30))) for i in range(60)])
+    random = np.random.default_rng(9)
+    docs = make_docs([(i, " ".join(f"{'ab'[k % 2]}{random.integers(9)}" for k in range(30))) for i in range(200)])
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     words = [w for w, _ in brown.frequent(brown.count_tokens(texts), 100)]
     seen = brown.contexts(brown.count_pairs(texts, words)).persist()
-    classes, table = brown.exchange(seen, len(words), 4, 12)
+    classes, table = brown.exchange(seen, len(words), 3, 12)
     of = {w: int(classes[i]) for i, w in enumerate(words)}
+    assert len({of[w] for w in words if w[:1] in (b"a", b"b")}) >= 2
     assert not {of[w] for w in words if w[:1] == b"a"} & {of[w] for w in words if w[:1] == b"b"}
     assert table.sum() == sum(len(r["text"].split()) + 1 for r in docs.collect())
 
