@@ -46,10 +46,16 @@ def get_session(app: str = "linkledger", cores: int | None = None) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, else an own one (tests only)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a local session, as in tests, gets a folder of its own; on a cluster that is an error, since
+    executors would not see each other's files.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_dirs:
         _own_dirs[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
