@@ -126,10 +126,12 @@ def identifier_kind(value: Column | str, prototype_host: str = "example.org") ->
     )
 
 
-def display_name(name: Column | str, material: Column | str, gid: Column | str) -> Column:
-    """A generic part name gives way to the material label; without either the id is shown."""
+def display_name(name: Column | str, material: Column | str, gid: Column | str, kind: Column | str | None = None) -> Column:
+    """A generic part name gives way to the material label, unless the target ``kind`` is single; without a name the id is shown."""
     generic = _col(name).isNull() | (_col(name) == "") | _col(name).rlike(r"^(Part|Wall|Basic Wall)\W*:?\s*\d*$")
     label = F.nullif(_col(material), F.lit(""))
+    if kind is not None:
+        label = F.when(~_col(kind).eqNullSafe(F.lit("single")), label)
     return F.coalesce(F.when(generic & label.isNotNull(), label).otherwise(F.nullif(_col(name), F.lit(""))), _col(gid))
 
 

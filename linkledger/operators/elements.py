@@ -11,9 +11,9 @@ from linkledger.operators.ordered import number_chunk, ordered
 AXES = ("x", "y", "z")
 
 
-def fingerprint_elements(elements: DataFrame, rounding: str = "text") -> DataFrame:
+def fingerprint_elements(elements: DataFrame, rounding: str = "binary") -> DataFrame:
     """Add ``fingerprint`` to ``elements(gid, cls, material, lo, hi)`` with three-cell corner arrays."""
-    corners = [[F.col(side)[i] for i in range(3)] for side in ("lo", "hi")]
+    corners = [[F.get(side, i) for i in range(3)] for side in ("lo", "hi")]
     return elements.withColumn("fingerprint", fingerprint("gid", "cls", "material", *corners, rounding=rounding))
 
 
@@ -21,7 +21,8 @@ def select_targets(elements: DataFrame, edges: DataFrame, gid: str | None = None
     """Elements a measurement is about, with ``kind`` (single, parts, all) and ``role`` (target, part).
 
     An explicit id takes itself and its children; otherwise a lone element, else the lone assembly with its
-    children, else everything. Decisions rest on two scalar counts, the rows are found with semi joins.
+    children, else everything. Decisions rest on two scalar counts, the rows are found with semi joins. An explicit id
+    that no element has gives one row with that id, all else null and ``kind`` unknown.
     """
     known_edges = edges.join(elements.select(F.col("gid").alias("child")), "child", "left_semi")
     parents = known_edges.select(F.col("parent").alias("gid")).distinct()
@@ -42,7 +43,11 @@ def select_targets(elements: DataFrame, edges: DataFrame, gid: str | None = None
     chosen = target.withColumn("role", F.lit("target")).unionByName(
         elements.join(children, "gid", "left_semi").withColumn("role", F.lit("part"))).withColumn("kind", kind)
     if gid is not None:
-        return chosen
+        wanted = elements.sparkSession.range(1).select(F.lit(gid).alias("gid"))
+        unknown = wanted.join(elements.select("gid"), "gid", "left_anti").select(
+            *[(F.col("gid") if c == "gid" else F.lit(None)).cast(elements.schema[c].dataType).alias(c) for c in elements.columns],
+            F.lit(None).cast("string").alias("role"), F.lit("unknown").alias("kind"))
+        return chosen.unionByName(unknown)
     everything = elements.where(found_target == 0).withColumns({"role": F.lit("part"), "kind": F.lit("all")})
     return chosen.unionByName(everything)
 

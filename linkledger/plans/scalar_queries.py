@@ -87,13 +87,15 @@ def quality_values(spark, sf_dir):
 
 
 @query("fingerprint", """
-WITH B AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey%9<>0 THEN 'mat' || s_nationkey END AS mat, (s_suppkey%100)/4.0::DOUBLE AS a, s_nationkey/8.0::DOUBLE AS b FROM supplier)
-SELECT s_suppkey, sha256(s_name || '|IfcWall|' || coalesce(mat,'None') || '|' || printf('%.3f', a) || ',' || printf('%.3f', b) || ',0.000|' || printf('%.3f', a+1) || ',' || printf('%.3f', b+2) || ',0.500') AS fingerprint FROM B""")
+WITH B AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey%9<>0 THEN 'mat' || s_nationkey END AS mat, (s_suppkey*2+1)/2000::DOUBLE AS a, CASE WHEN s_suppkey%11=0 THEN NULL WHEN s_suppkey%13=0 THEN 'nan'::DOUBLE ELSE s_nationkey/16::DOUBLE END AS b FROM supplier)
+SELECT s_suppkey, CASE WHEN NOT isnan(b) THEN sha256(s_name || '|IfcWall|' || coalesce(mat,'None') || '|' || printf('%.3f', a) || ',' || printf('%.3f', b) || ',0.000|' || printf('%.3f', -a) || ',' || printf('%.3f', b+2) || ',0.500') END AS fingerprint FROM B""")
 def fingerprints(spark, sf_dir):
     s = S.table(spark, sf_dir, "supplier")
-    a, b = (F.col("s_suppkey") % 100) / 4.0, F.col("s_nationkey") / 8.0
+    # Half millimetres: ties in decimal text, a little more or less than that in binary; sixteenths are true ties.
+    k = F.col("s_suppkey")
+    a, b = (k * 2 + 1) / 2000.0, F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, float("nan")).otherwise(F.col("s_nationkey") / 16.0)
     material = F.when(F.col("s_suppkey") % 9 != 0, F.concat(F.lit("mat"), F.col("s_nationkey").cast("string")))
-    return s.select("s_suppkey", fingerprint("s_name", F.lit("IfcWall"), material, [a, b, F.lit(-0.0)], [a + 1, b + 2, F.lit(0.5)]).alias("fingerprint"))
+    return s.select("s_suppkey", fingerprint("s_name", F.lit("IfcWall"), material, [a, b, F.lit(-0.0)], [-a, b + 2, F.lit(0.5)]).alias("fingerprint"))
 
 
 @query("material_label", """
@@ -107,13 +109,13 @@ def material_labels(spark, sf_dir):
 
 
 @query("display_name", """
-SELECT p_partkey, CASE WHEN p_partkey%4=0 THEN p_type WHEN p_partkey%4=1 AND p_partkey%8=1 THEN 'id-' || p_partkey WHEN p_partkey%4=1 THEN 'Wall 12' ELSE p_name END AS shown FROM part""")
+SELECT p_partkey, CASE WHEN p_partkey%4=0 AND p_partkey%3=0 THEN 'Part:' || p_partkey WHEN p_partkey%4=0 THEN p_type WHEN p_partkey%4=1 AND p_partkey%8=1 THEN 'id-' || p_partkey WHEN p_partkey%4=1 THEN 'Wall 12' ELSE p_name END AS shown FROM part""")
 def display_name(spark, sf_dir):
     # Generic names with a material label, generic or missing names without one, and proper names.
     k = F.col("p_partkey")
     name = F.when(k % 4 == 0, F.concat(F.lit("Part:"), k.cast("string"))).when(k % 8 == 1, F.lit(None)).when(k % 4 == 1, "Wall 12").otherwise(F.col("p_name"))
     material = F.when(k % 4 == 0, F.col("p_type"))
-    return S.table(spark, sf_dir, "part").select("p_partkey", TX.display_name(name, material, F.concat(F.lit("id-"), k.cast("string"))).alias("shown"))
+    return S.table(spark, sf_dir, "part").select("p_partkey", TX.display_name(name, material, F.concat(F.lit("id-"), k.cast("string")), F.when(k % 3 == 0, "single").otherwise("parts")).alias("shown"))
 
 
 @query("apply_frame", """
