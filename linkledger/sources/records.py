@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -31,9 +31,14 @@ def parse_records(texts: DataFrame) -> DataFrame:
     return computed_once(texts, {"doc": F.try_parse_json("text")})
 
 
-def record_rejects(records: DataFrame) -> DataFrame:
-    """Documents that cannot be used, with a reason; they give no triples and no flat row of their own."""
-    reason = F.when(F.col("doc").isNull(), "not valid JSON").when(~is_record("doc"), "no record layout")
+def record_rejects(records: DataFrame, contexts: Sequence[str] = ()) -> DataFrame:
+    """Documents that cannot be used, with a reason; they give no triples and no flat row of their own.
+
+    ``contexts`` names the context addresses that are known.
+    """
+    addresses = F.transform(_list("doc", "$['@context']"), lambda c: F.when(F.schema_of_variant(c) == "STRING", _get(c, "$")))
+    unknown = F.exists(addresses, lambda a: a.isNotNull() & ~a.isin(list(contexts)))
+    reason = F.when(F.col("doc").isNull(), "not valid JSON").when(unknown, "unknown context").when(~is_record("doc"), "no record layout")
     return records.select("record_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
@@ -117,7 +122,7 @@ def nest_record(flat: DataFrame) -> DataFrame:
         F.concat(F.lit("ex:layer/"), rid, F.lit("/"), k.cast("string")).alias("@id"), F.lit("ifc:IfcMaterialLayer").alias("@type"),
         x["name"].alias("rdfs:label"), _quantity(x["thickness_m"], "MTR").alias("schema:depth")))
     parts = F.when(F.size(b["targets"]) > 1, F.transform(F.slice(b["targets"], F.lit(2), F.size(b["targets"])), lambda t: _element(t)))
-    specimen = _element(F.element_at(b["targets"], 1), parts.alias("bot:hasSubElement"),
+    specimen = _element(F.try_element_at(b["targets"], F.lit(1)), parts.alias("bot:hasSubElement"),
                         F.when(b["layers"].isNotNull(), F.struct(layers.alias("@list"))).alias("dcterms:hasPart"))
     sample = F.struct(
         F.concat(F.lit("ex:point/"), rid).alias("@id"), F.lit("sosa:Sample").alias("@type"),
@@ -147,13 +152,17 @@ def nest_record(flat: DataFrame) -> DataFrame:
         F.when(g["location"].isNotNull(), F.struct(F.concat(F.lit("ex:location/"), F.regexp_replace(g["location"], r"\W+", "")).alias("@id"),
                F.lit("prov:Location").alias("@type"), g["location"].alias("rdfs:label"))).alias("prov:atLocation"),
         environment.alias("prov:used"))
+    model_url = F.concat(F.lit("data/"), b["model_file"])
+    if "model_url" in flat.schema["binding"].dataType.fieldNames():
+        model_url = F.coalesce(b["model_url"], model_url)
+
     def document(first: Column) -> Column:
         # Described once, at the first link; the others only point to it.
         once = lambda c: F.when(first, c)
         return F.struct(
             F.concat(F.lit("ex:ifcfile/"), b["model_file"]).alias("@id"), once(F.array(F.lit("dcat:Distribution"), F.lit("prov:Entity"))).alias("@type"),
             once(b["model_file"]).alias("dcterms:title"), once(_typed(b["model_modified"], "xsd:dateTime")).alias("dcterms:modified"),
-            once(_checksum(b["model_sha256"])).alias("spdx:checksum"), once(_ref(F.concat(F.lit("data/"), b["model_file"]))).alias("dcat:downloadURL"))
+            once(_checksum(b["model_sha256"])).alias("spdx:checksum"), once(_ref(model_url)).alias("dcat:downloadURL"))
 
     link_ids = F.filter(b["linked_gids"], lambda x: x.isNotNull())
     to_links = F.transform(link_ids, lambda gid, n: F.struct(
@@ -218,7 +227,10 @@ def quality_value(node: Column | str, metric: str, path: str = "$['dqv:hasQualit
 
 
 def flatten_record(records: DataFrame) -> DataFrame:
-    """Nested documents to one row of five part structs; the older flat layout is read from its own keys."""
+    """Nested documents to one row of five part structs; the older flat layout is read from its own keys.
+
+    What a document does not state is null (an empty array for lists); no document stops the job.
+    """
     doc = F.col("doc")
     topic, link = "foaf:primaryTopic", "dcterms:relation"
     t1, t2, t4 = "ldv:tier1Integrity", "ldv:tier2Measurement", "ldv:tier4Binding"
@@ -229,6 +241,9 @@ def flatten_record(records: DataFrame) -> DataFrame:
     def either(new: tuple, old: tuple, kind: str = "string") -> Column:
         return F.coalesce(value(_path(*new), kind), value(_path(*old), kind))
 
+    def first(node: Column, metric: str) -> Column:
+        return F.get(quality_value(node, metric), F.lit(0))
+
     foi = (topic, "sosa:hasFeatureOfInterest")
     spec = (*foi, "sosa:isSampleOf")
     result = (topic, "sosa:hasResult")
@@ -259,54 +274,68 @@ def flatten_record(records: DataFrame) -> DataFrame:
         either((*axis, "ldv:step"), (t2, "ldv:frequencyAxis", "ldv:step"), "double").alias("step"),
         either((*axis, "ldv:binCount"), (t2, "ldv:frequencyAxis", "ldv:binCount"), "int").alias("bins"),
         either((*axis, "qudt:hasUnit", "@id"), (t2, "ldv:frequencyAxis", "qudt:hasUnit", "@id")).alias("unit"),
-        quality_value(geometry, "definitionStatus")[0].alias("frame_status"),
-        _get(doc, _path(topic, "sosa:usedProcedure", "dcterms:source")).alias("procedure_source"),
-        quality_value(procedure, "status")[0].alias("procedure_status"))
-    conditions = F.filter(_list(doc, _path(topic, "prov:used")), lambda e: F.exists(
+        F.coalesce(first(geometry, "definitionStatus"), value(_path(t2, "ldv:point", "ldv:scanFrame", "ldv:definitionStatus"))).alias("frame_status"),
+        either((topic, "sosa:usedProcedure", "dcterms:source"), (t2, "sosa:usedProcedure", "ldv:reportedInLabForm")).alias("procedure_source"),
+        F.coalesce(first(procedure, "status"), value(_path(t2, "sosa:usedProcedure", "ldv:status"))).alias("procedure_status"))
+    t3 = "ldv:tier3Lineage"
+    conditions = F.filter(F.concat(_list(doc, _path(topic, "prov:used")), _list(doc, _path(t3, "ldv:environment"))), lambda e: F.exists(
         _list(e, "$['@type']"), lambda t: _get(t, "$") == "qudt:QuantityValue"))
     environment = F.transform(conditions, lambda e: F.struct(
         _get(e, "$['rdfs:label']").alias("label"), _get(e, "$['qudt:numericValue']", "double").alias("value"),
         _get(e, "$['qudt:hasUnit']['@id']").alias("unit")))
     lineage = F.struct(
         either((topic, "sosa:madeBySensor", "sosa:isHostedBy", "rdfs:label"), ("ldv:tier3Lineage", "ldv:testRig")).alias("rig"),
-        value(_path(topic, "prov:atLocation", "rdfs:label")).alias("location"),
-        value(_path(topic, "dcterms:temporal", "dcat:startDate")).alias("year_start"),
-        value(_path(topic, "dcterms:temporal", "dcat:endDate")).alias("year_end"),
-        environment.alias("environment"), _get(doc, _path(topic, "prov:wasAssociatedWith", "@id")).alias("agent"))
+        either((topic, "prov:atLocation", "rdfs:label"), (t3, "prov:atLocation", "rdfs:label")).alias("location"),
+        either((topic, "dcterms:temporal", "dcat:startDate"), (t2, "dcterms:temporal", "dcat:startDate")).alias("year_start"),
+        either((topic, "dcterms:temporal", "dcat:endDate"), (t2, "dcterms:temporal", "dcat:endDate")).alias("year_end"),
+        environment.alias("environment"), either((topic, "prov:wasAssociatedWith", "@id"), (t3, "prov:wasAssociatedWith", "@id")).alias("agent"))
+
+    def text(n: Column, key: str) -> Column:
+        return F.coalesce(_get(n, f"$['{key}']['@value']"), _get(n, f"$['{key}']"))
 
     def element(n: Column) -> Column:
         classes = F.filter(F.transform(_list(n, "$['@type']"), lambda t: _get(t, "$")), lambda t: t.startswith("ifc:"))
-        return F.struct(_get(n, "$['dcterms:identifier']").alias("gid"), F.substr(F.try_element_at(classes, F.lit(1)), F.lit(5)).alias("cls"),
-                        _get(n, "$['rdfs:label']").alias("label"), _get(n, "$['spdx:checksum']['spdx:checksumValue']").alias("fingerprint"))
+        return F.struct(F.coalesce(text(n, "dcterms:identifier"), text(n, "ldv:ifcGlobalId")).alias("gid"),
+                        F.coalesce(F.substr(F.try_element_at(classes, F.lit(1)), F.lit(5)), text(n, "ldv:ifcClass")).alias("cls"), text(n, "rdfs:label").alias("label"),
+                        F.coalesce(_get(n, "$['spdx:checksum']['spdx:checksumValue']"), text(n, "ldv:elementFingerprint")).alias("fingerprint"))
 
-    specimen = _get(doc, _path(*spec), "variant")
+    old_target = (t4, "ldv:target")
+    specimen = F.coalesce(_get(doc, _path(*spec), "variant"), _get(doc, _path(*old_target), "variant"))
     targets = F.transform(F.concat(F.when(specimen.isNotNull(), F.array(specimen)).otherwise(F.array().cast("array<variant>")),
-                                   _list(doc, _path(*spec, "bot:hasSubElement"))), element)
-    members = _get(doc, _path(*spec, "dcterms:hasPart", "@list"), "array<variant>")
+                                   _list(specimen, "$['bot:hasSubElement']")), element)
+    members = F.coalesce(_get(doc, _path(*spec, "dcterms:hasPart", "@list"), "array<variant>"), _get(doc, _path(*old_target, "ldv:layerStack", "@list"), "array<variant>"))
     layers = F.transform(members, lambda x: F.struct(
-        _get(x, "$['rdfs:label']").alias("name"),
-        to_metres(_get(x, "$['schema:depth']['schema:value']"), _get(x, "$['schema:depth']['schema:unitCode']")).alias("thickness_m")))
+        F.coalesce(text(x, "rdfs:label"), text(x, "ldv:materialName")).alias("name"),
+        F.coalesce(to_metres(_get(x, "$['schema:depth']['schema:value']"), _get(x, "$['schema:depth']['schema:unitCode']")), _get(x, "$['ldv:thicknessM']", "double")).alias("thickness_m")))
     links = _list(doc, _path(link, "ls:hasToLinkElement"))
     model = F.try_element_at(F.filter(F.transform(links, lambda e: _get(e, "$['ls:hasDocument']", "variant")), lambda d: F.coalesce(
         _get(d, "$['spdx:checksum']", "variant"), _get(d, "$['dcat:downloadURL']", "variant")).isNotNull()), F.lit(1))
     h = (link, "prov:wasInfluencedBy")
-    h_node = _get(doc, _path(*h), "variant")
+    old_h = (t4, "ldv:registrationHypothesis")
+    h_node = F.coalesce(_get(doc, _path(*h), "variant"), _get(doc, _path(*old_h), "variant"))
     hypothesis = F.when(h_node.isNotNull(), F.struct(
-        value(_path(*h, "dcterms:source")).alias("source"), value(_path(*h, "ldv:transform")).alias("mapping"),
-        value(_path(*h, "ldv:referenceFace")).alias("face"), value(_path(*h, "dcterms:description")).alias("origin"),
-        value(_path(*h, "skos:note")).alias("z_axis"), quality_value(h_node, "status")[0].alias("status")))
+        either((*h, "dcterms:source"), (*old_h, "ldv:source")).alias("source"), either((*h, "ldv:transform"), (*old_h, "ldv:mapping")).alias("mapping"),
+        either((*h, "ldv:referenceFace"), (*old_h, "ldv:referenceFace")).alias("face"), either((*h, "dcterms:description"), (*old_h, "ldv:origin")).alias("origin"),
+        either((*h, "skos:note"), (*old_h, "ldv:zAxis")).alias("z_axis"), F.coalesce(first(h_node, "status"), value(_path(*old_h, "ldv:status"))).alias("status")))
     binding = F.struct(
         either((link, "ldv:associationLevel"), (t4, "ldv:associationLevel")).alias("level"),
         either((link, "ldv:registration"), (t4, "ldv:registration")).alias("registration"),
         F.coalesce(_get(model, "$['dcterms:title']"), value(_path(t4, "ldv:ifcFile", "dcterms:title"))).alias("model_file"),
         F.coalesce(_get(model, "$['spdx:checksum']['spdx:checksumValue']"),
                    value(_path(t4, "ldv:ifcFile", "spdx:checksum", "spdx:checksumValue"))).alias("model_sha256"),
-        _get(model, "$['dcterms:modified']['@value']").alias("model_modified"), targets.alias("targets"), layers.alias("layers"),
+        F.coalesce(text(model, "dcterms:modified"), value(_path(t4, "ldv:ifcFile", "dcterms:modified"))).alias("model_modified"), targets.alias("targets"), layers.alias("layers"),
         F.filter(F.transform(links, lambda e: _get(e, "$['ls:hasIdentifier']['ls:identifier']")), lambda x: x.isNotNull()).alias("linked_gids"),
-        hypothesis.alias("hypothesis"), quality_value(_get(doc, _path(link), "variant"), "bindingStatus")[0].alias("status"),
-        value(_path(link, "prov:wasGeneratedBy", "prov:endedAtTime")).alias("verified_at"),
-        value(_path(link, "prov:wasGeneratedBy", "prov:used", "dcterms:description")).alias("method"))
-    completeness = F.struct(quality_value(doc, "absentFields").alias("absent"), quality_value(doc, "unresolvedFields").alias("unresolved"))
+        hypothesis.alias("hypothesis"), F.coalesce(first(_get(doc, _path(link), "variant"), "bindingStatus"), value(_path(t4, "ldv:bindingStatus"))).alias("status"),
+        either((link, "prov:wasGeneratedBy", "prov:endedAtTime"), (t4, "ldv:verifiedAt")).alias("verified_at"),
+        either((link, "prov:wasGeneratedBy", "prov:used", "dcterms:description"), (t4, "ldv:fingerprintMethod")).alias("method"),
+        F.coalesce(_get(model, "$['dcat:downloadURL']['@id']"), _get(model, "$['dcat:downloadURL']"), value(_path(t4, "ldv:ifcFile", "dcat:downloadURL", "@id"))).alias("model_url"))
+
+    def declared(metric: str, old: str) -> Column:
+        path = _path("ldv:completeness", old)
+        listed = F.transform(_list(doc, path), lambda v: F.coalesce(_get(v, "$['@value']"), _get(v, "$")))
+        return F.coalesce(quality_value(doc, metric), F.when(_get(doc, path, "variant").isNotNull(), listed))
+
+    completeness = F.struct(declared("absentFields", "ldv:absent").alias("absent"), declared("unresolvedFields", "ldv:unresolved").alias("unresolved"))
     kept = [c for c in records.columns if c not in ("doc", "text")]
     return records.select(*kept, integrity.alias("integrity"), measurement.alias("measurement"), lineage.alias("lineage"),
                           binding.alias("binding"), completeness.alias("completeness"))
@@ -314,20 +343,34 @@ def flatten_record(records: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ nested document -> triples
 
-def document_triples(record_id: str, text: str) -> list[tuple]:
+def context_of(given, contexts: Mapping[str, Mapping[str, str]]) -> dict[str, str] | None:
+    """Prefixes of an ``@context``: null, an object, an address, or a list of these; None if an address is not in ``contexts``."""
+    known = dict(PREFIXES)
+    for part in given if isinstance(given, list) else [given]:
+        if isinstance(part, str):
+            if part not in contexts:
+                return None
+            part = contexts[part]
+        if isinstance(part, Mapping):
+            known |= {k: v for k, v in part.items() if isinstance(v, str)}
+    return known
+
+
+def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Mapping[str, str]] | None = None) -> list[tuple]:
     """The statements of one JSON-LD document, equal ones once, in first-seen order.
 
     Nodes without an id are named by record and key path, list cells carry their list head and position.
-    Number types follow the JSON text: ``416.0`` is a double, ``6381`` an integer. Text that is no JSON object
-    gives nothing; :func:`record_rejects` lists it.
+    Number types follow the JSON text: ``416.0`` is a double, ``6381`` an integer. Null values, types and ids that are no
+    text give no statement; nodes of a ``@graph`` count like the document's own. Text that is no JSON object, and a
+    document with a context address that ``contexts`` does not resolve, give nothing; :func:`record_rejects` lists them.
     """
     try:
-        doc = json.loads(text)
-    except ValueError:
+        doc = json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
         return []
-    if not isinstance(doc, dict):
+    context = context_of(doc.get("@context"), contexts or {}) if isinstance(doc, dict) else None
+    if context is None:
         return []
-    context = {**PREFIXES, **{k: v for k, v in (doc.get("@context") or {}).items() if isinstance(v, str)}}
     base = context.pop("@base", BASE_IRI)
     rows: dict[tuple, None] = {}
 
@@ -347,12 +390,14 @@ def document_triples(record_id: str, text: str) -> list[tuple]:
         if isinstance(value, dict):
             if "@value" in value:
                 inner = value["@value"]
-                if value.get("@language"):
-                    return str(inner), "literal", iri("rdf:langString"), value["@language"]
+                if inner is None or isinstance(inner, (dict, list)):
+                    return None
+                if isinstance(value.get("@language"), str) and isinstance(inner, str):
+                    return inner, "literal", iri("rdf:langString"), value["@language"]
                 o, kind, o_type, _ = term(inner, path)
-                return o, kind, expand(value["@type"]) if value.get("@type") else o_type, None
+                return o, kind, expand(value["@type"]) if isinstance(value.get("@type"), str) else o_type, None
             if "@list" in value:
-                return cells(value["@list"], path)
+                return cells(many(value["@list"]), path)
             node = visit(value, path)
             return node, "bnode" if node.startswith("_:") else "iri", None, None
         if isinstance(value, bool):
@@ -361,6 +406,12 @@ def document_triples(record_id: str, text: str) -> list[tuple]:
             return repr(value), "literal", iri("xsd:double" if isinstance(value, float) else "xsd:integer"), None
         return value, "literal", iri("xsd:string"), None
 
+    def many(value) -> list:
+        """Values of a key: nested lists and sets are one list."""
+        if isinstance(value, dict) and "@set" in value:
+            return many(value["@set"])
+        return [x for v in value for x in many(v)] if isinstance(value, list) else [value]
+
     def cells(items: list, path: str) -> tuple:
         names = [f"_:{record_id}{path}/@list{n}" for n in range(len(items))] + [RDF_NIL]
         for n, item in enumerate(items):
@@ -371,25 +422,36 @@ def document_triples(record_id: str, text: str) -> list[tuple]:
         return names[0], "bnode" if items else "iri", None, None
 
     def visit(node: dict, path: str) -> str:
-        subject = expand(node["@id"]) if node.get("@id") else f"_:{record_id}{path}"
+        subject = expand(node["@id"]) if isinstance(node.get("@id"), str) and node["@id"] else f"_:{record_id}{path}"
         for key, value in node.items():
-            many = value if isinstance(value, list) else [value]
+            listed = isinstance(value, list) or isinstance(value, dict) and "@set" in value
             if key == "@type":
-                for name in many:
-                    add(subject, RDF_TYPE, expand(name), "iri")
+                for name in many(value):
+                    if isinstance(name, str):
+                        add(subject, RDF_TYPE, expand(name), "iri")
+            elif key in ("@graph", "@included"):
+                for n, item in enumerate(many(value)):
+                    if isinstance(item, dict):
+                        visit(item, f"{path}/{key}/{n}")
             elif not key.startswith("@"):
-                for n, item in enumerate(many):
-                    o = term(item, f"{path}/{key}" + (f"/{n}" if isinstance(value, list) else ""))
+                for n, item in enumerate(many(value)):
+                    o = term(item, f"{path}/{key}" + (f"/{n}" if listed else ""))
                     if o:
                         add(subject, expand(key), *o)
         return subject
 
-    visit(doc, "")
+    try:
+        visit(doc, "")
+    except RecursionError:
+        return []
     return list(rows)
 
 
-def records_to_triples(records: DataFrame, documents_per_batch: int = 256) -> DataFrame:
-    """Triples of ``(record_id, text)`` rows. A record's statements come from one row, so nothing is shuffled."""
+def records_to_triples(records: DataFrame, documents_per_batch: int = 256, contexts: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """Triples of ``(record_id, text)`` rows. A record's statements come from one row, so nothing is shuffled.
+
+    ``contexts`` gives the prefixes of contexts that documents name by address; nothing is fetched.
+    """
     kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in TRIPLES.fields]
     names = TRIPLES.fieldNames()
 
@@ -397,7 +459,7 @@ def records_to_triples(records: DataFrame, documents_per_batch: int = 256) -> Da
         for batch in batches:
             for start in range(0, batch.num_rows, documents_per_batch):
                 part = batch.slice(start, documents_per_batch).to_pydict()
-                rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text)]
+                rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text, contexts)]
                 columns = zip(*rows) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 

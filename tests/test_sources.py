@@ -1,8 +1,10 @@
 """Files on disk: exports, records, registry, results, inventories and writers."""
 
+import hashlib
 import json
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from linkledger.plans import standins as S
 from linkledger.sinks import writers
 from linkledger.sources import exports as X
 from linkledger.sources.inventory import file_inventory, incremental_inventory
-from linkledger.sources.records import document_triples, flatten_record, nest_record, parse_records, records_to_triples, scan_records
+from linkledger.sources.records import document_triples, flatten_record, nest_record, parse_records, record_rejects, records_to_triples, scan_records
 from linkledger.sources.registry import scan_registry
 from linkledger.sources.results import scan_results
 
@@ -85,7 +87,7 @@ def test_record_round_trip_and_files(spark, tmp_path):
     for r in back.collect():
         want = a[r.record_id].asDict(True)
         got = r.asDict(True)
-        want["measurement"]["frame_status"] = want["measurement"]["frame_status"]
+        assert got["binding"].pop("model_url") in (None, "data/model.ifc")
         assert got == want, r.record_id
     folder = tmp_path / "records"
     folder.mkdir()
@@ -161,10 +163,59 @@ def test_writers_replace_and_append(spark, tmp_path):
 
 
 def test_fingerprint_rounding(spark):
-    df = spark.createDataFrame([(1.0005,), (-0.0001,), (2.5,), (None,)], "v DOUBLE")
-    assert [r[0] for r in df.select(fixed3("v")).collect()] == ["1.001", "0.000", "2.500", None]
-    assert [r[0] for r in df.select(fixed3("v", "binary")).collect()] == ["1.000", "0.000", "2.500", None]
-    box = [F.lit(0.0), F.lit(1.0), F.lit(2.0)]
-    import hashlib
-    want = hashlib.sha256(b"g|C|None|0.000,1.000,2.000|0.000,1.000,2.000").hexdigest()
-    assert spark.range(1).select(fingerprint(F.lit("g"), F.lit("C"), F.lit(None).cast("string"), box, box)).first()[0] == want
+    random = np.random.default_rng(3)
+    values = [1.0005, -0.0001, -0.0005, 0.0005, 0.0625, -0.0625, 0.1875, 2.5, 1e-9, 123456.0005, -98765.4325, 1e12 + 0.5, 0.00050000000000000001, 0.0015000000000000002]
+    values += [sign * (k * 2 + 1) / 2000 for k in random.integers(0, 10**7, 3000) for sign in (1, -1)] + random.normal(0, 50, 2000).tolist()
+    df = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE")
+    assert [r[0] for r in df.select(fixed3("v")).collect()] == [f"{round(float(v), 3) + 0.0:.3f}" for v in values]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1e30,)], "v DOUBLE")
+    assert [r[0] for r in odd.select(fixed3("v")).collect()] == [None] * 4
+    assert spark.createDataFrame([(1.0005,)], "v DOUBLE").select(fixed3("v", "text")).first()[0] == "1.001"
+
+
+def test_fingerprint_of_missing_coordinates(spark):
+    df = spark.createDataFrame([("g", 1.0, None), ("g", None, 1.0), ("g", float("nan"), 1.0), ("g", 1.0, 1.0), (None, 1.0, 1.0)], "g STRING, a DOUBLE, b DOUBLE")
+    side = [F.col("a"), F.col("b"), F.lit(0.0)]
+    got = [r[0] for r in df.select(fingerprint("g", F.lit("IfcWall"), F.lit(None).cast("string"), side, side)).collect()]
+    assert got == [None, None, None, hashlib.sha256(b"g|IfcWall|None|1.000,1.000,0.000|1.000,1.000,0.000").hexdigest(), None]
+
+
+def test_ragged_documents_stop_nothing(spark):
+    texts = [
+        None, "", "[]", "{", '{"@context": "https://x.example/c", "dcterms:title": "t"}', '{"@context": ["https://x.example/c", null, {"q": "http://q/"}], "q:p": 1}',
+        '{"@graph": [{"@id": "http://a", "@type": null, "dcterms:title": {"@value": null}}, {"@id": "http://b", "@type": ["dcat:Dataset", 3], "dcterms:title": [["x"], {"@set": ["y", null]}]}, 7]}',
+        '{"@id": 5, "dcterms:title": {"@value": {"a": 1}}, "dcterms:hasPart": {"@list": null}}', "[" * 3000 + "]" * 3000,
+        '{"foaf:primaryTopic": {"sosa:hasFeatureOfInterest": {"geo:hasGeometry": {"dqv:hasQualityMeasurement": {"dqv:isMeasurementOf": {"@id": "ldvm:definitionStatus"}}}}}}',
+    ]
+    docs = parse_records(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id STRING, text STRING"))
+    assert flatten_record(docs).count() == len(texts)
+    known = {"https://x.example/c": {"z": "http://z/"}}
+    found = {}
+    for r in records_to_triples(docs, contexts=known).collect():
+        found.setdefault(r.record_id, []).append((r.s, r.p, r.o))
+    assert set(found) == {"4", "5", "6", "7", "9"} and found["5"] == [("_:5", "http://q/p", "1")]
+    assert sorted(o for s, _, o in found["6"] if s == "http://b") == [iri("dcat:Dataset"), "x", "y"]
+    reasons = {r.record_id: r.reason for r in record_rejects(docs).collect()}
+    assert {k for k, v in reasons.items() if v == "not valid JSON"} >= {"0", "1", "3"}
+    assert reasons["4"] == reasons["5"] == "unknown context" and "9" not in reasons
+    assert record_rejects(docs, list(known)).where("reason = 'unknown context'").count() == 0
+    empty = flatten_record(docs.where("record_id = '9'")).withColumn("binding", F.col("binding").withField("targets", F.array().cast("array<struct<gid:string,cls:string,label:string,fingerprint:string>>")))
+    assert nest_record(empty).count() == 1
+
+
+def test_older_layout_is_read_whole(spark):
+    old = {
+        "ldv:tier1Integrity": {"dcterms:title": "f.txt"}, "ldv:tier2Measurement": {"ldv:point": {"ldv:index": 4, "ldv:scanFrame": {"@id": "ex:f", "ldv:definitionStatus": "absent"}}},
+        "ldv:tier4Binding": {
+            "ldv:ifcFile": {"dcat:downloadURL": {"@id": "m.ifc"}, "dcterms:modified": {"@value": "2024"}},
+            "ldv:target": {"ldv:ifcGlobalId": "G1", "ldv:ifcClass": "IfcWall", "ldv:elementFingerprint": "aa", "bot:hasSubElement": [{"ldv:ifcGlobalId": "G2"}],
+                           "ldv:layerStack": {"@list": [{"ldv:materialName": "wood", "ldv:thicknessM": 0.1}]}},
+            "ldv:registrationHypothesis": {"ldv:mapping": "map", "ldv:status": "guess"}, "ldv:bindingStatus": "valid", "ldv:verifiedAt": "2025", "ldv:fingerprintMethod": "how"},
+        "ldv:completeness": {"ldv:absent": ["a", "b"], "ldv:unresolved": []},
+    }
+    row = flatten_record(parse_records(spark.createDataFrame([("1", json.dumps(old))], "record_id STRING, text STRING"))).first()
+    b = row.binding
+    assert [(t.gid, t.cls, t.fingerprint) for t in b.targets] == [("G1", "IfcWall", "aa"), ("G2", None, None)]
+    assert [(x.name, x.thickness_m) for x in b.layers] == [("wood", 0.1)] and (b.hypothesis.mapping, b.hypothesis.status) == ("map", "guess")
+    assert (b.status, b.verified_at, b.method, b.model_url, b.model_modified) == ("valid", "2025", "how", "m.ifc", "2024")
+    assert row.completeness.absent == ["a", "b"] and row.completeness.unresolved == [] and row.measurement.frame_status == "absent"
