@@ -21,10 +21,12 @@ def checksum_check(refs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Recorded against actual hash of every referenced file: ``match``, ``MISMATCH`` or ``file not found``.
 
     ``refs(record_id, url, sha256)``; entries without a URL are skipped. A file without a recorded value is a mismatch.
+    Where files of several folders have the name, one that has the recorded hash is a match; else the least hash is shown.
     """
     wanted = refs.where(F.col("url").isNotNull()).select("*", file_name("url").alias("file"))
-    actual = inventory.select(F.col("name").alias("file"), F.col("sha256").alias("actual"))
-    joined = wanted.join(actual, "file", "left")
+    same = inventory.select(F.col("name").alias("file"), "sha256", F.col("sha256").alias("same")).distinct()
+    any_ = inventory.groupBy(F.col("name").alias("file")).agg(F.min("sha256").alias("least"))
+    joined = wanted.join(same, ["file", "sha256"], "left").join(any_, "file", "left").withColumn("actual", F.coalesce("same", "least"))
     status = (F.when(F.col("actual").isNull(), "file not found")
               .when(F.col("actual") == F.col("sha256"), "match").otherwise("MISMATCH"))
     role = F.when(F.lower("file").endswith(".ifc"), "IFC model").otherwise("Measurement file")
@@ -36,9 +38,9 @@ def element_check(bound: DataFrame, current: DataFrame) -> DataFrame:
     """``ok``, ``CHANGED``, ``MISSING`` or ``unchecked`` per bound element.
 
     ``bound(record_id, gid, fingerprint)`` against ``current(gid, fingerprint)``; a current row without a
-    fingerprint is an element whose geometry could not be built.
+    fingerprint is an element whose geometry could not be built. Of current rows that repeat an id, the least counts.
     """
-    now = current.select("gid", F.col("fingerprint").alias("now"), F.lit(True).alias("found"))
+    now = current.groupBy("gid").agg(F.min("fingerprint").alias("now")).withColumn("found", F.lit(True))
     joined = bound.join(now, "gid", "left")
     state = (F.when(F.col("found").isNull(), "MISSING").when(F.col("now").isNull(), "unchecked")
              .when(F.col("now") == F.col("fingerprint"), "ok").otherwise("CHANGED"))
@@ -76,10 +78,29 @@ def coordinate_check(headers: DataFrame, records: DataFrame, key: str = "point",
                                  *[(F.col(f"h_{c}") - F.col(f"r_{c}")).alias(f"d{c}") for c in "xyz"])
 
 
+def latest_build(manifest: DataFrame, package: str | None = None) -> DataFrame:
+    """Entries of the last build, per ``package`` if that column is named; a manifest without ``build_id`` is one build.
+
+    Build ids sort by time.
+    """
+    if "build_id" not in manifest.columns:
+        return manifest
+    if package is None:
+        return manifest.where(F.col("build_id") == manifest.agg(F.max("build_id")).scalar())
+    last = manifest.groupBy(package).agg(F.max("build_id").alias("build_id"))
+    return manifest.join(last, [package, "build_id"], "left_semi")
+
+
+def _one_per_key(lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key of a lookup table: of repeated keys the least row."""
+    rest = [c for c in lookup.columns if c not in keys]
+    return lookup.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*") if rest else lookup.distinct()
+
+
 def edited_after_build(manifest: DataFrame, inventory: DataFrame, kinds: tuple[str, ...] = ("record", "derived")) -> DataFrame:
-    """Manifest entries of the given kinds with ``state``: ``unchanged``, ``edited`` or ``not found``."""
-    entries = manifest.where(F.col("kind").isin(list(kinds))).select("kind", "path", F.col("sha256").alias("built"))
-    joined = entries.join(inventory.select("path", F.col("sha256").alias("now")), "path", "left")
+    """Entries of the last build of the given kinds with ``state``: ``unchanged``, ``edited`` or ``not found``."""
+    entries = latest_build(manifest).where(F.col("kind").isin(list(kinds))).select("kind", "path", F.col("sha256").alias("built"))
+    joined = entries.join(_one_per_key(inventory.select("path", F.col("sha256").alias("now")), ["path"]), "path", "left")
     state = F.when(F.col("now").isNull(), "not found").when(F.col("now") == F.col("built"), "unchanged").otherwise("edited")
     return joined.select("kind", "path", state.alias("state"))
 
@@ -120,22 +141,27 @@ def assess_points(view: DataFrame, records: DataFrame, inventory: DataFrame, hea
     ``view(point, x, y, z, file)``, ``records(point, url, sha256, x, y, z, record_path)``,
     ``inventory(path, sha256)``, ``headers(path, point, x, y, z, readable)``,
     ``manifest(kind, path, sha256, point)`` with kinds data, record and cache,
-    ``elements(point, verdict, reason)``. One row per point and path is expected on every side.
+    ``elements(point, verdict, reason)``. Of a manifest with several builds (``build_id``) the last counts. Every view
+    row gives one result: of lookup rows that repeat a point or path, the least counts.
     """
+    manifest = latest_build(manifest)
     flag = lambda v: v if isinstance(v, Column) else F.lit(v)
     r = records.select("point", F.col("url").alias("r_url"), F.col("sha256").alias("r_sha"), "record_path",
                        *[F.col(c).alias(f"r_{c}") for c in "xyz"], F.lit(True).alias("has_record"))
+    r = _one_per_key(r, ["point"])
     entries = {kind: manifest.where(F.col("kind") == kind) for kind in ("data", "record", "cache")}
+    def one(lookup: DataFrame, key: dict[str, str], values: dict[str, str]) -> DataFrame:
+        return _one_per_key(lookup.select(*[F.col(a).alias(b) for a, b in {**key, **values}.items()]), list(key.values()))
+
     joined = (
         view.join(r, "point", "left").withColumn("locator", F.coalesce("r_url", "file"))
-        .join(inventory.select(F.col("path").alias("locator"), F.col("sha256").alias("f_sha")), "locator", "left")
-        .join(headers.select(F.col("path").alias("locator"), F.col("point").alias("h_point"), "readable",
-                             *[F.col(c).alias(f"h_{c}") for c in "xyz"]), "locator", "left")
-        .join(entries["data"].select(F.col("path").alias("locator"), F.col("sha256").alias("m_sha")), "locator", "left")
-        .join(inventory.select(F.col("path").alias("record_path"), F.col("sha256").alias("rec_sha")), "record_path", "left")
-        .join(entries["record"].select(F.col("path").alias("record_path"), F.col("sha256").alias("m_rec")), "record_path", "left")
-        .join(entries["cache"].select("point", F.col("sha256").alias("c_sha")), "point", "left")
-        .join(elements.select("point", "verdict", F.col("reason").alias("e_reason")), "point", "left")
+        .join(one(inventory, {"path": "locator"}, {"sha256": "f_sha"}), "locator", "left")
+        .join(one(headers, {"path": "locator"}, {"point": "h_point", "readable": "readable", **{c: f"h_{c}" for c in "xyz"}}), "locator", "left")
+        .join(one(entries["data"], {"path": "locator"}, {"sha256": "m_sha"}), "locator", "left")
+        .join(one(inventory, {"path": "record_path"}, {"sha256": "rec_sha"}), "record_path", "left")
+        .join(one(entries["record"], {"path": "record_path"}, {"sha256": "m_rec"}), "record_path", "left")
+        .join(one(entries["cache"], {"point": "point"}, {"sha256": "c_sha"}), "point", "left")
+        .join(one(elements, {"point": "point"}, {"verdict": "verdict", "reason": "e_reason"}), "point", "left")
         .select("*", *[F.col(c).alias(f"v_{c}") for c in "xyz"])
     )
     recorded = F.coalesce("has_record", F.lit(False))

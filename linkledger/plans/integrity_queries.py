@@ -75,7 +75,9 @@ SELECT CASE WHEN doc_id%2=0 THEN 'record' ELSE 'derived' END AS kind, 'docs/' ||
 def edited_after_build(spark, sf_dir):
     f = S.files(spark, sf_dir)
     n, sha = F.col("doc_id"), F.sha2("content", 256)
-    manifest = f.select(F.when(n % 2 == 0, "record").otherwise("derived").alias("kind"), "path", sha.alias("sha256"))
+    # Two builds: the earlier one registered other hashes and some files that are gone.
+    builds = F.explode(F.array(F.struct(F.lit("2024-01").alias("build_id"), F.reverse(sha).alias("sha256")), F.struct(F.lit("2024-02").alias("build_id"), sha.alias("sha256")))).alias("b")
+    manifest = f.select(F.when(n % 2 == 0, "record").otherwise("derived").alias("kind"), "path", builds).select("kind", "path", "b.*")
     disk = f.select(F.when(n % 9 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"), F.when(n % 7 == 0, F.reverse(sha)).otherwise(sha).alias("sha256"))
     return I.edited_after_build(manifest, disk)
 
@@ -101,10 +103,11 @@ def assessment(spark, sf_dir):
                                            F.struct(rec_path.alias("path"), F.when(k == 7, F.reverse(rec_sha)).otherwise(rec_sha).alias("sha256")))).alias("f")).select("f.*")
     headers = d.select(disk_path.alias("path"), F.when(k == 8, F.lit(None)).when(k == 9, n + 1).otherwise(n).alias("point"), F.when(k != 8, x).alias("x"),
                        F.when(k != 8, y).alias("y"), F.when(k == 10, 0.75).when(k != 8, 0.5).alias("z"), (k != 8).alias("readable"))
-    entry = lambda kind, p, s: F.struct(F.lit(kind).alias("kind"), p.alias("path"), s.alias("sha256"), n.alias("point"))
+    entry = lambda kind, p, s, build="2024-02": F.struct(F.lit(kind).alias("kind"), p.alias("path"), s.alias("sha256"), n.alias("point"), F.lit(build).alias("build_id"))
     manifest = d.select(F.explode(F.array(
         entry("data", path, F.when(k == 11, F.reverse(sha)).otherwise(sha)), entry("record", rec_path, rec_sha),
-        entry("cache", F.lit("view/cache"), F.when(k == 12, F.reverse(sha)).otherwise(sha)))).alias("m")).select("m.*")
+        entry("cache", F.lit("view/cache"), F.when(k == 12, F.reverse(sha)).otherwise(sha)),
+        entry("data", path, F.reverse(sha), "2024-01"), entry("record", rec_path, F.reverse(rec_sha), "2024-01"), entry("cache", F.lit("view/cache"), F.reverse(sha), "2024-01"))).alias("m")).select("m.*")
     elements = d.select(n.alias("point"), F.when(k == 13, "stale").when(k == 14, "unverified").otherwise("valid").alias("verdict"),
                         F.when(k == 13, "model element(s) changed or missing").when(k == 14, "record names no model file").alias("reason"))
     points = I.assess_points(view, records, inventory, headers, manifest, elements)

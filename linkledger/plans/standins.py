@@ -127,7 +127,10 @@ def file_inventory_of_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     name = F.concat(F.when(F.col("doc_id") % 17 == 0, "moved-").otherwise(""), F.col("doc_id").cast("string"),
                     F.when(F.col("doc_id") % 5 == 0, ".ifc").otherwise(".txt"))
-    return d.select(F.concat(F.lit("data/docs/"), name).alias("path"), name.alias("name"), F.sha2("text", 256).alias("sha256"))
+    # Every 7th name stands in a second folder too, with another content.
+    own = F.struct(F.concat(F.lit("data/docs/"), name).alias("path"), name.alias("name"), F.sha2("text", 256).alias("sha256"))
+    twin = F.when(F.col("doc_id") % 7 == 0, F.struct(F.concat(F.lit("data/old/"), name).alias("path"), name.alias("name"), F.lit("g" * 64).alias("sha256")))
+    return d.select(F.inline(F.array_compact(F.array(own, twin))))
 
 
 # ------------------------------------------------------------------ triples over the tables
@@ -275,11 +278,15 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("kind") == "quality", "unitStatus").otherwise("status"))
     value = F.when(metric == "unitStatus", F.when(F.col("doc_id") % 3 == 0, "IRI not yet resolved").otherwise("resolved")).otherwise(
         F.concat("kind", F.lit("_"), (F.col("doc_id") % 7).cast("string")))
-    return rows.select(F.col("doc_id").cast("string").alias("record_id"), metric.alias("metric"), value.alias("value"))
+    # Every other note has two values; they belong to one measurement.
+    values = F.array_compact(F.array(value, F.when((metric == "status") & (F.col("doc_id") % 2 == 0), F.concat(value, F.lit("+")))))
+    return rows.select(F.col("doc_id").cast("string").alias("record_id"), F.col("kind").alias("measurement"), metric.alias("metric"), F.explode(values).alias("value"))
 
 
+# Of a note with several values the joined text, as one measurement.
 QUALITY_SQL = """Q0 AS (SELECT doc_id, 'quality' AS kind, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels),
 Q1 AS (SELECT doc_id, kind, CASE WHEN kind='quality' AND v=0 THEN 'absentFields' WHEN kind='toxic' AND v=0 THEN 'unresolvedFields'
   WHEN kind='quality' THEN 'unitStatus' ELSE 'status' END AS metric FROM Q0),
 Q AS (SELECT doc_id::VARCHAR AS record_id, metric, CASE WHEN metric='unitStatus' THEN CASE WHEN doc_id%3=0 THEN 'IRI not yet resolved' ELSE 'resolved' END
+  WHEN metric='status' AND doc_id%2=0 THEN kind || '_' || (doc_id%7)::VARCHAR || '; ' || kind || '_' || (doc_id%7)::VARCHAR || '+'
   ELSE kind || '_' || (doc_id%7)::VARCHAR END AS value FROM Q1)"""
