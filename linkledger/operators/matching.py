@@ -108,7 +108,7 @@ def match_status(links: DataFrame, walls: DataFrame, registry: DataFrame, tol: f
     """
     w = walls.select("gid", F.col("family").alias("wall_family"), F.col("thickness_m").alias("wall_thickness_m"), F.col("materials").alias("w_m"))
     r = registry.select("record_uri", F.col("family").alias("record_family"), F.col("thickness_m").alias("record_thickness_m"),
-                        F.concat("layer_names", "layer_categories").alias("r_m"), F.lit(True).alias("resolved"))
+                        F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("layer_names", "layer_categories")]).alias("r_m"), F.lit(True).alias("resolved"))
     joined = links.join(w, "gid", "left").join(r, "record_uri", "left")
     resolved = F.coalesce("resolved", F.lit(False))
     same = F.col("wall_family").eqNullSafe(F.col("record_family"))
@@ -118,7 +118,8 @@ def match_status(links: DataFrame, walls: DataFrame, registry: DataFrame, tol: f
     thick_ok = F.coalesce(F.col("thickness_delta_m") <= tol + SLACK, F.lit(False))
     enough = F.coalesce(F.col("overlap") >= min_overlap, F.lit(False))
     status = F.when(~resolved, "BROKEN").when(~same, "INVALID").when(thick_ok & enough, "ACCEPTABLE").otherwise("AMBIGUOUS")
-    failed = F.concat_ws("; ", F.when(~thick_ok, F.format_string(f"total-thickness difference is %.3f m (> {tol:.3f} m tolerance)", "thickness_delta_m")),
+    failed = F.concat_ws("; ", F.when(F.col("thickness_delta_m").isNull(), "total thickness is not given on both sides")
+                         .when(~thick_ok, F.format_string(f"total-thickness difference is %.3f m (> {tol:.3f} m tolerance)", "thickness_delta_m")),
                          F.when(~enough, "IFC material/layer evidence is insufficient to reproduce the tested assembly"))
     why = (F.when(status == "BROKEN", "The IFC/reference identifier is retained, but the referenced external record is unavailable in the registry.")
            .when(status == "INVALID", F.format_string("Construction-family mismatch: IFC wall=%s, external record=%s.", "wall_family", "record_family"))
@@ -156,7 +157,7 @@ def tolerance_sweep(cases: DataFrame, tolerances: Sequence[float] = (0.01, 0.02,
     same = F.col("wall_family") == F.col("record_family")
     counters = [F.count(F.lit(1)).alias("total")]
     for i, tol in enumerate(tolerances):
-        counters += [F.count_if(same & (F.col("thickness_delta_m") <= tol)).alias(f"a{i}"), F.count_if(same & (F.col("thickness_delta_m") > tol)).alias(f"b{i}")]
+        counters += [F.count_if(same & (F.col("thickness_delta_m") <= tol + SLACK)).alias(f"a{i}"), F.count_if(same & (F.col("thickness_delta_m") > tol + SLACK)).alias(f"b{i}")]
     rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tolerance_m"), F.col(f"a{i}").alias("acceptable"), F.col(f"b{i}").alias("ambiguous"))
                                for i, t in enumerate(tolerances)]))
     out = with_delta.agg(*counters).select("total", rows.alias("r")).select("total", "r.*")
