@@ -19,33 +19,39 @@ from linkledger.streaming import triggers as T
 SLICES = 3
 
 
-def feed(spark, sf_dir, start) -> None:
-    """Let the versions arrive in three slices of time; ``start(stream)`` runs the stream on what is new.
+def feed(spark, sf_dir, start, flush=False, slices=SLICES) -> None:
+    """Let the versions arrive in slices of time; ``start(stream)`` runs the stream on what is new.
 
-    Slices are written by all tasks and each run takes its whole slice, so no slice passes through one task.
+    Slices are written by all tasks and each run takes its whole slice, so no slice passes through one task. One in
+    seven versions arrives a slice late. With ``flush`` all arrive in time and a row of a far later time follows, which closes all windows.
     """
     def build():
         v = S.versions(spark, sf_dir)
         span = v.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
-        part = (F.unix_micros("ts") - span.select("lo").scalar()) * SLICES / (span.select(F.col("hi") - F.col("lo") + 1).scalar())
-        return v.withColumn("slice", F.floor(part).cast("int"))
+        part = (F.unix_micros("ts") - span.select("lo").scalar()) / (span.select(F.col("hi") - F.col("lo") + 1).scalar())
+        return v.withColumn("part", part)
 
     base = S.written(spark, sf_dir, "versions", build)
     folder = scratch_path(spark, "version_stream")
-    for i in range(SLICES):
-        base.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(folder)
-        start(spark.readStream.schema(base.drop("slice").schema).parquet(folder)).awaitTermination()
+    at = F.floor(F.col("part") * slices) + (F.lit(0) if flush else (F.col("version") % 7 == 0).cast("int"))
+    schema = base.drop("part").schema
+    waves = [base.where(at == i).drop("part") for i in range(slices if flush else slices + 1)]
+    if flush:
+        waves.append(T.last_word(spark, schema, "ts", F.lit("2999-01-01").cast("timestamp")))
+    for wave in waves:
+        wave.write.mode("append").parquet(folder)
+        start(spark.readStream.schema(schema).parquet(folder)).awaitTermination()
 
 
 def drained(spark, sf_dir, operator):
-    """What ``operator(stream)`` has written after all slices, as a table in the shared folder."""
+    """What ``operator(stream)`` has written after all slices and the row that closes its windows."""
     out, checkpoint = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_checkpoint")
 
     def start(stream):
         return (operator(stream).writeStream.format("parquet").outputMode("append").option("path", out)
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-    feed(spark, sf_dir, start)
+    feed(spark, sf_dir, start, flush=True)
     return spark.read.parquet(out)
 
 
@@ -53,19 +59,15 @@ def drained(spark, sf_dir, operator):
 def stream_triggers(spark, sf_dir):
     base = scratch_path(spark, "triggers")
     feed(spark, sf_dir, lambda versions: T.stream_triggers(versions, f"{base}/out", f"{base}/state", f"{base}/checkpoint", ATTRS))
-    return spark.read.parquet(f"{base}/out").select("entity", "version", "attribute", "old", "new", "category")
+    return T.current_triggers(spark, f"{base}/out").select("entity", "version", "attribute", "old", "new", "category")
 
 
-DELAY_SQL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
-
-@query("stream_trigger_counts", f"""
+@query("stream_trigger_counts", """
 WITH X AS (SELECT event_type AS category, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events)
-SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, category, count(*)::BIGINT AS n FROM X WHERE s + INTERVAL 1 HOUR <= {DELAY_SQL} GROUP BY 1, 2""")
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, category, count(*)::BIGINT AS n FROM X GROUP BY 1, 2""")
 def stream_trigger_counts(spark, sf_dir):
-    # Windows that end after the last watermark stay open, so they are not in the result.
     counts = drained(spark, sf_dir, lambda v: T.stream_trigger_counts(v.withColumnRenamed("material", "category"), "1 hour"))
-    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "category", "n")
+    return counts.where(F.col("category").isNotNull()).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "category", "n")
 
 
 @query("trigger_counts_sliding", """
@@ -87,17 +89,21 @@ def edit_sessions(spark, sf_dir):
     return b.select("entity", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
 
 
-@query("stream_edit_sessions", "WITH " + BURST_SQL + f""" SELECT entity, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", n::BIGINT AS n FROM BU WHERE e <= {DELAY_SQL}""")
+@query("stream_edit_sessions", "WITH " + BURST_SQL + """ SELECT entity, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", n::BIGINT AS n FROM BU""")
 def stream_edit_sessions(spark, sf_dir):
-    b = drained(spark, sf_dir, lambda v: T.stream_edit_sessions(v, 6 * 3600))
+    b = drained(spark, sf_dir, lambda v: T.stream_edit_sessions(v, 6 * 3600)).where(F.col("entity").isNotNull())
     return b.select("entity", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
 
 
-@query("stream_dedupe", "SELECT user_id AS entity, event_type AS material, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM events) t GROUP BY 1, 2")
+@query("stream_dedupe", """
+SELECT user_id AS entity, event_type AS material, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id AS version FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
 def stream_dedupe(spark, sf_dir):
-    # A delay longer than the whole input: the first row of each pair stays.
-    kept = drained(spark, sf_dir, lambda v: T.stream_first_wins(v, "400 days", ["entity", "material"]))
-    return kept.groupBy("entity", "material").agg(F.count(F.lit(1)).alias("n"))
+    base = scratch_path(spark, "first")
+    order = ["ts", "version"]
+    feed(spark, sf_dir, lambda v: T.stream_first_wins(v, f"{base}/out", f"{base}/checkpoint", ["entity", "material"], order))
+    first = T.current_first(spark, f"{base}/out", ["entity", "material"], order)
+    return first.select("entity", "material", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "version")
 
 
 @query("stream_inventory")

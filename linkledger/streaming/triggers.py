@@ -6,59 +6,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from linkledger.operators.lifecycle import TRIGGERS, reassessment_triggers
 from linkledger.operators.ordered import ordered, time_chunk
 
-COMPACT_EVERY = 32
+BUCKETS = 64
 
 
 def stream_triggers(versions: DataFrame, out: str, state: str, checkpoint: str, attrs: Sequence[str], key: str = "entity",
                     order: Sequence[str] = ("ts", "version"), chunk: Column | None = None,
-                    table: Mapping[str, tuple] = TRIGGERS) -> StreamingQuery:
-    """Write the triggers of each micro-batch to ``out``; late versions of an entity are ignored.
+                    table: Mapping[str, tuple] = TRIGGERS, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the triggers of all versions seen so far below ``out``; :func:`current_triggers` reads them.
 
-    The last version per entity lives in the folder ``state``. Each batch puts those rows in front of its own and
-    runs the batch operator, which splits an entity with very many versions over tasks. Batches write to folders
-    named by their id and read only earlier ones, so a repeated batch gives the same result.
+    A version may arrive late and stand between two that are known, so a batch computes the triggers of each entity it
+    touches anew from all its versions. The result does not depend on how the input is cut or ordered. Versions lie below
+    ``state`` by hash bucket of their entity; a batch reads the buckets it touches. Batches write to folders named by
+    their id and read earlier ones only, so a repeated batch gives the same result.
     """
     columns = [key, *order, *attrs]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(*columns)
-        last = _state_before(spark, state, batch_id, columns, fresh.schema, key, order)
-        known = last.select(F.col(key).alias("__k"), F.struct(*order).alias("__at"))
-        joined = fresh.join(known, F.col(key) == F.col("__k"), "left")
-        in_time = joined.where(F.col("__at").isNull() | (F.struct(*order) > F.col("__at"))).select(*columns)
-        touched = last.join(fresh.select(key).distinct(), key, "left_semi").select(*columns)
-        both = touched.withColumn("__carried", F.lit(True)).unionByName(in_time.withColumn("__carried", F.lit(False)))
-        reassessment_triggers(both, attrs, key, order, chunk, table).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        newest = _latest(both.select(*columns), key, order)
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            newest = _latest(last.unionByName(newest), key, order)
-            newest.write.mode("overwrite").parquet(f"{state}/full={batch_id}")
-        else:
-            newest.write.mode("overwrite").parquet(f"{state}/part={batch_id}")
+        fresh = batch.select(*columns).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        fresh.write.mode("overwrite").partitionBy("__bucket").parquet(f"{state}/batch={batch_id}")
+        stored = spark.read.schema(T.StructType([*fresh.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", state).parquet(state)
+        touched = stored.where(F.col("batch") == batch_id).select(key, "__bucket").distinct()
+        wanted = [r[0] for r in touched.select("__bucket").distinct().collect()]
+        history = stored.where((F.col("batch") <= batch_id) & F.col("__bucket").isin(wanted)).join(touched.select(key), key, "left_semi").select(*columns)
+        reassessment_triggers(history, attrs, key, order, chunk, table).write.mode("overwrite").parquet(f"{out}/triggers/batch={batch_id}")
+        touched.select(key).write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
 
     return versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _latest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    columns = rows.columns
-    newest = F.max_by(F.struct(*columns), F.struct(*order))
-    return rows.groupBy(F.col(key).alias("__key")).agg(newest.alias("r")).select("r.*").select(*columns)
-
-
-def _state_before(spark: SparkSession, state: str, batch_id: int, columns: Sequence[str], schema, key: str, order: Sequence[str]) -> DataFrame:
-    """Last version per entity from the newest full snapshot before a batch and the parts after it."""
-    full = (batch_id // COMPACT_EVERY) * COMPACT_EVERY - 1
-    paths = [f"{state}/full={full}"] if full >= 0 else []
-    paths += [f"{state}/part={i}" for i in range(full + 1, batch_id)]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return _latest(spark.read.schema(schema).parquet(*paths).select(*columns), key, order)
+def current_triggers(spark: SparkSession, out: str, key: str = "entity") -> DataFrame:
+    """Of every entity the triggers of the last batch that touched it."""
+    last = spark.read.parquet(f"{out}/touched").groupBy(key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/triggers").join(last, [key, "batch"], "left_semi").drop("batch")
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -99,6 +85,28 @@ def stream_edit_sessions(triggers: DataFrame, gap_seconds: int, delay: str = "10
     return bursts.select(key, "w.start", "w.end", "n")
 
 
-def stream_first_wins(points: DataFrame, delay: str, key: Sequence[str] = ("point",), ts: str = "ts") -> DataFrame:
-    """First row per key within the watermark; later copies are dropped."""
-    return _event_time(points, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+def stream_first_wins(points: DataFrame, out: str, checkpoint: str, key: Sequence[str] = ("point",), order: Sequence[str] = ("path",)) -> StreamingQuery:
+    """Keep the first row per key by ``order`` below ``out``; :func:`current_first` reads it.
+
+    A batch writes its own first rows only, reduced before they are shuffled; the least of all batches wins, whatever
+    came first. No row is dropped for being late, and no state is held in memory.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _first(batch, key, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return points.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_first(spark: SparkSession, out: str, key: Sequence[str] = ("point",), order: Sequence[str] = ("path",)) -> DataFrame:
+    """First row per key of all batches."""
+    return _first(spark.read.parquet(out).drop("batch"), key, order)
+
+
+def _first(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    ranked = F.struct(*order, *[c for c in rows.columns if c not in order])
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min(ranked).alias("r")).select("r.*").select(*rows.columns)
+
+
+def last_word(spark: SparkSession, schema, ts: str, at: Column) -> DataFrame:
+    """One row with nothing but a time: fed to a stream after its end, it moves the watermark past every open window."""
+    return spark.range(1).select(*[(at if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -1,13 +1,18 @@
 """Golden outcomes: matching scenarios, form facts, package mutations, streams."""
 
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkledger.operators import elements as E
 from linkledger.operators import facts as FA
 from linkledger.operators import integrity as I
+from linkledger.operators import lifecycle as LC
 from linkledger.operators import matching as M
 from linkledger.operators.ordered import number_chunk
+from linkledger.streaming import triggers as ST
 
 # Two equal layer sets of five tokens; the record adds two category words.
 MATERIALS = ["Gipsplatte Alpha", "Ständer CW 75 mit 60mm Faserfilz Beta", "Gipsplatte Alpha"]
@@ -151,3 +156,26 @@ def test_targets(spark):
     assert shown(E.select_targets(elements, edges.where("false"))) == {(g, "part", "all") for g in "abc"}
     assert shown(E.select_targets(elements.where("gid = 'c'"), edges)) == {("c", "target", "single")}
     assert shown(E.select_targets(elements, edges, mode="all")) == {(g, "part", "all") for g in "abc"}
+
+
+@pytest.mark.parametrize("slices", [1, 3, 7])
+def test_stream_results_do_not_depend_on_slices(spark, tmp_path, slices):
+    """The same versions, out of order, cut in different ways: the triggers and first rows are those of the batch."""
+    random = np.random.default_rng(4)
+    rows = [(f"e{i % 5}", datetime(2024, 1, 1) + timedelta(minutes=7 * i), i, "abc"[random.integers(3)], int(random.integers(3))) for i in range(70)]
+    schema = "entity STRING, ts TIMESTAMP, version LONG, material STRING, thickness LONG"
+    shuffled = [rows[i] for i in random.permutation(len(rows))]
+    attrs, base = ["material", "thickness"], str(tmp_path)
+    for i in range(slices):
+        spark.createDataFrame(shuffled[i::slices], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        ST.stream_triggers(stream, f"{base}/out", f"{base}/state", f"{base}/c1", attrs).awaitTermination()
+        ST.stream_first_wins(stream, f"{base}/first", f"{base}/c2", ["entity", "material"], ["ts", "version"]).awaitTermination()
+    got = sorted(map(str, ST.current_triggers(spark, f"{base}/out").select("entity", "version", "attribute", "old", "new").collect()))
+    batch = LC.reassessment_triggers(spark.createDataFrame(rows, schema), attrs)
+    assert got == sorted(map(str, batch.select("entity", "version", "attribute", "old", "new").collect()))
+    first = {(r.entity, r.material): r.version for r in ST.current_first(spark, f"{base}/first", ["entity", "material"], ["ts", "version"]).collect()}
+    expected = {}
+    for e, _, v, m, _ in rows:
+        expected.setdefault((e, m), v)
+    assert first == expected
