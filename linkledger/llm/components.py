@@ -13,14 +13,14 @@ ROUNDS = 60
 def _large(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to the least node of its neighbourhood."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut_lineage(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b): root is the least node that can be reached.
 
     Each round halves the paths roughly; the table is written to the shared folder after each, so a lost executor costs
-    one round. Nodes only meet through joins and minima, whose partial sums keep a hub's task small. Loops are ignored;
+    one round. Minima are reduced before they are shuffled and stored too, so that the join with them can split a hub
+    with very many links. Loops are ignored;
     links with a null end too; without links the result is empty.
     """
     edges = cut_lineage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")

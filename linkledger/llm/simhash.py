@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkledger.llm.common import bounded_batches, cut_lineage, keyed, text_bytes
@@ -174,16 +174,15 @@ def bucket_links(bucketed: DataFrame, starts: list[int | None], most: int, bucke
     """(a, b): links between nodes that share a bucket and are within ``most`` bits, as many as connect them.
 
     ``bucketed`` has (choice, bits, node, words): ``choice`` numbers the way of bucketing, ``starts`` gives the start of its
-    chains. Buckets of one are dropped. A larger one is dealt in parts of ``bucket_part`` by its order, and every two parts
+    chains. Buckets of one are dropped. A larger one is dealt by hash in parts of about ``bucket_part``, and every two parts
     meet in a task of their own, so no group grows with the data; a task gives fewer links than members, never all pairs.
+    Bucket sizes are added up before they are shuffled and stored, so that the join that brings them back can split a
+    bucket with very many members.
     """
     bounded_batches(bucketed.sparkSession)
-    order, whole = Window.partitionBy("choice", "bits").orderBy("node"), Window.partitionBy("choice", "bits")
-    placed = (
-        bucketed.withColumns({"place": F.row_number().over(order), "members": F.count("*").over(whole)})
-        .where(F.col("members") > 1)
-        .select("choice", "bits", "node", "words", F.floor((F.col("place") - 1) / bucket_part).cast("int").alias("part"), F.ceil(F.col("members") / bucket_part).cast("int").alias("parts"))
-    )
+    sizes = bucketed.groupBy("choice", "bits").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    crowded = cut_lineage(sizes.select("choice", "bits", F.ceil(F.col("members") / bucket_part).cast("int").alias("parts")), "buckets")
+    placed = bucketed.join(crowded, ["choice", "bits"]).withColumn("part", F.pmod(F.xxhash64("node", "choice"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     meeting = placed.select("choice", "bits", "node", "words", "part", other.alias("other")).select(
         "choice", "bits", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "words")
@@ -233,7 +232,7 @@ def _components_of(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataF
     """``rows`` (with id and node) and their ``root`` node and ``component``, the least id of the nodes linked to theirs."""
     roots = components(links)
     placed = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    groups = placed.groupBy("root").agg(F.min("least").alias("component"))
+    groups = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("component")), "groups")
     return rows.join(placed.join(groups, "root").select("node", "root", "component"), "node")
 
 
