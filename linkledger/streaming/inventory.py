@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,10 +19,11 @@ def read_file_stream(spark: SparkSession, path: str, glob: str = "*", files_per_
 
 
 def stream_inventory(spark: SparkSession, path: str, table: str, checkpoint: str, glob: str = "*") -> StreamingQuery:
-    """Append the hash of each new or changed file to ``table``, one folder per micro-batch.
+    """Append the hash of each file that arrives to ``table``, one folder per micro-batch.
 
     A batch overwrites only its own folder, so a repeated batch leaves the same rows. :func:`current_inventory`
-    gives the latest row per path.
+    gives the latest row per path. A file source remembers paths only; :func:`refresh_inventory` finds files that
+    change in place or go.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         hash_files(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
@@ -30,16 +32,60 @@ def stream_inventory(spark: SparkSession, path: str, table: str, checkpoint: str
             .trigger(availableNow=True).start())
 
 
-def current_inventory(spark: SparkSession, table: str) -> DataFrame:
-    """Latest row per path."""
+def refresh_inventory(spark: SparkSession, path: str, table: str, glob: str = "*", files_per_read: int = 1000) -> int:
+    """Compare a listing of the folder with the table and append what is new, changed or gone; gives the batch number.
+
+    Files are listed without their content; only those whose time or size differs are read and hashed, so many at a
+    time. A file that is gone leaves a row without hash.
+    """
+    listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+               .select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes")))
+    batches = stored_batches(spark, table)
+    batch = 0 if batches is None else batches.agg(F.max("batch")).first()[0] + 1
+    known = current_inventory(spark, table).select("path", F.col("mtime").alias("k_mtime"), F.col("bytes").alias("k_bytes")) if batch else None
+    other = listing if known is None else listing.join(known, "path", "left").where(
+        ~F.col("mtime").eqNullSafe(F.col("k_mtime")) | ~F.col("bytes").eqNullSafe(F.col("k_bytes")))
+    out, block = f"{table}/batch={batch}", []
+
+    def read(paths: list[str]) -> None:
+        files = spark.read.format("binaryFile").load(paths).select("path", F.col("modificationTime").alias("mtime"), "content")
+        hash_files(files).write.mode("append").parquet(out)
+
+    for row in other.select("path").toLocalIterator():
+        block.append(row.path)
+        if len(block) == files_per_read:
+            read(block)
+            block = []
+    if block:
+        read(block)
+    if known is not None:
+        gone = current_inventory(spark, table).join(listing.select("path"), "path", "left_anti").where(F.col("sha256").isNotNull())
+        gone.select("path", "name", "mtime", "bytes", F.lit(None).cast("string").alias("sha256")).write.mode("append").parquet(out)
+    return batch
+
+
+def stored_batches(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table's rows with their ``batch``, or None before the first."""
+    try:
+        return spark.read.parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def current_inventory(spark: SparkSession, table: str, until: int | None = None) -> DataFrame:
+    """Latest row per path, of the batches up to ``until``; a path that is gone has no hash."""
     rows = spark.read.parquet(table)
-    latest = F.max_by(F.struct("name", "mtime", "bytes", "sha256"), F.struct("mtime", "batch"))
+    if until is not None:
+        rows = rows.where(F.col("batch") <= until)
+    latest = F.max_by(F.struct("name", "mtime", "bytes", "sha256"), F.col("batch"))
     return rows.groupBy("path").agg(latest.alias("r")).select("path", "r.*")
 
 
 def inventory_deltas(before: DataFrame, now: DataFrame) -> DataFrame:
     """Paths whose state differs: ``new``, ``changed`` or ``gone``."""
-    a = before.select("path", F.col("sha256").alias("old"))
-    joined = a.join(now.select("path", F.col("sha256").alias("new")), "path", "full")
+    a = before.where(F.col("sha256").isNotNull()).select("path", F.col("sha256").alias("old"))
+    joined = a.join(now.where(F.col("sha256").isNotNull()).select("path", F.col("sha256").alias("new")), "path", "full")
     state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old") != F.col("new"), "changed")
     return joined.select("path", state.alias("delta")).where(F.col("delta").isNotNull())

@@ -1,5 +1,7 @@
 """Golden outcomes: matching scenarios, form facts, package mutations, streams."""
 
+import hashlib
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -12,6 +14,7 @@ from linkledger.operators import integrity as I
 from linkledger.operators import lifecycle as LC
 from linkledger.operators import matching as M
 from linkledger.operators.ordered import number_chunk
+from linkledger.streaming import inventory as IV
 from linkledger.streaming import triggers as ST
 
 # Two equal layer sets of five tokens; the record adds two category words.
@@ -179,3 +182,22 @@ def test_stream_results_do_not_depend_on_slices(spark, tmp_path, slices):
     for e, _, v, m, _ in rows:
         expected.setdefault((e, m), v)
     assert first == expected
+
+
+def test_inventory_sees_changed_and_gone_files(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    (folder / "sub").mkdir(parents=True)
+    for name in ("a", "b", "sub/c"):
+        (folder / f"{name}.txt").write_text(name)
+    assert IV.refresh_inventory(spark, str(folder), table, "*.txt") == 0
+    (folder / "a.txt").write_text("another")
+    os.utime(folder / "a.txt", (2_000_000_000, 2_000_000_000))
+    (folder / "b.txt").unlink()
+    (folder / "d.txt").write_text("d")
+    assert IV.refresh_inventory(spark, str(folder), table, "*.txt", files_per_read=1) == 1
+    now = {r.name: r.sha256 for r in IV.current_inventory(spark, table).collect()}
+    assert now == {"a.txt": hashlib.sha256(b"another").hexdigest(), "b.txt": None, "c.txt": hashlib.sha256(b"sub/c").hexdigest(), "d.txt": hashlib.sha256(b"d").hexdigest()}
+    deltas = IV.inventory_deltas(IV.current_inventory(spark, table, 0), IV.current_inventory(spark, table, 1))
+    assert sorted((r.path[-5:], r.delta) for r in deltas.collect()) == [("a.txt", "changed"), ("b.txt", "gone"), ("d.txt", "new")]
+    IV.refresh_inventory(spark, str(folder), table, "*.txt")
+    assert spark.read.parquet(table).count() == 6
