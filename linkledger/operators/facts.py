@@ -136,7 +136,8 @@ def source_conflict(file_names: Column | str, excitation: Column | str) -> Colum
 def merge_facts(flat: DataFrame, facts: DataFrame, key: str = "record_id", file_names: Column | None = None) -> DataFrame:
     """Flat records with lineage, procedure and completeness taken from the facts map.
 
-    A missing fact clears the old value and adds its name to the absent list; nothing older is carried over.
+    A missing fact clears the old value and adds its name to the absent list; nothing older is carried over. The wall's
+    size, the sketch and the notes on the period and on a conflict of sources are further fields of the lineage.
     """
     joined = flat.join(facts.select(F.col("doc_id").alias(key), "facts"), key, "left")
     fact = lambda k: F.try_element_at("facts", F.lit(k))
@@ -148,7 +149,12 @@ def merge_facts(flat: DataFrame, facts: DataFrame, key: str = "record_id", file_
     names = F.array(F.col("integrity.title")) if file_names is None else file_names
     lineage = F.struct(fact("test_rig").alias("rig"), fact("location").alias("location"), years["first_year"].cast("string").alias("year_start"),
                        years["last_year"].cast("string").alias("year_end"), F.when(F.size(measured) > 0, measured).alias("environment"),
-                       F.coalesce(fact("responsible"), F.lit("unknown")).alias("agent"))
+                       F.coalesce(fact("responsible"), F.lit("unknown")).alias("agent"),
+                       *[F.get_json_object(fact("wall_size"), f"$.{c}").try_cast("double").alias(f"wall_{c}") for c in ("width_m", "height_m", "depth_mm")],
+                       F.concat(F.lit("data/"), fact("sketch")).alias("sketch"),
+                       F.when(years["first_year"].isNotNull(), F.concat(F.lit("Reported as "), fact("year"), F.lit(" in the lab form; exact date unknown"))).alias("period_note"),
+                       F.when(fact("excitation").isNotNull() & (source_conflict(names, fact("excitation")) == "unresolved"),
+                              F.lit("the file name says 'Shaker', the form says loudspeaker")).alias("conflict_note"))
     measurement = F.col("measurement").withField("procedure_source", F.coalesce(fact("excitation"), F.lit("not stated"))) \
         .withField("procedure_status", source_conflict(names, fact("excitation")))
     absent = missing_field_union(F.col("completeness.absent"), absent_names(F.coalesce("facts", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))

@@ -39,6 +39,14 @@ def vocabulary_table(counts: DataFrame, table=VOCABULARIES) -> DataFrame:
             .orderBy(F.desc("classes"), "vocabulary"))
 
 
+def instance_edges(triples: DataFrame, scope: Sequence[str] = ("record_id",)) -> DataFrame:
+    """``(s, p, o)`` of every reference whose two ends are typed nodes, each once, over all predicates."""
+    nodes = node_types(triples, scope).select(*scope, "node").distinct()
+    links = triples.where((F.col("p") != RDF_TYPE) & F.col("o_kind").isin("iri", "bnode")).select(*scope, "s", "p", "o").distinct()
+    starts, ends = nodes.withColumnRenamed("node", "s"), nodes.withColumnRenamed("node", "o")
+    return links.join(starts, [*scope, "s"], "left_semi").join(ends, [*scope, "o"], "left_semi").select(*scope, "s", "p", "o")
+
+
 def class_graph(triples: DataFrame, include_quality: bool = False, scope: Sequence[str] = ("record_id",)) -> DataFrame:
     """Edges (source class, property, target class, n) counted over instances.
 

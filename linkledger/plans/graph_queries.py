@@ -38,13 +38,11 @@ def vocabulary_table(spark, sf_dir):
 
 
 @query("graph_edges", """
-SELECT 'https://example.org/tables/id/orders/' || o_orderkey AS s, 'https://example.org/tables/id/customer/' || o_custkey AS o FROM orders JOIN customer ON o_custkey=c_custkey""")
+SELECT 'https://example.org/tables/id/orders/' || o_orderkey AS s, 'https://example.org/tables/v/o_custkey' AS p, 'https://example.org/tables/id/customer/' || o_custkey AS o FROM orders JOIN customer ON o_custkey=c_custkey
+UNION ALL SELECT 'https://example.org/tables/id/customer/' || c_custkey, 'https://example.org/tables/v/c_nationkey', 'https://example.org/tables/id/nation/' || c_nationkey FROM customer JOIN nation ON c_nationkey=n_nationkey
+UNION ALL SELECT 'https://example.org/tables/id/nation/' || n_nationkey, 'https://example.org/tables/v/n_regionkey', 'https://example.org/tables/id/region/' || n_regionkey FROM nation JOIN region ON n_regionkey=r_regionkey""")
 def graph_edges(spark, sf_dir):
-    # Instance edges whose two ends are typed, for the order references.
-    t = S.table_graph(spark, sf_dir)
-    nodes = G.node_types(t, []).select("node")
-    links = t.where(F.col("p") == VOCAB + "o_custkey").select("s", "o")
-    return (links.join(nodes.withColumnRenamed("node", "s"), "s", "left_semi").join(nodes.withColumnRenamed("node", "o"), "o", "left_semi").select("s", "o"))
+    return G.instance_edges(S.table_graph(spark, sf_dir), [])
 
 
 @query("merge_parallel_edges", """

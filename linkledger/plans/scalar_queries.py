@@ -244,17 +244,19 @@ def fact_status(spark, sf_dir):
 
 @query("merge_facts", "WITH " + S.RECORD_SQL + """
 SELECT record_id, CASE WHEN doc_id%3<>0 THEN 'Lab new' END AS location, NULL::VARCHAR AS rig, CASE WHEN doc_id%2=0 THEN 21.5::DOUBLE END AS temperature,
-  CASE WHEN doc_id%2=0 THEN 'stated in the lab form' ELSE 'unresolved' END AS procedure_status, 'unknown' AS agent,
-  CASE WHEN k NOT IN (30,31) THEN 'persistentIdentifier,accessURL,field_' || lang || ',' ELSE '' END || 'wallDimensions,testRig' || CASE WHEN doc_id%3=0 THEN ',location' ELSE '' END
+  CASE WHEN doc_id%2=0 THEN 'stated in the lab form' ELSE 'unresolved' END AS procedure_status, 'unknown' AS agent, CASE WHEN doc_id%5=0 THEN 4.13 END::DOUBLE AS width, CASE WHEN doc_id%5=0 THEN 416.0 END::DOUBLE AS depth,
+  CASE WHEN doc_id%7=0 THEN 'Reported as 2024/2025 in the lab form; exact date unknown' END AS period_note,
+  CASE WHEN k NOT IN (30,31) THEN 'persistentIdentifier,accessURL,field_' || lang || ',' ELSE '' END || CASE WHEN doc_id%5=0 THEN '' ELSE 'wallDimensions,' END || 'testRig' || CASE WHEN doc_id%3=0 THEN ',location' ELSE '' END
   || ',responsiblePerson' || CASE WHEN doc_id%2=1 THEN ',temperature' ELSE '' END || ',humidity,pressure' || CASE WHEN doc_id%2=1 THEN ',excitation' ELSE '' END || ',setupSketch,dataOrigin' AS absent FROM R""")
 def merge_facts(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents")
     n = F.col("doc_id")
-    lines = F.array_compact(F.array(F.when(n % 3 != 0, "Ort der Messung -> Lab new"), F.when(n % 2 == 0, "Raumtemperatur -> 21,5 °C"), F.when(n % 2 == 0, "Art der Anregung -> Hammer"), F.lit("Ende")))
+    lines = F.array_compact(F.array(F.when(n % 3 != 0, "Ort der Messung -> Lab new"), F.when(n % 2 == 0, "Raumtemperatur -> 21,5 °C"), F.when(n % 2 == 0, "Art der Anregung -> Hammer"),
+        F.when(n % 5 == 0, "Maße der Wand -> B*H = 4,13 m * 2,75 m = 11,4 m2; Dicke = 416 mm"), F.when(n % 7 == 0, "Datum der Messung -> 2024/2025"), F.lit("Ende")))
     facts = FA.wide_facts(d.select(F.format_string("rec-%07d", "doc_id").alias("doc_id"), lines.alias("lines")))
     merged = FA.merge_facts(S.flat_records(spark, sf_dir), facts)
     return merged.select("record_id", "lineage.location", "lineage.rig", F.try_element_at("lineage.environment", F.lit(1))["value"].alias("temperature"),
-                         "measurement.procedure_status", "lineage.agent", F.array_join("completeness.absent", ",").alias("absent"))
+                         "measurement.procedure_status", "lineage.agent", F.col("lineage.wall_width_m").alias("width"), F.col("lineage.wall_depth_mm").alias("depth"), "lineage.period_note", F.array_join("completeness.absent", ",").alias("absent"))
 
 
 @query("missing_field_union", """

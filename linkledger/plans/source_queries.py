@@ -16,7 +16,7 @@ from linkledger.sources import inventory as I
 from linkledger.sources.records import flatten_record, parse_records, record_rejects
 from linkledger.sources.registry import layers_from_triples, parse_ntriples, registry_from_triples, to_ntriples
 from linkledger.sources.results import parse_results
-from linkledger.sources.tables import VOCAB
+from linkledger.sources.tables import VOCAB, node_iri
 
 PATH = S.EXPORT_PATH_SQL
 
@@ -184,9 +184,13 @@ def scan_registry(spark, sf_dir):
 
 @query("pivot_registry", """
 SELECT 'https://example.org/tables/id/customer/' || c_custkey AS record_uri, c_name AS name, c_mktsegment AS segment, n_name AS nation, n_nationkey::VARCHAR AS component
-FROM customer LEFT JOIN nation ON c_nationkey=n_nationkey""")
+FROM customer LEFT JOIN nation ON c_nationkey=n_nationkey OR c_custkey%4=0 AND n_nationkey=(c_nationkey+1)%25""")
 def pivot_registry(spark, sf_dir):
+    # Every fourth customer points to a second nation.
     t = S.table_graph(spark, sf_dir)
+    c = S.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 4 == 0)
+    second = c.select(node_iri("customer", "c_custkey").alias("s"), F.lit(VOCAB + "c_nationkey").alias("p"), node_iri("nation", (F.col("c_nationkey") + 1) % 25).alias("o"))
+    t = t.select("s", "p", "o").unionByName(second)
     return registry_from_triples(t, VOCAB + "Customer", VOCAB + "c_nationkey", {"name": VOCAB + "c_name", "segment": VOCAB + "c_mktsegment"}, {"nation": VOCAB + "n_name"})
 
 

@@ -70,19 +70,21 @@ def to_ntriples(triples: DataFrame) -> DataFrame:
 
 def registry_from_triples(triples: DataFrame, record_class: str, component: str, record_fields: dict[str, str],
                           component_fields: dict[str, str]) -> DataFrame:
-    """One row per record: its own literals and those of the component it points to.
+    """One row per record and component: the record's own literals and those of each component it points to.
 
     ``component`` is the linking predicate; the field maps give output name -> predicate. Both pivots are
-    conditional aggregates over the statements needed, keyed by node.
+    conditional aggregates over the statements needed, keyed by node. A record without component has one row.
     """
     def pivot(fields: dict[str, str]) -> DataFrame:
         cells = [F.min(F.when(F.col("p") == p, F.col("o"))).alias(name) for name, p in fields.items()]
         return triples.where(F.col("p").isin(list(fields.values()))).groupBy("s").agg(*cells)
 
     records = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == record_class)).select(F.col("s").alias("record_uri")).distinct()
-    own = pivot({**record_fields, "__component": component})
+    own = pivot(record_fields)
+    links = triples.where(F.col("p") == component).select(F.col("s").alias("record_uri"), F.col("o").alias("__component")).distinct()
     part = pivot(component_fields).withColumnRenamed("s", "__part")
     return (records.join(own, F.col("record_uri") == F.col("s"), "left").drop("s")
+            .join(links, "record_uri", "left")
             .join(part, F.col("__component") == F.col("__part"), "left")
             .withColumn("component", local_name("__component")).drop("__component", "__part"))
 
