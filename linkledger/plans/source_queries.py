@@ -13,7 +13,7 @@ from linkledger.session import scratch_path
 from linkledger.sinks import writers
 from linkledger.sources import exports as X
 from linkledger.sources import inventory as I
-from linkledger.sources.records import flatten_record, parse_records, record_rejects
+from linkledger.sources.records import flatten_record, parse_records, record_rejects, records_to_triples
 from linkledger.sources.registry import layers_from_triples, parse_ntriples, registry_from_triples, to_ntriples
 from linkledger.sources.results import parse_results
 from linkledger.sources.tables import VOCAB, node_iri
@@ -114,7 +114,7 @@ SELECT record_id, 'ex:record/' || record_id AS id, 'data/' || doc_id || '.txt' A
   CASE WHEN k<>10 THEN '<https://example.org/ldv/id/frame/scan> POINT Z (' || (doc_id/8.0)::DOUBLE || ' ' || ((doc_id%100)/4.0)::DOUBLE || ' 0.5)' END AS wkt FROM R""")
 def nest(spark, sf_dir):
     # Cells of the nested document read back by their JSON path.
-    texts = S.record_texts(spark, sf_dir)
+    texts = S.rendered_records(spark, sf_dir)
     cell = lambda path: F.get_json_object("text", path)
     topic, link = "$['foaf:primaryTopic']", "$['dcterms:relation']"
     return texts.select(
@@ -144,8 +144,8 @@ SELECT p, n FROM (
   UNION ALL SELECT 'hasSubElement', count(*) FILTER (doc_id%2=1) FROM R
   UNION ALL SELECT 'identifier', sum(CASE WHEN doc_id%2=1 AND k<>17 THEN 2 ELSE 1 END) + sum(1 + 1 + doc_id%2) FROM R) t""".replace("SELECT p, n FROM", "SELECT p, n::BIGINT AS n FROM"))
 def to_triples(spark, sf_dir):
-    # Statement counts of predicates that depend on the defects.
-    t = S.record_triples(spark, sf_dir)
+    # Statement counts of predicates that depend on the defects, converted anew from the stored texts.
+    t = records_to_triples(S.record_texts(spark, sf_dir))
     names = {iri("rdf:first"): "csvw#first", iri("csvw:column"): "csvw#column", iri("dqv:value"): "dqv#value", iri("qudt:numericValue"): "numericValue",
              iri("bot:hasSubElement"): "hasSubElement", iri("dcterms:identifier"): "identifier", iri("ls:identifier"): "identifier"}
     lookup = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])

@@ -208,10 +208,15 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nest_record(flat_records(spark, sf_dir))
 
 
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record documents as stored texts, so that what reads them is not charged for making them."""
+    return written(spark, sf_dir, "record_texts", lambda: rendered_records(spark, sf_dir))
+
+
 def record_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of the record documents, written once.
 
