@@ -60,19 +60,23 @@ def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Space:
     """A latent-semantic space of labelled rows, and the rows' unit vectors and labels."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dimensions: int):
+    def __init__(self, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
+        self.axes, self.vectors, self.labels = axes, vectors, labels
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dimensions: int) -> Space:
+        """Terms weighted by rarity, and the largest singular directions of the rows' matrix."""
         matrix = np.zeros((len(rows), TERMS), np.float32)
         for i, (number, weight) in enumerate(rows):
             np.add.at(matrix[i], number, weight)
-        held = (matrix > 0).sum(axis=0)
-        self.idf = np.log((1 + len(rows)) / (1 + held)).astype(np.float32) + 0.1
-        matrix *= self.idf
+        held = np.count_nonzero(matrix, axis=0)
+        idf = np.log((1 + len(rows)) / (1 + held)).astype(np.float32) + np.float32(0.1)
+        matrix *= idf
         values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(float))
         top = np.argsort(values)[::-1][:dimensions]
         top = top[values[top] > 1e-6 * max(values.max(initial=0), 1e-12)]
-        self.axes = ((matrix.T @ vectors[:, top].astype(np.float32)) / np.sqrt(values[top])).astype(np.float32) * self.idf[:, None]
-        self.labels = np.array(labels, float)
-        self.vectors = self.unit(matrix @ (self.axes / self.idf[:, None]))
+        axes = (matrix.T @ vectors[:, top].astype(np.float32)) / np.sqrt(values[top]).astype(np.float32)
+        return cls(axes * idf[:, None], cls.unit(matrix @ axes), np.array(labels, float))
 
     @staticmethod
     def unit(rows: np.ndarray) -> np.ndarray:
@@ -110,19 +114,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, trains: Column, label: s
 
 
 def fit(sample: DataFrame, dimensions: int = DIMENSIONS) -> Space | None:
-    """The space of a bounded sample; None without labelled rows."""
+    """The space of a bounded sample, made in one task, which sends its axes and vectors; None without labelled rows."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [terms(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([n for n, _ in rows], pa.list_(pa.int64())), pa.array([w for _, w in rows], pa.list_(pa.float64()))],
-                names=["id", "label", "numbers", "weights"])
+                [batch.column("place"), batch.column("label"), pa.array([n for n, _ in rows], pa.list_(pa.int64())), pa.array([w for _, w in rows], pa.list_(pa.float64()))],
+                names=["place", "label", "numbers", "weights"])
 
-    id_type, label_type = (dict(sample.dtypes)[c] for c in ("id", "label"))
-    rows = sample.mapInArrow(read, f"id {id_type}, label {label_type}, numbers array<long>, weights array<double>").orderBy("id").toArrow().to_pylist()
-    if not rows:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            rows += [(n.values.to_numpy(), w.values.to_numpy()) for n, w in zip(batch.column("numbers"), batch.column("weights"))]
+            labels += batch.column("label").to_pylist()
+        if rows:
+            space = Space.of(rows, labels, dimensions)
+            parts = (space.axes, space.vectors, space.labels)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in parts], names=["axes", "vectors", "labels"])
+
+    given = sample.select(F.xxhash64("id").alias("place"), F.col("label").cast("int").alias("label"), "text")
+    rows = given.mapInArrow(read, "place long, label int, numbers array<long>, weights array<double>")
+    found = rows.repartition(1).sortWithinPartitions("place", "label").mapInArrow(make, "axes binary, vectors binary, labels binary").first()
+    if found is None:
         return None
-    return Space([(np.array(r["numbers"], np.int64), np.array(r["weights"])) for r in rows], [r["label"] for r in rows], dimensions)
+    axes, vectors, labels = (np.frombuffer(bytes(x), "<f4") for x in found)
+    return Space(axes.reshape(TERMS, -1), vectors.reshape(len(labels), -1), labels.astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
