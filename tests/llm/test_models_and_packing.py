@@ -44,7 +44,7 @@ def test_quality_votes_are_exact_neighbour_votes():
     random = np.random.default_rng(0)
     texts = [" ".join(random.choice(["good", "plain", "words", "here"] if i % 2 else ["BAD!!", "###", "$$$"], 30)).encode() for i in range(60)]
     rows = [quality.terms(t) for t in texts]
-    space = quality.Space(rows[:40], [i % 2 for i in range(40)], 8)
+    space = quality.Space.of(rows[:40], [i % 2 for i in range(40)], 8)
     got = space.vote(rows[40:], 5, 4)
     for row, score in zip(space.project(rows[40:]), got):
         cosines = space.vectors @ row
