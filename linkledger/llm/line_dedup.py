@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkledger.functions.staging import computed_once
-from linkledger.llm.common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, keyed, text_key
+from linkledger.llm.common import ASCII_LOWER, ASCII_SPACE, ASCII_UPPER, cut_lineage, keyed, text_key
 
 
 def line_key(line: Column) -> Column:
@@ -27,7 +27,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A key counts once per id and needs ``min_chars`` code points. All its lines go, except those in the largest id
     that holds it. The pair (key, id) is grouped before the key, so a line in a third of all documents is counted
-    from partial sums; the marking join has one row per key on one side, which lets a hot key be split.
+    from partial sums; the shared keys are stored, and the marking join, with one row per key on that side, can split
+    a key that very many lines have.
 
     Null or empty text: one empty line, kept. Null id: its lines count for no document and are never the kept ones.
     Rows that repeat an id are one document; each gets the same answer for the same text. Keys are compared by 128
@@ -35,12 +36,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     packed = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     lines = _lines(packed, min_chars)
-    shared = (
+    shared = cut_lineage(
         lines.where(F.col("id").isNotNull())
         .groupBy("k1", "k2", "id").agg(F.lit(1).alias("one"))
         .groupBy("k1", "k2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("k1", "k2", "keeper")
+        .select("k1", "k2", "keeper"),
+        "lines",
     )
     marked = (
         lines.join(shared, ["k1", "k2"])
