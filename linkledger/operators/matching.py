@@ -78,7 +78,7 @@ def band_candidates(walls: DataFrame, registry: DataFrame, tol: float = THICKNES
         "family", "m.t", "m.kind", "at", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("uri"))
     points = distinct.select("family", "t", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("at"), "n", "uri")
     line = points.unionByName(queries)
-    step = width or max(tol, 1e-9) * 64
+    step = width or max(tol, 1e-9)
     seen = F.when(F.col("kind") == 1, F.struct("t", "uri"))
     up = ordered(line.withColumn("seen", seen), ["family"], ["t", "kind", "at"], number_chunk("t", step),
                  running_sum={"below": "n"}, running_max={"lower": "seen"})

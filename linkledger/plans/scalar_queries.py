@@ -235,7 +235,7 @@ FROM (SELECT DISTINCT record_id FROM Q) d CROSS JOIN C LEFT JOIN P p ON p.record
 def fact_status(spark, sf_dir):
     catalog = {"absentFields": ("A", FA.STORED), "unresolvedFields": ("U", FA.STORED), "unitStatus": ("N", FA.STORED), "status": ("S", FA.READ_ONLY), "other": ("O", FA.STORED)}
     # The catalog is fixed, so one conditional aggregate per key builds the map of a document.
-    cells = [F.max(F.when(F.col("metric") == k, F.col("value"))).alias(k) for k in catalog]
+    cells = [F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("metric") == k, F.col("value")))), "; "), F.lit("")).alias(k) for k in catalog]
     wide = S.quality(spark, sf_dir).groupBy("record_id").agg(*cells)
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in catalog])
     found = wide.select(F.col("record_id").alias("doc_id"), F.map_from_entries(entries).alias("facts"))
