@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,11 @@ SEGMENTS, SEGMENT_BITS = 8, 8
 BUCKET_PART = 4096
 WIDE_WORDS = 8
 BANDS, BAND_ROWS = 16, 4
-#: Of 512 bits, about the mean distance at a similarity of 0.8 (77) and 1.6 standard deviations.
-WIDE_DISTANCE = 90
+#: Of 512 bits, chosen for candidates only: at a similarity of 0.8 the mean distance is 77 (96 for texts of 4 and 5
+#: shingles), the standard deviation 9.
+WIDE_DISTANCE = 128
+SIMILAR = (4, 5)  # texts are near copies if they share four fifths of their shingles or more
+TEXT_PART, TEXT_PART_BYTES = 1024, 1 << 24
 ODD = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
 
 
@@ -53,12 +56,27 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return majority(counts, n)
 
 
-def sketch(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
-    """(words, bands): a fingerprint of ``WIDE_WORDS`` 64-bit words, and one key per band of least shingle hashes."""
-    counts, n = np.zeros((WIDE_WORDS, 64), np.int64), 0
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in ascending order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of ``SIMILAR`` or more; two empty ones have."""
+    share, of = SIMILAR
+    few, many = sorted((len(one), len(other)))
+    if few * of < many * share:
+        return False
+    common = few + many - len(np.union1d(one, other))
+    return common * of >= (few + many - common) * share
+
+
+def sketch(shingles: np.ndarray) -> tuple[list[int], list[int]]:
+    """(words, bands) of a shingle set: a fingerprint of ``WIDE_WORDS`` 64-bit words, and one key per band of least hashes."""
+    counts = np.zeros((WIDE_WORDS, 64), np.int64)
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for hashes in shingle_hashes(text, shingle):
-        n += len(hashes)
+    for start in range(0, len(shingles), SHINGLES_AT_ONCE):
+        hashes = shingles[start:start + SHINGLES_AT_ONCE]
         for i in range(WIDE_WORDS):
             mixed = (hashes ^ (hashes >> np.uint64(29 + i))) * ODD[0, i]
             counts[i] += bit_counts(mixed ^ (mixed >> np.uint64(32)))
@@ -69,7 +87,7 @@ def sketch(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
     keys = np.zeros(BANDS, np.uint64)
     for row in least.reshape(BANDS, BAND_ROWS).T:
         keys = keys * ODD[0, 0] + row
-    return [majority(c, n) for c in counts], keys.tolist()
+    return [majority(c, len(shingles)) for c in counts], keys.tolist()
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -86,18 +104,25 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def with_sketches(docs: DataFrame, id_col: str, slot_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, slot, words, bands) of every row's whole text."""
+    """(id, slot, size, node, words, bands) of every row's whole text; ``node`` stands for its set of shingles, ``size`` is in bytes."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            nodes, found = [], []
+            for t in texts:
+                shingles = shingle_set(t, shingle)
+                nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+                found.append(sketch(shingles))
             lists = [pa.array([np.array(f[i], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("slot"), *lists], names=["id", "slot", "words", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("slot"), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), *lists],
+                names=["id", "slot", "size", "node", "words", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(slot_col).cast("long").alias("slot"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(read, f"id {kind}, slot long, words array<long>, bands array<long>")
+    return rows.mapInArrow(read, f"id {kind}, slot long, size long, node long, words array<long>, bands array<long>")
 
 
 def ring_mask(start: int, length: int) -> int:
@@ -150,72 +175,103 @@ def near(one: np.ndarray, others: np.ndarray, start: int | None, most: int) -> n
     return np.sort(np.concatenate(found))
 
 
-def spanning_links(members: np.ndarray, n_left: int, start: int | None, most: int) -> list[tuple[int, int]]:
+def spanning_links(members: np.ndarray, n_left: int, start: int | None, most: int, labels: np.ndarray | None = None,
+                   confirmed: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Index pairs that connect all that near pairs connect: fewer than members.
 
     With ``n_left`` only the first so many rows are compared with the others (two parts of a bucket), else all with all.
-    Members that are connected already are not compared again, so a group of near copies takes about linear time.
+    Members that are connected already, or have one label from the start, are not compared again, so a group of near copies
+    takes about linear time. With ``confirmed`` near pairs are candidates, and those it does not hold for link nothing.
     """
-    labels, out = np.arange(len(members)), []
+    labels, out = np.arange(len(members)) if labels is None else labels.copy(), []
     for i in range(n_left or len(members)):
         others = np.flatnonzero(labels != labels[i])
         others = others[others >= (n_left or i)]
         if not len(others):
             continue
         found = others[near(members[i], members[others], start, most)]
-        if len(found):
+        if confirmed:
+            links, met = [], set()
+            for x, label in zip(found.tolist(), labels[found].tolist()):
+                if label not in met and confirmed(i, x):
+                    met.add(label)
+                    links.append((i, x))
+            if links:
+                out += links
+                labels[np.isin(labels, list(met))] = labels[i]
+        elif len(found):
             met, first = np.unique(labels[found], return_index=True)
             out += [(i, int(found[x])) for x in first]
             labels[np.isin(labels, met)] = labels[i]
     return out
 
 
-def bucket_links(bucketed: DataFrame, starts: list[int | None], most: int, bucket_part: int = BUCKET_PART) -> DataFrame:
-    """(a, b): links between nodes that share a bucket and are within ``most`` bits, as many as connect them.
+def meeting_links(meeting: DataFrame, starts: list[int | None], most: int, shingle: int | None = None) -> DataFrame:
+    """(a, b): links of the rows (choice, bits, p, q, part, node, words) that meet under one (choice, bits, p, q).
 
-    ``bucketed`` has (choice, bits, node, words): ``choice`` numbers the way of bucketing, ``starts`` gives the start of its
-    chains. Buckets of one are dropped. A larger one is dealt by hash in parts of about ``bucket_part``, and every two parts
-    meet in a task of their own, so no group grows with the data; a task gives fewer links than members, never all pairs.
-    Bucket sizes are added up before they are shuffled and stored, so that the join that brings them back can split a
-    bucket with very many members.
+    With ``shingle`` the rows have their ``text`` and the ``root`` they are linked to already, and a pair is linked only if
+    its shingle sets are similar.
     """
-    bounded_batches(bucketed.sparkSession)
-    sizes = bucketed.groupBy("choice", "bits").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    crowded = cut_lineage(sizes.select("choice", "bits", F.ceil(F.col("members") / bucket_part).cast("int").alias("parts")), "buckets")
-    placed = bucketed.join(crowded, ["choice", "bits"]).withColumn("part", F.pmod(F.xxhash64("node", "choice"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    meeting = placed.select("choice", "bits", "node", "words", "part", other.alias("other")).select(
-        "choice", "bits", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "words")
+    columns = ["choice", "bits", "p", "q", "part", "node", "words"] + (["root", "text"] if shingle else [])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts, nodes, words = None, [], [], []
+        group, rows = None, []
 
         def flush() -> list[tuple[int, int]]:
-            if len(nodes) < 2:
+            if len(rows) < 2:
                 return []
             choice, _, p, q = group
-            members = np.array(words, np.int64).view(np.uint64)
-            return [(nodes[i], nodes[j]) for i, j in spanning_links(members, 0 if p == q else parts.count(p), starts[choice], most)]
+            parts, nodes, words, *rest = zip(*rows)
+            members, labels, confirmed = np.array(words, np.int64).view(np.uint64), None, None
+            if shingle:
+                labels, sets = np.unique(rest[0], return_inverse=True)[1], {}
+
+                def shingles(i: int) -> np.ndarray:
+                    if i not in sets:
+                        sets[i] = shingle_set(rest[1][i], shingle)
+                    return sets[i]
+
+                def confirmed(i: int, j: int) -> bool:
+                    return similar(shingles(i), shingles(j))
+
+            return [(nodes[i], nodes[j]) for i, j in spanning_links(members, 0 if p == q else parts.count(p), starts[choice], most, labels, confirmed)]
 
         def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             found = []
-            for choice, bits, p, q, part, node, row in zip(*(batch.column(c).to_pylist() for c in ("choice", "bits", "p", "q", "part", "node", "words"))):
-                if (choice, bits, p, q) != group:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if row[:4] != group:
                     found += flush()
-                    group, parts, nodes, words = (choice, bits, p, q), [], [], []
-                parts.append(part)
-                nodes.append(node)
-                words.append(row)
+                    group, rows = row[:4], []
+                rows.append(row[4:])
             yield links(found)
         yield links(flush())
 
-    dealt = meeting.repartition("choice", "bits", "p", "q").sortWithinPartitions("choice", "bits", "p", "q", "part", "node")
+    dealt = meeting.select(*columns).repartition("choice", "bits", "p", "q").sortWithinPartitions("choice", "bits", "p", "q", "part", "node")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
+def bucket_links(bucketed: DataFrame, starts: list[int | None], most: int, bucket_part: int = BUCKET_PART) -> DataFrame:
+    """(a, b): links between nodes that share a bucket and are within ``most`` bits, as many as connect them.
+
+    ``bucketed`` has (choice, bits, node, words): ``choice`` numbers the way of bucketing, ``starts`` gives the start of its
+    chains. Buckets of one are dropped. A larger one is dealt by hash in parts of about ``bucket_part``, and every two parts
+    meet in a task of their own, so no group grows with the data; a task gives fewer links than members, never all pairs.
+    Bucket sizes are added up before they are shuffled and stored, so that the join that brings them back can split a
+    bucket with very many members.
+    """
+    bounded_batches(bucketed.sparkSession)
+    sizes = bucketed.groupBy("choice", "bits").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    crowded = cut_lineage(sizes.select("choice", "bits", F.ceil(F.col("members") / bucket_part).cast("int").alias("parts")), "buckets")
+    placed = bucketed.join(crowded, ["choice", "bits"]).withColumn("part", F.pmod(F.xxhash64("node", "choice"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    meeting = placed.select("choice", "bits", "node", "words", "part", other.alias("other")).select(
+        "choice", "bits", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "words")
+    return meeting_links(meeting, starts, most)
+
+
 def fingerprint_links(fingerprints: DataFrame, max_distance: int = 3, bucket_part: int = BUCKET_PART) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints ``fp`` exactly as all pairs within ``max_distance`` (up to 3) do.
 
@@ -257,21 +313,60 @@ def hex_digits(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp) if isinstance(fp, str) else fp), 16, "0"))
 
 
-def similar_documents(docs: DataFrame, id_col: str, slot_col: str, text_col: str, shingle: int = 5, most: int = WIDE_DISTANCE) -> DataFrame:
-    """(id, slot, node, root, component): rows grouped by links between texts of about 0.8 similarity or more.
+def similar_links(sketches: DataFrame, texts: DataFrame, shingle: int, most: int = WIDE_DISTANCE, part: int = TEXT_PART, part_bytes: int = TEXT_PART_BYTES) -> DataFrame:
+    """(a, b): links between nodes of similar shingle sets that share a band, as many as connect them.
 
-    At that similarity fingerprints of 64 bits differ in 5 to 18 of them, far beyond any chain of equal bits that would
-    still pick out few pairs. So texts are compared by 512 bits, by the same chains, with ``most`` of them as budget; pairs
-    are looked up by 16 bands of four least shingle hashes, which two texts of similarity 0.8 share with a probability of
-    0.9998, and which a passage that many texts hold does not fill. Rows of one fingerprint are one node.
+    ``sketches`` has (node, slot, size, words, bands), one row per node, ``texts`` the text of every slot. Members of a bucket
+    are candidates within ``most`` bits; the task that holds both texts compares their shingle sets. Of small buckets with the
+    same members one is compared. Larger ones are dealt by hash in parts of ``part`` texts and ``part_bytes`` at most about,
+    another way for each band, and first the members of each part are linked. Then a bucket's parts meet, without the pairs
+    that are linked by now: members outside its largest group meet all others, that group's own do not, so a bucket full
+    of near copies is not sent again.
+    """
+    bounded_batches(sketches.sparkSession)
+    starts: list[int | None] = [None] * BANDS
+    bucketed = sketches.select("node", "slot", "size", "words", F.posexplode("bands").alias("choice", "bits"))
+    sizes = bucketed.groupBy("choice", "bits").agg(
+        F.count("*").alias("members"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where(F.col("members") > 1)
+    parts = F.greatest(F.ceil(F.col("members") / part), F.ceil(F.col("bytes") / part_bytes), F.lit(1)).cast("int")
+    sized = sizes.withColumn("parts", parts).groupBy("members", "x", "y", "parts", F.when(F.col("parts") > 1, F.col("choice")).alias("own"))
+    crowded = cut_lineage(sized.agg(F.min(F.struct("choice", "bits")).alias("first")).select("first.choice", "first.bits", "members", "parts"), "buckets")
+    placed = cut_lineage(bucketed.join(crowded, ["choice", "bits"]).withColumn("part", F.pmod(F.xxhash64("node", "choice"), F.col("parts")).cast("int")), "members")
+    own = placed.select("choice", "bits", F.col("part").alias("p"), F.col("part").alias("q"), "part", "slot", "node", "words", F.col("node").alias("root"))
+    links = cut_lineage(meeting_links(own.join(texts, "slot"), starts, most, shingle), "part-links")
+    several = crowded.where(F.col("parts") > 1)
+    if several.isEmpty():
+        return links
+    rest = placed.where(F.col("parts") > 1).join(components(links).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").drop("linked")
+    rest = cut_lineage(rest.withColumn("root", F.coalesce("root", "node")), "linked-members")
+    groups = rest.groupBy("choice", "bits", "root").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("choice", "bits").agg(F.max(F.struct("n", "root")).alias("top")).join(several, ["choice", "bits"]).where(F.col("members") > F.col("top.n"))
+    few = F.ceil((F.col("members") - F.col("top.n")) * F.col("parts") / F.col("members")).cast("int")
+    shapes = cut_lineage(largest.select("choice", "bits", F.col("top.root").alias("top"), few.alias("few")), "groups")
+    met = rest.join(shapes, ["choice", "bits"])
+    inside = F.col("root") == F.col("top")
+    met = met.withColumn("part", F.when(inside, F.col("few") + F.col("part")).otherwise(F.pmod(F.xxhash64("node", "choice"), F.col("few")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(inside, 0).otherwise(F.col("parts"))))
+    meeting = met.withColumn("other", other).select(
+        "choice", "bits", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "slot", "node", "words", "root")
+    return links.union(meeting_links(meeting.join(texts, "slot"), starts, most, shingle))
+
+
+def similar_documents(docs: DataFrame, id_col: str, slot_col: str, text_col: str, shingle: int = 5, most: int = WIDE_DISTANCE, part: int = TEXT_PART) -> DataFrame:
+    """(id, slot, node, root, component): rows grouped by links between texts that share 0.8 of their distinct shingles or more.
+
+    Pairs are looked up by 16 bands of four least shingle hashes, which two texts of similarity 0.8 share with a probability
+    of 0.9998, and which a passage that many texts hold does not fill. Pairs within ``most`` of 512 bits, by the chains of
+    the 64-bit fingerprints, are candidates, and each is confirmed by the Jaccard similarity of its shingle sets. Rows of one
+    shingle set are one node.
 
     Null and empty texts and texts without words are copies of each other; a null id counts as the largest.
     """
-    stored = cut_lineage(with_sketches(docs, id_col, slot_col, text_col, shingle).withColumn("node", F.xxhash64("words")), "sketches")
+    stored = cut_lineage(with_sketches(docs, id_col, slot_col, text_col, shingle), "sketches")
     nodes = stored.groupBy("node").agg(F.min("id").alias("least"))
-    distinct = stored.select("node", "words", "bands").dropDuplicates(["node"])
-    links = bucket_links(distinct.select("node", "words", F.posexplode("bands").alias("choice", "bits")), [None] * BANDS, most)
-    return _components_of(stored, nodes, links).select("id", "slot", "node", "root", "component")
+    distinct = stored.select("node", "slot", "size", "words", "bands").dropDuplicates(["node"])
+    texts = docs.select(F.col(slot_col).cast("long").alias("slot"), text_bytes(text_col).alias("text"))
+    return _components_of(stored, nodes, similar_links(distinct, texts, shingle, most, part)).select("id", "slot", "node", "root", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = WIDE_DISTANCE) -> DataFrame:

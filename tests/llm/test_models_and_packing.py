@@ -258,6 +258,15 @@ def test_pipeline_against_plain_versions(spark, documents):
     assert made <= least * 1.02 + 2
 
 
+def test_pipeline_drops_near_copies_of_four_fifths_only(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (docs, corpus_pipeline.dedup_documents(spark, docs, SF_DIR)))
+    runs = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for i, t in before.items()}
+    for i in before:
+        alike = [j for j in before if j != i and 5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j])]
+        assert not any(j in after for j in alike) if i in after else alike
+
+
 def test_pipeline_of_ragged_and_empty_tables(spark, tmp_path):
     rows = [(1, "one text here", "en", None, 3), (None, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "one text here", "de", "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"

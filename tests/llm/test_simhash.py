@@ -113,3 +113,43 @@ def test_one_of_each_group_stays(make_docs):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(30), *range(300, 310), 900]
+
+
+def plain_shingles(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def shared_pairs():
+    """Pairs of texts below, at and above a similarity of 0.8, with repeated lines, short ones, and a chain in one group."""
+    random = np.random.default_rng(7)
+    fresh = iter(f"w{i}" for i in random.permutation(200_000))
+    texts = []
+    for similarity in (0.66, 0.7, 0.74, 0.76, 0.78, 0.79, 0.8, 0.81, 0.83, 0.86, 0.9):
+        for _ in range(6):
+            words = [next(fresh) for _ in range(404)]
+            tail = round(400 * (1 - similarity) / (1 + similarity))
+            texts += [" ".join(words), " ".join(words[:404 - tail] + [next(fresh) for _ in range(tail)])]
+    line = [next(fresh) for _ in range(20)]
+    texts += [" ".join(line * 60 + [next(fresh) for _ in range(60)]) for _ in range(4)]  # one line makes most of the shingles, not of their set
+    words = [next(fresh) for _ in range(304)]
+    texts += [" ".join(words), " ".join(words + words[:40] * 20)]
+    for n in (8, 9, 12):
+        words = [next(fresh) for _ in range(n + 1)]
+        texts += [" ".join(words[:n]), " ".join(words)]
+    words = [next(fresh) for _ in range(404)]
+    texts += [" ".join(words[:404 - i] + [next(fresh) for _ in range(i)]) for i in range(0, 60, 2)]
+    return texts
+
+
+@pytest.mark.parametrize("part", [4, 1024])
+def test_near_copies_share_four_fifths_of_their_shingles(make_docs, part):
+    texts = shared_pairs()
+    docs = make_docs(list(enumerate(texts))).withColumn("slot", simhash.F.col("doc_id"))
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(docs, "doc_id", "slot", "text", part=part).collect()}
+    groups = plain_groups([plain_shingles(t) for t in texts], alike)
+    assert got == {i: groups.index(g) for i, g in enumerate(groups)}
