@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkledger.llm.common import bounded_batches, cut_lineage
 
 SCALE = 256
-LARGEST = float(1 << 27)
+LONGEST = (1 << 63) - 1  # stands for every score of that size or more until the end
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 1024
 FOUND = "query_id long, vec_id long, score long"
@@ -21,12 +21,12 @@ FOUND = "query_id long, vec_id long, score long"
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): every component as floor(256 * x); vectors that are null or hold null, NaN or infinity are left out.
 
-    Components beyond 2**27 in size after scaling are held at that bound, which keeps every product of two vectors
-    of up to 512 components within a long.
+    A component that does not fit a long after scaling is an error.
     """
     x = F.col(vector_col)
     usable = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    scaled = F.transform(x, lambda e: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), e.cast("double") * SCALE))).cast("long"))
+    beyond = F.raise_error(F.lit(f"a component times {SCALE} does not fit a long")).cast("long")
+    scaled = F.transform(x, lambda e: F.when(F.abs(e.cast("double") * SCALE) < float(1 << 63), F.floor(e.cast("double") * SCALE).cast("long")).otherwise(beyond))
     return rows.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"))
 
 
@@ -45,9 +45,22 @@ def segment_levels(matrix: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
+def with_slack(vectors: np.ndarray) -> list[np.ndarray]:
+    """The levels with a column more, by which a product of two rows grows by 1e-9 of both lengths, for rounding."""
+    matrix = vectors.astype(float)
+    more = np.sqrt(1e-9) * np.linalg.norm(matrix, axis=1, keepdims=True)
+    return [np.hstack([level, more]) for level in segment_levels(matrix)]
+
+
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products as whole numbers."""
-    return np.einsum("ij,ij->i", a, b)
+    """Row-wise inner products as whole numbers; those beyond a long are ``LONGEST`` or its negative."""
+    out = np.einsum("ij,ij->i", a, b)
+    most = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (a, b)]
+    if most[0] * most[1] * a.shape[1] >= 1 << 62:
+        for i in np.flatnonzero(np.einsum("ij,ij->i", np.abs(a).astype(float), np.abs(b).astype(float)) >= float(1 << 62)):
+            product = sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist()))
+            out[i] = max(-LONGEST, min(LONGEST, product))
+    return out
 
 
 def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -59,7 +72,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.levels = segment_levels(vectors.astype(float))
+        self.levels = with_slack(vectors)
         self.best = np.empty((0, 3), np.int64)
         self.least = np.full(len(ids), -np.inf)
 
@@ -67,11 +80,11 @@ class Search:
         """Take a block of candidates: lower bounds of the distance prune pairs level by level, survivors get exact scores.
 
         The squared distance is |q|^2 + |c|^2 - 2 q.c, so its lower bound and an upper bound of q.c prune alike; the
-        latter is compared with the k-th best score, with slack for rounding. Equal scores survive, for ties.
+        latter is compared with the k-th best score, with slack for rounding by the lengths of both. Equal scores survive, for ties.
         """
-        candidates = segment_levels(vectors.astype(float))
+        candidates = with_slack(vectors)
         bound = self.levels[0] @ candidates[0].T
-        slack = 1e-9 * np.abs(bound).max(initial=0) + 1e-3
+        slack = 1e-3
         floor = self.least
         if not np.isfinite(floor).all() and len(ids) >= self.k + 1:  # a first threshold: exact scores of the k + 1 most promising
             top = np.argpartition(-bound, self.k, axis=1)[:, :self.k + 1]
@@ -111,7 +124,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, query_block: in
     searched against all candidates where they are read; a task keeps ``k`` rows per query and the last step ranks
     those. Ties go to the smaller vec_id. A row with the query's own id is no candidate; rows that repeat an id are
     ranked each. Vectors of different length compare as if the shorter were filled up with zeros. Without candidates or
-    queries the result is empty.
+    queries the result is empty. Scores are exact; one among the results that does not fit a long is an error.
     """
     spark = candidates.sparkSession
     bounded_batches(spark)
@@ -149,4 +162,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, query_block: in
     for part in parts[1:]:
         found = found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    beyond = F.raise_error(F.lit("a score does not fit a long")).cast("long")
+    score = F.when(F.col("score").between(-LONGEST + 1, LONGEST - 1), F.col("score")).otherwise(beyond)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

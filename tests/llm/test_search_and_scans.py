@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pytest
 from ragged import make_docs, ragged_pairs  # noqa: F401
 from linkledger.llm import decontamination, license_scan, vector_search
 from pyspark.sql import functions as F
@@ -38,6 +39,19 @@ def test_top_k_with_ties_and_unusable_vectors(spark):
     assert vector_search.top_k(none, none).collect() == [] and vector_search.top_k(vectors, none).collect() == [] and vector_search.top_k(none, queries).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    random = np.random.default_rng(4)
+    rows = [(i, random.normal(0, 0.1, 24).astype(np.float32).tolist()) for i in range(100)]
+    rows += [(101, [3e12] + [0.0] * 23), (102, [-3e12] + [0.0] * 23), (103, [6e5] * 24), (104, [7e5] * 24), (150, [0.0] + [5e6] * 23)]
+    vectors = vector_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, 5)
+    for large in (3e12, 1e20):
+        vectors = vector_search.integer_vectors(spark.createDataFrame([(0, [large]), (1, [large])], "vec_id long, embedding array<float>"))
+        with pytest.raises(Exception, match="does not fit a long"):
+            vector_search.top_k(vectors, vectors).collect()
+
+
 def test_bounds_never_undercut_the_product():
     random = np.random.default_rng(8)
     a, b = random.integers(-300, 300, (40, 50)), random.integers(-300, 300, (60, 50))
