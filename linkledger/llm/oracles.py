@@ -76,10 +76,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(count(license) AS BIGINT)
 FROM docs LEFT JOIN held USING (r) GROUP BY r, doc_id, w
 """
 
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+used AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term FROM used GROUP BY ALL HAVING count(*) >= 3),
+cells AS (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM used SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+lang_cells AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL),
+lang_totals AS (SELECT lang, sum(total) AS total FROM totals GROUP BY ALL),
+probs AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0)::HUGEINT + 1)) // (total + v)::HUGEINT AS p
+  FROM totals JOIN sizes USING (lang) JOIN kept USING (lang) LEFT JOIN cells USING (lang, source, term)),
+lang_probs AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n::HUGEINT + 1)) // (total + v)::HUGEINT AS q FROM lang_cells JOIN lang_totals USING (lang) JOIN sizes USING (lang)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM probs JOIN lang_probs USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLES = {
     "op4_benchmark_decontamination": OP4,
     "op5_line_dedup": OP5,
     "op6_substring_dedup": OP6,
     "op9_license_scan": OP9,
     "op7_exact_top_k": OP7,
+    "op13_source_divergence": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm import brown, decontamination, license_scan, line_dedup, packing, quality, simhash, substring_dedup, vector_search, warc
+from linkledger.llm import brown, decontamination, divergence, license_scan, line_dedup, packing, quality, simhash, substring_dedup, vector_search, warc
 from linkledger.llm.common import fold, read_table
 from linkledger.llm.oracles import ORACLES
 
@@ -84,3 +84,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_divergence(read_table(spark, sf_dir, "documents"))
