@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm import brown, decontamination, divergence, license_scan, line_dedup, packing, quality, simhash, substring_dedup, vector_search, warc
+from linkledger.llm import brown, conversations, decontamination, divergence, license_scan, line_dedup, packing, quality, simhash, substring_dedup, vector_search, warc
 from linkledger.llm.common import fold, read_table
 from linkledger.llm.oracles import ORACLES
 
@@ -86,6 +86,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "conversations")
+    found = conversations.repair_reports(conversations.damage(given))
+    # Conversations of which no turn is left have a row of zeros.
+    every = given.select("conv_id").distinct()
+    reports = every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left").drop("conv")
+    zeros = reports.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill("", ["audit"])
+    return zeros.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
 @_query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_divergence(read_table(spark, sf_dir, "documents"))
