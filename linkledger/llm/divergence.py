@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from linkledger.llm.common import bounded_batches, cut_lineage, text_bytes
 LEAST_DOCS = 3
 TOP_TERMS = 200
 #: Cells (term, source) that a task holds before it spills them.
-STRIPE_CELLS = 1 << 18
+STRIPE_CELLS = 1 << 20
+#: Key of a stripe that holds the number of documents.
+DOCS = -1
 SCALE = 1_000_000_000
 #: Bytes of a term: letters, A-Z in lower case, and all of multi-byte characters; other bytes become spaces.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -24,41 +28,51 @@ SAFE_COUNT = (1 << 63) // SCALE - 2
 CELL_SCHEMA = "lang string, term binary, source string, n long, docs long"
 
 
-def stripe_cells(rows: Iterator[tuple[str, str, bytes]], limit: int = STRIPE_CELLS) -> Iterator[list[tuple[str, bytes, str, int, int]]]:
-    """Fold whole texts into stripes, term to (documents, count per source), and give them as lists of cells.
+def fold_stripes(rows: Iterator[tuple[str, str, bytes]], limit: int = STRIPE_CELLS) -> Iterator[tuple[str, list[bytes], list[dict[int, int]], list[str]]]:
+    """Fold whole texts into stripes, term to documents (under ``DOCS``) and count per source number.
 
-    Stripes are given away whenever they hold ``limit`` cells, so memory is bounded by that and one text. The documents
-    of a stripe stand on its first cell only.
+    Gives (language, terms, stripes, sources) whenever ``limit`` cells are held, so memory is bounded by that and one text.
     """
-    stripes: dict[str, dict[bytes, list]] = defaultdict(dict)
+    languages: dict[str, dict[bytes, dict[int, int]]] = defaultdict(dict)
+    numbers: dict[str, int] = {}
     held = 0
 
-    def spilled() -> list[tuple[str, bytes, str, int, int]]:
-        cells = [(lang, term, source, n, docs if i == 0 else 0)
-                 for lang, terms in stripes.items() for term, (docs, counts) in terms.items() for i, (source, n) in enumerate(counts.items())]
-        stripes.clear()
-        return cells
+    def spilled() -> Iterator[tuple[str, list[bytes], list[dict[int, int]], list[str]]]:
+        for lang, terms in languages.items():
+            yield lang, list(terms), list(terms.values()), list(numbers)
+        languages.clear()
 
     for lang, source, text in rows:
-        terms = stripes[lang]
+        terms, number = languages[lang], numbers.setdefault(source, len(numbers))
         for term, n in Counter(text.translate(TERM_BYTES).split()).items():
             stripe = terms.get(term)
             if stripe is None:
-                terms[term] = [1, {source: n}]
+                terms[term] = {DOCS: 1, number: n}
                 held += 1
                 continue
-            stripe[0] += 1
-            counts = stripe[1]
-            if source in counts:
-                counts[source] += n
+            stripe[DOCS] += 1
+            if number in stripe:
+                stripe[number] += n
             else:
-                counts[source] = n
+                stripe[number] = n
                 held += 1
         if held >= limit:
-            yield spilled()
+            yield from spilled()
+            numbers.clear()
             held = 0
-    if held:
-        yield spilled()
+    yield from spilled()
+
+
+def stripe_cells(lang: str, terms: list[bytes], stripes: list[dict[int, int]], sources: list[str]) -> pa.RecordBatch:
+    """One row per (term, source); the documents of a term stand on its first row, the others have 0."""
+    numbers = np.fromiter(chain.from_iterable(stripes), np.int64)
+    values = np.fromiter(chain.from_iterable(s.values() for s in stripes), np.int64)
+    heads = numbers == DOCS
+    of, cells = np.cumsum(heads) - 1, ~heads
+    docs = np.where(heads[:-1], values[:-1], 0)[cells[1:]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(docs), pa.string()), pa.array(terms, pa.binary()).take(pa.array(of[cells])), pa.array(sources, pa.string()).take(pa.array(numbers[cells])),
+         pa.array(values[cells]), pa.array(docs)], names=["lang", "term", "source", "n", "docs"])
 
 
 def merged_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -71,11 +85,9 @@ def merged_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))))
-        for cells in stripe_cells(rows):
-            for at in range(0, len(cells), 1 << 15):
-                columns = zip(*cells[at:at + (1 << 15)])
-                kinds = (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "source", "n", "docs"])
+        for lang, terms, stripes, sources in fold_stripes(rows):
+            for at in range(0, len(terms), 1 << 14):
+                yield stripe_cells(lang, terms[at:at + (1 << 14)], stripes[at:at + (1 << 14)], sources)
 
     cells = given.mapInArrow(fold, CELL_SCHEMA).withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
     # Both groupings find their rows together already.
@@ -140,35 +152,31 @@ def _pairs(kept: DataFrame, langs: DataFrame) -> DataFrame:
     # Counts of all sources of the language in the order of their names, absent ones as 0.
     held = F.map_from_entries("stripe")
     dense = kept.join(langs, "lang").select(
-        "lang", "terms", F.transform("sources", lambda s: s["source"]).alias("names"), F.transform("sources", lambda s: s["used"]).alias("used"),
+        "lang", F.transform("sources", lambda s: s["used"] + F.col("terms")).alias("totals"),
         F.transform("sources", lambda s: F.coalesce(F.element_at(held, s["source"]), F.lit(0))).alias("counts"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        names: dict[str, list[str]] = {}
         for batch in batches:
-            of = np.array(batch.column("lang").to_pylist(), object)
-            for lang in dict.fromkeys(of):
-                part = batch.take(pa.array(np.flatnonzero(of == lang)))
-                first = part.slice(0, 1)
-                names.setdefault(lang, first.column("names").to_pylist()[0])
-                totals = np.array(first.column("used").to_pylist()[0], np.int64) + first.column("terms")[0].as_py()
+            for lang in batch.column("lang").unique():
+                part = batch.filter(pc.equal(batch.column("lang"), lang))
+                totals = part.column("totals")[0].values.to_numpy()
                 counts = part.column("counts").flatten().to_numpy().reshape(-1, len(totals))
-                sums[lang] = sums.get(lang, 0) + stripe_sums(counts, totals)
+                sums[lang.as_py()] = sums.get(lang.as_py(), 0) + stripe_sums(counts, totals)
         for lang, matrix in sums.items():
-            for i, source in enumerate(names[lang]):
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(matrix), "source": [source] * len(matrix), "item": names[lang], "value": matrix[i]})
+            for i, row in enumerate(matrix):
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(row), "i": [i] * len(row), "j": range(len(row)), "value": row})
 
-    parts = dense.mapInArrow(emit, "lang string, source string, item string, value long")
-    value = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    every = langs.select("lang", F.explode("sources.source").alias("source"), F.col("sources.source").alias("items"))
-    every = every.select("lang", "source", F.explode("items").alias("item")).where("item <> source")
-    return _ranked(every.join(value, ["lang", "source", "item"], "left").na.fill(0, ["value"]), "pair")
+    value = dense.mapInArrow(emit, "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    every = langs.select("lang", F.posexplode("sources.source").alias("i", "source"), F.col("sources.source").alias("items"))
+    every = every.select("lang", "i", "source", F.posexplode("items").alias("j", "item")).where("i <> j")
+    return _ranked(every.join(value, ["lang", "i", "j"], "left").na.fill(0, ["value"]).drop("i", "j"), "pair")
 
 
 def _terms(kept: DataFrame, sources: DataFrame, langs: DataFrame, top_terms: int) -> DataFrame:
     def probability(count: str, total: str) -> Column:
-        return F.expr(f"1 + (CAST({SCALE} AS DECIMAL(10, 0)) * CAST({count} + 1 AS DECIMAL(20, 0))) div CAST({total} + terms AS DECIMAL(20, 0))")
+        exact = f"(CAST({SCALE} AS DECIMAL(10, 0)) * CAST({count} + 1 AS DECIMAL(20, 0))) div CAST({total} + terms AS DECIMAL(20, 0))"
+        return F.expr(f"1 + CASE WHEN {count} <= {SAFE_COUNT} THEN ({SCALE} * ({count} + 1)) div ({total} + terms) ELSE {exact} END")
 
     in_lang = F.aggregate("stripe", F.lit(0).cast("long"), lambda n, cell: n + cell["n"])
     cells = kept.select("lang", F.col("term").alias("item"), in_lang.alias("lang_n"), F.explode("stripe").alias("cell"))
