@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm import brown, conversations, decontamination, divergence, license_scan, line_dedup, packing, quality, simhash, substring_dedup, vector_search, warc
+from linkledger.llm import brown, conversations, decontamination, divergence, license_scan, line_dedup, packing, quality, simhash, substring_dedup, toxicity, vector_search, warc
 from linkledger.llm.common import fold, read_table
 from linkledger.llm.oracles import ORACLES
 
@@ -86,6 +86,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, labels, trains=fold("doc_id", 5) != 0)
+    return scored.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read_table(spark, sf_dir, "conversations")
