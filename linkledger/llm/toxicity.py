@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -15,15 +16,21 @@ from pyspark.sql import functions as F
 from linkledger.llm.common import bounded_batches, cut_lineage, keyed
 
 #: Subsequences of ORDER characters that span at most SPAN; each character passed over weighs DECAY.
-ORDER, SPAN, DECAY = 3, 6, 0.7
+ORDER, SPAN, DECAY = 3, 5, 0.7
 BUCKETS = 1 << 20
 #: Longest piece that the kernel compares; longer words are read in overlapping windows of this many characters.
 LONGEST, STEP = 24, 8
-LANDMARKS = 192
+LANDMARKS = 448
+#: Words of which copies with a strange character inside are learnt, too.
+GAPPED, GAPPED_WEIGHT = 200, 1.0
 SAMPLE_PER_LABEL = 4000
 SAMPLE_SUSPECTS = 4096
-SAMPLE_WORDS = 40_000
-ROUNDS = 10
+SAMPLE_WORDS = 30_000
+SAMPLE_FREQUENT = 5000
+SAMPLE_HARD = 10_000
+ROUNDS = 2
+#: What a margin's shortfall costs against the length of the normal.
+COST = 10.0
 #: A word is taken for toxic at first if the logarithm of its odds, less one standard error, is this high.
 CERTAIN = 3.0
 CACHED_WORDS = 1 << 18
@@ -148,12 +155,13 @@ def support_vector_machine(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray)
     def loss(f: np.ndarray, w: np.ndarray) -> float:
         return 0.5 * w @ w + 0.5 * ((toxic * np.maximum(0, 1 - f) ** 2).sum() + (clean * np.maximum(0, 1 + f) ** 2).sum())
 
+    toxic, clean = toxic * COST, clean * COST
     least = loss(at, normal)
     for _ in range(60):
         up, down = toxic * (at < 1), clean * (at > -1)
         active = np.flatnonzero(up + down)
-        part = z[active].astype(float)
-        step = np.linalg.solve((part.T * (up + down)[active]) @ part + np.eye(z.shape[1]), part.T @ (up - down)[active]) - normal
+        part, weight = z[active], (up + down)[active].astype(np.float32)
+        step = np.linalg.solve(((part.T * weight) @ part).astype(float) + np.eye(z.shape[1]), part.T.astype(float) @ (up - down)[active]) - normal
         along, size = z @ step, 1.0
         while (found := loss(at + size * along, normal + size * step)) >= least and size > 1e-3:
             size /= 2
@@ -163,16 +171,20 @@ def support_vector_machine(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray)
     return normal
 
 
-def gapped(word: str) -> list[str]:
-    """The word with a strange or doubled character inside, at each place between its characters."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i - 1])] if 4 <= len(word) <= LONGEST - 1 else []
+def gapped(word: str, pool: str) -> list[str]:
+    """The word with one character more at each place inside: one from ``pool``, as common there as in clean texts, so that no character itself means anything, or a doubled one."""
+    if not 4 <= len(word) < LONGEST or not pool:
+        return []
+    strange = [pool[zlib.crc32(f"{i} {word}".encode()) % len(pool)] for i in range(len(word))]
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (strange[i], word[i - 1])]
 
 
 def fit_words(given: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
     """(table, bias) from words and how many sentences of toxic and of clean texts hold them; the last word is '' with all sentences.
 
     Which words make a toxic text toxic is not labelled. Words far too frequent in toxic texts start as toxic, words of
-    clean texts as clean; others teach nothing. After each fit the suspects beyond the margin join, those beyond the other leave, until none moves.
+    clean texts as clean; others teach nothing. After each fit words hardly known from clean texts join the toxic ones if they lie
+    far on their side, and leave them if they no longer do, until none moves.
     """
     every = given.index("")
     totals = toxic[every], clean[every]
@@ -182,21 +194,23 @@ def fit_words(given: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks:
         return np.zeros(BUCKETS, np.float32), 0.0
     odds = np.log((toxic + 0.5) / totals[0]) - np.log((clean + 0.5) / totals[1])
     sure = odds - np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    suspects = sure >= min(CERTAIN, 0.6 * sure.max())
+    certain = suspects = sure >= min(CERTAIN, 0.6 * sure.max())
     by_odds, rest = np.argsort(-sure, kind="stable"), np.flatnonzero(clean > 0)
     chosen = np.unique(np.concatenate([by_odds[:landmarks], rest[np.linspace(0, len(rest) - 1, landmarks).astype(int)] if len(rest) else rest]))
-    marks = Landmarks([given[i] for i in chosen])
+    pool = "".join(given[i] for i in rest)
+    strange = [g for i in by_odds[:GAPPED // 2] if suspects[i] for g in gapped(given[i], pool)[::4]]
+    marks = Landmarks([given[i] for i in chosen] + strange[:landmarks // 2])
     z = marks.features(given)
     may = (odds > 0) & (clean <= 0.1 * toxic)
     for _ in range(ROUNDS):
-        made = [g for i in np.flatnonzero(suspects) for g in gapped(given[i])]
+        made = [g for i in by_odds[:GAPPED] if suspects[i] for g in gapped(given[i], pool)]
         of = np.concatenate([z, marks.features(made)]) if made else z
-        up = np.concatenate([np.where(suspects, 1 + np.log1p(toxic), 0), np.full(len(made), 0.3)])
+        up = np.concatenate([np.where(suspects, 3 + 3 * np.log1p(toxic), 0), np.full(len(made), GAPPED_WEIGHT)])
         down = np.concatenate([np.where(suspects, 0, np.log1p(clean)), np.zeros(len(made))])
         normal = support_vector_machine(of, up, down)
         f = z @ normal
-        now = may & (f > np.where(suspects, -0.5, 0.5))
-        if (now == suspects).all() or not now.any():
+        now = certain | may & (f > 0.5)
+        if (now == suspects).all():
             break
         suspects = now
     return marks.folded(normal[:-1]), float(normal[-1])
@@ -298,8 +312,20 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarray, floa
             table, bias = fit_words(list(given), np.array(toxic), np.array(clean), landmarks)
             yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["table", "bias"])
 
-    found = chosen.repartition(1).sortWithinPartitions("word").mapInArrow(make, "table binary, bias double").first()
-    return (np.frombuffer(bytes(found["table"]), "<f4"), found["bias"]) if found else (np.zeros(BUCKETS, np.float32), 0.0)
+    def fitted(rows: DataFrame) -> tuple[np.ndarray, float]:
+        found = rows.repartition(1).sortWithinPartitions("word").mapInArrow(make, "table binary, bias double").first()
+        return (np.frombuffer(bytes(found["table"]), "<f4"), found["bias"]) if found else (np.zeros(BUCKETS, np.float32), 0.0)
+
+    shared = sample.sparkSession.sparkContext.broadcast(fitted(chosen))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("margin", pa.array(word_margins(batch.column("word").to_pylist(), *shared.value)))
+
+    # Words of clean texts that the first machine takes for toxic teach the second.
+    judged = counts.where("clean > 0 AND clean > toxic AND word <> ''").mapInArrow(judge, "word string, toxic long, clean long, margin double")
+    hard = judged.orderBy(F.desc("margin"), "word").limit(SAMPLE_HARD).drop("margin")
+    return fitted(chosen.union(hard).distinct())
 
 
 def with_margins(texts: DataFrame, machine: tuple[np.ndarray, float]) -> DataFrame:
@@ -318,14 +344,14 @@ def with_margins(texts: DataFrame, machine: tuple[np.ndarray, float]) -> DataFra
 def calibrate(rows: Iterable[tuple[list[float], int]]) -> list[float]:
     """Coefficients of a logistic curve over the margins, and its shift; zeros without both labels.
 
-    Both labels weigh alike, targets are Platt's. No coefficient is negative: a more toxic word never lowers a score.
+    Targets are Platt's. No coefficient is negative: a more toxic word never lowers a score.
     """
     given = list(rows)
     ones = np.array([label == 1 for _, label in given], bool)
     up, down = ones.sum(), (~ones).sum()
     if not up or not down:
         return [0.0] * (WITNESSES + 1)
-    target, weight = np.where(ones, (up + 1) / (up + 2), 1 / (down + 2)), np.where(ones, 1 / up, 1 / down)
+    target, weight = np.where(ones, (up + 1) / (up + 2), 1 / (down + 2)), 1 / len(given)
     x = np.column_stack([[m for m, _ in given], np.ones(len(given))])
     w, fixed = np.zeros(WITNESSES + 1), np.zeros(WITNESSES + 1, bool)
     for _ in range(200):
@@ -347,7 +373,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, label: st
     """(row, id, text, margins, score): how toxic each whole text is, between 0 and 1.
 
     Words, without signs inside, runs of single letters and windows of very long words are compared by their common
-    subsequences of three characters within six, so that an insult with strange characters between its letters stays
+    subsequences of three characters within five, so that an insult with strange characters between its letters stays
     close to itself. A machine in the space that landmark words span tells toxic words from clean ones; it learns from
     sentences of labelled texts. A text is judged by
     its three most toxic words: a logistic curve turns their margins into a score.
