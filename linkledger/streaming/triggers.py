@@ -2,49 +2,133 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from linkledger.operators.lifecycle import TRIGGERS, reassessment_triggers
+from linkledger.operators.lifecycle import TRIGGERS, with_trigger_meaning
 from linkledger.operators.ordered import ordered, time_chunk
 
-BUCKETS = 64
-
-
-def stream_triggers(versions: DataFrame, out: str, state: str, checkpoint: str, attrs: Sequence[str], key: str = "entity",
-                    order: Sequence[str] = ("ts", "version"), chunk: Column | None = None,
-                    table: Mapping[str, tuple] = TRIGGERS, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keep the triggers of all versions seen so far below ``out``; :func:`current_triggers` reads them.
-
-    A version may arrive late and stand between two that are known, so a batch computes the triggers of each entity it
-    touches anew from all its versions. The result does not depend on how the input is cut or ordered. Versions lie below
-    ``state`` by hash bucket of their entity; a batch reads the buckets it touches. Batches write to folders named by
-    their id and read earlier ones only, so a repeated batch gives the same result.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class TriggerState(StatefulProcessor):
+    """State of one entity: the last version that is closed, and those that may still get an earlier neighbour."""
+
+    def __init__(self, attrs: Sequence[str], version_type: str, key: str):
+        self.attrs, self.names = list(attrs), [key, "at", "version", "attribute", "old", "new", "late"]
+        self.schema = ", ".join(["at BIGINT", f"version {version_type}", *[f"a{i} STRING" for i in range(len(attrs))]])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.closed = handle.getValueState("closed", self.schema)
+        self.open = handle.getListState("open", self.schema)
+
+    def _row(self, *values) -> Row:
+        return Row(**dict(zip(self.names, values)))
+
+    @staticmethod
+    def _place(version: tuple) -> tuple:
+        return tuple((v is not None, v if v is not None else 0) for v in version)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        closed = self.closed.get() if self.closed.exists() else None
+        least = self._place(tuple(closed)[:2]) if closed is not None else None
+        fresh = []
+        for row in rows:
+            version = tuple(row)[1:]
+            if version[0] is None or least is not None and self._place(version[:2]) <= least:
+                yield self._row(*key, version[0], version[1], None, None, None, list(version[2:]))
+            else:
+                fresh.append(version)
+        if fresh:
+            self._keep([tuple(v) for v in self.open.get()] + fresh if self.open.exists() else fresh)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.open.exists():
+            return
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = [tuple(v) for v in self.open.get()]
+        before = tuple(self.closed.get()) if self.closed.exists() else None
+        for version in (v for v in waiting if v[0] <= passed):
+            for name, old, new in zip(self.attrs, before[2:] if before else (), version[2:]):
+                if old != new:
+                    yield self._row(*key, version[0], version[1], name, old, new, None)
+            before = version
+        if before is not None:
+            self.closed.update(before)
+        self._keep([v for v in waiting if v[0] > passed])
+
+    def _keep(self, versions: list[tuple]) -> None:
+        """Store open versions in order, and wake up when the watermark has passed the first."""
+        if versions:
+            versions.sort(key=self._place)
+            self.open.put(versions)
+            self.handle.registerTimer(-(-versions[0][0] // 1000))
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_triggers(versions: DataFrame, out: str, checkpoint: str, attrs: Sequence[str], key: str = "entity", ts: str = "ts",
+                    version: str = "version", delay: str = "1 hour", table: Mapping[str, tuple] = TRIGGERS) -> StreamingQuery:
+    """Triggers of versions that arrive as a stream, appended below ``out``; :func:`stored_triggers` and :func:`late_versions` read them.
+
+    State is kept per entity: a version is closed, and compared with the one before it, once the watermark (the latest
+    time less ``delay``) has passed it. A version that comes late but inside the delay takes its place between its neighbours;
+    the result does not depend on how such input is cut or ordered. One that comes after a later version of its entity was
+    closed, or has no time, goes to the late versions, with all its values; nothing is dropped. A batch works on its own rows
+    and on the open versions of entities that are due, however long the history is. Equal times are ordered by ``version``.
+
+    A repeated batch overwrites its own folder. An entity's rows of one batch, and its open versions, must fit a task.
     """
-    columns = [key, *order, *attrs]
+    spark = versions.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in versions.schema.fields}
+    rows = versions.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(
+        key, F.unix_micros(ts).alias("at"), F.col(version).alias("version"), *[F.col(a).cast("string").alias(a) for a in attrs])
+    found = rows.groupBy(key).transformWithState(
+        TriggerState(attrs, kinds[version], key), f"{key} {kinds[key]}, at BIGINT, version {kinds[version]}, attribute STRING, old STRING, new STRING, late ARRAY<STRING>",
+        "append", "eventtime")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(*columns).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        fresh.write.mode("overwrite").partitionBy("__bucket").parquet(f"{state}/batch={batch_id}")
-        stored = spark.read.schema(T.StructType([*fresh.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", state).parquet(state)
-        touched = stored.where(F.col("batch") == batch_id).select(key, "__bucket").distinct()
-        wanted = [r[0] for r in touched.select("__bucket").distinct().collect()]
-        history = stored.where((F.col("batch") <= batch_id) & F.col("__bucket").isin(wanted)).join(touched.select(key), key, "left_semi").select(*columns)
-        reassessment_triggers(history, attrs, key, order, chunk, table).write.mode("overwrite").parquet(f"{out}/triggers/batch={batch_id}")
-        touched.select(key).write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
-
-    return versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_triggers(spark: SparkSession, out: str, key: str = "entity") -> DataFrame:
-    """Of every entity the triggers of the last batch that touched it."""
-    last = spark.read.parquet(f"{out}/touched").groupBy(key).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{out}/triggers").join(last, [key, "batch"], "left_semi").drop("batch")
+        named = batch.select(key, F.timestamp_micros("at").alias(ts), F.col("version").alias(version), "attribute", "old", "new", "late")
+        identity = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in (key, ts, version)], "attribute"), 256)
+        rows = with_trigger_meaning(named.withColumn("trigger_id", identity), table)
+        # One write, as the state must not be stepped twice.
+        (rows.withColumn("part", F.when(F.col("late").isNull(), "trigger").otherwise("late"))
+         .write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch_id}"))
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        return found.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
+def stored_schema(versions: DataFrame, key: str = "entity", ts: str = "ts", version: str = "version") -> T.StructType:
+    """Columns of the rows that :func:`stream_triggers` writes, to read them as a table or as a stream."""
+    text = [T.StructField(c, T.StringType()) for c in ("attribute", "old", "new")]
+    more = [T.StructField("late", T.ArrayType(T.StringType())), *[T.StructField(c, T.StringType()) for c in ("trigger_id", "category", "severity", "resulting_state", "action")]]
+    return T.StructType([versions.schema[key], T.StructField(ts, T.TimestampType()), versions.schema[version], *text, *more,
+                         T.StructField("batch", T.LongType()), T.StructField("part", T.StringType())])
+
+
+def stored_triggers(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """All triggers so far."""
+    return spark.read.schema(schema).parquet(out).where("part = 'trigger'").drop("late", "batch", "part")
+
+
+def late_versions(spark: SparkSession, out: str, schema: T.StructType, attrs: Sequence[str], key: str = "entity", ts: str = "ts", version: str = "version") -> DataFrame:
+    """Versions that came after a later one of their entity was closed, with the batch that brought them."""
+    rows = spark.read.schema(schema).parquet(out).where("part = 'late'")
+    return rows.select(key, ts, version, *[F.col("late")[i].alias(a) for i, a in enumerate(attrs)], "batch")
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:

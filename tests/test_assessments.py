@@ -169,21 +169,44 @@ def test_stream_results_do_not_depend_on_slices(spark, tmp_path, slices):
     schema = "entity STRING, ts TIMESTAMP, version LONG, material STRING, thickness LONG"
     shuffled = [rows[i] for i in random.permutation(len(rows))]
     attrs, base = ["material", "thickness"], str(tmp_path)
-    for i in range(slices):
-        spark.createDataFrame(shuffled[i::slices], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    end = ("zz", datetime(2999, 1, 1), -1, None, None)
+    for wave in [*(shuffled[i::slices] for i in range(slices)), [end]]:
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(schema).parquet(f"{base}/in")
-        ST.stream_triggers(stream, f"{base}/out", f"{base}/state", f"{base}/c1", attrs).awaitTermination()
+        ST.stream_triggers(stream, f"{base}/out", f"{base}/c1", attrs, delay="1 day").awaitTermination()
         ST.stream_first_wins(stream, f"{base}/first", f"{base}/c2", ["entity", "material"], ["ts", "version"]).awaitTermination()
-    got = sorted(map(str, ST.current_triggers(spark, f"{base}/out").select("entity", "version", "attribute", "old", "new").collect()))
+    stored = ST.stored_schema(spark.createDataFrame([], schema))
+    got = sorted(map(str, ST.stored_triggers(spark, f"{base}/out", stored).select("entity", "version", "attribute", "old", "new").collect()))
+    assert ST.late_versions(spark, f"{base}/out", stored, attrs).count() == 0
     batch = LC.reassessment_triggers(spark.createDataFrame(rows, schema), attrs)
     assert got == sorted(map(str, batch.select("entity", "version", "attribute", "old", "new").collect()))
-    first = {(r.entity, r.material): r.version for r in ST.current_first(spark, f"{base}/first", ["entity", "material"], ["ts", "version"]).collect()}
+    first = {(r.entity, r.material): r.version for r in ST.current_first(spark, f"{base}/first", ["entity", "material"], ["ts", "version"]).collect() if r.entity != "zz"}
     expected = {}
     for e, _, v, m, _ in rows:
         expected.setdefault((e, m), v)
     assert first == expected
 
 
+def test_late_versions_correct_open_neighbours_or_are_set_aside(spark, tmp_path):
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    schema, base = "entity STRING, ts TIMESTAMP, version LONG, material STRING", str(tmp_path)
+    waves = [
+        [("a", at(0), 1, "wood"), ("a", at(60), 2, "steel"), ("b", at(0), 1, None), ("clock", at(65), 0, "")],
+        [("a", at(30), 3, "brick"), ("b", at(0), 2, "clay"), (None, at(10), 9, "x"), ("c", None, 1, "lost"), ("clock", at(300), 0, "")],
+        [("a", at(40), 4, "late"), ("a", at(60), 2, "steel"), ("b", at(20), 3, "late but nothing later is closed"), ("clock", at(900), 0, "")],
+        [("clock", at(2000), 0, "")],
+    ]
+    for wave in waves:
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        ST.stream_triggers(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/c", ["material"], delay="1 hour").awaitTermination()
+    stored = ST.stored_schema(spark.createDataFrame([], schema))
+    triggers = ST.stored_triggers(spark, f"{base}/out", stored).where("entity <> 'clock'")
+    assert sorted((r.entity, r.version, r.old, r.new) for r in triggers.collect()) == [
+        ("a", 2, "brick", "steel"), ("a", 3, "wood", "brick"), ("b", 2, None, "clay"), ("b", 3, "clay", "late but nothing later is closed")]
+    late = ST.late_versions(spark, f"{base}/out", stored, ["material"])
+    assert sorted((r.entity, r.version, r.material) for r in late.collect()) == [("a", 2, "steel"), ("a", 4, "late"), ("c", 1, "lost")]
+
+
 def test_inventory_sees_changed_and_gone_files(spark, tmp_path):
     folder, table = tmp_path / "in", str(tmp_path / "table")
     (folder / "sub").mkdir(parents=True)
