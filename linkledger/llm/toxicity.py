@@ -220,44 +220,65 @@ class Scorer:
     """The largest margins among the words of a text; margins of words met before are kept, a bounded number of them."""
 
     def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias, self.known = table, bias, {}
-
-    def margins(self, text: str) -> list[float]:
-        """The ``WITNESSES`` largest, falling; a missing word has the margin of no common subsequence, less one."""
-        tokens = text.lower().split()
-        fresh = [t for t in set(tokens) if t not in self.known]
-        if fresh:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                fresh = list(set(tokens))
-            self._learn(fresh)
+        self.table, self.bias, self.known, self.kind = table, bias, {}, {}
+
+    def margins(self, texts: list[str]) -> list[list[float]]:
+        """The ``WITNESSES`` largest of each text, falling; a missing word has the margin of no common subsequence, less one."""
+        split = [text.lower().split() for text in texts]
+        fresh = set().union(*split).difference(self.known)
+        if fresh and len(self.known) > CACHED_WORDS:
+            self.known.clear()
+            self.kind.clear()
+            fresh = set().union(*split)
+        self._learn(sorted(fresh))
+        return [self._largest(tokens) for tokens in split]
+
+    def _largest(self, tokens: list[str]) -> list[float]:
         found = heapq.nlargest(WITNESSES, map(self.known.__getitem__, tokens))
-        if sum(len(t) <= 3 for t in tokens) >= 3 and (runs := list(self._runs(tokens))):
+        if "lll" in "".join(map(self.kind.__getitem__, tokens)):
+            runs = list(self._runs(tokens))
             found = heapq.nlargest(WITNESSES, found + word_margins(runs, self.table, self.bias).tolist())
         return found + [self.bias - 1] * (WITNESSES - len(found))
 
     def _learn(self, tokens: list[str]) -> None:
         parts, of = [], []
         for i, token in enumerate(tokens):
-            found = windows(letters(token)) if len(token) < 3 or letters(token) else []
-            parts += [p for p in found if p]
-            of += [i] * sum(map(bool, found))
+            word = letters(token)
+            self.kind[token] = "w" if len(word) > 1 else "l" if word else ""
+            if word:
+                found = windows(word)
+                parts += found
+                of += [i] * len(found)
         margins = np.full(len(tokens), self.bias - 1)
         if parts:
             np.maximum.at(margins, of, word_margins(parts, self.table, self.bias))
         self.known.update(zip(tokens, margins.tolist()))
 
-    @staticmethod
-    def _runs(tokens: list[str]) -> Iterator[str]:
+    def _runs(self, tokens: list[str]) -> Iterator[str]:
+        """Three or more single letters in a row as one word; signs between them do not count."""
         run: list[str] = []
-        for token in [*tokens, "--"]:
-            word = (letters(token) if len(token) <= 3 else "--") if token != "--" else "--"
-            if len(word) == 1:
-                run.append(word)
-            elif word:
+        for token in tokens:
+            if self.kind[token] == "w":
                 if len(run) >= 3:
                     yield from windows("".join(run))
-                run = []
+                run.clear()
+            elif self.kind[token]:
+                run.append(letters(token))
+        if len(run) >= 3:
+            yield from windows("".join(run))
+
+
+def portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, in lists of about ``most`` characters, so that tokens of few texts are held at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, trains: Column, label: str, id_col: str, text_col: str, per_label: int) -> DataFrame:
@@ -335,7 +356,7 @@ def with_margins(texts: DataFrame, machine: tuple[np.ndarray, float]) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            found = [scorer.margins(t or "") for t in batch.column("text").to_pylist()]
+            found = [m for part in portions([t or "" for t in batch.column("text").to_pylist()]) for m in scorer.margins(part)]
             yield batch.set_column(batch.schema.get_field_index("margins"), batch.schema.field("margins"), pa.array(found, batch.schema.field("margins").type))
 
     return texts.mapInArrow(run, texts.schema)
