@@ -16,7 +16,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: (words of a window, least hashes kept of its shingles). A template goes with the smallest window at least twice its length.
-WINDOWS = ((16, 12), (64, 48), (256, 64), (1024, 64))
+WINDOWS = ((16, 12), (64, 48), (256, 80), (1024, 80), (4096, 80), (16384, 80))
 
 
 def words_of(text: Column) -> Column:
@@ -37,16 +37,17 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
 
 
 def window_bands(hashes: Column, width: int, kept: int, size: int = SHINGLE) -> Column:
-    """Of all windows of ``width`` words, half overlapping: their ``kept`` least shingle hashes, each a band of one row.
+    """Of all windows of ``width`` words, half overlapping: their ``kept`` least distinct shingle hashes, each a band of one row.
 
-    A template of at least a quarter of the window's words is met by one of these with a probability above 0.999 if 80 %
-    of its shingles stand in the window, and surely if the window keeps all its shingles.
+    A repeated shingle takes one place only. A template has more than an eighth of its window's words; if 80 % of its shingles stand in
+    the window, at least a tenth of the window's distinct shingles are the template's, and all of ``kept`` = 80 least hashes miss them
+    with a probability below 0.9 ** 80 = 0.0002.
     """
     inside = width - size + 1
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hashes)), F.lit(width // 2))
     if kept >= inside:  # all are kept, and halves of windows need not be listed twice
         return hashes
-    return F.flatten(F.transform(starts, lambda s: F.slice(F.array_sort(F.slice(hashes, s, inside)), 1, kept)))
+    return F.flatten(F.transform(starts, lambda s: F.slice(F.array_sort(F.array_distinct(F.slice(hashes, s, inside))), 1, kept)))
 
 
 def _width_of(n_words: int) -> int:

@@ -111,3 +111,16 @@ def test_licences_of_ragged_documents(make_docs, ragged_pairs):
 def test_licence_scan_runs_no_python(make_docs, ragged_pairs):
     plan = license_scan.scan_licenses(make_docs(ragged_pairs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_notices_in_repetitive_and_long_texts(make_docs):
+    """Verbatim notices before two alternating words, and templates of thousands of words inside longer texts."""
+    notices = [t for _, t in license_scan.TEMPLATES if len(t.split()) > 40]
+    pairs = [(100 + i, f"{notices[i % len(notices)]} " + f"foo{i} bar{i} " * (150 + i)) for i in range(120)]
+    rows = license_scan.scan_licenses(make_docs(pairs)).select("id", "licenses").collect()
+    names = {t: n for n, t in license_scan.TEMPLATES}
+    assert [r["id"] for r in rows if names[notices[(r["id"] - 100) % len(notices)]] not in r["licenses"]] == []
+    long = {n: " ".join(f"{n}{i * i % 4999}" for i in range(n)) for n in (600, 3000, 8000)}
+    texts = [(n, f"{'intro words here ' * 700}{text}{' and an end' * 900}") for n, text in long.items()]
+    found = license_scan.scan_licenses(make_docs(texts), templates=[(str(n), t) for n, t in long.items()])
+    assert {r["id"]: r["licenses"] for r in found.collect()} == {n: [str(n)] for n in long}
