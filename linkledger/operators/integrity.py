@@ -218,14 +218,23 @@ def layer_verdict(points: DataFrame, problems: DataFrame) -> DataFrame:
     lines = problems.groupBy("layer").agg(F.count(F.lit(1)).alias("lines"))
     names = points.sparkSession.createDataFrame([("data",), ("record",), ("element",)], "layer STRING")
     joined = names.join(counts, "layer", "left").join(lines, "layer", "left").na.fill(0, ["total", "valid", "bad", "lines"])
+    return layer_states(joined)
+
+
+def layer_states(counts: DataFrame) -> DataFrame:
+    """State of each layer from its counts of points (``valid``, ``total``, ``bad``) and of problem ``lines``."""
     state = (F.when((F.col("total") > 0) & (F.col("valid") == F.col("total")) & (F.col("lines") == 0), "valid")
              .when((F.col("bad") > 0) | (F.col("lines") > 0), "stale").otherwise("unverified"))
-    return joined.select("layer", "valid", "total", state.alias("state"))
+    return counts.select("layer", "valid", "total", state.alias("state"))
 
 
 def overall_verdict(points: DataFrame, layers: DataFrame, package_found: bool = True) -> DataFrame:
     """One row: VALID, PARTIAL or INVALID with a headline."""
-    totals = points.agg(F.count(F.lit(1)).alias("points"), F.count_if("valid").alias("valid_points"))
+    return overall_from_totals(points.agg(F.count(F.lit(1)).alias("points"), F.count_if("valid").alias("valid_points")), layers, package_found)
+
+
+def overall_from_totals(totals: DataFrame, layers: DataFrame, package_found: bool = True) -> DataFrame:
+    """:func:`overall_verdict` from one row ``(points, valid_points)``."""
     rank = {"data": 0, "record": 1, "element": 2}
     position = F.element_at(F.create_map(*[F.lit(v) for kv in rank.items() for v in kv]), F.col("layer"))
     # Three rows, one per layer.

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkledger.operators import deltas as D
 from linkledger.operators import integrity as I
 from linkledger.plans import standins as S
 from linkledger.plans.catalog import query
+from linkledger.session import cut_lineage, scratch_path
+from linkledger.streaming.inventory import inventory_deltas
 
 
 @query("checksum_check", """
@@ -87,8 +90,12 @@ def edited_after_build(spark, sf_dir):
 CODES = 30
 
 
-def assessment(spark, sf_dir):
-    """Point states of a package with one point per document; ``doc_id % 30`` selects the damage."""
+def assessment_tables(spark, sf_dir, changed=False):
+    """Tables of a package with one point per document; ``doc_id % 30`` selects the damage.
+
+    With ``changed`` a second look at the files: of seven documents one has another data file, one lost it, one has another
+    record (that of damage 7 is as it was built), for one a moved file is back in its place; every 50th has a file nothing names.
+    """
     d = S.table(spark, sf_dir, "documents")
     n, k = F.col("doc_id"), F.col("doc_id") % CODES
     sha, rec_sha = F.sha2("text", 256), F.sha2(F.concat(F.lit("rec"), F.col("doc_id").cast("string")), 256)
@@ -98,9 +105,12 @@ def assessment(spark, sf_dir):
     view = d.select(n.alias("point"), x.alias("x"), y.alias("y"), F.lit(0.5).alias("z"), F.when(k != 1, path).alias("file"))
     records = d.select(F.when(k == 2, -1 - n).otherwise(n).alias("point"), F.when(k != 1, path).alias("url"), F.when(k == 3, F.reverse(sha)).otherwise(sha).alias("sha256"),
                        F.when(k == 5, x + 0.25).when(k != 4, x).alias("x"), y.alias("y"), F.lit(0.5).alias("z"), rec_path.alias("record_path"))
-    disk_path = F.when(k == 6, F.concat(F.lit("data/moved-"), n.cast("string"))).otherwise(path)
-    inventory = d.select(F.explode(F.array(F.struct(disk_path.alias("path"), sha.alias("sha256")),
-                                           F.struct(rec_path.alias("path"), F.when(k == 7, F.reverse(rec_sha)).otherwise(rec_sha).alias("sha256")))).alias("f")).select("f.*")
+    c = (n % 7) * int(changed)
+    disk_path = F.when((k == 6) & (c != 4), F.concat(F.lit("data/moved-"), n.cast("string"))).otherwise(path)
+    data_file = F.when(c != 2, F.struct(disk_path.alias("path"), F.when(c == 1, F.reverse(sha)).otherwise(sha).alias("sha256")))
+    record_file = F.struct(rec_path.alias("path"), F.when((k == 7) != (c == 3), F.reverse(rec_sha)).otherwise(rec_sha).alias("sha256"))
+    extra_file = F.when(F.lit(changed) & (n % 50 == 0), F.struct(F.concat(F.lit("data/extra-"), n.cast("string")).alias("path"), sha.alias("sha256")))
+    inventory = d.select(F.inline(F.array_compact(F.array(data_file, record_file, extra_file))))
     headers = d.select(disk_path.alias("path"), F.when(k == 8, F.lit(None)).when(k == 9, n + 1).otherwise(n).alias("point"), F.when(k != 8, x).alias("x"),
                        F.when(k != 8, y).alias("y"), F.when(k == 10, 0.75).when(k != 8, 0.5).alias("z"), (k != 8).alias("readable"))
     entry = lambda kind, p, s, build="2024-02": F.struct(F.lit(kind).alias("kind"), p.alias("path"), s.alias("sha256"), n.alias("point"), F.lit(build).alias("build_id"))
@@ -110,8 +120,19 @@ def assessment(spark, sf_dir):
         entry("data", path, F.reverse(sha), "2024-01"), entry("record", rec_path, F.reverse(rec_sha), "2024-01"), entry("cache", F.lit("view/cache"), F.reverse(sha), "2024-01"))).alias("m")).select("m.*")
     elements = d.select(n.alias("point"), F.when(k == 13, "stale").when(k == 14, "unverified").otherwise("valid").alias("verdict"),
                         F.when(k == 13, "model element(s) changed or missing").when(k == 14, "record names no model file").alias("reason"))
-    points = I.assess_points(view, records, inventory, headers, manifest, elements)
-    return points, view, records, inventory
+    return view, records, inventory, headers, manifest, elements
+
+
+def assessment(spark, sf_dir, changed=False):
+    """Point states of :func:`assessment_tables`, and the tables that problem lines need."""
+    view, records, inventory, *rest = assessment_tables(spark, sf_dir, changed)
+    return I.assess_points(view, records, inventory, *rest), view, records, inventory
+
+
+def stored_assessment(spark, sf_dir):
+    """The same with the point states written once, for totals, layers and problem lines."""
+    points, *rest = assessment(spark, sf_dir)
+    return cut_lineage(points, "point-states"), *rest
 
 
 STATE_SQL = f"""P AS (SELECT doc_id AS point, doc_id%{CODES} AS k FROM documents), ST AS (SELECT point, k,
@@ -160,21 +181,77 @@ def problem_lines(spark, sf_dir):
     return all_problems(*assessment(spark, sf_dir)).groupBy("layer").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("layer_verdict", "WITH " + STATE_SQL + """
-SELECT 'data' AS layer, count(*) FILTER (data='valid')::BIGINT AS valid, count(*)::BIGINT AS total, 'stale' AS state FROM ST
-UNION ALL SELECT 'record', count(*) FILTER (record='valid'), count(*), 'stale' FROM ST UNION ALL SELECT 'element', count(*) FILTER (element='valid'), count(*), 'stale' FROM ST""")
+# Counts of points and problem lines per layer; a file nothing names and a record without a view are lines of no point.
+LAYER_SQL = STATE_SQL + """, LI AS (SELECT 'data' AS layer FROM ST WHERE data<>'valid' UNION ALL SELECT 'record' FROM ST WHERE record<>'valid'
+  UNION ALL SELECT 'element' FROM ST WHERE k IN (13,14) UNION ALL SELECT 'record' FROM ST WHERE k=2 UNION ALL SELECT 'data' FROM ST WHERE k IN (1,6)),
+S3 AS (SELECT 'data' AS layer, data AS s, 1 AS pos FROM ST UNION ALL SELECT 'record', record, 2 FROM ST UNION ALL SELECT 'element', element, 3 FROM ST),
+CO AS (SELECT layer, pos, count(*) FILTER (s='valid') AS valid, count(*) AS total, count(*) FILTER (s NOT IN ('valid','unverified')) AS bad, (SELECT count(*) FROM LI WHERE LI.layer=S3.layer) AS lines FROM S3 GROUP BY layer, pos),
+LV AS (SELECT layer, pos, valid, total, CASE WHEN total>0 AND valid=total AND lines=0 THEN 'valid' WHEN bad>0 OR lines>0 THEN 'stale' ELSE 'unverified' END AS state FROM CO)"""
+OVERALL_SQL = """V AS (SELECT count(*) AS n, count(*) FILTER (data='valid' AND record='valid' AND element='valid') AS v FROM ST),
+B AS (SELECT count(*) FILTER (state='valid') AS ok, string_agg(layer || ' ' || state, '; ' ORDER BY pos) FILTER (state<>'valid') AS bits FROM LV),
+OV AS (SELECT n, v, bits, CASE WHEN n=0 THEN 'INVALID' WHEN v=n AND ok=3 THEN 'VALID' WHEN v=0 THEN 'INVALID' ELSE 'PARTIAL' END AS overall FROM V, B)
+SELECT overall, n::BIGINT AS points, v::BIGINT AS valid_points, CASE WHEN overall='VALID' THEN 'all ' || n || ' points valid: data, record and model agree'
+  ELSE overall || ': ' || v || ' of ' || n || ' points valid (' || coalesce(bits, 'see problems') || ')' END AS headline FROM OV"""
+
+
+@query("layer_verdict", "WITH " + LAYER_SQL + " SELECT layer, valid::BIGINT AS valid, total::BIGINT AS total, state FROM LV")
 def layer_verdict(spark, sf_dir):
-    parts = assessment(spark, sf_dir)
+    parts = stored_assessment(spark, sf_dir)
     return I.layer_verdict(parts[0], all_problems(*parts))
 
 
-@query("overall_verdict", "WITH " + STATE_SQL + """, V AS (SELECT count(*) AS n, count(*) FILTER (data='valid' AND record='valid' AND element='valid') AS v FROM ST)
-SELECT 'PARTIAL' AS overall, n::BIGINT AS points, v::BIGINT AS valid_points, 'PARTIAL: ' || v || ' of ' || n || ' points valid (data stale; record stale; element stale)' AS headline FROM V""")
+@query("overall_verdict", "WITH " + LAYER_SQL + ", " + OVERALL_SQL)
 def overall_verdict(spark, sf_dir):
-    parts = assessment(spark, sf_dir)
+    parts = stored_assessment(spark, sf_dir)
     return I.overall_verdict(parts[0], I.layer_verdict(parts[0], all_problems(*parts)))
 
 
+# ------------------------------------------------------------------ verdicts kept up to date from changed files
+
+def refreshed(spark, sf_dir):
+    """Folder of verdicts that started with a full assessment and took in the changed files of a second look."""
+    store = scratch_path(spark, "verdicts")
+    parts = stored_assessment(spark, sf_dir)
+    D.start_verdicts(parts[0], all_problems(*parts), store)
+    tables = assessment_tables(spark, sf_dir, changed=True)
+    deltas = cut_lineage(inventory_deltas(parts[3], tables[2]), "file-deltas")
+    D.refresh_verdicts(store, 1, deltas, *tables)
+    return store
+
+
+# States after the second look (codes of the changes: c), and what differs.
+SECOND_SQL = STATE_SQL + """, S2 AS (SELECT point, k, point%7 AS c, ST.data AS d1, ST.record AS r1, ST.element AS element FROM ST),
+T2 AS (SELECT point, k, c, d1, r1, element, CASE WHEN k=1 THEN 'stale' WHEN c=2 THEN 'missing' WHEN k=6 AND c=4 THEN 'valid' WHEN k=6 THEN 'missing' WHEN c=1 THEN 'stale' ELSE d1 END AS data,
+  CASE WHEN k=2 THEN 'missing' WHEN k IN (4,5) THEN 'stale' WHEN (k=7) <> (c=3) THEN 'stale' ELSE 'valid' END AS record FROM S2)"""
+
+
+@query("verdict_deltas", "WITH " + SECOND_SQL + """
+SELECT point, 'data' AS layer, d1 AS old, data AS new FROM T2 WHERE d1<>data UNION ALL SELECT point, 'record', r1, record FROM T2 WHERE r1<>record
+UNION ALL SELECT point, 'point', CASE WHEN a THEN 'valid' ELSE 'unverified' END, CASE WHEN b THEN 'valid' ELSE 'unverified' END
+FROM (SELECT point, d1='valid' AND r1='valid' AND element='valid' AS a, data='valid' AND record='valid' AND element='valid' AS b FROM T2) WHERE a<>b""")
+def verdict_deltas(spark, sf_dir):
+    rows = D.verdict_deltas(spark, refreshed(spark, sf_dir), 1)
+    return rows.where(F.col("old") != F.col("new")).select("point", "layer", "old", "new")
+
+
+@query("overall_verdict_by_deltas", "WITH " + SECOND_SQL + """, S3 AS (SELECT 'data' AS layer, data AS s, 1 AS pos FROM T2 UNION ALL SELECT 'record', record, 2 FROM T2 UNION ALL SELECT 'element', element, 3 FROM T2),
+LV AS (SELECT layer, pos, CASE WHEN count(*) FILTER (s='valid')=count(*) THEN 'valid' ELSE 'stale' END AS state FROM S3 GROUP BY layer, pos)
+, """ + OVERALL_SQL.replace("FROM ST)", "FROM T2)"))
+def overall_verdict_by_deltas(spark, sf_dir):
+    return D.current_overall(spark, refreshed(spark, sf_dir), 1)
+
+
+@query("layer_verdict_by_deltas", "WITH " + SECOND_SQL + """, S3 AS (SELECT 'data' AS layer, data AS s FROM T2 UNION ALL SELECT 'record', record FROM T2 UNION ALL SELECT 'element', element FROM T2)
+SELECT layer, count(*) FILTER (s='valid')::BIGINT AS valid, count(*)::BIGINT AS total, count(*) FILTER (s NOT IN ('valid','unverified'))::BIGINT AS bad,
+  (CASE layer WHEN 'data' THEN (SELECT sum(CASE WHEN k<>1 AND c=2 THEN 1 WHEN data='valid' THEN 0 WHEN c=1 AND k IN (8,9,10) THEN 2 ELSE 1 END) FROM T2)
+     + (SELECT count(*) FILTER (k=1 AND c<>2) + count(*) FILTER (k=6 AND c NOT IN (2,4)) + count(*) FILTER (point%50=0) FROM T2)
+   WHEN 'record' THEN (SELECT sum(CASE WHEN record='valid' THEN 0 WHEN k IN (4,5) AND c=3 THEN 2 ELSE 1 END) + count(*) FILTER (k=2) FROM T2)
+   ELSE (SELECT count(*) FILTER (k IN (13,14)) FROM T2) END)::BIGINT AS lines FROM S3 GROUP BY layer""")
+def layer_verdict_by_deltas(spark, sf_dir):
+    counts = spark.read.parquet(f"{refreshed(spark, sf_dir)}/totals").where("batch = 1 AND layer <> 'point'")
+    return counts.select("layer", "valid", "total", "bad", "lines")
+
+
 @query("element_verdict", """
 WITH P AS (SELECT doc_id, doc_id%8 AS k FROM documents)
 SELECT doc_id::VARCHAR AS record_id, CASE k WHEN 0 THEN 'unverified' WHEN 1 THEN 'stale' WHEN 2 THEN 'valid' WHEN 3 THEN 'unverified' WHEN 4 THEN 'stale' WHEN 5 THEN 'stale' WHEN 6 THEN 'unverified' ELSE 'valid' END AS verdict,

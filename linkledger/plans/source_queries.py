@@ -13,6 +13,7 @@ from linkledger.session import scratch_path
 from linkledger.sinks import writers
 from linkledger.sources import exports as X
 from linkledger.sources import inventory as I
+from linkledger.sources import ranges as R
 from linkledger.sources.records import flatten_record, parse_records, record_rejects, records_to_triples
 from linkledger.sources.registry import layers_from_triples, parse_ntriples, registry_from_triples, to_ntriples
 from linkledger.sources.results import parse_results
@@ -51,6 +52,48 @@ def read_header_only(spark, sf_dir):
     return X.scan_headers(S.exports(spark, sf_dir)).select("path", "readable", "point", "x", "y", "z")
 
 
+_folders: dict[tuple, str] = {}
+
+
+def export_files(spark, sf_dir):
+    """Folder of the exports as real files, written once per session."""
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _folders:
+        folder = scratch_path(spark, "export_files")
+        writers.write_files(S.exports(spark, sf_dir), folder)
+        _folders[slot] = folder
+    return _folders[slot]
+
+
+def relative(path):
+    return F.concat(F.lit("data/"), F.substring_index(path, "/", -1)).alias("path")
+
+
+@query("read_header_ranges", f"""
+SELECT {PATH} AS path, vec_id%16<>1 AS readable, CASE WHEN vec_id%16=1 THEN NULL WHEN vec_id%16=10 THEN vec_id-10 ELSE vec_id END AS point,
+  CASE WHEN vec_id%16<>1 THEN vec_id/8.0 END AS x, CASE WHEN vec_id%16<>1 THEN (vec_id%100)/4.0 END AS y, CASE WHEN vec_id%16<>1 THEN 0.5::DOUBLE END AS z
+FROM embeddings""")
+def read_header_ranges(spark, sf_dir):
+    return R.read_headers(spark, export_files(spark, sf_dir)).select(relative("path"), "readable", "point", "x", "y", "z")
+
+
+@query("scan_export_ranges", "WITH " + S.SPEC_SQL + f""", P AS (SELECT vec_id, {PATH} AS path FROM embeddings)
+SELECT path, CASE WHEN vec_id%16=10 THEN vec_id-10 ELSE vec_id END AS point, vec_id/8.0 AS x, freq + CASE WHEN vec_id%16=11 THEN 10 ELSE 0 END + CASE WHEN vec_id%16=12 AND bin=9 THEN 0.5 ELSE 0 END AS freq,
+  re_x, re_y, re_z, im_x, im_y, im_z FROM SPEC JOIN P ON vec_id=point WHERE vec_id%16 NOT IN (1,2,3,4,5,6,7,8)""")
+def scan_export_ranges(spark, sf_dir):
+    # Ranges far smaller than a file, so that lines are cut everywhere.
+    rows, _ = R.scan_export_rows(spark, export_files(spark, sf_dir), range_bytes=300)
+    return rows.select(relative("path"), "point", "x", "freq", "re_x", "re_y", "re_z", "im_x", "im_y", "im_z")
+
+
+@query("export_range_rejects", f"""
+SELECT {PATH} AS path, CASE vec_id%16 WHEN 1 THEN 'no point header line' WHEN 2 THEN 'no point header line' WHEN 3 THEN 'no numeric data rows'
+  WHEN 4 THEN 'non-numeric cell' WHEN 5 THEN 'ragged rows' WHEN 6 THEN 'not 7 columns' ELSE 'NaN or infinity' END AS reason
+FROM embeddings WHERE vec_id%16 IN (1,2,3,4,5,6,7,8)""")
+def export_range_rejects(spark, sf_dir):
+    return R.scan_export_rows(spark, export_files(spark, sf_dir))[1].select(relative("path"), "reason")
+
+
 @query("file_inventory", """
 SELECT 'docs/' || doc_id || '.txt' AS path, doc_id || '.txt' AS name, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM documents""")
 def file_inventory(spark, sf_dir):

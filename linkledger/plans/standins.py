@@ -112,6 +112,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("bytes"), F.encode("text", "UTF-8").alias("content"), "doc_id")
 
 
+def place_files(spark: SparkSession, lines: DataFrame, folder: str) -> None:
+    """Write ``lines(name, at, line)`` as one text file per name into a folder, replacing files of that name."""
+    staged = scratch_path(spark, "staged_files")
+    lines.repartition("name").sortWithinPartitions("name", "at").select("name", "line").write.partitionBy("name").text(staged)
+    fs, path = file_system(spark, folder)
+    fs.mkdirs(path(folder))
+    for status in fs.globStatus(path(f"{staged}/name=*/part-*")):
+        target = path(f"{folder}/{status.getPath().getParent().getName().removeprefix('name=')}")
+        fs.delete(target, False)
+        fs.rename(status.getPath(), target)
+
+
+def file_system(spark: SparkSession, folder: str):
+    """The file system of a folder, and what makes paths for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def file_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RECORDED: what records say about the files: altered, missing and absent hashes, missing URLs."""
     d = table(spark, sf_dir, "documents")

@@ -146,10 +146,30 @@ def stream_dedupe(spark, sf_dir):
     return first.select("entity", "material", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "version")
 
 
-@query("stream_inventory")
+@query("stream_inventory", """
+WITH L AS (SELECT 'nation' || c_nationkey || '.txt' AS name, c_nationkey AS k, c_custkey AS pos, c_name || ' ' || c_mktsegment AS line FROM customer),
+A AS (SELECT name, k, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS old, string_agg(upper(line), chr(10) ORDER BY pos) || chr(10) AS changed FROM L GROUP BY name, k),
+N AS (SELECT 'segment' || c_mktsegment || '.txt' AS name, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS t FROM customer GROUP BY 1),
+S AS (SELECT name, CASE k%5 WHEN 0 THEN changed WHEN 1 THEN NULL ELSE old END AS t, CASE k%5 WHEN 0 THEN 'changed' WHEN 1 THEN 'gone' ELSE '' END AS delta FROM A UNION ALL SELECT name, t, 'new' FROM N)
+SELECT name, CASE WHEN delta='gone' THEN NULL ELSE strlen(t) END::BIGINT AS bytes, sha256(t) AS sha256, delta FROM S""")
 def stream_inventory(spark, sf_dir):
-    # The table files themselves, as files that arrive; a second run finds nothing new.
+    # Files of customers by nation arrive; then some change in place, some go, and files by segment are added.
     base = scratch_path(spark, "stream_inventory")
-    for _ in range(2):
-        V.stream_inventory(spark, sf_dir, f"{base}/table", f"{base}/checkpoint", "*.parquet").awaitTermination()
-    return V.current_inventory(spark, f"{base}/table").select("name", "bytes", "sha256")
+    folder, table = f"{base}/in", f"{base}/table"
+    c = S.table(spark, sf_dir, "customer")
+    named = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(".txt")).alias("name")
+    line = F.concat_ws(" ", "c_name", "c_mktsegment")
+    nations = c.select(named("nation", "c_nationkey"), F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("at"), line.alias("line"))
+    S.place_files(spark, nations.drop("k"), folder)
+    V.stream_inventory(spark, folder, table, f"{base}/checkpoint", "*.txt").awaitTermination()
+    S.place_files(spark, nations.where("k % 5 = 0").select("name", "at", F.upper("line").alias("line")), folder)
+    S.place_files(spark, c.select(named("segment", "c_mktsegment"), F.col("c_custkey").alias("at"), F.col("c_name").alias("line")), folder)
+    fs, path = S.file_system(spark, folder)
+    for k in range(25):
+        if k % 5 == 1:
+            fs.delete(path(f"{folder}/nation{k}.txt"), False)
+    batch = V.refresh_inventory(spark, folder, table, "*.txt")
+    now = V.current_inventory(spark, table)
+    deltas = V.inventory_deltas(V.current_inventory(spark, table, batch - 1), now)
+    rows = now.join(deltas, "path", "left")
+    return rows.select("name", F.when(F.col("sha256").isNotNull(), F.col("bytes")).alias("bytes"), "sha256", F.coalesce("delta", F.lit("")).alias("delta"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkledger.operators.ordered import ordered
+from linkledger.sources.ranges import open_store
 
 
 def write_records(records: DataFrame, path: str, partition: str | None = None) -> None:
@@ -62,3 +65,23 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 def write_report_csv(report: DataFrame, path: str) -> None:
     """A result table as CSV with header, in order of its columns; adaptive execution makes one file of a small one."""
     report.sort(*report.columns).write.mode("overwrite").csv(path, header=True)
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write ``files(path, content)`` as files of those relative paths below a folder, in tasks; gives their number.
+
+    A file appears under its name when it is complete; a repeated task writes the same files again.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside, _ = open_store(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                target = f"{inside}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                staged = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(staged) as out:
+                    out.write(content)
+                store.move(staged, target)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return files.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -41,6 +41,14 @@ def _is_data_start(line: Column) -> Column:
     return (F.size(cells) >= COLUMNS) & F.trim(cells[0]).rlike(r"^[-+\d.eE]+$")
 
 
+def is_numeric(cell: Column) -> Column:
+    return cell.rlike(NUMBER_PATTERN) | cell.rlike(SPECIAL_NUMBER_PATTERN)
+
+
+def is_endless(cell: Column) -> Column:
+    return cell.rlike(SPECIAL_NUMBER_PATTERN) | (F.abs(cell.try_cast("double")) == F.lit(float("inf")))
+
+
 def parse_exports(files: DataFrame) -> DataFrame:
     """One row per file: header fields, seven arrays and ``reason`` (null for a usable file). No shuffle.
 
@@ -58,20 +66,14 @@ def parse_exports(files: DataFrame) -> DataFrame:
     body = F.filter(F.slice("__lines", F.col("__start"), F.greatest(F.size("__lines"), F.lit(1))), lambda line: F.trim(line) != "")
     rows = computed_once(head, {"__rows": F.when(F.col("__start") > 0, F.transform(body, _cells))})
 
-    def numeric(cell: Column) -> Column:
-        return cell.rlike(NUMBER_PATTERN) | cell.rlike(SPECIAL_NUMBER_PATTERN)
-
-    def endless(cell: Column) -> Column:
-        return cell.rlike(SPECIAL_NUMBER_PATTERN) | (F.abs(cell.try_cast("double")) == F.lit(float("inf")))
-
     widths = F.transform("__rows", lambda r: F.size(r))
     reason = (
         F.when(F.col("__header").isNull(), NO_HEADER)
         .when(F.col("__start") == 0, NO_ROWS)
-        .when(F.exists("__rows", lambda r: F.exists(r, lambda c: ~numeric(c))), NOT_NUMERIC)
+        .when(F.exists("__rows", lambda r: F.exists(r, lambda c: ~is_numeric(c))), NOT_NUMERIC)
         .when(F.array_min(widths) != F.array_max(widths), RAGGED)
         .when(F.array_max(widths) != COLUMNS, NOT_SEVEN)
-        .when(F.exists("__rows", lambda r: F.exists(r, endless)), NOT_FINITE)
+        .when(F.exists("__rows", lambda r: F.exists(r, is_endless)), NOT_FINITE)
     )
     reasoned = computed_once(rows.select(*kept, "sha256", "size", "__header", "__start", "__rows"), {"reason": reason})
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linkledger.session import cut_lineage
 from linkledger.sources.inventory import hash_files
 
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -32,34 +33,31 @@ def stream_inventory(spark: SparkSession, path: str, table: str, checkpoint: str
             .trigger(availableNow=True).start())
 
 
-def refresh_inventory(spark: SparkSession, path: str, table: str, glob: str = "*", files_per_read: int = 1000) -> int:
+def refresh_inventory(spark: SparkSession, path: str, table: str, glob: str = "*") -> int:
     """Compare a listing of the folder with the table and append what is new, changed or gone; gives the batch number.
 
-    Files are listed without their content; only those whose time or size differs are read and hashed, so many at a
-    time. A file that is gone leaves a row without hash.
+    Files are listed without their content. Paths whose time or size differs are written beside the table, and one read of
+    the folder, cut by the times and sizes of the changed files at the scan, takes those in the tasks that hash them; no path
+    passes through the driver. A file that is gone leaves a row without hash.
     """
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-               .select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes")))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    listing = files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"))
     batches = stored_batches(spark, table)
     batch = 0 if batches is None else batches.agg(F.max("batch")).first()[0] + 1
-    known = current_inventory(spark, table).select("path", F.col("mtime").alias("k_mtime"), F.col("bytes").alias("k_bytes")) if batch else None
-    other = listing if known is None else listing.join(known, "path", "left").where(
-        ~F.col("mtime").eqNullSafe(F.col("k_mtime")) | ~F.col("bytes").eqNullSafe(F.col("k_bytes")))
-    out, block = f"{table}/batch={batch}", []
-
-    def read(paths: list[str]) -> None:
-        files = spark.read.format("binaryFile").load(paths).select("path", F.col("modificationTime").alias("mtime"), "content")
-        hash_files(files).write.mode("append").parquet(out)
-
-    for row in other.select("path").toLocalIterator():
-        block.append(row.path)
-        if len(block) == files_per_read:
-            read(block)
-            block = []
-    if block:
-        read(block)
+    out, known = f"{table}/batch={batch}", current_inventory(spark, table) if batch else None
     if known is not None:
-        gone = current_inventory(spark, table).join(listing.select("path"), "path", "left_anti").where(F.col("sha256").isNotNull())
+        seen = known.select("path", F.col("mtime").alias("k_mtime"), F.col("bytes").alias("k_bytes"))
+        listing = listing.join(seen, "path", "left").where(~F.col("mtime").eqNullSafe(F.col("k_mtime")) | ~F.col("bytes").eqNullSafe(F.col("k_bytes")))
+        listing = listing.select("path", "mtime", "bytes")
+    changed = cut_lineage(listing, "changed-paths")
+    low, high, least, most = changed.agg(F.min("mtime"), F.max("mtime"), F.min("bytes"), F.max("bytes")).first()
+    if low is not None:
+        span = F.col("modificationTime").between(F.lit(low), F.lit(high)) & F.col("length").between(least, most)
+        found = files.where(span).select("path", F.col("modificationTime").alias("mtime"), "content").join(changed.select("path"), "path", "left_semi")
+        hash_files(found).write.mode("append").parquet(out)
+    if known is not None:
+        there = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
+        gone = known.where(F.col("sha256").isNotNull()).join(there, "path", "left_anti")
         gone.select("path", "name", "mtime", "bytes", F.lit(None).cast("string").alias("sha256")).write.mode("append").parquet(out)
     return batch
 

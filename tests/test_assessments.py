@@ -14,6 +14,7 @@ from linkledger.operators import integrity as I
 from linkledger.operators import lifecycle as LC
 from linkledger.operators import matching as M
 from linkledger.operators.ordered import number_chunk
+from linkledger.operators import deltas as D
 from linkledger.streaming import inventory as IV
 from linkledger.streaming import triggers as ST
 
@@ -217,10 +218,59 @@ def test_inventory_sees_changed_and_gone_files(spark, tmp_path):
     os.utime(folder / "a.txt", (2_000_000_000, 2_000_000_000))
     (folder / "b.txt").unlink()
     (folder / "d.txt").write_text("d")
-    assert IV.refresh_inventory(spark, str(folder), table, "*.txt", files_per_read=1) == 1
+    assert IV.refresh_inventory(spark, str(folder), table, "*.txt") == 1
     now = {r.name: r.sha256 for r in IV.current_inventory(spark, table).collect()}
     assert now == {"a.txt": hashlib.sha256(b"another").hexdigest(), "b.txt": None, "c.txt": hashlib.sha256(b"sub/c").hexdigest(), "d.txt": hashlib.sha256(b"d").hexdigest()}
     deltas = IV.inventory_deltas(IV.current_inventory(spark, table, 0), IV.current_inventory(spark, table, 1))
     assert sorted((r.path[-5:], r.delta) for r in deltas.collect()) == [("a.txt", "changed"), ("b.txt", "gone"), ("d.txt", "new")]
     IV.refresh_inventory(spark, str(folder), table, "*.txt")
     assert spark.read.parquet(table).count() == 6
+
+
+def test_delta_verdicts_equal_a_full_assessment(spark, tmp_path):
+    """Several batches of changed, new and gone files, with one touching nothing: the kept verdicts stay those of a full recomputation."""
+    store = str(tmp_path / "verdicts")
+    points = range(8)
+    view = spark.createDataFrame([(p, 1.0 * p, 2.0, 3.0, f"data/{p}" if p != 7 else None) for p in points], "point LONG, x DOUBLE, y DOUBLE, z DOUBLE, file STRING")
+    records = spark.createDataFrame([(p, f"data/{p}", f"h{p}", 1.0 * p, 2.0, 3.0, f"rec/{p}") for p in points if p != 6] + [(99, "data/99", "h99", 0.0, 0.0, 0.0, "rec/99")],
+                                    "point LONG, url STRING, sha256 STRING, x DOUBLE, y DOUBLE, z DOUBLE, record_path STRING")
+    manifest = spark.createDataFrame([("2024-02", k, f"{f}/{p}", h + str(p), p) for p in points for k, f, h in (("data", "data", "h"), ("record", "rec", "r"), ("cache", "c", "h"))],
+                                     "build_id STRING, kind STRING, path STRING, sha256 STRING, point LONG")
+    elements = spark.createDataFrame([(p, "stale" if p == 5 else "valid", "moved" if p == 5 else None) for p in points], "point LONG, verdict STRING, reason STRING")
+    waves = [{**{f"data/{p}": f"h{p}" for p in points}, **{f"rec/{p}": f"r{p}" for p in points}}]
+    waves.append({**waves[0], "data/0": "other", "rec/1": "edited", "data/extra": "e", "x/unrelated": "u"})
+    waves.append({k: v for k, v in waves[1].items() if k not in ("data/2", "data/extra")})
+    waves.append(waves[2])
+    waves.append({**waves[3], "data/0": "h0", "data/2": "h2", "rec/1": "r1"})
+
+    def full(inventory, headers):
+        states = I.assess_points(view, records, inventory, headers, manifest, elements)
+        known = I.known_set(records.select(F.col("url").alias("path")), view.select(F.col("file").alias("path")).where("path IS NOT NULL"))
+        loose = I.untracked_files(inventory.where("path LIKE 'data/%'"), known)
+        lone = I.reconcile_keys(records, view, "point").where("side = 'record without view'")
+        lines = I.problem_lines(states).unionByName(loose.select(F.lit("data").alias("layer"), F.col("path").alias("line"))).unionByName(
+            lone.select(F.lit("record").alias("layer"), F.col("point").cast("string").alias("line")))
+        return states, lines
+
+    shown = lambda df: sorted(map(str, df.collect()))
+    before = None
+    for batch, files in enumerate(waves):
+        inventory = spark.createDataFrame(list(files.items()), "path STRING, sha256 STRING")
+        headers = spark.createDataFrame([(p, int(p.split("/")[1]), float(p.split("/")[1]), 2.0, 3.0, True) for p in files if p[5:].isdigit()],
+                                        "path STRING, point LONG, x DOUBLE, y DOUBLE, z DOUBLE, readable BOOLEAN")
+        states, lines = full(inventory, headers)
+        if before is None:
+            D.start_verdicts(states, lines, store)
+        else:
+            deltas = IV.inventory_deltas(before, inventory)
+            D.refresh_verdicts(store, batch, deltas, view, records, inventory, headers, manifest, elements)
+            touched = spark.read.parquet(f"{store}/states/batch={batch}").count()
+            assert touched == [None, 2, 1, 0, 3][batch]
+        columns = states.columns
+        assert shown(D.current_states(spark, store).select(*columns)) == shown(states.select(*columns))
+        layers = I.layer_verdict(states, lines)
+        assert shown(D.current_layers(spark, store, batch).select(*layers.columns)) == shown(layers)
+        assert shown(D.current_overall(spark, store, batch)) == shown(I.overall_verdict(states, layers))
+        before = inventory
+    assert D.verdict_deltas(spark, store, 3).count() == 0
+    assert {(r.point, r.layer, r.old, r.new) for r in D.verdict_deltas(spark, store, 2).collect()} == {(2, "data", "valid", "missing"), (2, "point", "valid", "unverified")}
