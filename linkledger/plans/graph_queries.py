@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkledger.functions.text import local_name
-from linkledger.model import RDF_TYPE, iri
+from linkledger.model import RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, iri
+from linkledger.operators import chains as C
 from linkledger.operators import gaps as GP
 from linkledger.operators import graph as G
 from linkledger.plans import standins as S
@@ -64,6 +65,22 @@ def path_values(spark, sf_dir):
     return G.path_values(t, focus, [VOCAB + "c_nationkey", VOCAB + "n_regionkey"], scope=[])
 
 
+@query("list_places", "WITH " + S.RECORD_SQL + """
+SELECT record_id, unnest(['frequency','real_x']) AS name, unnest([0,1])::BIGINT AS place FROM R""")
+def list_places(spark, sf_dir):
+    # The same lists by following the links from cell to cell, without the positions that the reader noted.
+    t = S.record_triples(spark, sf_dir)
+    cell = lambda c: F.concat_ws(" ", "record_id", c)
+    rest = t.where(F.col("p") == RDF_REST)
+    links = rest.select(cell("s").alias("s"), F.when(F.col("o") != RDF_NIL, cell("o")).alias("o"))
+    places = C.list_places(links)
+    heads = t.where(F.col("p") == iri("csvw:column")).select("record_id", cell("o").alias("head"))
+    first = t.where(F.col("p") == RDF_FIRST).select(cell("s").alias("cell"), F.col("o").alias("s"))
+    members = heads.join(places, "head").join(first, "cell").select("record_id", "s", "place")
+    names = t.where(F.col("p") == iri("csvw:name")).select("record_id", "s", F.col("o").alias("name"))
+    return members.join(names, ["record_id", "s"]).select("record_id", "name", "place")
+
+
 @query("list_members", "WITH " + S.RECORD_SQL + """
 SELECT record_id, unnest(['frequency','real_x']) AS name, unnest([0,1])::BIGINT AS place FROM R""")
 def list_members(spark, sf_dir):

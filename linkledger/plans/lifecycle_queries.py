@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from linkledger.operators import chains as C
 from linkledger.operators import lifecycle as L
 from linkledger.plans import standins as S
 from linkledger.plans.catalog import query
@@ -31,6 +33,26 @@ def assertion_history(spark, sf_dir):
     return h.select("relation", "assertion", "previous", "revision", "is_current")
 
 
+# Every event is superseded by its user's next one; some point elsewhere: to two others, back, or to nothing known.
+HEAD_LINKS = """N AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pv FROM events),
+K AS (SELECT a, CASE WHEN a%97=0 THEN -a-1 WHEN a%89=0 AND pv IS NOT NULL THEN pv ELSE nx END AS nx FROM N),
+D AS (SELECT a, nx FROM K UNION ALL SELECT a, nx + 1000000000 FROM K WHERE a%83=0 AND nx >= 0)"""
+
+
+@query("assertion_heads", "WITH RECURSIVE " + HEAD_LINKS + """, L AS (SELECT a, min(nx) AS nx, count(DISTINCT nx) > 1 AS forked FROM D GROUP BY a),
+R(a, pos, steps, fork) AS (SELECT a, a, 0, false FROM L UNION ALL SELECT R.a, L.nx, steps + 1, fork OR forked FROM R JOIN L ON L.a = R.pos WHERE L.nx IS NOT NULL AND steps <= (SELECT count(*) FROM L)),
+E AS (SELECT a, pos, steps, fork FROM R WHERE NOT EXISTS (SELECT 1 FROM L WHERE L.a = R.pos AND L.nx IS NOT NULL))
+SELECT L.a AS assertion, E.pos AS head, E.steps::BIGINT AS steps, CASE WHEN E.pos IS NULL THEN 'cycle' WHEN E.pos NOT IN (SELECT a FROM L) THEN 'unknown successor' WHEN fork THEN 'fork' END AS reason
+FROM L LEFT JOIN E USING (a)""")
+def assertion_heads(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events")
+    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    a, after, before = F.col("event_id"), F.lead("event_id").over(along), F.lag("event_id").over(along)
+    links = e.select(a.alias("assertion"), F.when(a % 97 == 0, -a - 1).when((a % 89 == 0) & before.isNotNull(), before).otherwise(after).alias("superseded_by"))
+    twice = links.where((F.col("assertion") % 83 == 0) & (F.col("superseded_by") >= 0)).withColumn("superseded_by", F.col("superseded_by") + 1_000_000_000)
+    return C.assertion_heads(links.unionByName(twice))
+
+
 @query("latest_version_asof", """
 WITH D AS (SELECT event_id AS decision_id, user_id AS entity, ts - INTERVAL 90 MINUTE AS ts FROM events)
 SELECT decision_id, D.entity, v.event_id AS version, v.event_type AS material FROM D ASOF LEFT JOIN (SELECT user_id AS entity, ts, event_id, event_type FROM events) v ON D.entity=v.entity AND D.ts>=v.ts""")

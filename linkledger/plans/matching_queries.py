@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linkledger.operators import matching as M
 from linkledger.operators.ordered import time_chunk
+from linkledger.operators import overlap as O
 from linkledger.plans import standins as S
 from linkledger.plans.catalog import query
 
@@ -32,6 +33,17 @@ def token_overlap(spark, sf_dir):
                     F.round(M.token_overlap(a, F.array(F.col("p_name"), F.lit("Red-Small"))), 6).alias("other"))
 
 
+@query("best_overlaps", "WITH " + S.WALL_SQL + """, A AS (SELECT gid, list_distinct(list_filter(string_split(lower(p_name),' '), lambda x: length(x)>=3)) AS a FROM W),
+B AS (SELECT record_uri, list_distinct(list_filter(string_split(lower(p_name),' '), lambda x: length(x)>=3)) AS b FROM C),
+X AS (SELECT gid, record_uri, len(list_intersect(a,b))::DOUBLE / len(list_distinct(list_concat(a,b))) AS o FROM A, B WHERE len(a)>0 AND len(b)>0),
+Y AS (SELECT gid, count(*) AS matches, max(o) AS overlap FROM X WHERE o >= 0.5 - 1e-9 GROUP BY gid)
+SELECT A.gid, coalesce(matches, 0)::BIGINT AS matches, (SELECT min(record_uri) FROM X WHERE X.gid=A.gid AND X.o=Y.overlap) AS best, round(overlap, 6) AS overlap FROM A LEFT JOIN Y ON A.gid=Y.gid""")
+def best_overlaps(spark, sf_dir):
+    # Every wall against all records, whatever their family.
+    found = O.best_overlaps(S.walls(spark, sf_dir), S.registry(spark, sf_dir), 0.5)
+    return found.select("gid", "matches", "best", F.round("overlap", 6).alias("overlap"))
+
+
 @query("find_candidates", "WITH " + S.WALL_SQL + """, F AS (SELECT family, count(*) AS n, min(record_uri) AS u FROM C GROUP BY 1)
 SELECT gid, W.family, coalesce(n,0)::BIGINT AS candidates, CASE WHEN n=1 THEN u END AS candidate, CASE WHEN n IS NULL THEN 'UNMATCHED' WHEN n>1 THEN 'MULTIPLE_CANDIDATES' ELSE 'CANDIDATE' END AS status
 FROM W LEFT JOIN F ON W.family=F.family""")

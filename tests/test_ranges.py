@@ -52,9 +52,10 @@ def test_rows_and_reasons_equal_those_of_whole_files(spark, tmp_path):
     for size in (37, 500, 1 << 20):
         rows, rejects = R.scan_export_rows(spark, folder, range_bytes=size)
         assert name(rows.select(*expected.columns)) == name(expected)
-        assert name(rejects.select("path", "reason")) == name(X.rejects_with_reason(whole).select("path", "reason"))
+        # Spark's file source passes empty files by; here they are rejects.
+        assert name(rejects.select("path", "reason")) == sorted([*name(X.rejects_with_reason(whole).select("path", "reason")), ("empty.txt", X.NO_HEADER)])
     headers = R.read_headers(spark, folder)
-    assert name(headers) == name(X.scan_headers(X.read_files(spark, folder, "*.txt")).select(*headers.columns))
+    assert name(headers.where("path NOT LIKE '%empty.txt'")) == name(X.scan_headers(X.read_files(spark, folder, "*.txt")).select(*headers.columns))
     assert headers.count() == 10
 
 
