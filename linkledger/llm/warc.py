@@ -3,30 +3,32 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import html
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkledger.llm.common import bounded_batches
+from linkledger.llm.common import BATCH_BYTES, BATCH_ROWS, bounded_batches
+from linkledger.llm.markup import read_page
+from linkledger.sources.ranges import open_store
 
 CRLF = "\r\n"
 RECORD_END = "\r\n\r\n"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:linkledger:warc")
-#: Elements without readable text, and elements that begin a new line.
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b(?=[\s>]).*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
-LINE_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
-LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+CHUNK_SIZE = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
+#: A body of more bytes than this after decoding is not converted; its metadata record says so.
+DECODED_BYTES = 1 << 28
+#: What ``read_warc`` says of a record.
+MATCH, MISMATCH, UNCHECKED, TRUNCATED, DAMAGED = "match", "mismatch", "unchecked", "truncated", "damaged"
 
 
 def digest(data: bytes) -> str:
@@ -44,10 +46,8 @@ def one_line(value: str) -> str:
 
 
 def plain_text(markup: str) -> str:
-    """Readable text: no hidden elements or tags, one line per block, references resolved, white space collapsed."""
-    text = LINE_BREAK.sub("\n", HIDDEN.sub(" ", markup).replace("\n", " "))
-    text = html.unescape(TAG.sub("", text))
-    return LINES.sub("\n", SPACES.sub(" ", text)).strip(" \n")
+    """Readable text of a page; see :func:`read_page`."""
+    return read_page(markup).text
 
 
 def header_value(header: str, name: str) -> str | None:
@@ -58,13 +58,85 @@ def header_value(header: str, name: str) -> str | None:
     return None
 
 
-def decoded(payload: bytes, header: str) -> str:
-    """The payload by the charset of its content type; UTF-8 if there is none or it is unknown."""
+def unchunked(body: bytes) -> tuple[bytes, str | None]:
+    """A chunked body's content, and what is wrong with it; a body that begins with no chunk size is taken as it is."""
+    parts, at = [], 0
+    while size := CHUNK_SIZE.match(body, at):
+        at, length = size.end(), int(size[1], 16)
+        if not length:
+            return b"".join(parts), None
+        parts.append(body[at:at + length])
+        if at + length > len(body):
+            return b"".join(parts), "chunk without end"
+        at += length + (2 if body[at + length:at + length + 2] == b"\r\n" else body[at + length:at + length + 1] == b"\n")
+    return (b"".join(parts), "chunk size missing") if parts else (body, "not chunked")
+
+
+def inflated(body: bytes, coding: str, limit: int) -> tuple[bytes, str | None]:
+    """A ``gzip`` or ``deflate`` body's content, as far as it can be read, and what is wrong with it.
+
+    A body that does not begin like its coding is taken as it is: crawlers often store bodies decoded and keep the header.
+    """
+    if coding == "gzip":
+        if body[:2] != b"\x1f\x8b":
+            return body, "not gzip"
+        wbits = 31
+    else:
+        wrapped = len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0
+        wbits = 15 if wrapped else -15
+    parts: list[bytes] = []
+    held, problem = 0, None
+    while body:
+        inflater = zlib.decompressobj(wbits)
+        try:
+            while body and not inflater.eof:
+                parts.append(inflater.decompress(body, 1 << 20))
+                held += len(parts[-1])
+                if held > limit:
+                    return b"", f"over {limit} bytes decoded"
+                body = inflater.unconsumed_tail
+            parts.append(inflater.flush())
+        except zlib.error:
+            if coding == "deflate" and not held:
+                return b"".join([*parts, body]), "not deflate"
+            problem = f"damaged {coding} data"
+            break
+        if not inflater.eof:
+            problem = f"{coding} data without end"
+            break
+        body = inflater.unused_data
+        if wbits != 31 or body[:2] != b"\x1f\x8b":
+            break
+    return b"".join(parts), problem
+
+
+def body_of(payload: bytes, header: str, limit: int = DECODED_BYTES) -> tuple[bytes, list[str]]:
+    """The payload without transfer and content codings, last applied first, and what hindered that.
+
+    Of a coding that is not known (only ``chunked``, ``gzip``, ``deflate`` and ``identity`` are) nothing can be read: the body is empty.
+    """
+    problems = []
+    codings = [c.strip().lower() for name in ("Content-Encoding", "Transfer-Encoding") for c in (header_value(header, name) or "").split(",")]
+    for coding in reversed([c for c in codings if c and c != "identity"] if payload else []):
+        coding = coding.removeprefix("x-")
+        if coding == "chunked":
+            payload, problem = unchunked(payload)
+        elif coding in ("gzip", "deflate"):
+            payload, problem = inflated(payload, coding, limit)
+        else:
+            payload, problem = b"", f"unknown coding {coding}"
+        if problem:
+            problems.append(problem)
+    return (payload, problems) if len(payload) <= limit else (b"", [*problems, f"over {limit} bytes decoded"])
+
+
+def decoded(body: bytes, header: str) -> str:
+    """A body by the charset of its content type; UTF-8 if there is none or it is unknown or no text encoding."""
     found = CHARSET.search(header_value(header, "Content-Type") or "")
     try:
-        return payload.decode(found[1] if found else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+        return body.decode(found[1] if found else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
 
 
 def warc_header(fields: list[tuple[str, str | None]]) -> str:
@@ -89,17 +161,20 @@ def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", i
 
 
 def derive(record_id: str, target_uri: str, date: str, http_header: str, payload: bytes) -> list[dict[str, object]]:
-    """The metadata and the conversion record of one response."""
-    markup = decoded(payload, http_header)
-    text = plain_text(markup).encode("utf-8", "replace")
+    """The metadata and the conversion record of one response.
+
+    The conversion is the text of the decoded body; the digest is that of the payload as it was stored.
+    """
+    body, problems = body_of(payload, http_header)
+    page = read_page(decoded(body, http_header))
+    text = page.text.encode("utf-8", "replace")
     source_digest = digest(payload)
     metadata_id, conversion_id = record_uuid("metadata", record_id), record_uuid("conversion", record_id)
-    title = TITLE.search(markup)
     status = http_header.split(CRLF, 1)[0].split(" ")[1:2]
     facts = [
         ("source-record-id", record_id), ("conversion-record-id", conversion_id), ("source-payload-digest", source_digest), ("source-payload-length", str(len(payload))),
         ("source-http-status", status[0] if status else None), *[("source-http-header", line) for line in http_header.split(CRLF)[1:] if line.strip()],
-        ("title", html.unescape(title[1]) if title else None), ("outlink-count", str(len(LINK.findall(markup)))), ("text-length", str(len(text))),
+        *[("decoding-problem", p) for p in problems], ("title", page.title), ("outlink-count", str(len(page.links))), ("text-length", str(len(text))),
     ]
     about = CRLF.join(f"{name}: {one_line(value)}" for name, value in facts if value is not None).encode("utf-8", "replace") + CRLF.encode()
     out = []
@@ -143,33 +218,126 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(text.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(header, block) of every record of a file's bytes."""
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        header = data[at:end].decode("utf-8", "replace").lstrip("\r\n")
-        if not header.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        length = int(header_value(header, "Content-Length") or 0)
-        yield header + RECORD_END, data[end + 4:end + 4 + length]
-        at = end + 4 + length + 4
+class RecordReader:
+    """(header, block, state) of every record of a stream, read one after another: memory holds one record.
+
+    The state compares the block with its ``WARC-Block-Digest`` (SHA-1 in base 32 or base 16, else ``unchecked``). A last
+    record with missing bytes is ``truncated``. From where no record begins, or compressed data is broken, nothing more can
+    be read; that place is one ``damaged`` record whose header holds the bytes found there.
+    """
+
+    HEAD_STEP, HEAD_LIMIT = 1 << 13, 1 << 20
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.held = stream, b""
+
+    def _head(self) -> tuple[bytes, bool] | None:
+        """The bytes before the next empty line, without line ends before, and whether they can be a header; None at the end of the stream."""
+        seen = 0
+        while True:
+            if not seen:
+                self.held = self.held.lstrip(b"\r\n")
+            end = self.held.find(b"\r\n\r\n", max(0, seen - 3))
+            if end >= 0:
+                head, self.held = self.held[:end], self.held[end + 4:]
+                return head, head.startswith(b"WARC/")
+            seen = len(self.held)
+            more = b"" if seen > self.HEAD_LIMIT or seen >= 5 and not self.held.startswith(b"WARC/") else self.stream.read(self.HEAD_STEP)
+            if not more:
+                return (self.held, False) if self.held else None
+            self.held += more
+
+    def __iter__(self) -> Iterator[tuple[str, bytes, str]]:
+        try:
+            while (found := self._head()) is not None:
+                header = found[0].decode("utf-8", "replace")
+                length = (header_value(header, "Content-Length") or "").strip()
+                if not found[1] or not re.fullmatch("[0-9]{1,18}", length):
+                    yield header[:self.HEAD_STEP], b"", DAMAGED
+                    return
+                missing = int(length) - len(self.held)
+                block = self.held + self.stream.read(missing) if missing > 0 else self.held[:int(length)]
+                self.held = b"" if missing > 0 else self.held[int(length):]
+                yield header + RECORD_END, block, TRUNCATED if len(block) < int(length) else digest_state(header, block)
+        except (EOFError, zlib.error, gzip.BadGzipFile):
+            yield "", b"", DAMAGED
+
+
+def digest_state(header: str, block: bytes) -> str:
+    name, _, value = (header_value(header, "WARC-Block-Digest") or "").partition(":")
+    value = value.strip().upper()
+    if name.strip().lower() not in ("sha1", "sha-1") or len(value) not in (32, 40):
+        return UNCHECKED
+    own = hashlib.sha1(block)
+    return MATCH if value == (own.hexdigest().upper() if len(value) == 40 else base64.b32encode(own.digest()).decode()) else MISMATCH
+
+
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[str, bytes, str]]:
+    """The records of a stream, plain or of gzip members."""
+    buffered = io.BufferedReader(stream) if isinstance(stream, io.RawIOBase) else stream
+    first = buffered.read(2)
+    whole = Rejoined(first, buffered)
+    return iter(RecordReader(gzip.GzipFile(fileobj=whole) if first == b"\x1f\x8b" else whole))
+
+
+class Rejoined:
+    """A stream whose first bytes were read already."""
+
+    def __init__(self, first: bytes, rest: BinaryIO):
+        self.first, self.rest = first, rest
+
+    def read(self, size: int = -1) -> bytes:
+        if not self.first:
+            return self.rest.read(size)
+        first, self.first = (self.first, b"") if size < 0 else (self.first[:size], self.first[size:])
+        return first + (self.rest.read() if size < 0 else self.rest.read(size - len(first)) if size > len(first) else b"")
+
+
+FILE_RECORD = "path string, record_type string, record_id string, refers_to string, target_uri string, date string, state string, header string, block binary"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record_type, record_id, refers_to, header, block) of uncompressed or gzip files; a file must fit into a task."""
-    import gzip
+    """One row per record of the WARC files of a folder (all types), plain or gzip.
 
+    Spark lists the files and deals them to tasks; a task opens its files one after another and reads them record by record,
+    so a file may be of any size, and a record must fit into a task. The file system must be one that Arrow opens by URI.
+    ``state`` says whether the block has its digest, and names what cannot be read (:class:`RecordReader`).
+    """
     bounded_batches(spark)
+    names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date")
+    fields = [f.split(" ")[0] for f in FILE_RECORD.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if f == "block" else pa.string()) for f, c in zip(fields, zip(*rows))], names=fields)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To")
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                found = list(parse_warc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(found), pa.string()), *[pa.array([header_value(h, n) for h, _ in found], pa.string()) for n in names],
-                     pa.array([h for h, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())],
-                    names=["path", "record_type", "record_id", "refers_to", "header", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(
-        parse, "path string, record_type string, record_id string, refers_to string, header string, block binary")
+            for name in batch.column("path").to_pylist():
+                rows, held = [], 0
+                store, inside, _ = open_store(name)
+                with store.open_input_stream(inside, compression=None, buffer_size=1 << 20) as stream:
+                    for header, block, state in parse_warc(stream):
+                        rows.append((name, *[header_value(header, n) for n in names], state, header, block))
+                        held += len(block)
+                        if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(parse, FILE_RECORD)
+
+
+def responses_from_warc(records: DataFrame, keep: tuple[str, ...] = (MATCH, UNCHECKED)) -> DataFrame:
+    """The input of :func:`build_derivatives` from rows of :func:`read_warc`: HTTP responses whose state is in ``keep``.
+
+    Records of other types are passed by. A block without an empty line is all header. ``source_id`` is the record's id.
+    """
+    bytes_ = F.decode("block", "ISO-8859-1")
+    end = F.locate(RECORD_END, bytes_)
+    http = F.lower(F.regexp_extract("header", r"(?im)^Content-Type:[ \t]*([^;\r\n]*)", 1))
+    chosen = records.where((F.col("record_type") == "response") & F.col("state").isin(*keep) & F.trim(http).isin("application/http", ""))
+    return chosen.select(
+        F.col("record_id").alias("source_id"), "record_id", "target_uri", "date",
+        F.when(end > 0, F.substr(bytes_, F.lit(1), end - 1)).otherwise(bytes_).alias("http_header"),
+        F.when(end > 0, F.substr("block", end + 4)).otherwise(F.lit(b"")).alias("payload"))
