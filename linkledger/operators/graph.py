@@ -6,7 +6,8 @@ typed once per record; ``[]`` for one graph over everything).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,3 +168,38 @@ def competency(triples: DataFrame, fields: dict[str, str], record_class: str, sc
     cells = [F.min(F.when(F.col("p") == p, F.col("o"))).alias(name) for name, p in fields.items()]
     is_record = F.max(F.when((F.col("p") == RDF_TYPE) & (F.col("o") == record_class), F.lit(True)))
     return wanted.groupBy(*scope, F.col("s").alias("record")).agg(*cells, is_record.alias("__is")).where(F.col("__is")).drop("__is")
+
+
+def answer_questions(triples: DataFrame, record_class: str, questions: Mapping[str, Mapping[str, Sequence[str]]], scope: Sequence[str] = ()) -> DataFrame:
+    """Answers of retrieval questions, ``(scope, record, question, item, field, value)``, for every record of a class.
+
+    ``questions`` gives, per question and field, the predicates from the record to the value; a step ``^p`` goes from an
+    object to its subjects, as from a record to the elements that name it. ``item`` is the node at which the value stands: the
+    record itself, its component or agent, or one of the linked elements, so the fields of one element stay together. All
+    values are given, equal ones once; a question without a value has no row. Each distinct path to an item is one join, and all
+    fields of items that are reached by one path share a scan.
+    """
+    asked: dict[tuple[str, ...], dict[str, list[tuple[str, str]]]] = {}
+    for question, fields in questions.items():
+        for field, path in fields.items():
+            if not path or path[-1].startswith("^"):
+                raise ValueError(f"{question}/{field}: a path ends with the predicate of its value")
+            asked.setdefault(tuple(path[:-1]), {}).setdefault(path[-1], []).append((question, field))
+    records = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == record_class)).select(*scope, F.col("s").alias("record"), F.col("s").alias("item")).distinct()
+    reached = {(): records}
+
+    def items(path: tuple[str, ...]) -> DataFrame:
+        if path not in reached:
+            step = path[-1]
+            near, far = ("o", "s") if step.startswith("^") else ("s", "o")
+            hop = triples.where(F.col("p") == step.removeprefix("^")).select(*scope, F.col(near).alias("item"), F.col(far).alias("__next"))
+            reached[path] = items(path[:-1]).join(hop, [*scope, "item"]).select(*scope, "record", F.col("__next").alias("item")).distinct()
+        return reached[path]
+
+    parts = []
+    for path, fields in asked.items():
+        names = F.create_map(*[x for p, pairs in fields.items() for x in (
+            F.lit(p), F.array(*[F.struct(F.lit(q).alias("question"), F.lit(f).alias("field")) for q, f in pairs]))])
+        values = triples.where(F.col("p").isin(list(fields))).select(*scope, F.col("s").alias("item"), F.explode(F.element_at(names, F.col("p"))).alias("q"), F.col("o").alias("value"))
+        parts.append(items(path).join(values, [*scope, "item"]).select(*scope, "record", "q.question", "item", "q.field", "value"))
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -105,6 +105,24 @@ def edited_after_build(manifest: DataFrame, inventory: DataFrame, kinds: tuple[s
     return joined.select("kind", "path", state.alias("state"))
 
 
+NO_MANIFEST = "no manifest: edits of records, view or cache cannot be detected"
+BROKEN_MANIFEST = "manifest is not valid JSON"
+
+
+def manifest_notes(packages: DataFrame, manifests: DataFrame, package: str = "package") -> DataFrame:
+    """``(package, note)`` of every package whose edits cannot be detected: no manifest, or one that cannot be read.
+
+    ``manifests(package, text)`` holds manifest files as found. Of several files of a package one readable is enough; an
+    empty file, and a file that holds no JSON object, is unreadable.
+    """
+    doc = F.try_parse_json("text")
+    readable = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+    found = manifests.where(F.col(package).isNotNull()).groupBy(package).agg(F.bool_or(readable).alias("__readable"))
+    joined = packages.select(package).distinct().join(found, package, "left")
+    note = F.when(F.col("__readable").isNull(), NO_MANIFEST).when(~F.col("__readable"), BROKEN_MANIFEST)
+    return joined.select(package, note.alias("note")).where(F.col("note").isNotNull())
+
+
 def element_verdict(bindings: DataFrame, inventory: DataFrame, checks: DataFrame) -> DataFrame:
     """Model layer per record: ``valid``, ``stale`` or ``unverified`` with reason and note.
 

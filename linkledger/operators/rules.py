@@ -255,9 +255,14 @@ def check_any_of(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule])
         return _empty_results(triples)
     table = _rule_table(triples.sparkSession, mine)
     wanted = _wanted(targets, table)
-    present = triples.where(F.col("p").isin(sorted({r.path for r in mine} | {r.param for r in mine}))).select(
-        "record_id", F.col("s").alias("focus"), "p").distinct()
-    either = present.join(table, (F.col("p") == F.col("path")) | (F.col("p") == F.col("param"))).select("record_id", "focus", "rule_id").distinct()
+    # Which rules each property satisfies, as one map of constants.
+    serves: dict[str, list[str]] = {}
+    for r in mine:
+        for p in (r.path, r.param):
+            serves.setdefault(p, []).append(r.rule_id)
+    lookup = F.create_map(*[x for p, ids in sorted(serves.items()) for x in (F.lit(p), F.array(*map(F.lit, ids)))])
+    either = triples.where(F.col("p").isin(sorted(serves))).select(
+        "record_id", F.col("s").alias("focus"), F.explode(F.element_at(lookup, F.col("p"))).alias("rule_id")).distinct()
     return _result(wanted.join(either, ["record_id", "focus", "rule_id"], "left_anti"))
 
 

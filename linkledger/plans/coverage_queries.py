@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkledger.operators import coverage as C
+from linkledger.operators import facets as FA
 from linkledger.plans import standins as S
 from linkledger.plans.catalog import query
 
@@ -115,3 +116,30 @@ def payload_profile(spark, sf_dir):
 @query("catalog_search", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING','MACHINERY') AND c_nationkey=3")
 def catalog_search(spark, sf_dir):
     return C.catalog_search(S.table(spark, sf_dir, "customer"), c_mktsegment=["BUILDING", "MACHINERY"], c_nationkey=3).select("c_custkey", "c_mktsegment")
+
+
+ORDER_FACETS = ["status", "priority", "year"]
+FACET_SQL = """O AS (SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey%9<>0 THEN o_orderpriority END AS priority, year(o_orderdate)::VARCHAR AS year FROM orders),
+H AS (SELECT * FROM O WHERE status IN ('F','O') AND (priority IS NULL OR priority='1-URGENT'))"""
+FACET_FILTERS = {"status": ["F", "O"], "priority": [None, "1-URGENT"]}
+
+
+def order_catalog(spark, sf_dir):
+    return S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("priority"), F.year("o_orderdate").cast("string").alias("year"))
+
+
+def order_index(spark, sf_dir):
+    return S.written(spark, sf_dir, "order_facets", lambda: FA.facet_index(order_catalog(spark, sf_dir), "o_orderkey", ORDER_FACETS))
+
+
+@query("facet_counts", "WITH " + FACET_SQL + """
+SELECT 'status' AS facet, status AS value, count(*)::BIGINT AS n FROM H GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*)::BIGINT FROM H GROUP BY 2 UNION ALL SELECT 'year', year, count(*)::BIGINT FROM H GROUP BY 2""")
+def facet_counts(spark, sf_dir):
+    index = order_index(spark, sf_dir)
+    return FA.facet_counts(index, FA.facet_hits(index, FACET_FILTERS))
+
+
+@query("facet_search", "WITH " + FACET_SQL + " SELECT o_orderkey, status, priority, year FROM H")
+def facet_search(spark, sf_dir):
+    return FA.hit_rows(order_catalog(spark, sf_dir), "o_orderkey", FA.facet_hits(order_index(spark, sf_dir), FACET_FILTERS))

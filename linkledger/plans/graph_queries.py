@@ -47,8 +47,10 @@ def graph_edges(spark, sf_dir):
 
 
 @query("merge_parallel_edges", """
-SELECT class_a, class_b, labels FROM (VALUES ('Customer','Nation','c_nationkey'), ('Customer','Orders','o_custkey, o_payer'), ('Nation','Region','n_regionkey')) t(class_a,class_b,labels)
-WHERE (SELECT count(*) FROM orders JOIN customer ON o_custkey=c_custkey) > 0""")
+WITH E AS (SELECT 'Customer' AS a, 'Nation' AS b, 'c_nationkey' AS label FROM customer JOIN nation ON c_nationkey=n_nationkey
+  UNION ALL SELECT 'Orders', 'Customer', unnest(['o_custkey','o_payer']) FROM orders JOIN customer ON o_custkey=c_custkey
+  UNION ALL SELECT 'Nation', 'Region', 'n_regionkey' FROM nation JOIN region ON n_regionkey=r_regionkey)
+SELECT least(a,b) AS class_a, greatest(a,b) AS class_b, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM E GROUP BY 1, 2""")
 def merge_parallel_edges(spark, sf_dir):
     edges = G.class_graph(S.table_graph(spark, sf_dir), scope=[]).select(
         local_name("source_class").alias("source_class"), "property", local_name("target_class").alias("target_class"), "n")
@@ -117,6 +119,31 @@ def competency(spark, sf_dir):
     return found.select("record", "name", F.col("value").cast("double").alias("value"), "segment", "source")
 
 
+QUESTIONS = {
+    "Q1": {"balance": [VOCAB + "c_acctbal"]},
+    "Q2": {"segment": [VOCAB + "c_mktsegment"], "nation": [VOCAB + "c_nationkey", VOCAB + "n_name"]},
+    "Q3": {"nation_node": [VOCAB + "c_nationkey"], "region": [VOCAB + "c_nationkey", VOCAB + "n_regionkey", VOCAB + "r_name"]},
+    "Q4": {"name": [VOCAB + "c_name"]},
+    "Q5": {"status": ["^" + VOCAB + "o_custkey", VOCAB + "o_orderstatus"], "total": ["^" + VOCAB + "o_custkey", VOCAB + "o_totalprice"]},
+}
+
+
+@query("competency_answers", """
+WITH C AS (SELECT *, 'https://example.org/tables/id/customer/' || c_custkey AS record, 'https://example.org/tables/id/nation/' || c_nationkey AS nation FROM customer),
+O AS (SELECT record, 'https://example.org/tables/id/orders/' || o_orderkey AS item, o_orderstatus, o_totalprice FROM orders JOIN C ON o_custkey=c_custkey)
+SELECT record, 'Q1' AS question, record AS item, 'balance' AS field, NULL::VARCHAR AS value, c_acctbal::DOUBLE AS number FROM C
+UNION ALL SELECT record, 'Q2', record, 'segment', c_mktsegment, NULL FROM C UNION ALL SELECT record, 'Q2', nation, 'nation', n_name, NULL FROM C JOIN nation ON c_nationkey=n_nationkey
+UNION ALL SELECT record, 'Q3', record, 'nation_node', nation, NULL FROM C
+UNION ALL SELECT record, 'Q3', 'https://example.org/tables/id/region/' || r_regionkey, 'region', r_name, NULL FROM C JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
+UNION ALL SELECT record, 'Q4', record, 'name', c_name, NULL FROM C
+UNION ALL SELECT record, 'Q5', item, 'status', o_orderstatus, NULL FROM O UNION ALL SELECT record, 'Q5', item, 'total', NULL, o_totalprice::DOUBLE FROM O""")
+def competency_answers(spark, sf_dir):
+    # Customers as records: their nation as component, its region as source, and the orders that name them as linked elements.
+    found = G.answer_questions(S.table_graph(spark, sf_dir), VOCAB + "Customer", QUESTIONS)
+    numeric = F.col("field").isin("balance", "total")
+    return found.select("record", "question", "item", "field", F.when(~numeric, F.col("value")).alias("value"), F.when(numeric, F.col("value").cast("double")).alias("number"))
+
+
 @query("quality_rows", "WITH " + S.RECORD_SQL + """
 SELECT record_id, 'status' AS metric, CASE WHEN k IN (8,9) THEN 'unresolved' ELSE 'stated in the lab form' END AS value FROM R
 UNION ALL SELECT record_id, 'status', CASE WHEN k=28 THEN 'guessed' ELSE 'declared by model; not confirmed by lab' END FROM R

@@ -85,6 +85,17 @@ def edited_after_build(spark, sf_dir):
     return I.edited_after_build(manifest, disk)
 
 
+@query("manifest_notes", f"""
+SELECT c_custkey AS package, CASE WHEN c_custkey%5=0 THEN '{I.NO_MANIFEST}' ELSE '{I.BROKEN_MANIFEST}' END AS note FROM customer WHERE c_custkey%5=0 OR c_custkey%7 IN (1,2,3)""")
+def manifest_notes(spark, sf_dir):
+    # Customers as packages: some have no manifest, others a cut, an empty or a listed one; every sixth has a second, broken file.
+    c = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("package"), F.to_json(F.struct("c_name", "c_acctbal")).alias("whole"))
+    n = F.col("package") % 7
+    text = F.when(n == 1, F.substring("whole", 1, 9)).when(n == 2, "").when(n == 3, F.concat(F.lit("["), "whole", F.lit("]"))).otherwise(F.col("whole"))
+    files = F.array_compact(F.array(text, F.when(F.col("package") % 6 == 0, F.lit("{"))))
+    return I.manifest_notes(c, c.where(F.col("package") % 5 != 0).select("package", F.explode(files).alias("text")))
+
+
 # ------------------------------------------------------------------ three-layer assessment
 
 CODES = 30

@@ -82,6 +82,24 @@ def cardinality(spark, sf_dir):
     return shown(R.check_cardinality(t, R.rule_targets(t, R.profile_targets()), outer_rules()))
 
 
+TOO_MANY = {37: ["foaf:primaryTopic", "ls:hasFromLinkElement"], 38: ["dcterms:relation", "schema:depth", "prov:wasGeneratedBy"], 39: ["sosa:hasFeatureOfInterest", "ls:hasDocument"]}
+
+
+@query("max_count", "WITH " + S.RECORD_SQL + """
+SELECT record_id, rule_id, 'Violation' AS severity FROM (SELECT record_id, unnest(['Record/primaryTopic/max','Binding/hasFromLinkElement/max']) AS rule_id FROM R WHERE k=37
+  UNION ALL SELECT record_id, unnest(['Record/relation/max','MaterialLayer/depth/max','MaterialLayer/depth/max','Binding/wasGeneratedBy/max']) FROM R WHERE k=38
+  UNION ALL SELECT record_id, 'Observation/hasFeatureOfInterest/max' FROM R WHERE k=39
+  UNION ALL SELECT record_id, r FROM (SELECT record_id, 'LinkElement/hasDocument/max' AS r, unnest(range(CASE WHEN doc_id%2=1 THEN 3 ELSE 2 END)) FROM R WHERE k=39)) t""")
+def max_count(spark, sf_dir):
+    # Three codes of records whose properties have a second value where one is allowed.
+    t = S.record_triples(spark, sf_dir)
+    code = F.substring_index("record_id", "-", -1).cast("bigint") % S.DEFECTS
+    doubled = [(code == k) & F.col("p").isin([iri(p) for p in paths]) for k, paths in TOO_MANY.items()]
+    second = t.where(doubled[0] | doubled[1] | doubled[2]).withColumn("o", F.concat("o", F.lit("/second")))
+    targets = R.rule_targets(t, R.profile_targets())
+    return shown(R.check_cardinality(t.unionByName(second), targets, [r for r in outer_rules() if r.kind == "max"]))
+
+
 def value_query(kind):
     def run(spark, sf_dir):
         t = S.record_triples(spark, sf_dir)

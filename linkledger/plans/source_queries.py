@@ -15,7 +15,7 @@ from linkledger.sources import exports as X
 from linkledger.sources import inventory as I
 from linkledger.sources import ranges as R
 from linkledger.sources.records import flatten_record, parse_records, record_rejects, records_to_triples
-from linkledger.sources.registry import layers_from_triples, parse_ntriples, registry_from_triples, to_ntriples
+from linkledger.sources.registry import layers_from_triples, parse_ntriples, registry_from_triples, registry_provenance, scan_registry, to_ntriples
 from linkledger.sources.results import parse_results
 from linkledger.sources.tables import VOCAB, node_iri
 
@@ -217,7 +217,7 @@ def tables_to_triples(spark, sf_dir):
 SELECT 'https://example.org/tables/id/customer/' || c_custkey AS s, 'c_name' AS p, c_name AS o, 'literal' AS o_kind FROM customer
 UNION ALL SELECT 'https://example.org/tables/id/customer/' || c_custkey, 'c_mktsegment', c_mktsegment, 'literal' FROM customer
 UNION ALL SELECT 'https://example.org/tables/id/customer/' || c_custkey, 'c_nationkey', 'https://example.org/tables/id/nation/' || c_nationkey, 'iri' FROM customer""")
-def scan_registry(spark, sf_dir):
+def registry_lines(spark, sf_dir):
     # Statements written as N-Triples lines and parsed back.
     lines = to_ntriples(S.table_graph(spark, sf_dir))
     back = parse_ntriples(lines, "line", F.lit("registry"))
@@ -237,6 +237,72 @@ def pivot_registry(spark, sf_dir):
     return registry_from_triples(t, VOCAB + "Customer", VOCAB + "c_nationkey", {"name": VOCAB + "c_name", "segment": VOCAB + "c_mktsegment"}, {"nation": VOCAB + "n_name"})
 
 
+@query("scan_registry_statements", """
+WITH N AS (SELECT unnest([{'t':'region','c':'Region'},{'t':'nation','c':'Nation'},{'t':'customer','c':'Customer'},{'t':'orders','c':'Orders'}], recursive := true)),
+L AS (SELECT 'region/' || r_regionkey AS s, unnest([{'p':'r_name','v':r_name,'n':NULL::DOUBLE,'k':'literal','t':'string'}], recursive := true) FROM region
+  UNION ALL SELECT 'nation/' || n_nationkey, unnest([{'p':'n_name','v':n_name,'n':NULL::DOUBLE,'k':'literal','t':'string'}, {'p':'n_regionkey','v':'region/' || n_regionkey,'n':NULL::DOUBLE,'k':'iri','t':NULL}], recursive := true) FROM nation
+  UNION ALL SELECT 'customer/' || c_custkey, unnest([{'p':'c_name','v':c_name,'n':NULL::DOUBLE,'k':'literal','t':'string'}, {'p':'c_mktsegment','v':c_mktsegment,'n':NULL::DOUBLE,'k':'literal','t':'string'},
+    {'p':'c_nationkey','v':'nation/' || c_nationkey,'n':NULL::DOUBLE,'k':'iri','t':NULL}, {'p':'c_acctbal','v':NULL,'n':c_acctbal,'k':'literal','t':'double'}], recursive := true) FROM customer
+  UNION ALL SELECT 'orders/' || o_orderkey, unnest([{'p':'o_custkey','v':'customer/' || o_custkey,'n':NULL::DOUBLE,'k':'iri','t':NULL}, {'p':'o_orderstatus','v':o_orderstatus,'n':NULL::DOUBLE,'k':'literal','t':'string'},
+    {'p':'o_totalprice','v':NULL,'n':o_totalprice,'k':'literal','t':'double'}, {'p':'o_orderdate','v':o_orderdate::VARCHAR,'n':NULL::DOUBLE,'k':'literal','t':'dateTime'},
+    {'p':'o_orderpriority','v':o_orderpriority,'n':NULL::DOUBLE,'k':'literal','t':'string'}], recursive := true) FROM orders),
+S AS (SELECT s, p, v, n, k, t FROM L UNION ALL SELECT DISTINCT s, 'type', c, NULL, 'iri', NULL FROM L JOIN N ON split_part(s,'/',1)=N.t)
+SELECT s, p, v AS o, n AS number, k AS o_kind, t AS o_type FROM S WHERE v IS NOT NULL OR n IS NOT NULL""")
+def scan_registry_statements(spark, sf_dir):
+    # All statements of all predicates, written as N-Triples lines and parsed back; IRIs by their own part.
+    back = parse_ntriples(to_ntriples(S.table_graph(spark, sf_dir)), "line", F.lit("registry"))
+    number = F.col("o_type") == iri("xsd:double")
+    node = F.regexp_replace(F.regexp_replace("o", "^https://example.org/tables/id/", ""), "^https://example.org/tables/v/", "")
+    return back.select(
+        F.regexp_replace("s", "^https://example.org/tables/id/", "").alias("s"), F.regexp_extract("p", "([^/#]*)$", 1).alias("p"),
+        F.when(F.col("o_kind") == "iri", node).when(~number, F.col("o")).alias("o"), F.when(number, F.col("o").cast("double")).alias("number"),
+        "o_kind", F.regexp_extract("o_type", "([^#]*)$", 1).alias("o_type"))
+
+
+@query("scan_registry_json", """
+SELECT 'https://example.org/record/' || s_suppkey AS record_uri, 's-' || s_suppkey AS RecordIdentifier, 'Rw' AS AcousticMetric, s_acctbal::DOUBLE AS AcousticValue,
+  CASE WHEN s_suppkey%3<>0 THEN 'dB' END AS AcousticUnit, s_name || '||"q"' AS AssemblyDescription, n_name AS ConstructionType, s_suppkey/1000.0::DOUBLE AS TotalThickness_m,
+  CASE WHEN s_suppkey%4<>0 THEN s_suppkey/8.0 END::DOUBLE AS TestArea_m2, s_suppkey/16.0::DOUBLE AS SpecimenLengthX_m, s_suppkey/32.0::DOUBLE AS SpecimenLengthY_m,
+  s_nationkey::DOUBLE AS SurfaceMass_kg_m2, 'method' AS MethodType, 'report' AS SourceType, 'Anhang ' || s_suppkey AS SourceReference, '2022' AS DataYear, 'v' || s_suppkey%5 AS RecordVersion,
+  'agent é' AS ResponsibleAgent, 'https://example.org/source/' || s_suppkey AS SourceURI FROM supplier JOIN nation ON s_nationkey=n_nationkey""")
+def scan_registry_json(spark, sf_dir):
+    # Suppliers as registry objects, one indented JSON file each, read back by the declared schema.
+    key = F.col("s_suppkey")
+    record = {
+        "RecordIdentifier": F.concat(F.lit("s-"), key), "AcousticMetric": F.lit("Rw"), "AcousticValue": F.col("s_acctbal").cast("double"), "AcousticUnit": F.when(key % 3 != 0, "dB"),
+        "AssemblyDescription": F.concat("s_name", F.lit('||"q"')), "ConstructionType": F.col("n_name"), "TotalThickness_m": key / 1000.0, "TestArea_m2": F.when(key % 4 != 0, key / 8.0),
+        "SpecimenLengthX_m": key / 16.0, "SpecimenLengthY_m": key / 32.0, "SurfaceMass_kg_m2": F.col("s_nationkey").cast("double"), "MethodType": F.lit("method"),
+        "SourceType": F.lit("report"), "SourceReference": F.concat(F.lit("Anhang "), key), "DataYear": F.lit("2022"), "RecordVersion": F.concat(F.lit("v"), key % 5),
+        "ResponsibleAgent": F.lit("agent é"), "SourceURI": F.concat(F.lit("https://example.org/source/"), key)}
+    whole = F.struct(F.concat(F.lit("https://example.org/record/"), key).alias("record_uri"), F.struct(*[c.alias(n) for n, c in record.items()]).alias("record"))
+
+    def build():
+        joined = S.table(spark, sf_dir, "supplier").join(S.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        return joined.select(key.alias("file"), F.to_json(whole, {"pretty": "true"}).alias("value"))
+
+    path = scratch_path(spark, "registry_json")
+    build().write.partitionBy("file").text(path)
+    return scan_registry(spark, f"{path}/*", "json")
+
+
+@query("registry_provenance", """
+WITH C AS (SELECT *, 'https://example.org/tables/id/customer/' || c_custkey AS record_uri FROM customer),
+P AS (SELECT record_uri, 'agent' AS role, 'https://example.org/tables/id/nation/' || c_nationkey AS node, n_name AS label FROM C LEFT JOIN nation ON c_nationkey=n_nationkey WHERE c_custkey%11<>0
+  UNION ALL SELECT record_uri, 'source', 'https://example.org/source/' || unnest([c_nationkey, (c_nationkey+1)%25]), NULL FROM C WHERE c_custkey%3=0 AND c_custkey%11<>0
+  UNION ALL SELECT 'https://example.org/tables/id/customer/' || o_custkey, 'activity', 'https://example.org/tables/id/orders/' || o_orderkey, o_orderstatus FROM orders JOIN C ON o_custkey=c_custkey)
+SELECT C.record_uri, role, node, label FROM C LEFT JOIN P ON C.record_uri=P.record_uri""")
+def provenance(spark, sf_dir):
+    # A customer is attributed to its nation (every eleventh to none), comes from two sources (every third) and was made by its orders.
+    t = S.table_graph(spark, sf_dir).select("s", "p", "o")
+    number = F.substring_index("s", "/", -1).cast("bigint")
+    own = t.where(~((F.col("p") == VOCAB + "c_nationkey") & (number % 11 == 0)))
+    made = t.where(F.col("p") == VOCAB + "o_custkey").select(F.col("o").alias("s"), F.lit("made").alias("p"), F.col("s").alias("o"))
+    c = S.table(spark, sf_dir, "customer").where((F.col("c_custkey") % 3 == 0) & (F.col("c_custkey") % 11 != 0))
+    source = F.explode(F.array("c_nationkey", (F.col("c_nationkey") + 1) % 25))
+    derived = c.select(node_iri("customer", "c_custkey").alias("s"), F.lit("derived").alias("p"), source.alias("n")).select("s", "p", F.concat(F.lit("https://example.org/source/"), "n").alias("o"))
+    return registry_provenance(own.unionByName(made).unionByName(derived), VOCAB + "Customer", VOCAB + "c_nationkey", VOCAB + "n_name", "derived", "made", VOCAB + "o_orderstatus")
+
+
 @query("registry_layers", """
 SELECT 'https://example.org/tables/id/nation/' || c_nationkey AS component, 'https://example.org/tables/id/customer/' || c_custkey AS layer, c_name AS layer_name, c_mktsegment AS category FROM customer""")
 def registry_layers(spark, sf_dir):

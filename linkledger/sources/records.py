@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import urljoin
 
@@ -17,6 +18,8 @@ from linkledger.model import (BASE_IRI, PREFIXES, PROFILE_IRI, PROFILE_VERSION,
                               TRIPLES, iri)
 
 RECORD_GLOB = "point_*.jsonld"
+#: Levels of nesting that Spark's JSON reader takes, and calls per level when a document is unfolded.
+MAX_DEPTH, CALLS_PER_LEVEL = 1000, 8
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -440,10 +443,14 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
                         add(subject, expand(key), *o)
         return subject
 
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, CALLS_PER_LEVEL * MAX_DEPTH))
     try:
         visit(doc, "")
     except RecursionError:
         return []
+    finally:
+        sys.setrecursionlimit(limit)
     return list(rows)
 
 

@@ -89,6 +89,23 @@ def registry_from_triples(triples: DataFrame, record_class: str, component: str,
             .withColumn("component", local_name("__component")).drop("__component", "__part"))
 
 
+def registry_provenance(triples: DataFrame, record_class: str, attributed: str, agent_name: str, derived: str, generated: str, ended: str) -> DataFrame:
+    """``(record_uri, role, node, label)``: where each record of a class comes from.
+
+    Roles are ``agent`` (label: the agent's name), ``activity`` (label: when it ended) and ``source`` (no label). A record without
+    any statement on its origin has one row with null role. Nodes are given once per record and role, with their least label.
+    """
+    roles = {attributed: "agent", generated: "activity", derived: "source"}
+    labels = {"agent": agent_name, "activity": ended}
+    role = F.element_at(F.create_map(*[F.lit(x) for kv in roles.items() for x in kv]), F.col("p"))
+    records = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == record_class)).select(F.col("s").alias("record_uri")).distinct()
+    origins = triples.where(F.col("p").isin(list(roles))).select(F.col("s").alias("record_uri"), role.alias("role"), F.col("o").alias("node")).distinct()
+    told = F.array_compact(F.array(*[F.when(F.col("p") == p, F.lit(r)) for r, p in labels.items()]))
+    named = (triples.where(F.col("p").isin(list(labels.values()))).select(F.col("s").alias("node"), F.explode(told).alias("role"), "o")
+             .groupBy("node", "role").agg(F.min("o").alias("label")))
+    return records.join(origins.join(named, ["node", "role"], "left"), "record_uri", "left").select("record_uri", "role", "node", "label")
+
+
 def layers_from_triples(triples: DataFrame, has_layer: str, fields: dict[str, str]) -> DataFrame:
     """One row per (component, layer) with the layer's literals; ordering is the caller's, by position column."""
     links = triples.where(F.col("p") == has_layer).select(F.col("s").alias("component"), F.col("o").alias("layer"))
