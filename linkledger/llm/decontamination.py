@@ -121,6 +121,46 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def word_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places (start, stop) of ranges of words in the original text, counted in characters; overlapping ranges are one."""
+    merged: list[list[int]] = []
+    for start, stop in sorted(ranges):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(stop, merged[-1][1])
+        else:
+            merged.append([start, stop])
+    if not merged:
+        return []
+    word = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    # Bytes that begin a character, counted before each byte.
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    begins, ends = before[edges[::2]], before[edges[1::2]]
+    return [(int(begins[a]), int(ends[b - 1])) for a, b in merged]
+
+
+def with_spans(found: DataFrame) -> DataFrame:
+    """The rows of :func:`find_items` with ``spans``, an array of (start, stop): where hit passages stand in the original text.
+
+    Offsets count characters (code points) from 0, ``stop`` behind the last one, from the first letter of a passage's first
+    word to the last of its last; passages that overlap or touch word by word are one span. Only texts with hits are looked at.
+    Null and empty texts, and texts without hits, have an empty array.
+    """
+    bounded_batches(found.sparkSession)
+    schema = found.withColumn("spans", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")).schema
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for text, hits in zip(batch.column("text").cast(pa.binary()), batch.column("hits")):
+                ranges = [(h["start"], h["stop"]) for h in hits.as_py() or ()]
+                spans.append([{"start": a, "stop": b} for a, b in word_spans(text.as_py(), ranges)] if ranges else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
+
+    return found.mapInArrow(place, schema)
+
+
 def hit_words(hits: str | Column = "hits") -> Column:
     """Number of distinct words in the ranges; ranges of several blocks may overlap."""
     ranges = F.array_sort(F.coalesce(F.col(hits) if isinstance(hits, str) else hits, F.array().cast("array<struct<start:int,stop:int>>")))
