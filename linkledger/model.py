@@ -25,6 +25,7 @@ TRIPLES = T.StructType([
     T.StructField("list_pos", T.IntegerType()),
 ])
 
+# ---- Fixed values: field names of given files, registry objects and recorded scenario results.
 REGISTRY_JSON = T.StructType([
     T.StructField("record_uri", T.StringType()),
     T.StructField("record", T.StructType([

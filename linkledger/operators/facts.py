@@ -62,33 +62,54 @@ def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
+# ---- Fixed values: the labels of the lab form, by fact. ``after``: what follows the label on its line or the next; ``measure``:
+# the number behind the label's arrow; the others are patterns over the whole form.
+FORM_LABELS = {
+    "year": ("years", r"(?i)Datum der Messung[^\n]*?->\s*(\d{4})(?:\s*/\s*(\d{4}))?"),
+    "location": ("after", "^Ort der Messung"),
+    "test_rig": ("after", "^Prüfstand"),
+    "data_origin": ("after", "Herkunftsart der Daten"),
+    "source": ("after", "^Quelle"),
+    "responsible": ("after", "Ansprechperson|Verantwortlicher"),
+    "wall_size": ("size", r"B\s*\*\s*H\s*=\s*([\d,\.]+)\s*m\s*\*\s*([\d,\.]+)\s*m"),
+    "temperature": ("measure", "Raumtemperatur"),
+    "humidity": ("measure", "Luftfeuchtigkeit"),
+    "pressure": ("measure", "Luftdruck"),
+    "excitation": ("before_position", "^Art der Anregung"),
+    "sketch": ("group", r"(?i)Skizze:\s*(\S+\.(?:png|jpe?g))"),
+    "layers": ("trimmed", r"Schichten:\s*([^\n]+)"),
+    "area_mass": ("mass", r"(?m)=\s*([\d,\.]+)\s*kg/m2\s*$"),
+    "room_volumes": ("rooms", r"((?:Senderaum|Empfangsraum):\s*[^\n]+)"),
+}
+DEPTH_MM = r"Dicke\s*=\s*([\d,\.]+)\s*mm"
+POSITION = r"\s*[–-]\s*Position der Anregung.*$"
+
+
 def fact_values(lines: Column | str) -> dict[str, Column]:
     """One text column per fact, null when the form does not give it."""
     ls = F.col(lines) if isinstance(lines, str) else lines
     full = F.array_join(ls, "\n")
-    dated = r"(?i)Datum der Messung[^\n]*?->\s*(\d{4})(?:\s*/\s*(\d{4}))?"
-    size = r"B\s*\*\s*H\s*=\s*([\d,\.]+)\s*m\s*\*\s*([\d,\.]+)\s*m"
-    width, height = _number(F.regexp_extract(full, size, 1)), _number(F.regexp_extract(full, size, 2))
-    depth = _number(_group(full, r"Dicke\s*=\s*([\d,\.]+)\s*mm"))
-    excitation = F.regexp_replace(value_after(ls, r"^Art der Anregung"), r"\s*[–-]\s*Position der Anregung.*$", "")
-    rooms = F.regexp_extract_all(full, F.lit(r"((?:Senderaum|Empfangsraum):\s*[^\n]+)"), F.lit(1))
-
-    def measured(label: str) -> Column:
-        return _number(_group(full, rf"(?i){label}\s*->\s*([\d,\.]+)")).cast("string")
-
-    mass = _group(full, r"(?m)=\s*([\d,\.]+)\s*kg/m2\s*$")
-    return {
-        "year": F.concat_ws("/", _group(full, dated, 1), _group(full, dated, 2)),
-        "location": value_after(ls, "^Ort der Messung"), "test_rig": value_after(ls, "^Prüfstand"),
-        "data_origin": value_after(ls, "Herkunftsart der Daten"), "source": value_after(ls, "^Quelle"),
-        "responsible": value_after(ls, "Ansprechperson|Verantwortlicher"),
-        "wall_size": F.when(full.rlike(size), F.to_json(F.struct(width.alias("width_m"), height.alias("height_m"), depth.alias("depth_mm")))),
-        "temperature": measured("Raumtemperatur"), "humidity": measured("Luftfeuchtigkeit"), "pressure": measured("Luftdruck"),
-        "excitation": excitation, "sketch": _group(full, r"(?i)Skizze:\s*(\S+\.(?:png|jpe?g))"),
-        "layers": F.trim(_group(full, r"Schichten:\s*([^\n]+)")),
-        "area_mass": F.when(mass.isNotNull(), F.concat(mass, F.lit(" kg/m²"))),
-        "room_volumes": F.array_join(F.transform(rooms, lambda r: F.regexp_replace(r, r":\s*", ": ")), "; "),
+
+    def size(pattern: str) -> Column:
+        numbers = [_number(F.regexp_extract(full, pattern, i)) for i in (1, 2)] + [_number(_group(full, DEPTH_MM))]
+        named = [n.alias(name) for n, name in zip(numbers, ("width_m", "height_m", "depth_mm"))]
+        return F.when(full.rlike(pattern), F.to_json(F.struct(*named)))
+
+    def rooms(pattern: str) -> Column:
+        found = F.regexp_extract_all(full, F.lit(pattern), F.lit(1))
+        return F.array_join(F.transform(found, lambda r: F.regexp_replace(r, r":\s*", ": ")), "; ")
+
+    kinds = {
+        "after": lambda label: value_after(ls, label),
+        "before_position": lambda label: F.regexp_replace(value_after(ls, label), POSITION, ""),
+        "measure": lambda label: _number(_group(full, rf"(?i){label}\s*->\s*([\d,\.]+)")).cast("string"),
+        "years": lambda pattern: F.concat_ws("/", _group(full, pattern, 1), _group(full, pattern, 2)),
+        "group": lambda pattern: _group(full, pattern),
+        "trimmed": lambda pattern: F.trim(_group(full, pattern)),
+        "mass": lambda pattern: F.concat(_group(full, pattern), F.lit(" kg/m²")),
+        "size": size, "rooms": rooms,
     }
+    return {fact: kinds[kind](value) for fact, (kind, value) in FORM_LABELS.items()}
 
 
 def wide_facts(forms: DataFrame, lines: str = "lines") -> DataFrame:
