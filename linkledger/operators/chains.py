@@ -8,32 +8,42 @@ from pyspark.sql import functions as F
 from linkledger.session import cut_lineage
 
 
-def follow_pointers(links: DataFrame, node: str = "node", next_: str = "next") -> DataFrame:
-    """(node, end, steps, cyclic): where each node's chain ends and how far that is.
+def follow_pointers(links: DataFrame, node: str = "node", next_: str = "next", flag: str | None = None) -> DataFrame:
+    """(node, end, steps, cyclic, flagged): where each node's chain ends and how far that is.
 
     ``links(node, next)`` has one row per node at most; a null ``next`` ends a chain, as does a node without a row (such ends
     have a row in the result, too). Each round replaces a pointer by that of its target, so a chain of n nodes takes log2 n rounds;
-    each is one join on the node, written to the shared folder. Nodes that still point on when every chain must have ended
-    are on a cycle, or lead to one: ``cyclic``, with null ``end`` and ``steps``.
+    each is one join on the node, written to the shared folder. Nodes that have reached their end are set aside and only looked up.
+    Nodes on a cycle, or leading to one, are ``cyclic``, with null ``end`` and ``steps``: the least node among those passed so far
+    is kept for every node, and the least node of a cycle meets itself as soon as the reach is as long as the cycle. So rounds
+    depend on the longest chain, not on the number of nodes. ``flagged`` tells if the boolean column ``flag`` is set on the way.
     """
-    given = links.select(F.col(node).alias("node"), F.col(next_).alias("next"))
-    ends = given.where("next IS NOT NULL").select(F.col("next").alias("node")).join(given.where("node IS NOT NULL").select("node"), "node", "left_anti").distinct()
-    state = given.unionByName(ends.withColumn("next", F.lit(None).cast(given.schema["next"].dataType)))
-    state = cut_lineage(state.select("node", F.col("next").alias("at"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps")), "pointers")
-    total, reach = state.count(), 1
-    while reach <= total:
-        # A pointer whose target is an end stands still: its target has no pointer of its own.
-        ahead = state.where("at IS NOT NULL").select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"))
-        stepped = state.join(ahead, "at", "left").select(
-            "node", F.coalesce("further", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved"))
-        state = cut_lineage(stepped, "pointers")
-        moved = state.where("moved").limit(1).count()
-        state, reach = state.drop("moved"), reach * 2
-        if not moved:
-            break
-    onward = state.where("at IS NOT NULL").select(F.col("node").alias("at"), F.lit(True).alias("cyclic"))
-    done = state.join(onward, "at", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
-    return done.select("node", F.when(~F.col("cyclic"), F.coalesce("at", "node")).alias("end"), F.when(~F.col("cyclic"), F.col("steps")).alias("steps"), "cyclic")
+    own = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    given = links.select(F.col(node).alias("node"), F.col(next_).alias("at"), own.alias("flagged"))
+    ends = given.where("at IS NOT NULL").select(F.col("at").alias("node")).join(given.where("node IS NOT NULL").select("node"), "node", "left_anti").distinct()
+    start = given.unionByName(ends.select("node", F.lit(None).cast(given.schema["at"].dataType).alias("at"), F.lit(False).alias("flagged")))
+    ended = F.col("at").isNull()
+    start = cut_lineage(start.select("node", "at", F.when(ended, F.col("node")).alias("end"), F.when(ended, 0).otherwise(1).cast("long").alias("steps"),
+                                     "flagged", F.lit(False).alias("cyclic"), F.col("at").alias("least")), "pointers")
+    settled, active = start.where(ended), start.where(~ended)
+    while True:
+        left, met = active.agg(F.count(F.lit(1)), F.count_if(F.col("least") == F.col("node"))).first()
+        if not left:
+            return settled.select("node", "end", "steps", "cyclic", "flagged")
+        if met:
+            # All nodes of such a cycle have passed its least node by now.
+            cycles = active.where(F.col("least") == F.col("node")).select("least", F.lit(True).alias("met"))
+            found = F.coalesce("met", F.lit(False))
+            marked = cut_lineage(active.join(cycles, "least", "left").select(
+                "node", F.when(~found, F.col("at")).alias("at"), "end", F.when(~found, F.col("steps")).alias("steps"), "flagged", found.alias("cyclic"), "least"), "pointers")
+            settled, active = settled.unionByName(marked.where(ended)), marked.where(~ended)
+        ahead = settled.unionByName(active).select(
+            F.col("node").alias("at"), F.col("at").alias("further"), F.col("end").alias("reached"), F.col("steps").alias("more"),
+            F.col("flagged").alias("flagged_on"), F.col("cyclic").alias("cyclic_on"), F.col("least").alias("least_on"))
+        stepped = cut_lineage(active.join(ahead, "at").select(
+            "node", F.col("further").alias("at"), F.col("reached").alias("end"), (F.col("steps") + F.col("more")).alias("steps"),
+            (F.col("flagged") | F.col("flagged_on")).alias("flagged"), F.col("cyclic_on").alias("cyclic"), F.least("least", "least_on").alias("least")), "pointers")
+        settled, active = settled.unionByName(stepped.where(ended)), stepped.where(~ended)
 
 
 def assertion_heads(assertions: DataFrame, ident: str = "assertion", superseded_by: str = "superseded_by") -> DataFrame:
@@ -46,22 +56,13 @@ def assertion_heads(assertions: DataFrame, ident: str = "assertion", superseded_
     pairs = assertions.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("node")).agg(
         F.min(superseded_by).alias("next"), (F.count_distinct(superseded_by) > 1).alias("forked"))
     pairs = cut_lineage(pairs, "assertion-links")
-    ways = follow_pointers(pairs)
+    ways = follow_pointers(pairs, flag="forked")
     known = pairs.select(F.col("node").alias("end"), F.lit(True).alias("known"))
-    # A chain holds a fork if the forks counted from its nodes to the end are not none; chains to one end differ before they meet.
-    forks = fork_on_the_way(pairs)
-    joined = pairs.select("node").join(ways, "node").join(known, "end", "left").join(forks, "node", "left")
-    reason = F.when(F.col("cyclic"), "cycle").when(F.col("known").isNull(), "unknown successor").when(F.coalesce("fork", F.lit(False)), "fork")
+    joined = pairs.select("node").join(ways, "node").join(known, "end", "left")
+    reason = F.when(F.col("cyclic"), "cycle").when(F.col("known").isNull(), "unknown successor").when(F.col("flagged"), "fork")
     return joined.select(F.col("node").alias("assertion"), F.col("end").alias("head"), "steps", reason.alias("reason"))
 
 
-def fork_on_the_way(pairs: DataFrame) -> DataFrame:
-    """(node, fork): is any node of the chain from here on forked; every forked node ends a chain of its own."""
-    cut = pairs.select("node", F.when(~F.col("forked"), F.col("next")).alias("next"))
-    ways = follow_pointers(cut).where("NOT cyclic")
-    return ways.join(pairs.where("forked").select(F.col("node").alias("end"), F.lit(True).alias("fork")), "end").select("node", "fork")
-
-
 def list_places(cells: DataFrame, node: str = "s", next_: str = "o", nil: str | None = None) -> DataFrame:
     """(cell, head, place): the first cell of the list that each cell belongs to, and its place from 0.
 

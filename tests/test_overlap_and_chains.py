@@ -62,3 +62,18 @@ def test_heads_of_branched_histories(spark):
     assert got == {
         "a1": ("a3", 2, None), "a2": ("a3", 1, None), "a3": ("a3", 0, None), "m": ("a3", 2, None), "b0": ("a3", 2, "fork"), "b1": ("a3", 1, "fork"), "b2": ("b2", 0, None),
         "c1": ("gone", 1, "unknown successor"), "d0": (None, None, "cycle"), "d1": (None, None, "cycle"), "d2": (None, None, "cycle"), "e": ("e", 0, None)}
+
+
+def test_cycles_end_the_rounds_however_many_nodes_there_are(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(C, "cut_lineage", lambda df, name, write=C.cut_lineage: rounds.append(name) or write(df, name))
+    # Many short chains; some run into cycles of two, three and one nodes.
+    pointers = [(10 * n + i, 10 * n + i + 1 if i < 4 else {0: None, 1: 10 * n + 3, 2: 10 * n + 2, 3: 10 * n + 4}[n % 4], i == 1) for n in range(500) for i in range(5)]
+    found = {r["node"]: r for r in C.follow_pointers(spark.createDataFrame(pointers, "node long, next long, forked boolean"), flag="forked").collect()}
+    assert len(found) == 2500
+    for n in range(500):
+        for i in range(5):
+            r = found[10 * n + i]
+            assert (r["end"], r["steps"], r["cyclic"]) == ((10 * n + 4, 4 - i, False) if n % 4 == 0 else (None, None, True))
+            assert r["cyclic"] or r["flagged"] == (i <= 1)
+    assert len(rounds) <= 7
