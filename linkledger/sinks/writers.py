@@ -23,7 +23,7 @@ def write_records(records: DataFrame, path: str, partition: str | None = None) -
 
 def write_triples(triples: DataFrame, path: str) -> None:
     """Triples as parquet, sorted by predicate inside each file: readers that name their predicates skip the other pages."""
-    triples.sortWithinPartitions("p", "s").write.mode("overwrite").parquet(path)
+    triples.sortWithinPartitions("p").write.mode("overwrite").parquet(path)
 
 
 def scan_index(points: DataFrame, scan: str, order: list[str], chunk: Column, keep: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import sys
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ from linkledger.model import (BASE_IRI, PREFIXES, PROFILE_IRI, PROFILE_VERSION,
 RECORD_GLOB = "point_*.jsonld"
 #: Levels of nesting that Spark's JSON reader takes, and calls per level when a document is unfolded.
 MAX_DEPTH, CALLS_PER_LEVEL = 1000, 8
+XSD_STRING, XSD_INTEGER, XSD_DOUBLE, XSD_BOOLEAN = (iri(f"xsd:{t}") for t in ("string", "integer", "double", "boolean"))
+LANG_STRING = iri("rdf:langString")
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -359,6 +363,20 @@ def context_of(given, contexts: Mapping[str, Mapping[str, str]]) -> dict[str, st
     return known
 
 
+@lru_cache(maxsize=16)
+def _expander(base: str, prefixes: tuple[tuple[str, str], ...]) -> tuple[Callable[[str], str], Callable[[str], str]]:
+    """Functions from names to IRIs for one context: the plain one for ids, and one that remembers, for keys and types, of which there are few."""
+    context = dict(prefixes)
+
+    def expand(name: str) -> str:
+        prefix, colon, rest = name.partition(":")
+        if colon and prefix in context and not rest.startswith("//"):
+            return context[prefix] + rest
+        return name if colon and "/" not in prefix else urljoin(base, name)
+
+    return expand, lru_cache(maxsize=4096)(expand)
+
+
 def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Mapping[str, str]] | None = None) -> list[tuple]:
     """The statements of one JSON-LD document, equal ones once, in first-seen order.
 
@@ -375,39 +393,33 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
     if context is None:
         return []
     base = context.pop("@base", BASE_IRI)
+    expand, named = _expander(base, tuple(context.items()))
     rows: dict[tuple, None] = {}
 
-    def expand(name: str) -> str:
-        prefix, colon, rest = name.partition(":")
-        if colon and prefix in context and not rest.startswith("//"):
-            return context[prefix] + rest
-        return name if colon and "/" not in prefix else urljoin(base, name)
-
-    def add(s, p, o, kind, o_type=None, lang=None, head=None, place=None):
-        rows[(record_id, s, p, o, kind, o_type, lang, head, place)] = None
-
     def term(value, path: str) -> tuple | None:
         """(o, kind, type, language) of a JSON value, after the statements below it were added."""
         if value is None:
             return None
+        if isinstance(value, str):
+            return value, "literal", XSD_STRING, None
         if isinstance(value, dict):
             if "@value" in value:
                 inner = value["@value"]
                 if inner is None or isinstance(inner, (dict, list)):
                     return None
                 if isinstance(value.get("@language"), str) and isinstance(inner, str):
-                    return inner, "literal", iri("rdf:langString"), value["@language"]
+                    return inner, "literal", LANG_STRING, value["@language"]
                 o, kind, o_type, _ = term(inner, path)
-                return o, kind, expand(value["@type"]) if isinstance(value.get("@type"), str) else o_type, None
+                return o, kind, named(value["@type"]) if isinstance(value.get("@type"), str) else o_type, None
             if "@list" in value:
                 return cells(many(value["@list"]), path)
             node = visit(value, path)
             return node, "bnode" if node.startswith("_:") else "iri", None, None
         if isinstance(value, bool):
-            return str(value).lower(), "literal", iri("xsd:boolean"), None
+            return str(value).lower(), "literal", XSD_BOOLEAN, None
         if isinstance(value, (int, float)):
-            return repr(value), "literal", iri("xsd:double" if isinstance(value, float) else "xsd:integer"), None
-        return value, "literal", iri("xsd:string"), None
+            return repr(value), "literal", XSD_DOUBLE if isinstance(value, float) else XSD_INTEGER, None
+        return value, "literal", XSD_STRING, None
 
     def many(value) -> list:
         """Values of a key: nested lists and sets are one list."""
@@ -420,27 +432,36 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
         for n, item in enumerate(items):
             o = term(item, f"{path}/{n}")
             if o:
-                add(names[n], RDF_FIRST, *o, names[0], n)
-            add(names[n], RDF_REST, names[n + 1], "iri" if names[n + 1] == RDF_NIL else "bnode")
+                rows[(record_id, names[n], RDF_FIRST, *o, names[0], n)] = None
+            rows[(record_id, names[n], RDF_REST, names[n + 1], "iri" if names[n + 1] == RDF_NIL else "bnode", None, None, None, None)] = None
         return names[0], "bnode" if items else "iri", None, None
 
     def visit(node: dict, path: str) -> str:
-        subject = expand(node["@id"]) if isinstance(node.get("@id"), str) and node["@id"] else f"_:{record_id}{path}"
+        given = node.get("@id")
+        subject = expand(given) if isinstance(given, str) and given else f"_:{record_id}{path}"
         for key, value in node.items():
-            listed = isinstance(value, list) or isinstance(value, dict) and "@set" in value
             if key == "@type":
                 for name in many(value):
                     if isinstance(name, str):
-                        add(subject, RDF_TYPE, expand(name), "iri")
+                        rows[(record_id, subject, RDF_TYPE, named(name), "iri", None, None, None, None)] = None
             elif key in ("@graph", "@included"):
                 for n, item in enumerate(many(value)):
                     if isinstance(item, dict):
                         visit(item, f"{path}/{key}/{n}")
-            elif not key.startswith("@"):
+            elif key.startswith("@"):
+                pass
+            elif isinstance(value, str):
+                # Most values are plain texts: no node below them, one statement.
+                rows[(record_id, subject, named(key), value, "literal", XSD_STRING, None, None, None)] = None
+            elif isinstance(value, list) or isinstance(value, dict) and "@set" in value:
                 for n, item in enumerate(many(value)):
-                    o = term(item, f"{path}/{key}" + (f"/{n}" if listed else ""))
+                    o = term(item, f"{path}/{key}/{n}")
                     if o:
-                        add(subject, expand(key), *o)
+                        rows[(record_id, subject, named(key), *o, None, None)] = None
+            else:
+                o = term(value, f"{path}/{key}")
+                if o:
+                    rows[(record_id, subject, named(key), *o, None, None)] = None
         return subject
 
     limit = sys.getrecursionlimit()
@@ -466,7 +487,11 @@ def records_to_triples(records: DataFrame, documents_per_batch: int = 256, conte
         for batch in batches:
             for start in range(0, batch.num_rows, documents_per_batch):
                 part = batch.slice(start, documents_per_batch).to_pydict()
-                rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text, contexts)]
+                gc.disable()  # The many tuples of a batch are no garbage; looking through them again and again took a quarter of the time.
+                try:
+                    rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text, contexts)]
+                finally:
+                    gc.enable()
                 columns = zip(*rows) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 

@@ -219,3 +219,11 @@ def test_older_layout_is_read_whole(spark):
     assert [(x.name, x.thickness_m) for x in b.layers] == [("wood", 0.1)] and (b.hypothesis.mapping, b.hypothesis.status) == ("map", "guess")
     assert (b.status, b.verified_at, b.method, b.model_url, b.model_modified) == ("valid", "2025", "how", "m.ifc", "2024")
     assert row.completeness.absent == ["a", "b"] and row.completeness.unresolved == [] and row.measurement.frame_status == "absent"
+
+
+def test_rows_are_dealt_to_tasks_in_bounded_numbers(spark):
+    one = spark.range(0, 20_000, 1, 1).withColumn("text", F.lit("x"))
+    sizes = S.spread(one, "id", 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 20_000 and max(r["count"] for r in sizes) < 1500
+    # Also where records are rendered and unfolded, with one file of documents.
+    assert S.flat_records(spark, SF_DIR).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
