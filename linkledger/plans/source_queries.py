@@ -278,11 +278,12 @@ def scan_registry_json(spark, sf_dir):
 
     def build():
         joined = S.table(spark, sf_dir, "supplier").join(S.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        return joined.select(key.alias("file"), F.to_json(whole, {"pretty": "true"}).alias("value"))
+        return joined.select(F.format_string("%d.json", key).alias("path"), F.encode(F.to_json(whole, {"pretty": "true"}), "UTF-8").alias("content"))
 
-    path = scratch_path(spark, "registry_json")
-    build().write.partitionBy("file").text(path)
-    return scan_registry(spark, f"{path}/*", "json")
+    # All in one folder and under their final names: no folder, listing or renaming per file in the driver.
+    folder = scratch_path(spark, "registry_json")
+    writers.write_files(S.spread(build(), "path", 1024), folder)
+    return scan_registry(spark, folder, "json")
 
 
 @query("registry_provenance", """

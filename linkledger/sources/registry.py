@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkledger.functions.staging import computed_once
 from linkledger.functions.text import local_name
 from linkledger.model import RDF_TYPE, REGISTRY_JSON, iri
 
@@ -29,13 +30,17 @@ def parse_ntriples(lines: DataFrame, column: str, record_id) -> DataFrame:
     """
     line = F.col(column)
     content = lines.where((F.trim(line) != "") & ~F.trim(line).startswith("#"))
-    ok = line.rlike(_LINE)
+    # The grammar is applied once a line: its groups come out between line feeds. A text that holds a line feed itself is taken group by group.
+    at_once = F.split(F.regexp_replace(line, _LINE, "\n".join(f"${i}" for i in range(1, 8))), "\n")
+    apart = F.when(line.rlike(_LINE), F.array(*[F.regexp_extract(line, _LINE, i) for i in range(1, 8)])).otherwise(F.array(line))
+    content = computed_once(content, {"__groups": F.when(F.contains(line, F.lit("\n")), apart).otherwise(at_once)})
+    ok = F.size("__groups") == 7
 
     def group(i: int):
-        return F.nullif(F.regexp_extract(line, _LINE, i), F.lit(""))
+        return F.nullif(F.get("__groups", F.lit(i - 1)), F.lit(""))
 
     # Escaped backslashes step aside first, so that "\\\\n" stays a backslash and an n.
-    literal = F.replace(F.regexp_extract(line, _LINE, 5), F.lit("\\\\"), F.lit("\x01"))
+    literal = F.replace(F.get("__groups", F.lit(4)), F.lit("\\\\"), F.lit("\x01"))
     for escaped, plain in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\x01", "\\")):
         literal = F.replace(literal, F.lit(escaped), F.lit(plain))
     kind = F.when(group(3).isNotNull(), "iri").when(group(4).isNotNull(), "bnode").otherwise("literal")

@@ -18,7 +18,7 @@ from linkledger.sinks import writers
 from linkledger.sources import exports as X
 from linkledger.sources.inventory import file_inventory, incremental_inventory
 from linkledger.sources.records import document_triples, flatten_record, nest_record, parse_records, record_rejects, records_to_triples, scan_records
-from linkledger.sources.registry import scan_registry
+from linkledger.sources.registry import parse_ntriples, scan_registry
 from linkledger.sources.results import scan_results
 
 from conftest import SF_DIR
@@ -225,3 +225,14 @@ def test_rows_are_dealt_to_tasks_in_bounded_numbers(spark):
     one = spark.range(0, 20_000, 1, 1).withColumn("text", F.lit("x"))
     sizes = S.spread(one, "id", 1000).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 20_000 and max(r["count"] for r in sizes) < 1500
+
+
+def test_ntriples_lines_meet_their_grammar_once(spark):
+    lines = ['<a> <p> <b> .', '_:x <p> "q\\"\\\\n\\t"@de .', '<a> <p> "1"^^<int> .', '<a> <p> "two\nlines" .', 'bad\nline', '<a> <p> _:y .  ', 'bad', '# no', ' ']
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    back = parse_ntriples(rows, "line", F.lit("r")).select("s", "p", "o", "o_kind", "o_lang")
+    assert [tuple(r) for r in back.collect()] == [
+        ("a", "p", "b", "iri", None), ("_:x", "p", 'q"\\n\t', "literal", "de"), ("a", "p", "1", "literal", None), ("a", "p", "two\nlines", "literal", None),
+        (None, None, "bad\nline", None, None), ("a", "p", "_:y", "bnode", None), (None, None, "bad", None, None)]
+    plan = back.where("p = 'p'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 1
