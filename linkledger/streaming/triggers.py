@@ -2,80 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from linkledger.operators.lifecycle import TRIGGERS, with_trigger_meaning
 from linkledger.operators.ordered import ordered, time_chunk
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class TriggerState(StatefulProcessor):
-    """State of one entity: the last version that is closed, and those that may still get an earlier neighbour."""
-
-    def __init__(self, attrs: Sequence[str], version_type: str, key: str):
-        self.attrs, self.names = list(attrs), [key, "at", "version", "attribute", "old", "new", "late"]
-        self.schema = ", ".join(["at BIGINT", f"version {version_type}", *[f"a{i} STRING" for i in range(len(attrs))]])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.closed = handle.getValueState("closed", self.schema)
-        self.open = handle.getListState("open", self.schema)
-
-    def _row(self, *values) -> Row:
-        return Row(**dict(zip(self.names, values)))
-
-    @staticmethod
-    def _place(version: tuple) -> tuple:
-        return tuple((v is not None, v if v is not None else 0) for v in version)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        closed = self.closed.get() if self.closed.exists() else None
-        least = self._place(tuple(closed)[:2]) if closed is not None else None
-        fresh = []
-        for row in rows:
-            version = tuple(row)[1:]
-            if version[0] is None or least is not None and self._place(version[:2]) <= least:
-                yield self._row(*key, version[0], version[1], None, None, None, list(version[2:]))
-            else:
-                fresh.append(version)
-        if fresh:
-            self._keep([tuple(v) for v in self.open.get()] + fresh if self.open.exists() else fresh)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.open.exists():
-            return
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(v) for v in self.open.get()]
-        before = tuple(self.closed.get()) if self.closed.exists() else None
-        for version in (v for v in waiting if v[0] <= passed):
-            for name, old, new in zip(self.attrs, before[2:] if before else (), version[2:]):
-                if old != new:
-                    yield self._row(*key, version[0], version[1], name, old, new, None)
-            before = version
-        if before is not None:
-            self.closed.update(before)
-        self._keep([v for v in waiting if v[0] > passed])
-
-    def _keep(self, versions: list[tuple]) -> None:
-        """Store open versions in order, and wake up when the watermark has passed the first."""
-        if versions:
-            versions.sort(key=self._place)
-            self.open.put(versions)
-            self.handle.registerTimer(-(-versions[0][0] // 1000))
-        else:
-            self.open.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def stream_triggers(versions: DataFrame, out: str, checkpoint: str, attrs: Sequence[str], key: str = "entity", ts: str = "ts",
                     version: str = "version", delay: str = "1 hour", table: Mapping[str, tuple] = TRIGGERS) -> StreamingQuery:
     """Triggers of versions that arrive as a stream, appended below ``out``; :func:`stored_triggers` and :func:`late_versions` read them.
@@ -83,33 +19,65 @@ def stream_triggers(versions: DataFrame, out: str, checkpoint: str, attrs: Seque
     State is kept per entity: a version is closed, and compared with the one before it, once the watermark (the latest
     time less ``delay``) has passed it. A version that comes late but inside the delay takes its place between its neighbours;
     the result does not depend on how such input is cut or ordered. One that comes after a later version of its entity was
-    closed, or has no time, goes to the late versions, with all its values; nothing is dropped. A batch works on its own rows
-    and on the open versions of entities that are due, however long the history is. Equal times are ordered by ``version``.
+    closed, or has no time, goes to the late versions, with all its values; nothing is dropped. Equal times are ordered by ``version``.
 
-    A repeated batch overwrites its own folder. An entity's rows of one batch, and its open versions, must fit a task.
+    The state is a table below ``checkpoint``: of each entity the last closed version and the open ones. A batch sorts its own
+    rows and that table, however long the history is, and writes the table anew beside that of the batch before; a repeated
+    batch so finds the state it found first and overwrites its own folders. An entity's rows of one batch and its open
+    versions are one task's work, sorted with spilling.
     """
-    spark = versions.sparkSession
-    kinds = {f.name: f.dataType.simpleString() for f in versions.schema.fields}
-    rows = versions.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(
-        key, F.unix_micros(ts).alias("at"), F.col(version).alias("version"), *[F.col(a).cast("string").alias(a) for a in attrs])
-    found = rows.groupBy(key).transformWithState(
-        TriggerState(attrs, kinds[version], key), f"{key} {kinds[key]}, at BIGINT, version {kinds[version]}, attribute STRING, old STRING, new STRING, late ARRAY<STRING>",
-        "append", "eventtime")
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        named = batch.select(key, F.timestamp_micros("at").alias(ts), F.col("version").alias(version), "attribute", "old", "new", "late")
+        spark = batch.sparkSession
+        rows = batch.select(key, F.col(ts).cast("timestamp").alias(ts), version, *[F.col(a).cast("string").alias(a) for a in attrs])
+        schema = T.StructType([*rows.schema.fields, *STEP.fields])
+        steps = lambda n: f"{checkpoint}/steps/{n % 2}"
+        known = rows.withColumn("__closed", F.lit(False))
+        if batch_id > 0:
+            state = spark.read.schema(schema).parquet(steps(batch_id - 1)).where("kept <> 'gone'")
+            known = known.unionByName(state.select(*rows.columns, (F.col("kept") == "closed").alias("__closed")))
+        _step(known, attrs, key, ts, version, delay).write.mode("overwrite").partitionBy("kept").parquet(steps(batch_id))
+        # The step is taken once; its file holds the next state and what is told.
+        step = spark.read.schema(schema).parquet(steps(batch_id)).where("changes IS NOT NULL OR late IS NOT NULL")
+        named = step.select(key, ts, version, F.explode_outer("changes").alias("c"), "late").select(key, ts, version, "c.*", "late")
         identity = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in (key, ts, version)], "attribute"), 256)
-        rows = with_trigger_meaning(named.withColumn("trigger_id", identity), table)
-        # One write, as the state must not be stepped twice.
-        (rows.withColumn("part", F.when(F.col("late").isNull(), "trigger").otherwise("late"))
+        found = with_trigger_meaning(named.withColumn("trigger_id", identity), table)
+        (found.withColumn("part", F.when(F.col("late").isNull(), "trigger").otherwise("late"))
          .write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch_id}"))
 
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKS)
-    try:
-        return found.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+    return versions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What a step adds to a version: its changes if it was closed now, its values if it is late, and whether it stays as closed, as open, or is gone.
+STEP = T.StructType([
+    T.StructField("changes", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("attribute", "old", "new")]))),
+    T.StructField("late", T.ArrayType(T.StringType())), T.StructField("kept", T.StringType())])
+
+
+def _step(known: DataFrame, attrs: Sequence[str], key: str, ts: str, version: str, delay: str) -> DataFrame:
+    """The versions of a batch and of the state before it (the last closed one ``__closed``) with the columns of ``STEP``.
+
+    In order of an entity, versions without time and late ones come first, then the closed one, those due and the open
+    ones; so one window gives what is before and after, and no late version stands before one that is due.
+    """
+    entity = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_first(), F.col(version).asc_nulls_first(), "__closed")
+    whole = entity.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place, closed = F.struct(ts, version), F.col("__closed")
+    placed = known.select(
+        "*", F.max(F.when(closed, place)).over(whole).alias("__last"), F.lag(F.struct(ts, *attrs)).over(entity).alias("__before"),
+        F.lead(ts).over(entity).alias("__next"))
+    # Whole milliseconds, like a watermark of Spark.
+    passed = known.agg((F.date_trunc("millisecond", F.max(ts)) - F.expr(f"INTERVAL '{delay}'")).alias("passed")).scalar()
+    placed = placed.withColumn("__passed", passed)
+    late = ~closed & (F.col(ts).isNull() | F.coalesce(place <= F.col("__last"), F.lit(False)))
+    due = ~closed & ~late & F.coalesce(F.col(ts) <= F.col("__passed"), F.lit(False))
+    last = F.col("__next").isNull() | (F.col("__next") > F.col("__passed"))
+    changes = F.array_compact(F.array(*[
+        F.when(~F.col(a).eqNullSafe(F.col("__before")[a]), F.struct(F.lit(a).alias("attribute"), F.col("__before")[a].alias("old"), F.col(a).alias("new")))
+        for a in attrs]))
+    return placed.select(
+        key, ts, version, *attrs,
+        F.when(due & F.col("__before")[ts].isNotNull() & (F.size(changes) > 0), changes).alias("changes"), F.when(late, F.array(*attrs)).alias("late"),
+        F.when((closed | due) & last, "closed").when(closed | due | late, "gone").otherwise("open").alias("kept"))
 
 
 def stored_schema(versions: DataFrame, key: str = "entity", ts: str = "ts", version: str = "version") -> T.StructType:
