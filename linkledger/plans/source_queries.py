@@ -252,11 +252,13 @@ def scan_registry_statements(spark, sf_dir):
     # All statements of all predicates, written as N-Triples lines and parsed back; IRIs by their own part.
     back = parse_ntriples(to_ntriples(S.table_graph(spark, sf_dir)), "line", F.lit("registry"))
     number = F.col("o_type") == iri("xsd:double")
-    node = F.regexp_replace(F.regexp_replace("o", "^https://example.org/tables/id/", ""), "^https://example.org/tables/v/", "")
+    after = lambda c, start: F.when(F.col(c).startswith(start), F.substr(F.col(c), F.lit(len(start) + 1)))
+    ids, terms = "https://example.org/tables/id/", "https://example.org/tables/v/"
+    node = F.coalesce(after("o", ids), after("o", terms), F.col("o"))
     return back.select(
-        F.regexp_replace("s", "^https://example.org/tables/id/", "").alias("s"), F.regexp_extract("p", "([^/#]*)$", 1).alias("p"),
+        F.coalesce(after("s", ids), F.col("s")).alias("s"), F.substring_index(F.substring_index("p", "/", -1), "#", -1).alias("p"),
         F.when(F.col("o_kind") == "iri", node).when(~number, F.col("o")).alias("o"), F.when(number, F.col("o").cast("double")).alias("number"),
-        "o_kind", F.regexp_extract("o_type", "([^#]*)$", 1).alias("o_type"))
+        "o_kind", F.substring_index("o_type", "#", -1).alias("o_type"))
 
 
 @query("scan_registry_json", """

@@ -10,7 +10,8 @@ from linkledger.functions.text import local_name
 from linkledger.model import RDF_TYPE, REGISTRY_JSON, iri
 
 # ---- Fixed value: the grammar of one N-Triples line, restricted to one statement per line.
-_LINE = (r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$')
+# Parts that can end in one place only give nothing back; a literal is runs of plain characters between escapes, so a long one needs no deep stack.
+_LINE = (r'^\s*+(<[^>]*+>|_:\S++)\s++<([^>]*+)>\s++(?:<([^>]*+)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^>]*+)>|@([A-Za-z0-9-]++))?)\s*+\.\s*+$')
 
 
 def scan_registry(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -46,7 +47,7 @@ def parse_ntriples(lines: DataFrame, column: str, record_id) -> DataFrame:
     kind = F.when(group(3).isNotNull(), "iri").when(group(4).isNotNull(), "bnode").otherwise("literal")
     return content.select(
         record_id.alias("record_id"),
-        F.when(ok, F.regexp_replace(group(1), "^<|>$", "")).alias("s"),
+        F.when(ok, F.when(group(1).startswith("<"), F.substr(group(1), F.lit(2), F.length(group(1)) - 2)).otherwise(group(1))).alias("s"),
         F.when(ok, group(2)).alias("p"),
         F.when(ok, F.coalesce(group(3), group(4), literal)).otherwise(line).alias("o"),
         F.when(ok, kind).alias("o_kind"),

@@ -57,5 +57,6 @@ def table_triples(name: str, df: DataFrame, key: str, references: Mapping[str, s
 
 def tables_to_triples(tables: Mapping[str, tuple[DataFrame, str, Mapping[str, str]]]) -> DataFrame:
     """``{table: (df, key, {column: referenced table})}`` to one triple set, equal triples collapsed."""
+    # The other columns follow from these five, so whole rows are compared: hashed, not sorted.
     parts = [table_triples(name, df, key, refs) for name, (df, key, refs) in tables.items()]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["s", "p", "o", "o_kind", "o_type"])
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -243,3 +243,11 @@ def test_documents_of_one_row_group_are_unfolded_in_bounded_tasks(spark, tmp_pat
     rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     sizes = S.record_triples(spark, str(tmp_path)).groupBy(F.input_file_name()).agg(F.count_distinct("record_id").alias("n"), F.max("record_id")).collect()
     assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= S.DOCUMENTS_PER_TASK
+
+
+def test_ntriples_literals_may_be_long(spark):
+    """A literal of many characters is matched without a call a character; blank nodes may touch the final dot."""
+    long = 'x' * 200_000 + r'\"' + 'y' * 200_000
+    rows = spark.createDataFrame([(f'<a> <p> "{long}"@de .',), ("_:s> <p> _:o.",), ('<a> <p> "open .',)], "line string")
+    back = parse_ntriples(rows, "line", F.lit("r")).select("s", "p", "o", "o_kind", "o_lang").collect()
+    assert [tuple(r) for r in back] == [("a", "p", long.replace("\\", ""), "literal", "de"), ("_:s>", "p", "_:o", "bnode", None), (None, None, '<a> <p> "open .', None, None)]
