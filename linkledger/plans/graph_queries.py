@@ -71,7 +71,7 @@ def path_values(spark, sf_dir):
 SELECT record_id, unnest(['frequency','real_x']) AS name, unnest([0,1])::BIGINT AS place FROM R""")
 def list_places(spark, sf_dir):
     # The same lists by following the links from cell to cell, without the positions that the reader noted.
-    t = S.record_triples(spark, sf_dir)
+    t = S.record_triples(spark, sf_dir, (iri("csvw:column"), RDF_FIRST, RDF_REST, iri("csvw:name")))
     cell = lambda c: F.concat_ws(" ", "record_id", c)
     rest = t.where(F.col("p") == RDF_REST)
     links = rest.select(cell("s").alias("s"), F.when(F.col("o") != RDF_NIL, cell("o")).alias("o"))
@@ -87,7 +87,7 @@ def list_places(spark, sf_dir):
 SELECT record_id, unnest(['frequency','real_x']) AS name, unnest([0,1])::BIGINT AS place FROM R""")
 def list_members(spark, sf_dir):
     # The ordered column list of each record, walked through its cells.
-    t = S.record_triples(spark, sf_dir)
+    t = S.record_triples(spark, sf_dir, (iri("csvw:column"), RDF_FIRST, iri("csvw:name")))
     members = G.list_members(t, iri("csvw:column")).select("record_id", "list_pos", F.col("o").alias("s"))
     names = t.where(F.col("p") == iri("csvw:name")).select("record_id", "s", F.col("o").alias("name"))
     return members.join(names, ["record_id", "s"]).select("record_id", "name", F.col("list_pos").cast("bigint").alias("place"))
@@ -153,7 +153,8 @@ UNION ALL SELECT record_id, 'unitStatus', 'QUDT IRI not yet resolved' FROM R
 UNION ALL SELECT record_id, 'absentFields', unnest(['persistentIdentifier','accessURL','field_' || lang]) FROM R WHERE k NOT IN (30,31)
 UNION ALL SELECT record_id, 'unresolvedFields', unnest(CASE WHEN k=9 THEN ['coordinateUnit'] ELSE ['excitationType','coordinateUnit'] END) FROM R WHERE k<>31""")
 def quality_rows(spark, sf_dir):
-    return G.quality_rows(S.record_triples(spark, sf_dir)).select("record_id", "metric", "value")
+    t = S.record_triples(spark, sf_dir, (RDF_TYPE, iri("dqv:isMeasurementOf"), iri("dqv:value"), iri("dqv:hasQualityMeasurement")))
+    return G.quality_rows(t).select("record_id", "metric", "value")
 
 
 @query("gap_report", "WITH " + S.QUALITY_SQL + """

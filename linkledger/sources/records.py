@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import sys
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 from urllib.parse import urljoin
 
@@ -377,8 +377,9 @@ def _expander(base: str, prefixes: tuple[tuple[str, str], ...]) -> tuple[Callabl
     return expand, lru_cache(maxsize=4096)(expand)
 
 
-def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Mapping[str, str]] | None = None) -> list[tuple]:
-    """The statements of one JSON-LD document, equal ones once, in first-seen order.
+def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Mapping[str, str]] | None = None,
+                     predicates: frozenset[str] | None = None) -> list[tuple]:
+    """The statements of one JSON-LD document, equal ones once, in first-seen order; those of ``predicates`` only, if given.
 
     Nodes without an id are named by record and key path, list cells carry their list head and position.
     Number types follow the JSON text: ``416.0`` is a double, ``6381`` an integer. Null values, types and ids that are no
@@ -395,6 +396,8 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
     base = context.pop("@base", BASE_IRI)
     expand, named = _expander(base, tuple(context.items()))
     rows: dict[tuple, None] = {}
+    every = predicates is None
+    types, firsts, rests = (every or p in predicates for p in (RDF_TYPE, RDF_FIRST, RDF_REST))
 
     def term(value, path: str) -> tuple | None:
         """(o, kind, type, language) of a JSON value, after the statements below it were added."""
@@ -431,9 +434,10 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
         names = [f"_:{record_id}{path}/@list{n}" for n in range(len(items))] + [RDF_NIL]
         for n, item in enumerate(items):
             o = term(item, f"{path}/{n}")
-            if o:
+            if o and firsts:
                 rows[(record_id, names[n], RDF_FIRST, *o, names[0], n)] = None
-            rows[(record_id, names[n], RDF_REST, names[n + 1], "iri" if names[n + 1] == RDF_NIL else "bnode", None, None, None, None)] = None
+            if rests:
+                rows[(record_id, names[n], RDF_REST, names[n + 1], "iri" if names[n + 1] == RDF_NIL else "bnode", None, None, None, None)] = None
         return names[0], "bnode" if items else "iri", None, None
 
     def visit(node: dict, path: str) -> str:
@@ -441,7 +445,7 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
         subject = expand(given) if isinstance(given, str) and given else f"_:{record_id}{path}"
         for key, value in node.items():
             if key == "@type":
-                for name in many(value):
+                for name in many(value) if types else ():
                     if isinstance(name, str):
                         rows[(record_id, subject, RDF_TYPE, named(name), "iri", None, None, None, None)] = None
             elif key in ("@graph", "@included"):
@@ -452,15 +456,16 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
                 pass
             elif isinstance(value, str):
                 # Most values are plain texts: no node below them, one statement.
-                rows[(record_id, subject, named(key), value, "literal", XSD_STRING, None, None, None)] = None
+                if every or named(key) in predicates:
+                    rows[(record_id, subject, named(key), value, "literal", XSD_STRING, None, None, None)] = None
             elif isinstance(value, list) or isinstance(value, dict) and "@set" in value:
                 for n, item in enumerate(many(value)):
                     o = term(item, f"{path}/{key}/{n}")
-                    if o:
+                    if o and (every or named(key) in predicates):
                         rows[(record_id, subject, named(key), *o, None, None)] = None
             else:
                 o = term(value, f"{path}/{key}")
-                if o:
+                if o and (every or named(key) in predicates):
                     rows[(record_id, subject, named(key), *o, None, None)] = None
         return subject
 
@@ -475,11 +480,14 @@ def document_triples(record_id: str, text: str | None, contexts: Mapping[str, Ma
     return list(rows)
 
 
-def records_to_triples(records: DataFrame, documents_per_batch: int = 256, contexts: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+def records_to_triples(records: DataFrame, documents_per_batch: int = 256, contexts: Mapping[str, Mapping[str, str]] | None = None,
+                       predicates: Iterable[str] | None = None) -> DataFrame:
     """Triples of ``(record_id, text)`` rows. A record's statements come from one row, so nothing is shuffled.
 
-    ``contexts`` gives the prefixes of contexts that documents name by address; nothing is fetched.
+    ``contexts`` gives the prefixes of contexts that documents name by address; nothing is fetched. With ``predicates`` the
+    result is that of a filter on them afterwards: whole documents are read, but other statements are not made.
     """
+    wanted = None if predicates is None else frozenset(predicates)
     kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in TRIPLES.fields]
     names = TRIPLES.fieldNames()
 
@@ -489,7 +497,7 @@ def records_to_triples(records: DataFrame, documents_per_batch: int = 256, conte
                 part = batch.slice(start, documents_per_batch).to_pydict()
                 gc.disable()  # The many tuples of a batch are no garbage; looking through them again and again took a quarter of the time.
                 try:
-                    rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text, contexts)]
+                    rows = [row for record_id, text in zip(part["record_id"], part["text"]) for row in document_triples(record_id, text, contexts, wanted)]
                 finally:
                     gc.enable()
                 columns = zip(*rows) if rows else [[] for _ in names]

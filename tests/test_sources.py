@@ -251,3 +251,15 @@ def test_ntriples_literals_may_be_long(spark):
     rows = spark.createDataFrame([(f'<a> <p> "{long}"@de .',), ("_:s> <p> _:o.",), ('<a> <p> "open .',)], "line string")
     back = parse_ntriples(rows, "line", F.lit("r")).select("s", "p", "o", "o_kind", "o_lang").collect()
     assert [tuple(r) for r in back] == [("a", "p", long.replace("\\", ""), "literal", "de"), ("_:s>", "p", "_:o", "bnode", None), (None, None, '<a> <p> "open .', None, None)]
+
+
+def test_statements_of_named_predicates_are_those_of_a_filter(spark):
+    """Other statements are not made, whole documents are read; a written table that holds the predicates serves again."""
+    texts = S.rendered_records(spark, SF_DIR)
+    wanted = [iri("csvw:column"), iri("rdf:first"), iri("csvw:name"), iri("ls:identifier")]
+    some = records_to_triples(texts, predicates=wanted)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(some) == rows(records_to_triples(texts).where(F.col("p").isin(wanted))) and some.count() > 0
+    doc = json.dumps({"@id": "r", "@type": "ex:T", "ex:l": {"@list": [{"ex:n": 1}, "x"]}, "ex:m": {"ex:n": "two"}})
+    for only in ({iri("ex:n")}, {iri("rdf:type"), iri("rdf:rest")}, {iri("rdf:first")}, set()):
+        assert document_triples("r", doc, predicates=frozenset(only)) == [r for r in document_triples("r", doc) if r[2] in only]
