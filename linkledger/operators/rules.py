@@ -11,11 +11,11 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkledger.functions.text import local_name
-from linkledger.model import RDF_TYPE, SEVERITY_RANK, iri
+from linkledger.model import RDF_FIRST, RDF_TYPE, SEVERITY_RANK, iri
 from linkledger.operators.graph import list_members, with_list_members
 from linkledger.session import cut_lineage
 
@@ -167,6 +167,14 @@ def profile_targets() -> list[tuple[str, str, str]]:
     return [(shape, kind, iri(term)) for shape, kind, term in TARGETS]
 
 
+def named_predicates(rules: Iterable[Rule], targets: Iterable[tuple[str, str, str]]) -> set[str]:
+    """Predicates of the statements that property rules and their targets look at."""
+    rules, targets = list(rules), list(targets)
+    paths = {r.path for r in rules} | {r.param for r in rules if r.kind == "any"}
+    lists = {RDF_FIRST} if any(p.endswith("/member") for p in paths) else set()
+    return {p.removesuffix("/member") for p in paths} | lists | {RDF_TYPE} | {term for _, how, term in targets if how != "class"}
+
+
 def _rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     # A constant of the program (about a hundred short rows), hence safe to broadcast.
     return F.broadcast(spark.createDataFrame([(*r, r.rule_id) for r in rules], RULE_SCHEMA))
@@ -222,20 +230,40 @@ def rule_values(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule]) -
     return _wanted(targets, table).join(values, ["record_id", "focus", "path"])
 
 
+def _values(triples: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Values of the rules' properties at any node, one row per (rule, value)."""
+    table = _rule_table(triples.sparkSession, rules)
+    values = triples.where(F.col("p").isin(sorted({r.path for r in rules}))).select(
+        "record_id", F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "o_type")
+    return values.join(table, "path")
+
+
+def _of_shapes(targets: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return targets.where(F.col("shape").isin(sorted({r.shape for r in rules}))).select("record_id", "shape", "focus")
+
+
+def _decided(rules: Sequence[Rule]) -> Column:
+    """Does a value break the rule beside it; ``rules`` decide by the value itself."""
+    kind, param = F.col("kind"), F.col("param")
+    integer_range = (param == iri("xsd:nonNegativeInteger")) & ~F.col("o").rlike(r"^\+?\d+$|^-0+$")
+    tests = {
+        "iri": F.col("o_kind") != "iri",
+        "datatype": (F.col("o_kind") != "literal") | ~F.col("o_type").eqNullSafe(param) | integer_range,
+        "in": ~F.array_contains(F.split(param, " "), F.col("o")),
+        "pattern": (F.col("o_kind") == "bnode") | ~F.rlike(F.col("o"), param),
+    }
+    return reduce(lambda found, k: found.when(kind == k, tests[k]), sorted({r.kind for r in rules} & set(tests)), F.when(F.lit(False), F.lit(False)))
+
+
 def check_values(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule], kinds: Sequence[str] = ("iri", "datatype", "in", "pattern")) -> DataFrame:
     """Constraints that one value decides by itself: node kind, datatype, list of values, pattern."""
     mine = [r for r in rules if r.kind in kinds]
     if not mine:
         return _empty_results(triples)
-    kind, param = F.col("kind"), F.col("param")
-    integer_range = (param == iri("xsd:nonNegativeInteger")) & ~F.col("o").rlike(r"^\+?\d+$|^-0+$")
-    bad = (
-        F.when(kind == "iri", F.col("o_kind") != "iri")
-        .when(kind == "datatype", (F.col("o_kind") != "literal") | ~F.col("o_type").eqNullSafe(param) | integer_range)
-        .when(kind == "in", ~F.array_contains(F.split(param, " "), F.col("o")))
-        .when(kind == "pattern", (F.col("o_kind") == "bnode") | ~F.rlike(F.col("o"), param))
-    )
-    return _result(rule_values(triples, targets, mine).where(bad))
+    bad = _decided(mine)
+    # Faulty values are few: they are picked out where they are read, before they meet the focus nodes.
+    faulty = _values(triples, mine).where(bad)
+    return _result(faulty.join(_of_shapes(targets, mine), ["record_id", "shape", "focus"], "left_semi"))
 
 
 def check_class(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -100,10 +100,17 @@ def max_count(spark, sf_dir):
     return shown(R.check_cardinality(t.unionByName(second), targets, [r for r in outer_rules() if r.kind == "max"]))
 
 
+def targets_of(rules):
+    """The profile's targets of the shapes that these rules belong to."""
+    shapes = {r.shape for r in rules}
+    return [t for t in R.profile_targets() if t[0] in shapes]
+
+
 def value_query(kind):
     def run(spark, sf_dir):
-        t = S.record_triples(spark, sf_dir)
-        return shown(R.check_values(t, R.rule_targets(t, R.profile_targets()), outer_rules(), (kind,)))
+        rules = [r for r in outer_rules() if r.kind == kind]
+        t = S.record_triples(spark, sf_dir, R.named_predicates(rules, targets_of(rules)))
+        return shown(R.check_values(t, R.rule_targets(t, targets_of(rules)), rules, (kind,)))
 
     return run
 

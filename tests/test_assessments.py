@@ -296,3 +296,18 @@ def test_trigger_state_is_one_closed_version_an_entity_and_the_open_ones(spark,
     for name in (f"{wave}", f".{wave}.crc"):
         os.remove(f"{base}/c/commits/{name}")
     assert run() == (state, told)
+
+
+def test_value_rules_need_only_the_statements_they_name(spark):
+    """Faulty values are found among the statements of the rules' own predicates; the others change nothing."""
+    from conftest import SF_DIR
+    from linkledger.operators import rules as R
+    from linkledger.plans import standins as S
+
+    triples = S.record_triples(spark, SF_DIR)
+    for kind in ("datatype", "pattern", "in"):
+        rules = [r for r in R.profile_rules() if r.kind == kind]
+        targets = [t for t in R.profile_targets() if t[0] in {r.shape for r in rules}]
+        some = triples.where(F.col("p").isin(sorted(R.named_predicates(rules, targets))))
+        found = [sorted(map(repr, R.check_values(t, R.rule_targets(t, of), R.profile_rules(), (kind,)).collect())) for t, of in ((triples, R.profile_targets()), (some, targets))]
+        assert found[0] == found[1] != []
