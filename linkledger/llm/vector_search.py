@@ -15,6 +15,7 @@ SCALE = 256
 LONGEST = (1 << 63) - 1  # stands for every score of that size or more until the end
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 1024
+DENSE = 1 / 16  # of a block's pairs; where more are left, one product of matrices is cheaper than the pairs one by one
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -63,6 +64,12 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_as_doubles(a: np.ndarray, b: np.ndarray) -> bool:
+    """Are the inner products of all rows, and every sum on the way, whole numbers that a double holds exactly."""
+    most = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (a, b)]
+    return most[0] * most[1] * a.shape[1] <= 1 << 53
+
+
 def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
 
@@ -81,6 +88,7 @@ class Search:
 
         The squared distance is |q|^2 + |c|^2 - 2 q.c, so its lower bound and an upper bound of q.c prune alike; the
         latter is compared with the k-th best score, with slack for rounding by the lengths of both. Equal scores survive, for ties.
+        While many pairs of a block are left, bounds and exact scores are taken as products of matrices; what is pruned is the same.
         """
         candidates = with_slack(vectors)
         bound = self.levels[0] @ candidates[0].T
@@ -92,13 +100,20 @@ class Search:
             scores = exact_products(self.vectors[q], vectors[top.ravel()]).astype(float)
             scores[self.ids[q] == ids[top.ravel()]] = -np.inf
             floor = np.maximum(floor, kth_best(scores.reshape(len(self.ids), -1), self.k))
-        q, c = np.nonzero(bound >= floor[:, None] - slack)
+        left = (bound >= floor[:, None] - slack) & (self.ids[:, None] != ids[None, :])
         for mine, theirs in zip(self.levels[1:], candidates[1:]):
-            keep = np.einsum("ij,ij->i", mine[q], theirs[c]) >= floor[q] - slack
-            q, c = q[keep], c[keep]
-        other = self.ids[q] != ids[c]
-        q, c = q[other], c[other]
-        scores = exact_products(self.vectors[q], vectors[c])
+            if np.count_nonzero(left) > left.size * DENSE:
+                left &= mine @ theirs.T >= floor[:, None] - slack
+            else:
+                q, c = np.nonzero(left)
+                left[q, c] = np.einsum("ij,ij->i", mine[q], theirs[c]) >= floor[q] - slack
+        q, c = np.nonzero(left)
+        if len(q) > left.size * DENSE and exact_as_doubles(self.vectors, vectors):
+            block = self.vectors.astype(float) @ vectors.astype(float).T
+            q, c = np.nonzero(left & (block >= floor[:, None]))
+            scores = block[q, c].astype(np.int64)
+        else:
+            scores = exact_products(self.vectors[q], vectors[c])
         keep = scores >= floor[q]
         found = np.column_stack([q[keep], ids[c[keep]], scores[keep]])
         self.best = np.vstack([self.best, found])

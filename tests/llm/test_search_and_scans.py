@@ -124,3 +124,25 @@ def test_notices_in_repetitive_and_long_texts(make_docs):
     texts = [(n, f"{'intro words here ' * 700}{text}{' and an end' * 900}") for n, text in long.items()]
     found = license_scan.scan_licenses(make_docs(texts), templates=[(str(n), t) for n, t in long.items()])
     assert {r["id"]: r["licenses"] for r in found.collect()} == {n: [str(n)] for n in long}
+
+
+def test_blocks_that_bounds_hardly_prune_are_not_scored_pair_by_pair(monkeypatch):
+    """Gaussian vectors leave nearly all pairs: only the first thresholds are single products, and scores stay exact."""
+    import linkledger.llm.vector_search as V
+
+    single, products = [], V.exact_products
+    monkeypatch.setattr(V, "exact_products", lambda a, b: single.append(len(a)) or products(a, b))
+    vectors = np.floor(np.random.default_rng(7).normal(size=(1500, 64)) * 256).astype(np.int64)
+    vectors[700] = vectors[3]
+    for scale in (1, 1 << 20, 1 << 40):  # the last is beyond what doubles hold
+        single.clear()
+        search = V.Search(np.arange(0, 1500, 10), vectors[::10] * scale, 5)
+        for at in range(0, 1500, 500):
+            search.add(np.arange(at, at + 500), vectors[at:at + 500])
+        scores = (vectors[::10] @ vectors.T) * scale
+        expected = []
+        for i, row in enumerate(scores):
+            best = [c for c in np.lexsort((np.arange(1500), -row)) if c != i * 10][:5]
+            expected += [(i, c, row[c]) for c in best]
+        assert list(map(tuple, search.best.tolist())) == expected
+        assert scale > 1 or sum(single) < 0.1 * scores.size
