@@ -294,65 +294,150 @@ def check_any_of(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule])
     return _result(wanted.join(either, ["record_id", "focus", "rule_id"], "left_anti"))
 
 
-def nested_targets(triples: DataFrame, rules: Sequence[Rule], shapes: Sequence[str]) -> DataFrame:
-    """Nodes a nested shape applies to: the values of every property that names the shape."""
-    uses = [r for r in rules if r.kind == "node" and r.param in shapes]
-    table = _rule_table(triples.sparkSession, uses).select("path", F.col("param").alias("shape")).distinct()
-    values = triples.where(F.col("p").isin(sorted({r.path for r in uses}))).select("record_id", F.col("p").alias("path"), F.col("o").alias("focus"))
-    return values.join(F.broadcast(table), "path").select("shape", "record_id", "focus").distinct()
+class _Events:
+    """Numbers for what statements tell about a node: a value of a path, a shape, a faulty value of a rule, a type."""
 
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
 
-def nested_failures(triples: DataFrame, targets: DataFrame, rules: Sequence[Rule], own: DataFrame) -> DataFrame:
-    """Results of the ``node`` rules: one for each value that fails the nested shape.
+    def __call__(self, *what) -> int:
+        return self.numbers.setdefault(what, len(self.numbers))
 
-    ``own`` are the results of all other rules over targeted and nested shapes. The values are looked up once;
-    failures then travel outwards, one join per nesting level.
+
+def _lookup(events: dict[str, list[int]], key: str) -> Column:
+    """The numbers listed under a term, none for other terms; ``events`` is a constant of the program."""
+    none = F.array().cast("array<int>")
+    if not events:
+        return none
+    table = F.create_map(*[x for term, numbers in sorted(events.items()) for x in (F.lit(term), F.array(*map(F.lit, numbers)))])
+    return F.coalesce(F.element_at(table, F.col(key)), none)
+
+
+def node_table(triples: DataFrame, rules: Sequence[Rule], targets: Sequence[tuple[str, str, str]], events: _Events) -> DataFrame:
+    """``nodes(record_id, node, events, uses)``: all that the rules ask of a node, gathered in one aggregation.
+
+    ``events`` are numbers of values per path, shapes, faulty values and types, repeats included. ``uses`` are the
+    (focus, rule) of every value that is this node and has to be of a class or nested shape.
     """
-    mine = [r for r in rules if r.kind == "node"]
-    if not mine:
-        return _empty_results(triples)
-    uses = rule_values(triples, targets, mine)
-    failing = own.select("record_id", F.col("focus").alias("o"), F.col("shape").alias("param"))
-    settled = {r.shape for r in rules} - {r.shape for r in mine}
-    found = None
-    waiting = {r.shape for r in mine}
-    while waiting:
-        ready = sorted(s for s in waiting if {r.param for r in mine if r.shape == s} <= settled)
-        if not ready:
-            raise ValueError("nested shapes refer to each other")
-        level = uses.where(F.col("shape").isin(ready)).join(failing.distinct(), ["record_id", "o", "param"], "left_semi")
-        results = _result(level)
-        found = results if found is None else found.unionByName(results)
-        failing = failing.unionByName(results.select("record_id", F.col("focus").alias("o"), F.col("shape").alias("param")))
-        settled |= set(ready)
-        waiting -= set(ready)
-    return found
+    by_path: dict[str, list[int]] = {}
+    by_class: dict[str, list[int]] = {}
+    by_object: dict[str, list[int]] = {}
+    asking: dict[str, list[int]] = {}
+
+    def put(where: dict[str, list[int]], term: str, number: int) -> None:
+        if number not in where.setdefault(term, []):
+            where[term].append(number)
+
+    for i, r in enumerate(rules):
+        if r.kind in ("min", "max", "any"):
+            for path in (r.path, r.param) if r.kind == "any" else (r.path,):
+                put(by_path, path, events("path", path))
+        elif r.kind in ("class", "node"):
+            put(asking, r.path, i)
+            if r.kind == "class":
+                put(by_class, r.param, events("type", r.param))
+            else:
+                put(by_object, r.path, events("shape", r.param))
+    for shape, how, term in targets:
+        put({"class": by_class, "object": by_object, "subject": by_path}[how], term, events("shape", shape))
+    valued = [(i, r) for i, r in enumerate(rules) if r.kind in ("iri", "datatype", "in", "pattern")]
+    none, no_use = F.array().cast("array<int>"), F.lit(None).cast("struct<focus: string, rule: int>").alias("use")
+    told = triples.where(F.col("p").isin(sorted(by_path)) | ((F.col("p") == RDF_TYPE) & F.col("o").isin(sorted(by_class)))).select(
+        "record_id", F.col("s").alias("node"),
+        F.concat(_lookup(by_path, "p"), F.when(F.col("p") == RDF_TYPE, _lookup(by_class, "o")).otherwise(none)).alias("event"), no_use)
+    parts = [told]
+    if by_object:
+        parts.append(triples.where(F.col("p").isin(sorted(by_object))).select(
+            "record_id", F.col("o").alias("node"), _lookup(by_object, "p").alias("event"), no_use))
+    if asking:
+        parts.append(triples.where(F.col("p").isin(sorted(asking))).select(
+            "record_id", F.col("o").alias("node"), none.alias("event"), F.col("s").alias("focus"), F.explode(_lookup(asking, "p")).alias("rule")).select(
+            "record_id", "node", "event", F.struct("focus", "rule").alias("use")))
+    if valued:
+        numbers = F.broadcast(triples.sparkSession.createDataFrame([(r.rule_id, events("fault", i)) for i, r in valued], "rule_id STRING, number INT"))
+        faulty = _values(triples, [r for _, r in valued]).where(_decided([r for _, r in valued])).join(numbers, "rule_id")
+        parts.append(faulty.select("record_id", F.col("focus").alias("node"), F.array("number").alias("event"), no_use))
+    return reduce(DataFrame.unionByName, parts).groupBy("record_id", "node").agg(
+        F.flatten(F.collect_list("event")).alias("events"), F.collect_list("use").alias("uses"))
+
+
+def _own_failures(nodes: DataFrame, rules: Sequence[Rule], events: _Events) -> DataFrame:
+    """(record_id, node, rule) of what a node's own statements decide, one row per result."""
+    counted = []
+    for i, r in enumerate(rules):
+        if r.kind in ("min", "max"):
+            counted.append((i, r.kind, int(r.param), [events("path", r.path)], events("shape", r.shape)))
+        elif r.kind == "any":
+            counted.append((i, "min", 1, [events("path", r.path), events("path", r.param)], events("shape", r.shape)))
+        elif r.kind not in ("class", "node"):
+            counted.append((i, "each", 0, [events("fault", i)], events("shape", r.shape)))
+    table = F.broadcast(nodes.sparkSession.createDataFrame(counted, "rule INT, how STRING, least INT, paths ARRAY<INT>, shape INT"))
+    shapes = [number for what, number in events.numbers.items() if what[0] == "shape"]
+    # A node belongs to few shapes, each listed once.
+    of = nodes.select("record_id", "node", "events", F.explode(F.array_distinct(F.filter("events", lambda e: e.isin(shapes)))).alias("shape"))
+    n = F.size(F.filter("events", lambda e: F.array_contains("paths", e)))
+    times = F.when(F.col("how") == "min", (n < F.col("least")).cast("int")).when(F.col("how") == "max", (n > F.col("least")).cast("int")).otherwise(n)
+    found = of.join(table, "shape").select("record_id", "node", "rule", times.alias("times")).where(F.col("times") > 0)
+    return found.select("record_id", "node", "rule", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("one")).drop("one")
 
 
 def property_results(triples: DataFrame, rules: Sequence[Rule] | None = None,
                      targets: Sequence[tuple[str, str, str]] | None = None) -> DataFrame:
     """Results of all property rules.
 
-    Focus nodes of targeted and nested shapes go through each constraint kind together; only ``node`` rules need
-    the nesting order. Nested results show up as the outer property that failed.
+    One aggregation gathers per node what the rules ask of it; most rules are then decided in that row. Values that lack a
+    class or fail a nested shape are few, and only these look up the node they belong to, one join per nesting level.
+    Nested results show up as the outer property that failed.
     """
     rules = list(profile_rules() if rules is None else rules)
     targets = list(profile_targets() if targets is None else targets)
+    spark = triples.sparkSession
     listed = sorted({r.path.removesuffix("/member") for r in rules if r.path.endswith("/member")})
     triples = with_list_members(triples, listed)
     outer = {shape for shape, _, _ in targets}
     nested = {r.param for r in rules if r.kind == "node"}
     if outer & nested:
         raise ValueError(f"shapes are targeted or nested, not both: {sorted(outer & nested)}")
-    focus = rule_targets(triples, targets)
+    events = _Events()
+    nodes = cut_lineage(node_table(triples, rules, targets, events), "rule_nodes")
+    asking = [(i, r.kind, events("shape", r.shape), events("type", r.param) if r.kind == "class" else events("shape", r.param))
+              for i, r in enumerate(rules) if r.kind in ("class", "node")]
+    failing = _own_failures(nodes, rules, events)
+    if asking:
+        table = F.broadcast(spark.createDataFrame(asking, "rule INT, kind STRING, shape INT, wanted INT"))
+        askers = nodes.where(F.arrays_overlap("events", F.array(*[F.lit(n) for n in sorted({a[2] for a in asking})])))
+        used = nodes.where(F.size("uses") > 0).select("record_id", "node", "events", F.inline("uses")).join(table, "rule")
+
+        def at_focus(found: DataFrame) -> DataFrame:
+            """Failures of values as failures of the nodes that have them, where these are of the rule's shape."""
+            here = found.select("record_id", F.col("focus").alias("node"), "rule", "shape")
+            return (here.join(askers.select("record_id", "node", F.col("events").alias("known")), ["record_id", "node"])
+                    .where(F.array_contains("known", F.col("shape"))).select("record_id", "node", "rule"))
+
+        lacking = used.where((F.col("kind") == "class") & ~F.array_contains("events", F.col("wanted")))
+        failing = failing.unionByName(at_focus(lacking))
+    # Failures are few and every nesting level reads them.
+    failing = cut_lineage(failing, "rule_failures")
+    results = failing
     if nested:
-        focus = focus.unionByName(nested_targets(triples, rules, sorted(nested)))
-    own = reduce(DataFrame.unionByName, [check(triples, focus, rules) for check in (check_cardinality, check_values, check_class, check_any_of)])
-    if nested:
-        # Failures are few and every nesting level reads them.
-        own = cut_lineage(own, "rule_failures")
-    results = own.unionByName(nested_failures(triples, focus, rules, own))
-    return results.where(F.col("shape").isin(sorted(outer))).select(*RESULT_COLUMNS)
+        shape_of = F.broadcast(spark.createDataFrame([(i, events("shape", r.shape)) for i, r in enumerate(rules)], "rule INT, wanted INT"))
+        mine = [(i, r) for i, r in enumerate(rules) if r.kind == "node"]
+        settled = {r.shape for r in rules} - {r.shape for _, r in mine}
+        waiting = {r.shape for _, r in mine}
+        settled |= nested - waiting
+        while waiting:
+            ready = sorted(s for s in waiting if {r.param for _, r in mine if r.shape == s} <= settled)
+            if not ready:
+                raise ValueError("nested shapes refer to each other")
+            now = [i for i, r in mine if r.shape in ready]
+            needed = sorted({events("shape", rules[i].param) for i in now})
+            failed = results.join(shape_of, "rule").where(F.col("wanted").isin(needed)).select("record_id", "node", "wanted").distinct()
+            hit = used.where(F.col("rule").isin(now)).join(failed, ["record_id", "node", "wanted"], "left_semi")
+            results = results.unionByName(at_focus(hit))
+            settled |= set(ready)
+            waiting -= set(ready)
+    names = F.broadcast(spark.createDataFrame([(i, *r, r.rule_id) for i, r in enumerate(rules) if r.shape in outer], "rule INT, " + RULE_SCHEMA))
+    return _result(results.join(names, "rule").withColumnRenamed("node", "focus")).select(*RESULT_COLUMNS)
 
 
 # ------------------------------------------------------------------ cross-field rules
@@ -517,6 +602,28 @@ STATEMENT_RULES = (rule_axis_arithmetic, rule_bound_needs_fingerprint, rule_list
                    rule_document_complete, rule_derived_needs_source)
 
 
+# ---- Fixed values: the predicates each cross-field rule looks at, besides the types.
+FACT_PREDICATES = "dqv:isMeasurementOf dqv:value dqv:hasQualityMeasurement"
+CROSS_PREDICATES = {
+    rule_completeness_declared: FACT_PREDICATES,
+    rule_axis_arithmetic: "ldv:frequencyAxis schema:minValue schema:maxValue ldv:step ldv:binCount",
+    rule_unresolved_status: FACT_PREDICATES,
+    rule_bound_needs_fingerprint: "dcterms:identifier spdx:checksum",
+    rule_list_members_typed: "dcterms:hasPart rdf:first bot:hasSubElement",
+    rule_binding_status: FACT_PREDICATES,
+    rule_link_covers_elements: "spdx:checksum dcterms:identifier ls:hasToLinkElement ls:hasIdentifier ls:identifier",
+    rule_document_complete: "ls:hasDocument spdx:checksum dcterms:modified dcat:downloadURL",
+    rule_association_conditions: FACT_PREDICATES + " ldv:associationLevel prov:wasInfluencedBy ldv:transform ldv:registration sosa:hasFeatureOfInterest geo:hasGeometry",
+    rule_derived_needs_source: "sosa:hasResult dcterms:type prov:wasDerivedFrom",
+    rule_hypothesis_status: FACT_PREDICATES,
+}
+
+
+def cross_predicates(*rules) -> set[str]:
+    """Predicates of the statements that these cross-field rules look at."""
+    return {RDF_TYPE, *(iri(p) for rule in rules for p in CROSS_PREDICATES[rule].split())}
+
+
 def validate(triples: DataFrame) -> DataFrame:
     """All results of the profile for every record.
 

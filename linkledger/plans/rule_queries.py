@@ -135,12 +135,13 @@ def any_of(spark, sf_dir):
 def nested_node(spark, sf_dir):
     # Only the nested shapes and the properties that use them.
     rules = [r for r in R.profile_rules() if r.kind == "node" or r.shape not in OUTER]
-    return shown(R.property_results(S.record_triples(spark, sf_dir), rules))
+    return shown(R.property_results(S.record_triples(spark, sf_dir, R.named_predicates(rules, R.profile_targets())), rules))
 
 
 def cross_query(name):
     def run(spark, sf_dir):
-        return shown(CROSS_FUNCTIONS[name](S.record_triples(spark, sf_dir)))
+        rule = CROSS_FUNCTIONS[name]
+        return shown(rule(S.record_triples(spark, sf_dir, R.cross_predicates(rule))))
 
     return run
 
@@ -151,7 +152,8 @@ for _name, _rows in CROSS.items():
 
 @query("completeness_declared_strict", expected(("completeness_declared", "Violation", "k IN (30,31)")))
 def completeness_strict(spark, sf_dir):
-    return shown(R.rule_completeness_declared(S.record_triples(spark, sf_dir), strict=True))
+    rule = R.rule_completeness_declared
+    return shown(rule(S.record_triples(spark, sf_dir, R.cross_predicates(rule)), strict=True))
 
 
 ALL_ROWS = CARDINALITY + NODE_KIND + DATATYPE + IN_LIST + PATTERN + CLASS + NESTED + [row for rows in CROSS.values() for row in rows]
@@ -159,7 +161,8 @@ ALL_ROWS = CARDINALITY + NODE_KIND + DATATYPE + IN_LIST + PATTERN + CLASS + NEST
 
 @query("validate", expected(*ALL_ROWS))
 def validate(spark, sf_dir):
-    return shown(R.validate(S.record_triples(spark, sf_dir)))
+    wanted = R.named_predicates(R.profile_rules(), R.profile_targets()) | R.cross_predicates(*R.FACT_RULES, *R.STATEMENT_RULES)
+    return shown(R.validate(S.record_triples(spark, sf_dir, wanted)))
 
 
 @query("severity_counts", """

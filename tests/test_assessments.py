@@ -3,6 +3,7 @@
 import hashlib
 import os
 from datetime import datetime, timedelta
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -311,3 +312,19 @@ def test_value_rules_need_only_the_statements_they_name(spark):
         some = triples.where(F.col("p").isin(sorted(R.named_predicates(rules, targets))))
         found = [sorted(map(repr, R.check_values(t, R.rule_targets(t, of), R.profile_rules(), (kind,)).collect())) for t, of in ((triples, R.profile_targets()), (some, targets))]
         assert found[0] == found[1] != []
+
+
+def test_cross_field_rules_need_only_the_statements_they_name(spark):
+    """Each rule finds the same among the statements of its own predicates as among all."""
+    from conftest import SF_DIR
+    from linkledger.operators import rules as R
+    from linkledger.plans import standins as S
+
+    triples = S.record_triples(spark, SF_DIR)
+    found = {True: [], False: []}
+    for rule in R.FACT_RULES + R.STATEMENT_RULES:
+        some = triples.where(F.col("p").isin(sorted(R.cross_predicates(rule))))
+        for named, t in ((True, some), (False, triples)):
+            found[named].append(rule(t))
+    rows = [sorted(map(repr, reduce(lambda a, b: a.unionByName(b), found[named]).collect())) for named in (True, False)]
+    assert rows[0] == rows[1] and len({r.rule_id for r in found[False][0].collect()}) == 1
