@@ -1,6 +1,7 @@
 """Byte ranges: every line once, wherever files are cut; headers cost their own bytes; equal to whole files."""
 
 import io
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,26 @@ def test_headers_read_their_bytes_only(tmp_path):
     assert [len(row[3]) for part in parts for row in reader.read(part)] == [X.HEADER_BYTES]
     spread = R.RangeReader({"path": str(tmp_path), "rangebytes": str(1 << 20)}).partitions()
     assert sum(len(p.pieces) for p in spread) >= 2
+
+
+def test_planner_holds_no_file_names(spark, tmp_path):
+    for i in range(3000):
+        folder = tmp_path / "in" / f"f{i % 3}" / ("deep" if i % 2 else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.txt").write_bytes(b"x" * (i % 25))
+    for name in ("_a.txt", ".b.txt", "c.csv"):
+        (tmp_path / "in" / name).write_bytes(b"no")
+    root = str(tmp_path / "in")
+    whole = R.RangeReader({"path": root, "glob": "*.txt", "rangebytes": "10"})
+    expected = sorted((p.path, p.size, p.start, p.end) for part in whole.partitions() for p in part.pieces)
+    assert len(expected) == sum(max(1, -(-(i % 25) // 10)) for i in range(3000))
+    ranges = R.deal_ranges(R.list_files(spark, root, "*.txt"), 10)
+    parts = R.RangeReader({"path": root, "ranges": ranges}).partitions()
+    assert len(parts) == -(-len(expected) // R.FILES_PER_TASK) and len(pickle.dumps(parts)) < 500 * len(parts)
+    held = [[(p.path, p.size, p.start, p.end) for p in part.pieces] for part in parts]
+    assert sorted(p for part in held for p in part) == expected
+    assert max(map(len, held)) <= R.FILES_PER_TASK + 8
+    rows = R.read_ranges(spark, root, "*.txt", range_bytes=10).select("path", "start").collect()
+    assert sorted((r["path"].removeprefix("file:"), r["start"]) for r in rows) == sorted((p, start) for p, _, start, _ in expected if not start)
+    (tmp_path / "empty").mkdir()
+    assert R.read_headers(spark, str(tmp_path / "empty")).count() == 0
