@@ -122,6 +122,81 @@ def test_exchange_improves_mutual_information(make_docs):
     assert table.sum() == sum(len(r["text"].split()) + 1 for r in docs.collect())
 
 
+def test_every_word_moves_to_the_class_that_is_worth_most():
+    random = np.random.default_rng(3)
+    n_free, n_classes, n_words = 5, 8, 12
+    for _ in range(20):
+        classes = random.integers(0, n_classes, n_words)
+        pairs = random.integers(0, 4, (n_words, n_words)) * (random.random((n_words, n_words)) < 0.4)
+
+        def table(of):
+            found = np.zeros((n_classes, n_classes))
+            np.add.at(found, (of[:, None].repeat(n_words, 1), of[None].repeat(n_words, 0)), pairs)
+            return found
+
+        others = pairs * (1 - np.eye(n_words, dtype=int))
+        left, right = (np.stack([(side * (classes == c)[None]).sum(axis=1) for c in range(n_classes)], axis=1).astype(float) for side in (others.T, others))
+        best = brown.best_classes(table(classes), classes, left, right, np.diag(pairs).astype(float), n_free)
+        for word in range(n_words):
+            worth = [brown.worth(table(np.where(np.arange(n_words) == word, c, classes))) for c in range(n_free)]
+            assert worth[best[word]] == pytest.approx(max(worth))
+
+
+def test_every_word_takes_part_in_the_exchange(make_docs):
+    random = np.random.default_rng(5)
+    docs = [(i, " ".join([*(f"w{x}" for x in random.zipf(1.4, 30) if x < 400), *(["zz"] * (i % 3)), "y" * 80])) for i in range(200)]
+    texts = make_docs(docs).select(F.col("text").cast("binary").alias("text")).repartition(3)
+    vocabulary, n_free = 20, 6
+    model, counts = brown.train(texts, vocabulary, n_free=n_free)
+    classes = {w: int(model.classes[i]) for w, i in model.numbers.items()}
+    rare = {bytes(r["word"]): r["class"] for r in counts.collect() if bytes(r["word"]) not in classes}
+    assert len(classes) <= vocabulary and len(rare) > 50 and b"y" * 80 in rare
+    assert all(0 <= c < n_free for c in [*classes.values(), *rare.values()])
+
+    # Tables of class pairs are those of the texts whenever words with and without a number have moved.
+    words = [w for w, _ in brown.frequent(brown.count_tokens(texts), vocabulary)]
+    pairs = brown.count_pairs(texts, words).persist()
+    number = {w: i for i, w in enumerate(words)}
+
+    def counted(of):
+        table = np.zeros((n_free + brown.ENDING_CLASSES + 1,) * 2)
+        for _, text in docs:
+            line = [n_free + brown.ENDING_CLASSES, *map(of, brown.tokens(text.encode()))]
+            np.add.at(table, (line[:-1], line[1:]), 1)
+        return table
+
+    found, table = brown.exchange(brown.contexts(pairs).persist(), len(words), n_free)
+    assert (table == counted(lambda w: found[number[w]] if w in number else n_free + brown.ending_class(w))).all()
+    others = brown.RareWords.of(pairs, len(words))
+    symbols, placed, table = others.exchange(others.endings(), found, table, n_free)
+    given = {bytes(r["word"]): r["symbol"] - len(words) - brown.ENDING_CLASSES - 1 for r in symbols.collect()}
+    assert (table == counted(lambda w: found[number[w]] if w in number else given[w])).all()
+    seen = brown.merge_lists(brown.numbered_lists(pairs).union(brown.lists_of(others.pairs(placed)))).persist()
+    found, table = brown.exchange(seen, len(words), n_free, None, found[:len(words)])
+    assert (table == counted(lambda w: found[number[w]] if w in number else given[w])).all()
+
+
+def test_scores_of_words_without_a_number_are_those_of_plain_sums(make_docs):
+    random = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{x}" for x in random.zipf(1.3, 25) if x < 300)) for i in range(90)]
+    sizes = {"vocabulary": 15, "n_free": 4}
+    trains = F.col("doc_id") % 3 != 0
+    scores = {r["id"]: r["score"] for r in brown.score_texts(make_docs(docs), trains, **sizes).collect()}
+    model, counts = brown.train(make_docs(docs).where(trains).select(F.col("text").cast("binary").alias("text")), **sizes)
+    classes, v = {bytes(r["word"]): (r["n"], r["class"]) for r in counts.collect()}, len(model.counts)
+    unknown = model.transitions @ model.spread
+    close = 0
+    for i, text in docs:
+        before, total = model.start, 0.0
+        for w in brown.tokens(text.encode()):
+            n, c = classes.get(w, (0, None))
+            c = int(model.classes[model.numbers[w]] if w in model.numbers else model.classes[v + brown.ending_class(w)] if c is None else c)
+            total += math.log10(model.word(model.transitions[before, c], n, np.int64(c)) if n else brown.CLASS_WEIGHT * unknown[before, brown.ending_class(w)] + (1 - brown.CLASS_WEIGHT) * model.base(0))
+            before = c
+        close += math.isclose(total, scores[i], rel_tol=1e-9)
+    assert close == len(docs)
+
+
 def check_packing(rows, texts, size=1024):
     """Pieces rebuild every document's ids; sequences are gapless and no longer than ``size``."""
     tokenizer = Tokenizer.from_file(TOKENIZER)
